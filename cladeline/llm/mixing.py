@@ -25,6 +25,8 @@ from .common import Scratch, partitions, table, word_count
 BLOCK = 64
 #: 2 ** 31 divided by the golden ratio, and odd: slots run through all 2 ** 31 points before one recurs.
 GOLDEN, TURN = 1_327_217_885, 2**31
+#: Slots beyond the whole of the targets, so that rounding leaves no source short; the quotas cut them off.
+SPARE = 256
 #: The unit interval's cells by which points meet the sources' intervals.
 CELLS = 4096
 #: Rows of a bucket of a source's stream, about.
@@ -99,13 +101,13 @@ def schedule(targets: DataFrame, total: Column | int, block: int = BLOCK) -> Dat
     cuts = targets.where("target > 0").select("order_no", "target", (cum / whole).alias("hi"), F.lag(cum / whole, 1, 0.0).over(order).alias("lo"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("order_no"))).alias("from_end"))
     cuts = cuts.withColumn("hi", F.when(F.col("from_end") == 1, F.lit(1.0)).otherwise(F.col("hi")))
     cells = cuts.select("order_no", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))).alias("cell"))
-    n_slots = int(total) // block + 1
+    n_slots = int(total) // block + SPARE
     points = spark.range(n_slots).select(F.col("id").alias("slot"), (F.pmod(F.pmod("id", F.lit(TURN)) * F.lit(GOLDEN), F.lit(TURN)) / F.lit(float(TURN))).alias("x"))
     points = points.withColumn("cell", F.floor(F.col("x") * CELLS))
     return points.join(cells, "cell").where("x >= lo AND x < hi").select("slot", "order_no")
 
 
-def ranked(slots: DataFrame, n_slots: int, rows: int = 65_536) -> DataFrame:
+def ranked(slots: DataFrame, rows: int = 65_536) -> DataFrame:
     """Adds rank: how many of the source's slots come before; two levels, so no source lands in one task."""
     slots = slots.withColumn("part", F.floor(F.col("slot") / rows))
     sums = slots.groupBy("order_no", "part").count()
@@ -140,7 +142,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
         .drop("t_source", "weight"),
         "positions",
     )
-    slots = ranked(schedule(targets, total, block), total // block + 1)
+    slots = ranked(schedule(targets, total, block))
     sized = targets.select("order_no", "source_size", F.round("target").cast("long").alias("quota"))
     taken = slots.join(F.broadcast(sized) if _few(targets) else sized, "order_no")
     # words [from, to) of the endless repetition of the stream, cut at the quota and at the stream's end
