@@ -188,8 +188,8 @@ def _tile(rows: pa.Table) -> pa.Table:
             pick = np.minimum(widths[i], widths[j]) == w
             matrix, at = matrices[int(w)]
             a, b = i[pick], j[pick]
-            for c in range(0, len(a), 1 + 4_000_000 // int(w)):
-                x, y = a[c : c + 1 + 4_000_000 // int(w)], b[c : c + 1 + 4_000_000 // int(w)]
+            for c in range(0, len(a), 1 + 400_000 // int(w)):
+                x, y = a[c : c + 1 + 400_000 // int(w)], b[c : c + 1 + 400_000 // int(w)]
                 ok = enough(_bound(matrix[at[x]], matrix[at[y]], n[x], n[y]), n[x], n[y])
                 found.append(np.stack([np.minimum(doc[x[ok]], doc[y[ok]]), np.maximum(doc[x[ok]], doc[y[ok]])], axis=1))
         if len(found) > 64:

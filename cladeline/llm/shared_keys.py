@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_KEYS = 1_500_000
-SHARD_KEYS = 2_000_000
+BATCH_KEYS = 500_000
+SHARD_KEYS = 500_000
 
 #: What a packed row holds.
 OPEN, TOLD, SETTLED, NOTES = 0, 1, 2, 3
