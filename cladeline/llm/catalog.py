@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, sharding, suffix_dedup, url_filters
+from . import jaccard_join, mixing, quality, sharding, suffix_dedup, url_filters
 
 
 def queries() -> dict:
     return {
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
+        "op4_quality": quality.op4_quality,
         "op5_url_filters": url_filters.op5_url_filters,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
