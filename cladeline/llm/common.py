@@ -9,8 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch while a table is written here: texts are long.
-BATCH_ROWS = 1_000
+#: Holds while a table is written here.  Texts are long, so Arrow batches are short.  Where the texts of some
+#: documents are picked by id, Spark may drop the others by a Bloom filter (8 MB at most) before it shuffles.
+WRITE_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
 
 #: Used only where the session names no shared folder, as in tests on one machine.
 LOCAL_SHARED = "file:///tmp/checkpoints"
@@ -43,13 +48,14 @@ class Scratch:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{name}"
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, BATCH_ROWS)
+        before = {key: self.spark.conf.get(key, None) for key in WRITE_CONF}
         try:
+            for key, value in WRITE_CONF.items():
+                self.spark.conf.set(key, value)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(key, before)
+            for key, value in before.items():
+                self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

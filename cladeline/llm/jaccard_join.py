@@ -72,7 +72,7 @@ def _emit(frequent: np.ndarray):
                 null = np.asarray(ids.is_null().to_numpy(zero_copy_only=False))
                 ids = ids.fill_null(0).to_numpy().astype(np.int64)
                 sizes, reps = np.zeros(len(ids), np.int64), ids.copy()
-                some, owners = [], []
+                some, owners, sigs = [], [], [b""] * len(ids)
                 for k, s in shingle_sets(*byte_batch(batch.column("text"))):
                     sizes[k] = len(s)
                     if not len(s) or null[k]:
@@ -80,6 +80,7 @@ def _emit(frequent: np.ndarray):
                     reps[k] = rep = seen.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(ids[k]))
                     if rep != ids[k]:
                         continue
+                    sigs[k] = signature(s)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         late = frequent[at] == s
@@ -87,7 +88,8 @@ def _emit(frequent: np.ndarray):
                             s = np.concatenate([s[~late], s[late]])
                     some.append(s[: prefix_length(len(s))])
                     owners.append(np.full(len(some[-1]), ids[k]))
-                yield packer.note(keys.planes(ids), keys.planes(sizes) + keys.planes(reps) + null.tobytes())
+                widths = np.array([len(x) for x in sigs], np.int64)
+                yield packer.note(keys.planes(ids), keys.planes(sizes) + keys.planes(reps) + keys.planes(widths) + null.tobytes() + b"".join(sigs))
                 if some:
                     yield from packer.add(np.concatenate(some), np.concatenate(owners))
             yield from packer.flush()
@@ -97,26 +99,27 @@ def _emit(frequent: np.ndarray):
     return emit
 
 
-_MET = "doc long, token long, n long, rep long"
+_MET = "doc long, token long, n long, rep long, sig binary"
 
 
 def _finish(rows: pa.Table) -> pa.Table:
     k, d, notes = keys.meet(rows)
-    parts = [(pa.array(d), pa.array(_as_long(k)), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.int64()))]
+    parts = [(pa.array(d), pa.array(_as_long(k)), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.binary()))]
     for a, b in notes:
         m = len(a) // 8
-        null = np.frombuffer(b[16 * m :], bool)
-        ids, sizes, reps = (keys.unplanes(x, np.int64) for x in (a, b[: 8 * m], b[8 * m : 16 * m]))
-        parts.append((pa.array(ids, mask=null), pa.nulls(m, pa.int64()), pa.array(sizes), pa.array(reps, mask=null)))
-    return pa.table([pa.chunked_array(list(c)) for c in zip(*parts, strict=True)], names=["doc", "token", "n", "rep"])
+        ids, sizes, reps, widths = (keys.unplanes(x, np.int64) for x in (a, b[: 8 * m], b[8 * m : 16 * m], b[16 * m : 24 * m]))
+        null, stops = np.frombuffer(b[24 * m : 25 * m], bool), np.cumsum(widths) + 25 * m
+        sigs = [b[y - w : y] or None for y, w in zip(stops.tolist(), widths.tolist(), strict=True)]
+        parts.append((pa.array(ids, mask=null), pa.nulls(m, pa.int64()), pa.array(sizes), pa.array(reps, mask=null), pa.array(sigs, pa.binary())))
+    return pa.table([pa.chunked_array(list(c)) for c in zip(*parts, strict=True)], names=["doc", "token", "n", "rep", "sig"])
 
 
 def _sets(batches):
     for batch in batches:
         ids = batch.column("doc_id").to_numpy().astype(np.int64)
-        rows = [(int(ids[k]), len(s), signature(s), s.tobytes()) for k, s in shingle_sets(*byte_batch(batch.column("text")))]
-        for a in range(0, len(rows), 1_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 1_000], strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc", "n", "sig", "shingles"])
+        rows = [(int(ids[k]), s.tobytes()) for k, s in shingle_sets(*byte_batch(batch.column("text")))]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["doc", "shingles"])
 
 
 def _bound(a: np.ndarray, b: np.ndarray, na, nb):
@@ -149,14 +152,22 @@ def _by_shingles(batches):
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, store: Scratch, bounded: bool) -> DataFrame:
-    """The pairs (a, b) that link."""
-    side = lambda x, *more: sets.select(F.col("doc").alias(x), *[F.col(c).alias(f"{m}{x}") for c, m in more])
-    if not bounded:
-        near = pairs.join(side("a", ("n", "n"), ("sig", "s")), "a").join(side("b", ("n", "n"), ("sig", "s")), "b").where("100 * least(na, nb) >= 75 * greatest(na, nb)")
-        pairs = store.put(near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_by_bitmap, "a long, b long").distinct(), "bounded")
-    both = pairs.join(side("a", ("shingles", "x")), "a").join(side("b", ("shingles", "x")), "b")
-    return store.put(both.select("a", "b", "xa", "xb").mapInArrow(_by_shingles, "a long, b long").distinct(), "links")
+def _within_bound(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), those whose sizes and bitmaps do not rule a link out."""
+    side = lambda x: sigs.select(F.col("doc").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where("4 * least(na, nb) >= 3 * greatest(na, nb)")
+    return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_by_bitmap, "a long, b long").distinct()
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, store: Scratch) -> DataFrame:
+    """The pairs (a, b) that link, by their shingles."""
+    ids = store.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    picked = docs.join(ids.where(F.col("doc_id") > -(1 << 63)), "doc_id", "left_semi").select("doc_id", "text")
+    sets = store.put(picked.mapInArrow(_sets, "doc long, shingles binary"), "sets")
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"x{x}"))
+    links = store.put(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_by_shingles, "a long, b long").distinct(), "links")
+    store.drop(ids, sets)
+    return links
 
 
 def _tile(rows: pa.Table) -> pa.Table:
@@ -217,15 +228,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     held = met.where("token is not null").select("token", "doc")
     nodes = met.where("n is not null").select("doc", "n", "rep")
 
-    ids = held.select(F.col("doc").alias("doc_id")).distinct()
-    sets = store.put(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc long, n long, sig binary, shingles binary"), "sets")
+    sigs = met.where("sig is not null").select("doc", "n", "sig")
 
     held_by = held.join(held.groupBy("token").agg(F.count("*").alias("df")), "token")
     central = held_by.groupBy("doc").agg(F.avg("df").alias("central"))
     best = held.join(central, "doc").groupBy("token").agg(F.max(F.struct("central", F.col("doc").alias("lead"))).alias("best"))
     stars = held.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead")
     stars = stars.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-    links = _verify(stars, sets, store, False)
+    links = _verify(store.put(_within_bound(stars, sigs), "stars"), docs, store)
     same = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     first = components(links.unionByName(same), store)
 
@@ -234,14 +244,14 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
     open_ = store.put(rooted.join(several, "token"), "open")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
-    tiles = open_.join(sets.select("doc", "n", "sig"), "doc").select(
+    tiles = open_.join(sigs, "doc").select(
         "token", "doc", "root", "n", "sig",
         F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band - 1).alias("band"), F.lit(1).alias("guest")))).alias("t"),
     )
     buckets = max(partitions(spark), 2 * open_.count() // TILE_ROWS + 1)
     tiles = tiles.select("token", "doc", "root", "n", "sig", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
     rest = store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: _tile(rows), "a long, b long").distinct(), "tiles")
-    more = _verify(rest, sets, store, True)
+    more = _verify(rest, docs, store)
     roots = components(links.unionByName(more).unionByName(same), store)
     return nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id")

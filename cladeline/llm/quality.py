@@ -17,17 +17,15 @@ trusted documents has no limit and rejects nothing.
 
 from __future__ import annotations
 
-import pickle
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .blocks import PACKED, located, packing, runs, unpacked
 from .common import Scratch, partitions, table
 from .shared_keys import planes, unplanes
 
@@ -151,7 +149,7 @@ def _asked(shards: int):
         block, counts = None, {}
         for batch in batches:
             blocks = batch.column("block").to_numpy()
-            for a, b in _runs(blocks):
+            for a, b in runs(blocks):
                 if block is not None and blocks[a] != block:
                     yield packed(block, counts)
                     counts = {}
@@ -167,11 +165,6 @@ def _asked(shards: int):
     return run
 
 
-def _runs(values: np.ndarray) -> list[tuple[int, int]]:
-    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, int)
-    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)], strict=True)) if len(cuts) else []
-
-
 def _distinct(rows: pa.Table) -> pa.Table:
     total: dict[str, list] = defaultdict(list)
     for lang, keys in zip(rows.column("lang").to_pylist(), rows.column("keys"), strict=True):
@@ -196,18 +189,6 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(rows, [pa.int64(), pa.string(), pa.binary(), pa.binary()], ["block", "lang", "keys", "logp"])])
 
 
-def _payload(batches):
-    """Texts of each block, compressed."""
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        rows = []
-        for a, b in _runs(batch.column("block").to_numpy()):
-            part = batch.slice(a, b - a)
-            data = pickle.dumps([part.column(c).to_pylist() for c in ("doc_id", "fp", "lang", "text")], protocol=5)
-            rows.append((part.column("block")[0].as_py(), press.compress(data)))
-        yield _batch(rows, [pa.int64(), pa.binary()], ["block", "body"])
-
-
 def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
     model: dict[str, list] = defaultdict(list)
     for lang, keys, logp in zip(answers.column("lang").to_pylist(), answers.column("keys"), answers.column("logp"), strict=True):
@@ -217,9 +198,8 @@ def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         keys, logp = np.concatenate([k for k, _ in parts]), np.concatenate([p for _, p in parts])
         order = np.argsort(keys)
         ready[lang] = keys[order], logp[order]
-    press, rows = zstandard.ZstdDecompressor(), []
-    for body in texts.column("body"):
-        columns = pickle.loads(press.decompress(body.as_buffer()))
+    rows = []
+    for columns in unpacked(texts):
         by_lang = defaultdict(list)
         for doc, fp, lang, text in zip(*columns, strict=True):
             if text:
@@ -271,15 +251,6 @@ def log_probabilities(types: DataFrame, asked: DataFrame, store: Scratch) -> Dat
     return q.select("lang", "key", F.ln("p").alias("logp"))
 
 
-def _located(docs: DataFrame, store: Scratch) -> DataFrame:
-    """docs with block: rows that lie together in a file, alike in every read."""
-    block = F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {BLOCK_ROWS}")).alias("block")
-    try:
-        return docs.select("*", block)
-    except AnalysisException:
-        return store.put(docs, "documents").select("*", block)
-
-
 def losses(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fp, lang, n (characters), loss (sum of -ln p of its characters) of every row of ``docs``.
 
@@ -288,7 +259,7 @@ def losses(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame
     """
     spark = docs.sparkSession
     store, shards = Scratch(spark, "quality"), partitions(spark)
-    docs = _located(docs, store)
+    docs = located(docs, store, BLOCK_ROWS)
     lang = F.coalesce("lang", F.lit("")).alias("lang")
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("lang", F.col(f"`{text}`")).alias("fp"), lang, F.col(f"`{text}`").alias("text"), "block")
     training = flat.select("doc_id", "lang", "text").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text")
@@ -298,7 +269,7 @@ def losses(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame
     distinct = store.put(asked.groupBy("shard").applyInArrow(lambda rows: _distinct(rows), "lang string, key long"), "distinct")
     model = log_probabilities(types, distinct, store).withColumn("shard", F.pmod(F.pmod("key", F.lit(PRIME)), F.lit(shards)).cast("int"))
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(lambda a, m: _answer(a, m), "block long, lang string, keys binary, logp binary")
-    payload = flat.select("doc_id", "fp", "lang", "text", "block").mapInArrow(_payload, "block long, body binary")
+    payload = flat.select("doc_id", "fp", "lang", "text", "block").mapInArrow(packing(["doc_id", "fp", "lang", "text"]), PACKED)
     scored = payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _score(t, a), "doc_id long, fp long, lang string, n long, loss double")
     return store.put(scored, "scored")
 

@@ -96,8 +96,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Hashed bitmap: a power of two of bits, at least four a shingle, 64 to 8192."""
-    bits = min(8192, max(64, 1 << int(4 * max(1, len(shingles)) - 1).bit_length()))
+    """Hashed bitmap: a power of two of bits, at least two a shingle, 64 to 8192."""
+    bits = min(8192, max(64, 1 << int(2 * max(1, len(shingles)) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(mixed(shingles.copy()) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()

@@ -8,7 +8,9 @@
 3. A shard takes equal pieces together, and where an anchor has several different pieces, builds suffix
    arrays over these, part by part: Larsson-Sadakane refinement, Kasai's common prefixes; parts meet by binary search.
    A window is removed from a document if a smaller doc_id holds it.
-4. Removed windows are joined to their document and cut out.
+4. Removed windows meet the text of their document again and are cut out.
+
+Texts travel twice, compressed by block (steps 2 and 4).
 
 What is shuffled beyond step 1 is text that other documents may hold too, so the work follows the
 repeated part of the corpus.
@@ -20,10 +22,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared_keys as keys
+from .blocks import PACKED, located, packing, runs, unpacked
 from .common import Scratch, byte_batch, partitions, table
 from .shingles import mixed
 from .suffix_array import merge_minima, window_groups, windows_at
@@ -34,7 +38,9 @@ SPAN = WIDTH - GRAM + 1
 #: Bytes of text handled at once; longer texts are cut with an overlap.
 CHUNK = 1 << 18
 #: Bytes of pieces a task gathers before it sends them, bytes of a shard, and bytes of one suffix array.
-SEND_BYTES, SHARD_BYTES, PART_BYTES = 32 << 20, 16 << 20, 6 << 20
+SEND_BYTES, SHARD_BYTES, PART_BYTES = 8 << 20, 6 << 20, 2 << 20
+#: Rows of a block of documents.
+BLOCK_ROWS = 4_096
 #: Bytes of text to an anchor, and bytes of an anchor's piece, about.
 BYTES_PER_ANCHOR, PIECE_BYTES = 14, 64
 
@@ -119,101 +125,103 @@ def _finish(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(d), pa.array(k.view(np.int64))], names=["doc", "key"])
 
 
-_SENT = "shard int, hash binary, doc binary, fp binary, at binary, size binary, body binary, lost boolean"
-_SENT_TYPES = [pa.int32()] + [pa.binary()] * 6 + [pa.bool_()]
+_SENT = "shard int, block long, hash binary, doc binary, rid binary, at binary, size binary, body binary"
+_SENT_TYPES = [pa.int32(), pa.int64()] + [pa.binary()] * 6
 
 
 def _send(shards: int):
-    """Sends pieces with shared anchors to their shards; pieces already known to be lost pass through."""
+    """Sends a block's pieces with shared anchors to their shards; pieces already known to be lost go without their text."""
 
-    def packed(held: dict, lost: list, turn: list):
+    def packed(block: int, held: dict, lost: list) -> list[tuple]:
+        press = zstandard.ZstdCompressor(level=3)
         by_shard: dict[int, list] = {}
         for body, (h, doc, places) in held.items():
             s = ((h >> 32) * shards) >> 32
-            for fp, at in places:
-                by_shard.setdefault(s, []).append((h, doc, fp, at, len(body), body))
+            for rid, at in places:
+                by_shard.setdefault(s, []).append((h, doc, rid, at, len(body), body))
         rows = []
         for s, items in by_shard.items():
-            h, doc, fp, at, size, body = zip(*items, strict=True)
-            rows.append((s, np.array(h, np.uint64).tobytes(), keys.planes(np.array(doc, np.int64)), keys.planes(np.array(fp, np.int64)), keys.planes(np.array(at, np.int64)), np.array(size, np.uint8).tobytes(), b"".join(body), False))
-        for a in range(0, len(lost), 65_536):
-            doc, fp, at, size = zip(*lost[a : a + 65_536], strict=True)
-            turn[0] += 1
-            rows.append((turn[0] * 40_503 % shards, b"", keys.planes(np.array(doc, np.int64)), keys.planes(np.array(fp, np.int64)), keys.planes(np.array(at, np.int64)), np.array(size, np.uint8).tobytes(), b"", True))
-        for a in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a : a + 256], strict=True), _SENT_TYPES, strict=True)], names=["shard", "hash", "doc", "fp", "at", "size", "body", "lost"])
-
-    def run(batches):
+            h, doc, rid, at, size, body = zip(*items, strict=True)
+            rows.append((s, block, np.array(h, np.uint64).tobytes(), keys.planes(np.array(doc, np.int64)), keys.planes(np.array(rid, np.int32)), keys.planes(np.array(at, np.int64)), np.array(size, np.uint8).tobytes(), press.compress(b"".join(body))))
+        if lost:
+            rid, at, size = zip(*lost, strict=True)
+            rows.append((block % shards, block, b"", b"", keys.planes(np.array(rid, np.int32)), keys.planes(np.array(at, np.int64)), np.array(size, np.uint8).tobytes(), b""))
+        return rows
+
+    def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
+        rows: list[tuple] = []
+        known = {doc: np.unique(k.values.to_numpy().view(np.uint64)) for doc, k in zip(shared.column("doc").to_pylist(), shared.column("keys"), strict=True)}
+        block = (texts if len(texts) else shared).column("block")[0].as_py()
         held: dict[bytes, list] = {}
         lost: list[tuple] = []
-        turn, size = [0], 0
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            fps = batch.column("fp").to_pylist()
-            raw, offsets = byte_batch(batch.column("text"))
+        held_size = 0
+        for ids, rids, bodies in unpacked(texts):
+            mine = [k for k, doc in enumerate(ids) if doc in known and bodies[k]]
+            ids, rids = [ids[k] for k in mine], [rids[k] for k in mine]
+            raw, offsets = byte_batch(pa.array([bodies[k] for k in mine], pa.string()))
             data = raw.tobytes()
-            shared = batch.column("keys")
-            known: dict[int, np.ndarray] = {}
             for row, first, last, h in pieces(raw, offsets):
-                cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                for a, b in zip(cuts, np.r_[cuts[1:], len(row)], strict=True):
+                for a, b in runs(row):
                     r = int(row[a])
-                    if r not in known:
-                        known[r] = np.sort(shared[r].values.to_numpy().view(np.uint64))
-                    own = known[r]
-                    at = np.minimum(np.searchsorted(own, h[a:b]), len(own) - 1)
-                    doc, fp, base = ids[r], fps[r], int(offsets[r])
-                    for k in (np.flatnonzero(own[at] == h[a:b]) + a).tolist():
+                    own, hashes = known[ids[r]], h[a:b] & keys.KEPT
+                    at = np.minimum(np.searchsorted(own, hashes), len(own) - 1)
+                    doc, rid, base = ids[r], rids[r], int(offsets[r])
+                    for k in (np.flatnonzero(own[at] == hashes) + a).tolist():
                         x, y = int(first[k]), int(last[k]) + WIDTH
                         body = data[base + x : base + y]
                         have = held.get(body)
                         if have is None:
-                            held[body] = [int(h[k]), doc, [(fp, x)]]
-                            size += y - x
+                            held[body] = [int(h[k]), doc, [(rid, x)]]
+                            held_size += y - x
                         elif doc > have[1]:
-                            lost.append((doc, fp, x, y - x))
+                            lost.append((rid, x, y - x))
                         elif doc == have[1]:
-                            have[2].append((fp, x))
+                            have[2].append((rid, x))
                         else:
-                            lost += [(have[1], f, p, y - x) for f, p in have[2]]
-                            held[body] = [int(h[k]), doc, [(fp, x)]]
-            if size > SEND_BYTES or len(lost) > 1_000_000:
-                yield from packed(held, lost, turn)
-                held, lost, size = {}, [], 0
-        yield from packed(held, lost, turn)
+                            lost += [(r_, p, y - x) for r_, p in have[2]]
+                            held[body] = [int(h[k]), doc, [(rid, x)]]
+                if held_size > SEND_BYTES or len(lost) > 100_000:
+                    rows += packed(block, held, lost)
+                    held, lost, held_size = {}, [], 0
+        rows += packed(block, held, lost)
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 8
+        return pa.table([pa.array(c, t) for c, t in zip(columns, _SENT_TYPES, strict=True)], names=["shard", "block", "hash", "doc", "rid", "at", "size", "body"])
 
     return run
 
 
-_CUT = "doc_id long, fp long, start long, stop long"
+_CUTS = "block long, rid binary, start binary, stop binary"
 
 
 def _settle(rows: pa.Table) -> pa.Table:
     """Removed stretches of one shard's pieces."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-    hashes, docs, fps, ats, bodies = [], [], [], [], []
+    hashes, docs, blocks, rids, ats, bodies = [], [], [], [], [], []
+    press = zstandard.ZstdDecompressor()
     for row in range(len(rows)):
         cell = lambda c, row=row: rows.column(c)[row].as_buffer()
-        doc, fp, at = (keys.unplanes(cell(c), np.int64) for c in ("doc", "fp", "at"))
+        rid, at = keys.unplanes(cell("rid"), np.int32), keys.unplanes(cell("at"), np.int64)
         size = np.frombuffer(cell("size"), np.uint8).astype(np.int64)
-        if rows.column("lost")[row].as_py():
-            out.append((doc, fp, at, at + size))
+        block = np.full(len(rid), rows.column("block")[row].as_py())
+        if not len(cell("hash")):
+            out.append((block, rid, at, at + size))
             continue
         hashes.append(np.frombuffer(cell("hash"), np.uint64))
-        docs.append(doc)
-        fps.append(fp)
+        docs.append(keys.unplanes(cell("doc"), np.int64))
+        blocks.append(block)
+        rids.append(rid)
         ats.append(at)
-        body, stops = bytes(cell("body")), np.cumsum(size).tolist()
+        body, stops = press.decompress(cell("body")), np.cumsum(size).tolist()
         bodies += [body[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
     if bodies:
-        h, doc, fp, at = (np.concatenate(x) for x in (hashes, docs, fps, ats))
+        h, doc, block, rid, at = (np.concatenate(x) for x in (hashes, docs, blocks, rids, ats))
         number: dict[bytes, int] = {}
         kind = np.array([number.setdefault(b, len(number)) for b in bodies])
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, kind, doc)
         size = np.array([len(b) for b in number])
         lost = doc > least[kind]
-        out.append((doc[lost], fp[lost], at[lost], at[lost] + size[kind[lost]]))
+        out.append((block[lost], rid[lost], at[lost], at[lost] + size[kind[lost]]))
         kind_hash = np.zeros(len(number), np.uint64)
         kind_hash[kind] = h
         _, inverse, count = np.unique(kind_hash, return_inverse=True, return_counts=True)
@@ -253,9 +261,14 @@ def _settle(rows: pa.Table) -> pa.Table:
             lo, hi = np.searchsorted(live_kind, which, "left"), np.searchsorted(live_kind, which, "right")
             each = hi - lo
             take = live[np.repeat(lo - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())]
-            out.append((doc[take], fp[take], at[take] + np.repeat(a, each), at[take] + np.repeat(b, each)))
-    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
-    return pa.table([pa.array(c) for c in columns], names=["doc_id", "fp", "start", "stop"])
+            out.append((block[take], rid[take], at[take] + np.repeat(a, each), at[take] + np.repeat(b, each)))
+    if not out:
+        return pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())], names=["block", "rid", "start", "stop"])
+    block, rid, start, stop = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((start, rid, block))
+    block, rid, start, stop = block[order], rid[order].astype(np.int32), start[order], stop[order]
+    packed = [(int(block[a]), *(keys.planes(np.ascontiguousarray(c[a:b])) for c in (rid, start, stop))) for a, b in runs(block)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*packed, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "rid", "start", "stop"])
 
 
 def _spans(cuts: np.ndarray) -> np.ndarray:
@@ -275,59 +288,74 @@ def _whole_characters(data: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def _cut(batches):
-    for batch in batches:
+_DONE = "doc_id long, block long, rid int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_DONE_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+
+def _cut(with_text: bool):
+    def run(texts: pa.Table, cuts: pa.Table) -> pa.Table:
+        if len(cuts):
+            rid = np.concatenate([keys.unplanes(x.as_buffer(), np.int32) for x in cuts.column("rid")])
+            spans = np.stack([np.concatenate([keys.unplanes(x.as_buffer(), np.int64) for x in cuts.column(c)]) for c in ("start", "stop")], axis=1)
+            order = np.argsort(rid, kind="stable")
+            rid, spans = rid[order], spans[order]
+        else:
+            rid, spans = np.zeros(0, np.int32), np.zeros((0, 2), np.int64)
+        at = {int(rid[a]): (a, b) for a, b in runs(rid)}
         rows = []
-        starts, stops = batch.column("starts"), batch.column("stops")
-        for k, (doc, fp, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("fp").to_pylist(), batch.column("text").to_pylist(), strict=True)):
-            data = text.encode()
-            spans = _spans(np.stack([starts[k].values.to_numpy(), stops[k].values.to_numpy()], axis=1)).tolist()
-            keep = lambda s: b"".join(data[a:b] for a, b in zip([0] + [y for _, y in s], [x for x, _ in s] + [len(data)], strict=True))  # noqa: E731, B023
-            shrunk = [w for a, b in spans if (w := _whole_characters(data, a, b))[0] < w[1]]
-            rows.append((doc, fp, sum(b - a for a, b in spans), len(spans), hashlib.sha256(keep(spans)).hexdigest(), keep(shrunk).decode()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=["doc_id", "fp", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        for ids, rids, bodies in unpacked(texts):
+            for doc, r, body in zip(ids, rids, bodies, strict=True):
+                data = (body or "").encode()
+                mine = _spans(spans[slice(*at[r])]).tolist() if r in at else []
+                kept = _without(data, mine)
+                text = body
+                if mine and with_text:
+                    text = _without(data, [w for x, y in mine if (w := _whole_characters(data, x, y))[0] < w[1]]).decode()
+                rows.append((doc, r, len(data), len(data) - len(kept), len(mine), hashlib.sha256(kept).hexdigest(), text))
+        block = texts.column("block")[0].as_py() if len(texts) else 0
+        doc, r, n, gone, k, sha, text = zip(*rows, strict=True) if rows else [()] * 7
+        columns = [doc, [block] * len(rows), r, n, gone, k, sha, text]
+        names = ["doc_id", "block", "rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, _DONE_TYPES, strict=True)][: 7 + with_text], names=names[: 7 + with_text])
+
+    return run
 
 
-def _fp(text: str):
-    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
+def _without(data: bytes, spans: list) -> bytes:
+    edges = [0, *(x for span in spans for x in span), len(data)]
+    return b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
 
 
-def repeated_bytes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, n_removed, n_spans, kept_sha256, kept_text of the rows of ``docs`` that lose bytes.
+def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(located documents, rows): the rows have doc_id, block, rid, n_bytes, n_removed, n_spans, kept_sha256 and, if asked
+    for, kept_text of every row of ``docs``; block and rid join both.
 
-    fp tells rows apart that share a doc_id (32 bits of a hash of the text).  Every byte goes that is covered by a 50-byte string that
-    also starts in a document with a smaller doc_id, judged on the texts as they came.  kept_sha256 is
-    of the remaining bytes; kept_text keeps whole those characters of which only a part would go.
-    Null and short texts, texts without a doc_id, and rows with the same doc_id among themselves lose nothing.
+    Every byte goes that is covered by a 50-byte string that also starts in a document with a smaller doc_id, judged on
+    the texts as they came.  kept_sha256 is of the remaining bytes; kept_text keeps whole those characters of which
+    only a part would go, and leaves a null text null.  Null and short texts, texts without a doc_id, and rows with the
+    same doc_id among themselves lose nothing.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(f"doc_id is not null and octet_length(text) >= {WIDTH}")
     store = Scratch(spark, "suffix")
-    _, size = keys.text_bytes(docs)
+    docs = located(docs, store, BLOCK_ROWS)
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), "block", "rid")
+    long = flat.where(f"doc_id is not null and octet_length(text) >= {WIDTH}")
+    _, size = keys.text_bytes(long)
     shards = keys.shards_for(size // BYTES_PER_ANCHOR, partitions(spark))
-    shared = keys.shared(docs, _emit, _finish, "doc long, key long", shards)
-    shared = store.put(shared.groupBy("doc").agg(F.collect_list("key").alias("keys"), F.count("*").alias("n")).withColumnRenamed("doc", "doc_id"), "shared")
-    pieces_bytes = int(shared.agg(F.sum("n")).first()[0] or 0) * PIECE_BYTES
-    texts = store.put(docs.join(shared.select("doc_id", "keys"), "doc_id").select("doc_id", _fp("text").alias("fp"), "text", "keys"), "texts")
-    shards = max(partitions(spark), pieces_bytes // SHARD_BYTES + 1)
-    sent = texts.mapInArrow(_send(shards), _SENT)
-    cuts = sent.groupBy("shard").applyInArrow(lambda rows: _settle(rows), _CUT)
-    cuts = cuts.groupBy("doc_id", "fp").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    held = texts.select("doc_id", "fp", "text").dropDuplicates(["doc_id", "fp"]).join(cuts, ["doc_id", "fp"])
-    return store.put(held.select("doc_id", "fp", "text", "starts", "stops").mapInArrow(_cut, "doc_id long, fp long, n_removed long, n_spans long, kept_sha256 string, kept_text string"), "cut")
+    shared = store.put(keys.shared(long.select("doc_id", "text"), _emit, _finish, "doc long, key long", shards), "shared")
+    shards = max(partitions(spark), shared.count() * PIECE_BYTES // SHARD_BYTES + 1)
+    by_doc = shared.groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    by_block = by_doc.join(flat.select(F.col("doc_id").alias("doc"), "block").distinct(), "doc").select("block", "doc", "keys")
+    body = flat.select("doc_id", "rid", "text", "block").mapInArrow(packing(["doc_id", "rid", "text"]), PACKED)
+    sent = body.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_send(shards), _SENT)
+    cuts = store.put(sent.groupBy("shard").applyInArrow(lambda rows: _settle(rows), _CUTS), "cuts")
+    schema = _DONE + ", kept_text string" * with_text
+    return docs, body.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut(with_text), schema)
 
 
 def dedup_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``; see repeated_bytes()."""
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lost = repeated_bytes(docs, text).drop("kept_text")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _fp(f"`{text}`").alias("fp"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body, 256).alias("whole"))
-    return every.join(lost, ["doc_id", "fp"], "left").select(
-        "doc_id", "n_bytes",
-        F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
-    )
+    return repeated_bytes(docs, text)[1].drop("block", "rid")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
