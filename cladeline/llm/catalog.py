@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, mixing, quality, sharding, suffix_dedup, url_filters
+from . import ann, html_extraction, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, top_k, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_extraction.op1_html_extraction,
         "op2_sharding": sharding.op2_sharding,
         "op3_mixing": mixing.op3_mixing,
         "op4_quality": quality.op4_quality,
         "op5_url_filters": url_filters.op5_url_filters,
         "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+        "op7_packing": packing.op7_packing,
+        "op8_nearest_neighbours": ann.op8_nearest_neighbours,
+        "op9_top_k": top_k.op9_top_k,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
