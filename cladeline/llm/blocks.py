@@ -1,11 +1,13 @@
 """Documents by block: rows that lie together in a file, named alike in every read of the same files.
 
-Texts go to the task that holds their block's answers as one compressed row, and come to about a third of their size.
+Texts are kept as one compressed row a block, about a third of their size, in a table bucketed by block.
+What is found out about a block elsewhere is sent to its bucket; the texts themselves are not shuffled.
 """
 
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -29,6 +31,16 @@ def located(docs: DataFrame, store: Scratch, rows: int) -> DataFrame:
         return store.put(docs, "documents").select("*", *names)
 
 
+def stored(located_docs: DataFrame, columns: list[str], store: Scratch, buckets: int) -> DataFrame:
+    """PACKED rows of the documents in the shared folder, bucketed by block."""
+    store.count += 1
+    name, path = f"blocks_{uuid.uuid4().hex}", f"{store.root}/{store.count:03d}-blocks"
+    packed = located_docs.select(*columns, "block").mapInArrow(packing(columns), PACKED)
+    with store.settings():
+        packed.write.bucketBy(buckets, "block").option("compression", "uncompressed").option("path", path).saveAsTable(name)
+    return store.spark.table(name)
+
+
 def runs(values: np.ndarray) -> list[tuple[int, int]]:
     """Stretches of equal values."""
     if not len(values):

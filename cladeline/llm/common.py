@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -45,17 +46,22 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
+    @contextlib.contextmanager
+    def settings(self):
         before = {key: self.spark.conf.get(key, None) for key in WRITE_CONF}
         try:
             for key, value in WRITE_CONF.items():
                 self.spark.conf.set(key, value)
-            df.write.option("compression", "zstd").parquet(path)
+            yield
         finally:
             for key, value in before.items():
                 self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count:03d}-{name}"
+        with self.settings():
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .blocks import PACKED, located, packing, runs, unpacked
+from .blocks import located, runs, stored, unpacked
 from .common import Scratch, partitions, table
 from .shared_keys import planes, unplanes
 
@@ -35,12 +35,12 @@ SYMBOLS = 1 << BITS
 #: Stands before the first character; no text keeps it (code point 1 counts as one more such mark).
 START = 1
 #: Documents of a block, and symbols handled at once.
-BLOCK_ROWS, PIECE = 8_192, 1_000_000
+BLOCK_ROWS, PIECE = 4_096, 1_000_000
 #: Symbols of average text that a document's mean is smoothed with, so that a few characters prove little.
 PRIOR = 200
 UPPER, SLACK = 0.99, 2.5
 #: Steps of the log-loss by which quantiles are counted.
-STEP = 0.0005
+STEP = 0.002
 #: Grams are dealt to shards by their remainder by this prime.
 PRIME = 1_000_003
 
@@ -108,27 +108,20 @@ def _counted(batch_texts: dict, into: dict) -> None:
             into[lang] = _merge(into.get(lang), *np.unique(keys, return_counts=True))
 
 
-def _texts_by_lang(batch) -> dict[str, list[str]]:
-    out = defaultdict(list)
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-        if text:
-            out[lang].append(text)
-    return out
-
-
 def _count(shards: int):
-    def run(batches):
-        counts: dict[str, tuple] = {}
-        for batch in batches:
-            _counted(_texts_by_lang(batch), counts)
-            if sum(len(k) for k, _ in counts.values()) > 4_000_000:
-                yield packed(counts)
-                counts = {}
-        yield packed(counts)
+    """Gram counts of a block's trusted documents, by shard."""
 
-    def packed(counts):
+    def run(texts: pa.Table, trusted: pa.Table) -> pa.Table:
+        rids = set(trusted.column("rid").to_pylist())
+        counts: dict[str, tuple] = {}
+        for _, _, own, langs, bodies in unpacked(texts):
+            picked = defaultdict(list)
+            for rid, lang, text in zip(own, langs, bodies, strict=True):
+                if text and rid in rids:
+                    picked[lang].append(text)
+            _counted(picked, counts)
         rows = [(s, lang, planes(keys[at]), planes(n[at])) for lang, (keys, n) in counts.items() for s, at in _by_shard(keys, shards)]
-        return _batch(rows, [pa.int32(), pa.string(), pa.binary(), pa.binary()], ["shard", "lang", "keys", "counts"])
+        return pa.Table.from_batches([_batch(rows, [pa.int32(), pa.string(), pa.binary(), pa.binary()], ["shard", "lang", "keys", "counts"])])
 
     return run
 
@@ -143,24 +136,19 @@ def _sum(rows: pa.Table) -> pa.Table:
 
 
 def _asked(shards: int):
-    """(block, lang, shard, distinct grams) of the documents, which come block by block."""
+    """(block, lang, shard, distinct grams) of the blocks."""
 
     def run(batches):
-        block, counts = None, {}
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            for a, b in runs(blocks):
-                if block is not None and blocks[a] != block:
-                    yield packed(block, counts)
-                    counts = {}
-                block = int(blocks[a])
-                _counted(_texts_by_lang(batch.slice(a, b - a)), counts)
-        if block is not None:
-            yield packed(block, counts)
-
-    def packed(block, counts):
-        rows = [(block, lang, s, planes(keys[at])) for lang, (keys, _) in counts.items() for s, at in _by_shard(keys, shards)]
-        return _batch(rows, [pa.int64(), pa.string(), pa.int32(), pa.binary()], ["block", "lang", "shard", "keys"])
+            for k, (_, _, _, langs, bodies) in enumerate(unpacked(batch)):
+                texts, counts = defaultdict(list), {}
+                for lang, text in zip(langs, bodies, strict=True):
+                    if text:
+                        texts[lang].append(text)
+                _counted(texts, counts)
+                block = batch.column("block")[k].as_py()
+                rows = [(block, lang, s, planes(keys[at])) for lang, (keys, _) in counts.items() for s, at in _by_shard(keys, shards)]
+                yield _batch(rows, [pa.int64(), pa.string(), pa.int32(), pa.binary()], ["block", "lang", "shard", "keys"])
 
     return run
 
@@ -201,7 +189,7 @@ def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
     rows = []
     for columns in unpacked(texts):
         by_lang = defaultdict(list)
-        for doc, fp, lang, text in zip(*columns, strict=True):
+        for doc, fp, _, lang, text in zip(*columns, strict=True):
             if text:
                 by_lang[lang].append((doc, fp, text))
             else:
@@ -261,16 +249,16 @@ def losses(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame
     store, shards = Scratch(spark, "quality"), partitions(spark)
     docs = located(docs, store, BLOCK_ROWS)
     lang = F.coalesce("lang", F.lit("")).alias("lang")
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("lang", F.col(f"`{text}`")).alias("fp"), lang, F.col(f"`{text}`").alias("text"), "block")
-    training = flat.select("doc_id", "lang", "text").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("lang", "text")
-    counts = training.mapInArrow(_count(shards), "shard int, lang string, keys binary, counts binary")
+    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("lang", F.col(f"`{text}`")).alias("fp"), "rid", lang, F.col(f"`{text}`").alias("text"), "block")
+    texts = stored(flat, ["doc_id", "fp", "rid", "lang", "text"], store, max(shards, docs.count() // (2 * BLOCK_ROWS)))
+    flags = flat.select("doc_id", "block", "rid").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("block", "rid")
+    counts = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_count(shards), "shard int, lang string, keys binary, counts binary")
     types = store.put(counts.groupBy("shard").applyInArrow(lambda rows: _sum(rows), "lang string, key long, c long"), "types")
-    asked = store.put(flat.select("block", "lang", "text").mapInArrow(_asked(shards), "block long, lang string, shard int, keys binary"), "asked")
+    asked = store.put(texts.mapInArrow(_asked(shards), "block long, lang string, shard int, keys binary"), "asked")
     distinct = store.put(asked.groupBy("shard").applyInArrow(lambda rows: _distinct(rows), "lang string, key long"), "distinct")
     model = log_probabilities(types, distinct, store).withColumn("shard", F.pmod(F.pmod("key", F.lit(PRIME)), F.lit(shards)).cast("int"))
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(lambda a, m: _answer(a, m), "block long, lang string, keys binary, logp binary")
-    payload = flat.select("doc_id", "fp", "lang", "text", "block").mapInArrow(packing(["doc_id", "fp", "lang", "text"]), PACKED)
-    scored = payload.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _score(t, a), "doc_id long, fp long, lang string, n long, loss double")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _score(t, a), "doc_id long, fp long, lang string, n long, loss double")
     return store.put(scored, "scored")
 
 

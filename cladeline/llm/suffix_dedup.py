@@ -10,7 +10,7 @@
    A window is removed from a document if a smaller doc_id holds it.
 4. Removed windows meet the text of their document again and are cut out.
 
-Texts travel twice, compressed by block (steps 2 and 4).
+Texts are kept compressed by block and not shuffled; what is found goes to them (steps 2 and 4).
 
 What is shuffled beyond step 1 is text that other documents may hold too, so the work follows the
 repeated part of the corpus.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared_keys as keys
-from .blocks import PACKED, located, packing, runs, unpacked
+from .blocks import located, runs, stored, unpacked
 from .common import Scratch, byte_batch, partitions, table
 from .shingles import mixed
 from .suffix_array import merge_minima, window_groups, windows_at
@@ -340,13 +340,13 @@ def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False)
     docs = located(docs, store, BLOCK_ROWS)
     flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), "block", "rid")
     long = flat.where(f"doc_id is not null and octet_length(text) >= {WIDTH}")
-    _, size = keys.text_bytes(long)
+    n, size = keys.text_bytes(long)
     shards = keys.shards_for(size // BYTES_PER_ANCHOR, partitions(spark))
     shared = store.put(keys.shared(long.select("doc_id", "text"), _emit, _finish, "doc long, key long", shards), "shared")
     shards = max(partitions(spark), shared.count() * PIECE_BYTES // SHARD_BYTES + 1)
     by_doc = shared.groupBy("doc").agg(F.collect_list("key").alias("keys"))
     by_block = by_doc.join(flat.select(F.col("doc_id").alias("doc"), "block").distinct(), "doc").select("block", "doc", "keys")
-    body = flat.select("doc_id", "rid", "text", "block").mapInArrow(packing(["doc_id", "rid", "text"]), PACKED)
+    body = stored(flat, ["doc_id", "rid", "text"], store, max(partitions(spark), n // (2 * BLOCK_ROWS)))
     sent = body.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_send(shards), _SENT)
     cuts = store.put(sent.groupBy("shard").applyInArrow(lambda rows: _settle(rows), _CUTS), "cuts")
     schema = _DONE + ", kept_text string" * with_text

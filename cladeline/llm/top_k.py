@@ -72,7 +72,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
     asked = store.put(weighted(queries), "queries")
     lanes, chunks = candidates.count() // LANE_ROWS + 1, asked.count() // CHUNK + 1
     left = candidates.select("vec_id", "w", F.pmod(F.xxhash64("row"), F.lit(lanes)).alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    right = asked.select("vec_id", "w", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).cast("long").alias("q_lane"), F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("q_chunk"))
+    right = asked.select("vec_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("q_lane"), F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("q_chunk"))
 
     def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
