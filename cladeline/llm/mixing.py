@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .blocks import located
 from .common import Scratch, partitions, table, word_count
 
 #: Words of a block.
@@ -30,7 +31,9 @@ SPARE = 256
 #: The unit interval's cells by which points meet the sources' intervals.
 CELLS = 4096
 #: Rows of a bucket of a source's stream, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
+#: Rows of a block by which rows are named.
+BLOCK_ROWS = 4096
 #: Weights by source in code-point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
 
@@ -120,9 +123,9 @@ def ranked(slots: DataFrame, rows: int = 65_536) -> DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = 3, block: int = BLOCK, text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(plan, documents).
 
-    plan: slot, doc_id, place, source, word_from, word_to: the words of the document that the slot takes, in
-    the order of the schedule.  documents: doc_id, source, size, source_size, target, taken, and place,
-    by which both join.
+    plan: slot, block, rid, doc_id, source, word_from, word_to: the words of the document that the slot takes, in
+    the order of the schedule.  documents: block, rid, doc_id, source, size, source_size, target.  block and
+    rid name the row (blocks.located).
 
     Null texts and texts of white space have size 0 and are never taken.  A null source is a source.
     Rows that repeat a doc_id are documents of their own.  Equal input gives equal output.  An empty
@@ -130,7 +133,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     """
     spark = docs.sparkSession
     store = Scratch(spark, "mix")
-    base = docs.select(F.col("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    base = located(docs, store, BLOCK_ROWS).select("block", "rid", F.col("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
     rows = store.put(streams(base).drop("text"), "sizes")
     counted = rows.agg(F.count("*"), F.sum("size")).first()
     n_rows, total = int(counted[0]), int(counted[1] or 0)
@@ -160,12 +163,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     # both sides are listed under the blocks of the stream that they touch
     left = spans.select("*", F.explode(F.sequence(F.expr(f"x div {block}"), F.expr(f"(y - 1) div {block}"))).alias("cell"))
     right = placed.where("size > 0").select(
-        "doc_id", "place", "order_no", "source", "start", "size",
+        "block", "rid", "doc_id", "order_no", "source", "start", "size",
         F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("cell"),
     )
     from_ = F.greatest(F.col("x"), F.col("start"), F.col("cell") * block)
     to = F.least(F.col("y"), F.col("start") + F.col("size"), (F.col("cell") + 1) * block)
-    plan = left.join(right, ["order_no", "cell"]).where(to > from_).select("slot", "doc_id", "place", "source", (from_ - F.col("start")).alias("word_from"), (to - F.col("start")).alias("word_to"))
+    plan = left.join(right, ["order_no", "cell"]).where(to > from_).select("slot", "block", "rid", "doc_id", "source", (from_ - F.col("start")).alias("word_from"), (to - F.col("start")).alias("word_to"))
     return plan, placed
 
 
@@ -174,19 +177,15 @@ def _few(targets: DataFrame, most: int = 10_000) -> bool:
     return targets.limit(most + 1).count() <= most
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: the digest of mix() by document."""
+def mix_rows(docs: DataFrame, **options) -> DataFrame:
+    """block, rid, doc_id, source, size, source_size, target, taken: the digest of mix() by row."""
     plan, placed = mix(docs, **options)
-    # rows alike in doc_id and text share a place: their words are summed and dealt by row again
-    alike = W.partitionBy("doc_id", "place", "order_no")
-    words = plan.groupBy("doc_id", "place", "source").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("words"))
-    words = words.select(F.col("doc_id").alias("w_doc"), F.col("place").alias("w_place"), F.col("source").alias("w_source"), "words")
-    rows = placed.withColumn("copies", F.count("*").over(alike)).withColumn("copy", F.row_number().over(alike.orderBy("start")))
-    joined = rows.join(words, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("place") == F.col("w_place")) & F.col("source").eqNullSafe(F.col("w_source")), "left")
-    each = F.expr("coalesce(words, 0) div copies + CAST(copy <= coalesce(words, 0) % copies AS INT)")
-    return joined.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", each.cast("long").alias("taken"))
+    words = plan.groupBy("block", "rid").agg(F.sum(F.col("word_to") - F.col("word_from")).alias("words"))
+    return placed.join(words, ["block", "rid"], "left").select(
+        "block", "rid", "doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken")
+    )
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_rows(docs).select("doc_id", "size", "source_size", "target", "taken")
