@@ -2,16 +2,18 @@
 
 Exact, without comparing all pairs:
 
-1. In any fixed order of all shingles, two sets that link share one of the first n - ceil(3n/4) + 1.
-   Those prefix shingles meet by shared_keys; most are held by one document and fall away.
+1. In any fixed order of all shingles, two sets that link share several of their first ones (prefix_length).
+   Those prefix shingles meet by shared_keys; most are held by one document and fall away, and so does
+   a document with too few left to link (least_shared).
    Shingles found often in a bounded sample come last in the order.  The sample moves work only;
    whatever it holds, the prefixes of linked sets meet.
-2. Each document is tested against the most central document of each of its shared shingles, which joins
-   groups of near copies without forming their pairs.
+2. Each document is tested against the two documents that are the most central ones of most of its shingles, which
+   joins groups of near copies without forming their pairs.
 3. Shingles that still hold several components form size-banded tiles: a document is at home in
    the band of its size and a guest in the one below, and a tile compares its homes with its homes and
    guests of other components.  Hashed bitmaps bound the overlap from above by bit counts, and what the
-   bound lets through is decided by intersecting the sorted shingle arrays.
+   bound lets through is decided by intersecting the sorted shingle arrays.  Twice, a tile offers only pairs that
+   would span its components; the last time it offers all that are left.
 4. Components of all links.
 
 Equal sets of a task count once from the start.
@@ -26,21 +28,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import shared_keys as keys
 from .common import Scratch, byte_batch, partitions, table
 from .components import components
-from .shingles import enough, folded, prefix_length, shingle_sets, signature
+from .shingles import enough, folded, least_shared, prefix_length, shingle_sets, signature
 
 #: Documents whose shingles set the order, and how many of the most frequent come last.  Bounds, not limits on what is found.
 ORDER_SAMPLE = 4_096
 ORDER_KEYS = 65_536
+#: Central documents that a document is tested against at first.
+LEADERS = 2
+#: least_shared() of n, in SQL.
+_LEAST = "1 + (3 * n div 4) div 10"
 #: Rows of a tile task, about.
 TILE_ROWS = 20_000
 #: Pairs compared at once.
 PAIRS = 100_000
-#: Bytes of text (as UTF-8) that yield one prefix shingle, about: 5.5 a word, a quarter of the shingles.
-BYTES_PER_KEY = 20
+#: Bytes of text (as UTF-8) that yield one prefix shingle, about: 5.5 a word, a third of the shingles.
+BYTES_PER_KEY = 15
 
 
 def _as_long(x: np.ndarray) -> np.ndarray:
@@ -170,8 +177,28 @@ def _verify(pairs: DataFrame, docs: DataFrame, store: Scratch) -> DataFrame:
     return links
 
 
-def _tile(rows: pa.Table) -> pa.Table:
-    """Pairs of different components in the tiles (token, band) of these rows that the bitmaps let through."""
+class _Forest:
+    """Which components a tile's pairs would join if all of them linked."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[y] = x
+        return x != y
+
+
+def _tile(rows: pa.Table, spanning: bool) -> pa.Table:
+    """Pairs of different components in the tiles (token, band) of these rows that the bitmaps let through;
+    if ``spanning``, only as many as would join what they could join."""
+    forest = _Forest()
     rows = rows.sort_by([("token", "ascending"), ("band", "ascending"), ("guest", "ascending")])
     token, band, guest, doc, root, n = (rows.column(c).to_numpy() for c in ("token", "band", "guest", "doc", "root", "n"))
     sig = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("sig").combine_chunks()]
@@ -202,13 +229,39 @@ def _tile(rows: pa.Table) -> pa.Table:
             for c in range(0, len(a), 1 + 400_000 // int(w)):
                 x, y = a[c : c + 1 + 400_000 // int(w)], b[c : c + 1 + 400_000 // int(w)]
                 ok = enough(_bound(matrix[at[x]], matrix[at[y]], n[x], n[y]), n[x], n[y])
-                found.append(np.stack([np.minimum(doc[x[ok]], doc[y[ok]]), np.maximum(doc[x[ok]], doc[y[ok]])], axis=1))
+                x, y = x[ok], y[ok]
+                if spanning:
+                    pick_ = np.array([forest.join(r, t) for r, t in zip(root[x].tolist(), root[y].tolist(), strict=True)], bool)
+                    x, y = x[pick_], y[pick_]
+                found.append(np.stack([np.minimum(doc[x], doc[y]), np.maximum(doc[x], doc[y])], axis=1))
         if len(found) > 64:
             found = [np.unique(np.concatenate(found), axis=0)]
     pairs = np.unique(np.concatenate(found), axis=0)
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+def _open_pairs(held: DataFrame, roots: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool) -> DataFrame | None:
+    """Pairs of different components that share a shingle and could link; None if no shingle has two components."""
+    least = partitions(store.spark)
+    rooted = store.put(held.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root")), "rooted")
+    several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+    open_ = store.put(rooted.join(several, "token"), "open")
+    store.drop(rooted)
+    n = open_.count()
+    if not n:
+        return None
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
+    tiles = open_.join(sigs, "doc").select(
+        "token", "doc", "root", "n", "sig",
+        F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band - 1).alias("band"), F.lit(1).alias("guest")))).alias("t"),
+    )
+    buckets = max(least, 2 * n // TILE_ROWS + 1)
+    tiles = tiles.select("token", "doc", "root", "n", "sig", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
+    pairs = store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: _tile(rows, spanning), "a long, b long").distinct(), "tiles")
+    store.drop(open_)
+    return pairs
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -225,34 +278,29 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     frequent = frequent_shingles(docs, n)
     shards = keys.shards_for(size // BYTES_PER_KEY, partitions(spark))
     met = store.put(keys.shared(docs, _emit(frequent), _finish, _MET, shards), "met")
-    held = met.where("token is not null").select("token", "doc")
     nodes = met.where("n is not null").select("doc", "n", "rep")
-
     sigs = met.where("sig is not null").select("doc", "n", "sig")
+    held = met.where("token is not null").select("token", "doc")
+    sizes = sigs.groupBy("doc").agg(F.min("n").alias("n"))
+    counted = held.groupBy("doc").agg(F.count("*").alias("c")).join(sizes, "doc").where(f"c >= {_LEAST}")
+    held = held.join(counted.select("doc"), "doc", "left_semi")
+    held = store.put(held.join(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), "held")
 
-    held_by = held.join(held.groupBy("token").agg(F.count("*").alias("df")), "token")
-    central = held_by.groupBy("doc").agg(F.avg("df").alias("central"))
+    central = held.groupBy("doc").agg(F.avg("df").alias("central"))
     best = held.join(central, "doc").groupBy("token").agg(F.max(F.struct("central", F.col("doc").alias("lead"))).alias("best"))
-    stars = held.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead")
+    votes = held.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead").groupBy("doc", "lead").count()
+    stars = votes.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("count"), "lead"))).where(f"no <= {LEADERS}")
     stars = stars.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
     links = _verify(store.put(_within_bound(stars, sigs), "stars"), docs, store)
     same = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    first = components(links.unionByName(same), store)
-
-    rooted = held.join(first.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
-    rooted = store.put(rooted, "rooted")
-    several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    open_ = store.put(rooted.join(several, "token"), "open")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
-    tiles = open_.join(sigs, "doc").select(
-        "token", "doc", "root", "n", "sig",
-        F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band - 1).alias("band"), F.lit(1).alias("guest")))).alias("t"),
-    )
-    buckets = max(partitions(spark), 2 * open_.count() // TILE_ROWS + 1)
-    tiles = tiles.select("token", "doc", "root", "n", "sig", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
-    rest = store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: _tile(rows), "a long, b long").distinct(), "tiles")
-    more = _verify(rest, docs, store)
-    roots = components(links.unionByName(more).unionByName(same), store)
+    links = links.unionByName(same)
+    roots = components(links, store)
+    for spanning in (True, True, False):
+        pairs = _open_pairs(held.select("token", "doc"), roots, sigs, store, spanning)
+        if pairs is None:
+            break
+        links = links.unionByName(_verify(pairs, docs, store))
+        roots = components(links, store)
     return nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id")
     )

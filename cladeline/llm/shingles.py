@@ -96,8 +96,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Hashed bitmap: a power of two of bits, at least two a shingle, 64 to 8192."""
-    bits = min(8192, max(64, 1 << int(2 * max(1, len(shingles)) - 1).bit_length()))
+    """Hashed bitmap: a power of two of bits, at least four a shingle, 512 to 8192."""
+    bits = min(8192, max(512, 1 << int(4 * max(1, len(shingles)) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(mixed(shingles.copy()) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -116,6 +116,15 @@ def enough(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int):
     return 100 * common >= 75 * (a + b - common)
 
 
-def prefix_length(n: np.ndarray | int):
-    """In any one order of all shingles, two linked sets share one of their first so many."""
-    return n - (3 * n + 3) // 4 + 1
+def prefix_length(n: int) -> int:
+    """In any one order of all shingles, two linked sets of sizes a and b share least_shared(a) of the first so many, or more.
+
+    The shortest prefix that works is n - ceil(3n/4) + 1, for one shared shingle.  A tenth more asks for a tenth more,
+    and tells sets that share a line from sets that link.
+    """
+    return n - (3 * n + 3) // 4 + 1 + n // 10
+
+
+def least_shared(n: int) -> int:
+    """A set that links has 3n/4 shingles at least, so its longer prefix adds a tenth of that at least."""
+    return 1 + 3 * n // 4 // 10

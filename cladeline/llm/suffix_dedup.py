@@ -38,9 +38,9 @@ SPAN = WIDTH - GRAM + 1
 #: Bytes of text handled at once; longer texts are cut with an overlap.
 CHUNK = 1 << 18
 #: Bytes of pieces a task gathers before it sends them, bytes of a shard, and bytes of one suffix array.
-SEND_BYTES, SHARD_BYTES, PART_BYTES = 8 << 20, 6 << 20, 2 << 20
+SEND_BYTES, SHARD_BYTES, PART_BYTES = 4 << 20, 4 << 20, 3 << 19
 #: Rows of a block of documents.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 2_048
 #: Bytes of text to an anchor, and bytes of an anchor's piece, about.
 BYTES_PER_ANCHOR, PIECE_BYTES = 14, 64
 
@@ -180,7 +180,7 @@ def _send(shards: int):
                         else:
                             lost += [(r_, p, y - x) for r_, p in have[2]]
                             held[body] = [int(h[k]), doc, [(rid, x)]]
-                if held_size > SEND_BYTES or len(lost) > 100_000:
+                if held_size > SEND_BYTES or len(lost) > 50_000:
                     rows += packed(block, held, lost)
                     held, lost, held_size = {}, [], 0
         rows += packed(block, held, lost)
