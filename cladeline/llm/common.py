@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -76,6 +77,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trimmed(result: pa.Table) -> pa.Table:
+    """The result of a group's work, once memory freed on the way has gone back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+    return result
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words; null counts as none.  JVM only."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

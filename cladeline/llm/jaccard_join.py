@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import shared_keys as keys
-from .common import Scratch, byte_batch, partitions, table
+from .common import Scratch, byte_batch, partitions, table, trimmed
 from .components import components
 from .shingles import enough, folded, least_shared, prefix_length, shingle_sets, signature
 
@@ -257,7 +257,7 @@ def _open_pairs(held: DataFrame, roots: DataFrame, sigs: DataFrame, store: Scrat
     )
     buckets = max(least, 2 * n // TILE_ROWS + 1)
     tiles = tiles.select("token", "doc", "root", "n", "sig", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
-    pairs = store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: _tile(rows, spanning), "a long, b long").distinct(), "tiles")
+    pairs = store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: trimmed(_tile(rows, spanning)), "a long, b long").distinct(), "tiles")
     store.drop(open_)
     return pairs
 
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     n, size = keys.text_bytes(docs)
     frequent = frequent_shingles(docs, n)
     shards = keys.shards_for(size // BYTES_PER_KEY, partitions(spark))
-    met = store.put(keys.shared(docs, _emit(frequent), _finish, _MET, shards), "met")
+    met = store.put(keys.shared(docs, _emit(frequent), lambda rows: trimmed(_finish(rows)), _MET, shards), "met")
     nodes = met.where("n is not null").select("doc", "n", "rep")
     sigs = met.where("sig is not null").select("doc", "n", "sig")
     held = met.where("token is not null").select("token", "doc")

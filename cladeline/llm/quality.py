@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .blocks import located, runs, stored, unpacked
-from .common import Scratch, partitions, table
+from .common import Scratch, partitions, table, trimmed
 from .shared_keys import planes, unplanes
 
 ORDER = 4
@@ -258,7 +258,7 @@ def losses(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame
     distinct = store.put(asked.groupBy("shard").applyInArrow(lambda rows: _distinct(rows), "lang string, key long"), "distinct")
     model = log_probabilities(types, distinct, store).withColumn("shard", F.pmod(F.pmod("key", F.lit(PRIME)), F.lit(shards)).cast("int"))
     answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(lambda a, m: _answer(a, m), "block long, lang string, keys binary, logp binary")
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _score(t, a), "doc_id long, fp long, lang string, n long, loss double")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trimmed(_score(t, a)), "doc_id long, fp long, lang string, n long, loss double")
     return store.put(scored, "scored")
 
 

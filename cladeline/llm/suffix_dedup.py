@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import shared_keys as keys
 from .blocks import located, runs, stored, unpacked
-from .common import Scratch, byte_batch, partitions, table
+from .common import Scratch, byte_batch, partitions, table, trimmed
 from .shingles import mixed
 from .suffix_array import merge_minima, window_groups, windows_at
 
@@ -38,9 +38,9 @@ SPAN = WIDTH - GRAM + 1
 #: Bytes of text handled at once; longer texts are cut with an overlap.
 CHUNK = 1 << 18
 #: Bytes of pieces a task gathers before it sends them, bytes of a shard, and bytes of one suffix array.
-SEND_BYTES, SHARD_BYTES, PART_BYTES = 4 << 20, 4 << 20, 3 << 19
+SEND_BYTES, SHARD_BYTES, PART_BYTES = 2 << 20, 2 << 20, 1 << 20
 #: Rows of a block of documents.
-BLOCK_ROWS = 2_048
+BLOCK_ROWS = 1_024
 #: Bytes of text to an anchor, and bytes of an anchor's piece, about.
 BYTES_PER_ANCHOR, PIECE_BYTES = 14, 64
 
@@ -180,12 +180,12 @@ def _send(shards: int):
                         else:
                             lost += [(r_, p, y - x) for r_, p in have[2]]
                             held[body] = [int(h[k]), doc, [(rid, x)]]
-                if held_size > SEND_BYTES or len(lost) > 50_000:
+                if held_size > SEND_BYTES or len(lost) > 25_000:
                     rows += packed(block, held, lost)
                     held, lost, held_size = {}, [], 0
         rows += packed(block, held, lost)
         columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-        return pa.table([pa.array(c, t) for c, t in zip(columns, _SENT_TYPES, strict=True)], names=["shard", "block", "hash", "doc", "rid", "at", "size", "body"])
+        return trimmed(pa.table([pa.array(c, t) for c, t in zip(columns, _SENT_TYPES, strict=True)], names=["shard", "block", "hash", "doc", "rid", "at", "size", "body"]))
 
     return run
 
@@ -342,13 +342,13 @@ def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False)
     long = flat.where(f"doc_id is not null and octet_length(text) >= {WIDTH}")
     n, size = keys.text_bytes(long)
     shards = keys.shards_for(size // BYTES_PER_ANCHOR, partitions(spark))
-    shared = store.put(keys.shared(long.select("doc_id", "text"), _emit, _finish, "doc long, key long", shards), "shared")
+    shared = store.put(keys.shared(long.select("doc_id", "text"), _emit, lambda rows: trimmed(_finish(rows)), "doc long, key long", shards), "shared")
     shards = max(partitions(spark), shared.count() * PIECE_BYTES // SHARD_BYTES + 1)
     by_doc = shared.groupBy("doc").agg(F.collect_list("key").alias("keys"))
     by_block = by_doc.join(flat.select(F.col("doc_id").alias("doc"), "block").distinct(), "doc").select("block", "doc", "keys")
     body = stored(flat, ["doc_id", "rid", "text"], store, max(partitions(spark), n // (2 * BLOCK_ROWS)))
     sent = body.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_send(shards), _SENT)
-    cuts = store.put(sent.groupBy("shard").applyInArrow(lambda rows: _settle(rows), _CUTS), "cuts")
+    cuts = store.put(sent.groupBy("shard").applyInArrow(lambda rows: trimmed(_settle(rows)), _CUTS), "cuts")
     schema = _DONE + ", kept_text string" * with_text
     return docs, body.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut(with_text), schema)
 
