@@ -73,7 +73,7 @@ def build(vectors: DataFrame, column: str = "embedding") -> Index | None:
     store = Scratch(vectors.sparkSession, "ann")
     d = dimension(vectors, column)
     good = store.put(usable(vectors, column, d, zero=False), "vectors")
-    n = good.count()
+    n = good.count() if d else 0
     if not n:
         return None
     picked = good if n <= SAMPLE else good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * 0.95 * SAMPLE / n))

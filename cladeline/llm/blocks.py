@@ -17,18 +17,21 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, trimmed
 
 PACKED = "block long, body binary"
 
 
-def located(docs: DataFrame, store: Scratch, rows: int) -> DataFrame:
-    """docs with block and rid, the row's number in the block.  What is not read from files is written first."""
+def located(docs: DataFrame, store: Scratch, rows: int, columns: list) -> DataFrame:
+    """The columns (names or expressions), block, and rid, the row's number in the block.
+
+    What is not read from files is written first.
+    """
     names = [F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {rows}")).alias("block"), F.expr(f"CAST(_metadata.row_index % {rows} AS INT)").alias("rid")]
     try:
-        return docs.select("*", *names)
+        return docs.select(*columns, *names)
     except AnalysisException:
-        return store.put(docs, "documents").select("*", *names)
+        return store.put(docs, "documents").select(*columns, *names)
 
 
 def stored(located_docs: DataFrame, columns: list[str], store: Scratch, buckets: int) -> DataFrame:
@@ -67,6 +70,7 @@ def packing(columns: list[str]) -> Callable:
                 size += part.nbytes
         if held:
             yield packed(press, block, held)
+        trimmed()
 
     def packed(press, block, held):
         data = pickle.dumps([[x for part in column for x in part] for column in zip(*held, strict=True)], protocol=5)

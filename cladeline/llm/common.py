@@ -77,8 +77,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def trimmed(result: pa.Table) -> pa.Table:
-    """The result of a group's work, once memory freed on the way has gone back to the system."""
+def trimmed(result=None):
+    """The result of a group's or a partition's work, once memory freed on the way has gone back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)

@@ -12,8 +12,8 @@ Exact, without comparing all pairs:
 3. Shingles that still hold several components form size-banded tiles: a document is at home in
    the band of its size and a guest in the one below, and a tile compares its homes with its homes and
    guests of other components.  Hashed bitmaps bound the overlap from above by bit counts, and what the
-   bound lets through is decided by intersecting the sorted shingle arrays.  Twice, a tile offers only pairs that
-   would span its components; the last time it offers all that are left.
+   bound lets through is decided by intersecting the sorted shingle arrays.  First, a tile offers only pairs that
+   would span its components; then it offers all that are left.
 4. Components of all links.
 
 Equal sets of a task count once from the start.
@@ -40,6 +40,8 @@ ORDER_SAMPLE = 4_096
 ORDER_KEYS = 65_536
 #: Central documents that a document is tested against at first.
 LEADERS = 2
+#: Share of the shared shingles by which components are spanned before all are looked at.
+SPAN_SHARE = 4
 #: least_shared() of n, in SQL.
 _LEAST = "1 + (3 * n div 4) div 10"
 #: Rows of a tile task, about.
@@ -100,6 +102,7 @@ def _emit(frequent: np.ndarray):
                 if some:
                     yield from packer.add(np.concatenate(some), np.concatenate(owners))
             yield from packer.flush()
+            trimmed()
 
         return run
 
@@ -166,15 +169,18 @@ def _within_bound(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_by_bitmap, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, store: Scratch) -> DataFrame:
+def _shingle_sets(held: DataFrame, docs: DataFrame, store: Scratch) -> DataFrame:
+    """doc, shingles of the documents that hold a shared shingle.  Joined by a merge at every size, so that the
+    cost follows the input."""
+    ids = held.select(F.col("doc").alias("doc_id")).distinct()
+    picked = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
+    return store.put(picked.mapInArrow(_sets, "doc long, shingles binary"), "sets")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, store: Scratch) -> DataFrame:
     """The pairs (a, b) that link, by their shingles."""
-    ids = store.put(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    picked = docs.join(ids.where(F.col("doc_id") > -(1 << 63)), "doc_id", "left_semi").select("doc_id", "text")
-    sets = store.put(picked.mapInArrow(_sets, "doc long, shingles binary"), "sets")
     side = lambda x: sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"x{x}"))
-    links = store.put(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_by_shingles, "a long, b long").distinct(), "links")
-    store.drop(ids, sets)
-    return links
+    return store.put(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(_by_shingles, "a long, b long").distinct(), "links")
 
 
 class _Forest:
@@ -255,7 +261,7 @@ def _open_pairs(held: DataFrame, roots: DataFrame, sigs: DataFrame, store: Scrat
         "token", "doc", "root", "n", "sig",
         F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band - 1).alias("band"), F.lit(1).alias("guest")))).alias("t"),
     )
-    buckets = max(least, 2 * n // TILE_ROWS + 1)
+    buckets = 2 * n // TILE_ROWS + 1
     tiles = tiles.select("token", "doc", "root", "n", "sig", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
     pairs = store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: trimmed(_tile(rows, spanning)), "a long, b long").distinct(), "tiles")
     store.drop(open_)
@@ -291,15 +297,16 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     votes = held.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead").groupBy("doc", "lead").count()
     stars = votes.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("count"), "lead"))).where(f"no <= {LEADERS}")
     stars = stars.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-    links = _verify(store.put(_within_bound(stars, sigs), "stars"), docs, store)
+    sets = _shingle_sets(held, docs, store)
+    links = _verify(store.put(_within_bound(stars, sigs), "stars"), sets, store)
     same = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(same)
     roots = components(links, store)
-    for spanning in (True, True, False):
+    for spanning in (True, False):
         pairs = _open_pairs(held.select("token", "doc"), roots, sigs, store, spanning)
         if pairs is None:
-            break
-        links = links.unionByName(_verify(pairs, docs, store))
+            continue
+        links = links.unionByName(_verify(pairs, sets, store))
         roots = components(links, store)
     return nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id")

@@ -133,7 +133,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     """
     spark = docs.sparkSession
     store = Scratch(spark, "mix")
-    base = located(docs, store, BLOCK_ROWS).select("block", "rid", F.col("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text"))
+    base = located(docs, store, BLOCK_ROWS, [F.col("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")])
     rows = store.put(streams(base).drop("text"), "sizes")
     counted = rows.agg(F.count("*"), F.sum("size")).first()
     n_rows, total = int(counted[0]), int(counted[1] or 0)

@@ -247,9 +247,8 @@ def losses(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame
     """
     spark = docs.sparkSession
     store, shards = Scratch(spark, "quality"), partitions(spark)
-    docs = located(docs, store, BLOCK_ROWS)
     lang = F.coalesce("lang", F.lit("")).alias("lang")
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("lang", F.col(f"`{text}`")).alias("fp"), "rid", lang, F.col(f"`{text}`").alias("text"), "block")
+    flat = located(docs, store, BLOCK_ROWS, [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("lang", F.col(f"`{text}`")).alias("fp"), lang, F.col(f"`{text}`").alias("text")])
     texts = stored(flat, ["doc_id", "fp", "rid", "lang", "text"], store, max(shards, docs.count() // (2 * BLOCK_ROWS)))
     flags = flat.select("doc_id", "block", "rid").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("block", "rid")
     counts = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_count(shards), "shard int, lang string, keys binary, counts binary")

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BATCH_KEYS = 500_000
-SHARD_KEYS = 500_000
+BATCH_KEYS = 250_000
+SHARD_KEYS = 250_000
 
 #: The bits of a key that are compared.
 KEPT = np.uint64(0xFFFF_FFFF_FFFF_0000)

@@ -116,6 +116,7 @@ def _emit(shards: int):
                 new = np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])]
                 yield from packer.add(h[new], ids[row[new]])
         yield from packer.flush()
+        trimmed()
 
     return run
 
@@ -316,7 +317,7 @@ def _cut(with_text: bool):
         doc, r, n, gone, k, sha, text = zip(*rows, strict=True) if rows else [()] * 7
         columns = [doc, [block] * len(rows), r, n, gone, k, sha, text]
         names = ["doc_id", "block", "rid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, _DONE_TYPES, strict=True)][: 7 + with_text], names=names[: 7 + with_text])
+        return trimmed(pa.table([pa.array(c, t) for c, t in zip(columns, _DONE_TYPES, strict=True)][: 7 + with_text], names=names[: 7 + with_text]))
 
     return run
 
@@ -326,9 +327,9 @@ def _without(data: bytes, spans: list) -> bytes:
     return b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
 
 
-def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(located documents, rows): the rows have doc_id, block, rid, n_bytes, n_removed, n_spans, kept_sha256 and, if asked
-    for, kept_text of every row of ``docs``; block and rid join both.
+def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
+    """doc_id, block, rid, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text of every row of
+    ``docs``; block and rid name the row (blocks.located with BLOCK_ROWS).
 
     Every byte goes that is covered by a 50-byte string that also starts in a document with a smaller doc_id, judged on
     the texts as they came.  kept_sha256 is of the remaining bytes; kept_text keeps whole those characters of which
@@ -337,8 +338,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False)
     """
     spark = docs.sparkSession
     store = Scratch(spark, "suffix")
-    docs = located(docs, store, BLOCK_ROWS)
-    flat = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), "block", "rid")
+    flat = located(docs, store, BLOCK_ROWS, [F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")])
     long = flat.where(f"doc_id is not null and octet_length(text) >= {WIDTH}")
     n, size = keys.text_bytes(long)
     shards = keys.shards_for(size // BYTES_PER_ANCHOR, partitions(spark))
@@ -350,12 +350,12 @@ def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False)
     sent = body.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_send(shards), _SENT)
     cuts = store.put(sent.groupBy("shard").applyInArrow(lambda rows: trimmed(_settle(rows)), _CUTS), "cuts")
     schema = _DONE + ", kept_text string" * with_text
-    return docs, body.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut(with_text), schema)
+    return body.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut(with_text), schema)
 
 
 def dedup_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``; see repeated_bytes()."""
-    return repeated_bytes(docs, text)[1].drop("block", "rid")
+    return repeated_bytes(docs, text).drop("block", "rid")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

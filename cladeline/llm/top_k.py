@@ -63,6 +63,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
     spark = vectors.sparkSession
     store = Scratch(spark, "topk")
     d = dimension(vectors, column)
+    if not d:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def weighted(frame: DataFrame) -> DataFrame:
         x = F.transform("vector", lambda v: F.floor(v * F.lit(float(scale))).cast("long"))
