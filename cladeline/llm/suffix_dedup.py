@@ -263,7 +263,7 @@ def _settle(rows: pa.Table) -> pa.Table:
             each = hi - lo
             take = live[np.repeat(lo - np.r_[0, np.cumsum(each)[:-1]], each) + np.arange(each.sum())]
             out.append((block[take], rid[take], at[take] + np.repeat(a, each), at[take] + np.repeat(b, each)))
-    if not out:
+    if not sum(len(c[0]) for c in out):
         return pa.table([pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())], names=["block", "rid", "start", "stop"])
     block, rid, start, stop = (np.concatenate(c) for c in zip(*out, strict=True))
     order = np.lexsort((start, rid, block))
