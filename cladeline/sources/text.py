@@ -271,28 +271,27 @@ def phylip_sequences(texts: DataFrame) -> DataFrame:
     return _parsed(texts, parse_phylip, SEQUENCES)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, text: str):
-        self.path, self.text = path, text
-
-
-class _TextReader(DataSourceReader):
-    parse = staticmethod(parse_newick)
+class _NewickReader(DataSourceReader):
+    """One partition a file, on a file system that executors mount; for other stores see read_whole()."""
 
     def __init__(self, options: dict):
-        self.paths = options.get("path", "")
+        self.pattern = options["path"]
 
     def partitions(self):
-        spark = SparkSession.active()
-        return [_File(r["path"], r["text"]) for r in read_whole(spark, self.paths).toLocalIterator()]
+        import glob
+        import os
+
+        found = [self.pattern] if os.path.isfile(self.pattern) else sorted(glob.glob(os.path.join(self.pattern, "*") if os.path.isdir(self.pattern) else self.pattern))
+        return [InputPartition(path) for path in found]
 
     def read(self, partition) -> Iterator[tuple]:
-        for row in self.parse(partition.text):
-            yield (partition.path, *row)
+        with open(partition.value, encoding="utf-8") as f:
+            for row in parse_newick(f.read()):
+                yield (partition.value, *row)
 
 
 class NewickSource(DataSource):
-    """spark.read.format("newick").load(path): trees, each small enough for the plan."""
+    """spark.read.format("newick").load(path): the nodes of the tree in each file."""
 
     @classmethod
     def name(cls) -> str:
@@ -302,7 +301,7 @@ class NewickSource(DataSource):
         return TREE_NODES
 
     def reader(self, schema):
-        return _TextReader(self.options)
+        return _NewickReader(self.options)
 
 
 class FastaRangeReader(DataSourceReader):
