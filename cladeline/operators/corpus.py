@@ -90,8 +90,9 @@ def manifest_faults(manifest: DataFrame) -> DataFrame:
     rules += [F.when(F.col(c).rlike(r"(^|/)\.\.(/|$)|^/"), F.lit(f"{c} leaves the folder")) for c in paths]
     rules += [F.when(F.col(c).rlike(r"[\x00-\x1f\x7f]"), F.lit(f"{c} has control characters")) for c in (*paths, "dataset")]
     rules += [F.when(~F.col(c).rlike("^[0-9a-f]{64}$"), F.lit(f"{c} is not a digest")) for c in digests]
-    twice = F.when(F.count("*").over(W.partitionBy("dataset")) > 1, F.lit("dataset occurs twice"))
-    return manifest.select("dataset", F.explode(F.array_compact(F.array(*rules, twice))).alias("fault"))
+    rules.append(F.when(F.col("copies") > 1, F.lit("dataset occurs twice")))
+    counted = manifest.withColumn("copies", F.count("*").over(W.partitionBy("dataset")))
+    return counted.select("dataset", F.explode(F.array_compact(F.array(*rules))).alias("fault"))
 
 
 def digest_faults(files: DataFrame, contents: DataFrame) -> DataFrame:
