@@ -18,12 +18,17 @@ from cladeline.llm.common import Scratch, table
 MAX_REPEATS = 3
 
 
+def _item(docs: DataFrame):
+    """A row's columns as one, so that no name of theirs meets one of ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("item")
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose log-loss is above their language's limit."""
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
     rejected = judged.where("NOT keep").select(F.col("doc_id").alias("r_doc"), F.col("fp").alias("r_fp")).distinct()
     rejected = Scratch(spark, "pipeline").put(rejected, "rejected")
-    gone = F.col("doc_id").cast("long").eqNullSafe(F.col("r_doc")) & (F.xxhash64("lang", "text") == F.col("r_fp"))
+    gone = docs["doc_id"].cast("long").eqNullSafe(rejected["r_doc"]) & (F.xxhash64(docs["lang"], docs["text"]) == rejected["r_fp"])
     return docs.join(rejected, gone, "left_anti")
 
 
@@ -42,11 +47,13 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out repeated passages; a document of which nothing but white space is left goes."""
-    where, cut = suffix_dedup.repeated_bytes(docs, with_text=True)
-    changed = Scratch(spark, "pipeline").put(cut.where("n_removed > 0").select("block", "rid", "kept_text"), "changed")
-    names = {"text": F.when(F.col("kept_text").isNotNull(), F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text")).otherwise(F.col("n_chars")).cast("long")}
-    joined = where.join(changed, ["block", "rid"], "left").where(r"kept_text IS NULL OR kept_text RLIKE '[^\\x20\\x09-\\x0D]'")
-    return joined.select(*[names.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    store = Scratch(spark, "pipeline")
+    rows = located(docs, store, suffix_dedup.BLOCK_ROWS, [_item(docs)])
+    cut = suffix_dedup.repeated_bytes(docs, with_text=True)
+    changed = store.put(cut.where("n_removed > 0").select("block", "rid", F.col("kept_text").alias("kept")), "changed")
+    joined = rows.join(changed, ["block", "rid"], "left").where(r"kept IS NULL OR kept RLIKE '[^\\x20\\x09-\\x0D]'")
+    new = {"text": F.coalesce("kept", "item.text"), "n_chars": F.coalesce(F.length("kept").cast("long"), "item.n_chars")}
+    return joined.select(*[new.get(c, F.col("item").getField(c)).alias(c) for c in docs.columns])
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +63,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     store = Scratch(spark, "pipeline")
     plan = store.put(mixing.mix_rows(docs, max_repeats=MAX_REPEATS), "mix")
-    where = located(docs, store, mixing.BLOCK_ROWS)
+    where = located(docs, store, mixing.BLOCK_ROWS, [_item(docs)])
     repeats = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
     rows = where.join(plan.where("taken > 0").select("block", "rid", repeats.alias("repeats")), ["block", "rid"])
-    return rows.select(*[f"`{c}`" for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("pass_no")).drop("pass_no")
+    rows = rows.select("item", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+    return rows.select(*[F.col("item").getField(c).alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
