@@ -7,9 +7,9 @@ Exact, without comparing all pairs:
    a document with too few left to link (least_shared).
    Shingles found often in a bounded sample come last in the order.  The sample moves work only;
    whatever it holds, the prefixes of linked sets meet.
-2. Each document is tested against the two documents that are the most central ones of most of its shingles, which
-   joins groups of near copies without forming their pairs.
-3. Shingles that still hold several components form size-banded tiles: a document is at home in
+2. Each document is tested against the two documents that are the most central ones of most of its shingles (of
+   a quarter of them), which joins groups of near copies without forming their pairs.
+3. Documents with enough shingles that other components hold too stay; the shingles form size-banded tiles: a document is at home in
    the band of its size and a guest in the one below, and a tile compares its homes with its homes and
    guests of other components.  Hashed bitmaps bound the overlap from above by bit counts, and what the
    bound lets through is decided by intersecting the sorted shingle arrays.  First, a tile offers only pairs that
@@ -42,6 +42,7 @@ ORDER_KEYS = 65_536
 LEADERS = 2
 #: Share of the shared shingles by which components are spanned before all are looked at.
 SPAN_SHARE = 4
+_SOME = f"pmod(xxhash64('span', token), {SPAN_SHARE}) = 0"
 #: least_shared() of n, in SQL.
 _LEAST = "1 + (3 * n div 4) div 10"
 #: Rows of a tile task, about.
@@ -246,26 +247,37 @@ def _tile(rows: pa.Table, spanning: bool) -> pa.Table:
     return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _open_pairs(held: DataFrame, roots: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool) -> DataFrame | None:
-    """Pairs of different components that share a shingle and could link; None if no shingle has two components."""
-    least = partitions(store.spark)
-    rooted = store.put(held.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root")), "rooted")
-    several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    open_ = store.put(rooted.join(several, "token"), "open")
-    store.drop(rooted)
-    n = open_.count()
-    if not n:
-        return None
+def _with_enough(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """rows (token, doc, ...) of the documents that hold as many of them as a link takes."""
+    enough_ = rows.groupBy("doc").agg(F.count("*").alias("c")).join(sizes, "doc").where(f"c >= {_LEAST}")
+    return rows.join(enough_.select("doc"), "doc", "left_semi")
+
+
+def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch) -> DataFrame:
+    """token, doc, root of shingles with several components, of documents that such shingles could link to another component."""
+    rows = held.select("token", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
+    for k in range(2):
+        rooted = store.put(rows, f"rooted{k}")
+        several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+        rows = _with_enough(rooted.join(several, "token"), sizes)
+    return store.put(rows, "open")
+
+
+def _offered(open_: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool) -> DataFrame:
+    """Pairs of different components that share a shingle and could link.
+
+    Near copies share hundreds of shingles; to span components, one in SPAN_SHARE of these will do.
+    """
+    if spanning:
+        open_ = open_.where(_SOME)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
     tiles = open_.join(sigs, "doc").select(
         "token", "doc", "root", "n", "sig",
         F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band - 1).alias("band"), F.lit(1).alias("guest")))).alias("t"),
     )
-    buckets = 2 * n // TILE_ROWS + 1
+    buckets = 2 * open_.count() // TILE_ROWS + 1
     tiles = tiles.select("token", "doc", "root", "n", "sig", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
-    pairs = store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: trimmed(_tile(rows, spanning)), "a long, b long").distinct(), "tiles")
-    store.drop(open_)
-    return pairs
+    return store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: trimmed(_tile(rows, spanning)), "a long, b long").distinct(), "tiles")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -288,13 +300,13 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     sigs = met.where("sig is not null").select("doc", "n", "sig")
     held = met.where("token is not null").select("token", "doc")
     sizes = sigs.groupBy("doc").agg(F.min("n").alias("n"))
-    counted = held.groupBy("doc").agg(F.count("*").alias("c")).join(sizes, "doc").where(f"c >= {_LEAST}")
-    held = held.join(counted.select("doc"), "doc", "left_semi")
-    held = store.put(held.join(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), "held")
+    held = store.put(_with_enough(held, sizes), "enough")
+    held = store.put(_with_enough(held.join(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), sizes), "held")
 
-    central = held.groupBy("doc").agg(F.avg("df").alias("central"))
-    best = held.join(central, "doc").groupBy("token").agg(F.max(F.struct("central", F.col("doc").alias("lead"))).alias("best"))
-    votes = held.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead").groupBy("doc", "lead").count()
+    some = held.where(_SOME)
+    central = some.groupBy("doc").agg(F.avg("df").alias("central"))
+    best = some.join(central, "doc").groupBy("token").agg(F.max(F.struct("central", F.col("doc").alias("lead"))).alias("best"))
+    votes = some.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead").groupBy("doc", "lead").count()
     stars = votes.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("count"), "lead"))).where(f"no <= {LEADERS}")
     stars = stars.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
     sets = _shingle_sets(held, docs, store)
@@ -302,11 +314,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     same = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(same)
     roots = components(links, store)
+    open_ = held
     for spanning in (True, False):
-        pairs = _open_pairs(held.select("token", "doc"), roots, sigs, store, spanning)
-        if pairs is None:
-            continue
-        links = links.unionByName(_verify(pairs, sets, store))
+        open_ = _open(open_, roots, sizes, store)  # components only grow, so what is closed stays closed
+        links = links.unionByName(_verify(_offered(open_, sigs, store, spanning), sets, store))
         roots = components(links, store)
     return nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id")
