@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -67,6 +68,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of finished jobs now and not when memory happens to be short."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)

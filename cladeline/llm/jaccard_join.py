@@ -7,13 +7,14 @@ Exact, without comparing all pairs:
    a document with too few left to link (least_shared).
    Shingles found often in a bounded sample come last in the order.  The sample moves work only;
    whatever it holds, the prefixes of linked sets meet.
-2. Each document is tested against the two documents that are the most central ones of most of its shingles (of
-   a quarter of them), which joins groups of near copies without forming their pairs.
-3. Documents with enough shingles that other components hold too stay; the shingles form size-banded tiles: a document is at home in
+2. Each document is tested against the two documents that are the most central ones of most of its FEW smallest
+   shared shingles, which joins groups of near copies without forming their pairs.
+3. Shingles form size-banded tiles: a document is at home in
    the band of its size and a guest in the one below, and a tile compares its homes with its homes and
    guests of other components.  Hashed bitmaps bound the overlap from above by bit counts, and what the
-   bound lets through is decided by intersecting the sorted shingle arrays.  First, a tile offers only pairs that
-   would span its components; then it offers all that are left.
+   bound lets through is decided by intersecting the sorted shingle arrays.  First, tiles of the FEW offer pairs that
+   would span their components; then tiles of all shingles that still hold several components, of documents
+   with enough of these, offer all pairs that are left.
 4. Components of all links.
 
 Equal sets of a task count once from the start.
@@ -40,9 +41,8 @@ ORDER_SAMPLE = 4_096
 ORDER_KEYS = 65_536
 #: Central documents that a document is tested against at first.
 LEADERS = 2
-#: Share of the shared shingles by which components are spanned before all are looked at.
-SPAN_SHARE = 4
-_SOME = f"pmod(xxhash64('span', token), {SPAN_SHARE}) = 0"
+#: Smallest shared shingles of a document by which components are joined before all are looked at.
+FEW = 8
 #: least_shared() of n, in SQL.
 _LEAST = "1 + (3 * n div 4) div 10"
 #: Rows of a tile task, about.
@@ -255,7 +255,7 @@ def _with_enough(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch) -> DataFrame:
     """token, doc, root of shingles with several components, of documents that such shingles could link to another component."""
-    rows = held.select("token", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
+    rows = _rooted(held, roots)
     for k in range(2):
         rooted = store.put(rows, f"rooted{k}")
         several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
@@ -264,12 +264,7 @@ def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch) -
 
 
 def _offered(open_: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool) -> DataFrame:
-    """Pairs of different components that share a shingle and could link.
-
-    Near copies share hundreds of shingles; to span components, one in SPAN_SHARE of these will do.
-    """
-    if spanning:
-        open_ = open_.where(_SOME)
+    """Pairs of different components (rows token, doc, root) that share a shingle and could link."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
     tiles = open_.join(sigs, "doc").select(
         "token", "doc", "root", "n", "sig",
@@ -280,6 +275,10 @@ def _offered(open_: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool)
     return store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: trimmed(_tile(rows, spanning)), "a long, b long").distinct(), "tiles")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.select("token", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -300,25 +299,30 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     sigs = met.where("sig is not null").select("doc", "n", "sig")
     held = met.where("token is not null").select("token", "doc")
     sizes = sigs.groupBy("doc").agg(F.min("n").alias("n"))
+    store.tidy()
     held = store.put(_with_enough(held, sizes), "enough")
     held = store.put(_with_enough(held.join(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), sizes), "held")
+    store.tidy()
+    sets = _shingle_sets(held, docs, store)
+    store.tidy()
 
-    some = held.where(_SOME)
-    central = some.groupBy("doc").agg(F.avg("df").alias("central"))
-    best = some.join(central, "doc").groupBy("token").agg(F.max(F.struct("central", F.col("doc").alias("lead"))).alias("best"))
-    votes = some.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead").groupBy("doc", "lead").count()
+    few = held.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy("token"))).where(F.col("no") <= FEW).drop("no")
+    few = store.put(few, "few")
+    central = few.groupBy("doc").agg(F.avg("df").alias("central"))
+    best = few.join(central, "doc").groupBy("token").agg(F.max(F.struct("central", F.col("doc").alias("lead"))).alias("best"))
+    votes = few.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead").groupBy("doc", "lead").count()
     stars = votes.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("count"), "lead"))).where(f"no <= {LEADERS}")
     stars = stars.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-    sets = _shingle_sets(held, docs, store)
     links = _verify(store.put(_within_bound(stars, sigs), "stars"), sets, store)
     same = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     links = links.unionByName(same)
     roots = components(links, store)
-    open_ = held
-    for spanning in (True, False):
-        open_ = _open(open_, roots, sizes, store)  # components only grow, so what is closed stays closed
-        links = links.unionByName(_verify(_offered(open_, sigs, store, spanning), sets, store))
-        roots = components(links, store)
+    links = links.unionByName(_verify(_offered(_rooted(few, roots), sigs, store, True), sets, store))
+    roots = components(links, store)
+    store.tidy()
+    links = links.unionByName(_verify(_offered(_open(held, roots, sizes, store), sigs, store, False), sets, store))
+    roots = components(links, store)
+    store.tidy()
     return nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id")
     )
