@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_url_filters": url_filters.OP5_SQL}
+    return {
+        "op5_url_filters": url_filters.OP5_SQL,
+        "op6_suffix_dedup": suffix_dedup.OP6_SQL,
+        "op9_top_k": top_k.OP9_SQL,
+        "op10_jaccard_join": jaccard_join.OP10_SQL,
+    }

@@ -360,3 +360,19 @@ def dedup_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, substr(h, 2 * i - 1, 100) AS s FROM d, unnest(generate_series(1, len(h) // 2 - 49)) t(i)),
+m AS (SELECT s, min(doc_id) AS first FROM p GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT doc_id, i FROM p JOIN m USING (s) WHERE first < doc_id),
+y AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM x),
+z AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM y),
+spans AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM z GROUP BY 1, 2),
+kept AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM spans
+         UNION ALL SELECT doc_id, 1, min(a) FROM spans GROUP BY 1),
+t AS (SELECT k.doc_id, string_agg(CASE WHEN k.b IS NULL THEN substr(h, 2 * k.a - 1) ELSE substr(h, 2 * k.a - 1, 2 * (k.b - k.a)) END, '' ORDER BY k.a) AS rest FROM kept k JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, sum(b - a) AS n, count(*) AS k FROM spans GROUP BY 1) r USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
