@@ -41,6 +41,8 @@ ORDER_SAMPLE = 4_096
 ORDER_KEYS = 65_536
 #: Central documents that a document is tested against at first.
 LEADERS = 2
+#: First shared shingles of a document by which a pair that meets at many of them is offered at one.
+LEAD = 8
 #: Smallest shared shingles of a document by which components are joined before all are looked at.
 FEW = 8
 #: least_shared() of n, in SQL.
@@ -209,6 +211,7 @@ def _tile(rows: pa.Table, spanning: bool) -> pa.Table:
     rows = rows.sort_by([("token", "ascending"), ("band", "ascending"), ("guest", "ascending")])
     token, band, guest, doc, root, n = (rows.column(c).to_numpy() for c in ("token", "band", "guest", "doc", "root", "n"))
     sig = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("sig").combine_chunks()]
+    lead = rows.column("lead").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LEAD)
     new = np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])]
     last = np.r_[np.flatnonzero(new)[1:], len(token)][np.cumsum(new) - 1]
     partners = np.where(guest == 0, last - np.arange(len(token)) - 1, 0)
@@ -237,6 +240,11 @@ def _tile(rows: pa.Table, spanning: bool) -> pa.Table:
                 x, y = a[c : c + 1 + 400_000 // int(w)], b[c : c + 1 + 400_000 // int(w)]
                 ok = enough(_bound(matrix[at[x]], matrix[at[y]], n[x], n[y]), n[x], n[y])
                 x, y = x[ok], y[ok]
+                if not len(x):
+                    continue
+                earlier = (lead[x][:, :, None] == lead[y][:, None, :]) & (lead[x] < token[x][:, None])[:, :, None]
+                once = ~earlier.any(axis=(1, 2))  # else the pair meets at that shingle too
+                x, y = x[once], y[once]
                 if spanning:
                     pick_ = np.array([forest.join(r, t) for r, t in zip(root[x].tolist(), root[y].tolist(), strict=True)], bool)
                     x, y = x[pick_], y[pick_]
@@ -260,18 +268,23 @@ def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch) -
         rooted = store.put(rows, f"rooted{k}")
         several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
         rows = _with_enough(rooted.join(several, "token"), sizes)
-    return store.put(rows, "open")
+    # a link takes least_shared() of these: under one order of all, it shows among all but the last so many less one
+    by_doc = W.partitionBy("doc")
+    placed = rows.join(sizes, "doc").select("token", "doc", "root", "n", F.row_number().over(by_doc.orderBy("token")).alias("no"), F.count("*").over(by_doc).alias("c"))
+    return store.put(placed.where(f"no <= c - ({_LEAST}) + 1").select("token", "doc", "root"), "open")
 
 
 def _offered(open_: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool) -> DataFrame:
     """Pairs of different components (rows token, doc, root) that share a shingle and could link."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
-    tiles = open_.join(sigs, "doc").select(
-        "token", "doc", "root", "n", "sig",
+    first = F.slice(F.concat(F.sort_array(F.collect_list("token")), F.array_repeat(F.lit((1 << 63) - 1), LEAD)), 1, LEAD)
+    leads = open_.groupBy("doc").agg(first.alias("lead"))
+    tiles = open_.join(leads.join(sigs, "doc"), "doc").select(
+        "token", "doc", "root", "n", "sig", "lead",
         F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band - 1).alias("band"), F.lit(1).alias("guest")))).alias("t"),
     )
     buckets = 2 * open_.count() // TILE_ROWS + 1
-    tiles = tiles.select("token", "doc", "root", "n", "sig", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
+    tiles = tiles.select("token", "doc", "root", "n", "sig", "lead", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
     return store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: trimmed(_tile(rows, spanning)), "a long, b long").distinct(), "tiles")
 
 
