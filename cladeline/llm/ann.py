@@ -128,6 +128,9 @@ def search(index: Index, queries: DataFrame, k: int = 10, probe: float = PROBE,
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
             codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, PARTS)[order]
+            # a vec_id may recur: its rows are one candidate, at the nearest of them, before anything is cut
+            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            names, sizes = ids[first], np.diff(np.r_[first, len(ids)])
             q_ids, q = asked.column("vec_id").to_numpy(), matrix(asked.column("vector"), d)
             centre = centroids[rows.column("list")[0].as_py()]
             for a in range(0, len(q), 64):
@@ -135,13 +138,19 @@ def search(index: Index, queries: DataFrame, k: int = 10, probe: float = PROBE,
                 about = np.zeros((len(tables), len(ids)))
                 for p in range(PARTS):
                     about += tables[:, p][:, codes[:, p]]
+                if len(names) < len(ids):
+                    about = np.minimum.reduceat(about, first, axis=1)
                 for b in range(len(tables)):
-                    far = np.where(ids == q_ids[a + b], np.inf, about[b])
+                    far = np.where(names == q_ids[a + b], np.inf, about[b])
                     best = np.argsort(far, kind="stable")[:rerank] if len(far) > rerank else np.arange(len(far))
                     best = best[np.isfinite(far[best])]
-                    exact = np.sqrt(((x[best] - q[a + b]) ** 2).sum(1))
-                    top = np.lexsort((ids[best], exact))[:k]
-                    out.append((np.full(len(top), q_ids[a + b]), ids[best][top], exact[top]))
+                    if not len(best):
+                        continue
+                    begins = np.cumsum(sizes[best]) - sizes[best]
+                    own = np.repeat(first[best] - begins, sizes[best]) + np.arange(sizes[best].sum())
+                    exact = np.minimum.reduceat(np.sqrt(((x[own] - q[a + b]) ** 2).sum(1)), begins)
+                    top = np.lexsort((names[best], exact))[:k]
+                    out.append((np.full(len(top), q_ids[a + b]), names[best][top], exact[top]))
         query, vec, score = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
 

@@ -81,20 +81,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
         if len(rows) and len(asked):
             ids, x = rows.column("vec_id").to_numpy(), matrix(rows.column("w"), d, np.int64)
             q_ids, q = asked.column("vec_id").to_numpy(), matrix(asked.column("w"), d, np.int64)
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
             for c in range(0, len(q), CHUNK):
                 part, part_ids = q[c : c + CHUNK], q_ids[c : c + CHUNK]
                 held: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(part)
                 for a in range(0, len(ids), STRIP):
                     strip = ids[a : a + STRIP]
                     scores = accumulate(part, x[a : a + STRIP])
+                    # a vec_id may recur: it is one candidate, at its best, before anything is cut to k
+                    first = np.flatnonzero(np.r_[True, strip[1:] != strip[:-1]])
+                    if len(first) < len(strip):
+                        strip, scores = strip[first], np.maximum.reduceat(scores, first, axis=1)
                     for b in range(len(part)):
                         other = np.flatnonzero(strip != part_ids[b]) if (strip == part_ids[b]).any() else slice(None)
                         own, names = scores[b][other], strip[other]
                         places = best(own, names, k)
                         s, v = np.r_[held[b][0], own[places]], np.r_[held[b][1], names[places]]
-                        # a vec_id may recur: keep its best before cutting to k
+                        # and one that goes on from strip to strip, too
                         order = np.lexsort((v, -s))
-                        held[b] = s[order][: 2 * k], v[order][: 2 * k]
+                        order = order[np.sort(np.unique(v[order], return_index=True)[1])][:k]
+                        held[b] = s[order], v[order]
                 for b, (s, v) in enumerate(held):
                     out.append((np.full(len(s), part_ids[b]), v, s))
         query, vec, value = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3

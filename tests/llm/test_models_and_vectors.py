@@ -160,3 +160,46 @@ def test_lanes_do_not_change_results(spark, monkeypatch):
     many = ann.build(vectors)
     b = sorted(tuple(r) for r in ann.search(many, many.rows.where("vec_id % 100 = 0"), probe=1.0, rerank=1_000).collect())
     assert a == b and many.rows.select("list", "lane").distinct().count() > one.rows.select("list", "lane").distinct().count()
+
+
+def _repeated(spark, n, d=3, seed=6):
+    """Each row twice, and one vec_id forty times with other vectors."""
+    x = np.random.default_rng(seed).normal(size=(n, d)).astype(np.float32)
+    more = np.random.default_rng(seed + 1).normal(size=(40, d)).astype(np.float32) * 3
+    rows = [(k, x[k].tolist()) for k in range(n)] * 2 + [(1, v.tolist()) for v in more]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>"), [(k, x[k]) for k in range(n)] + [(1, v) for v in more]
+
+
+def _nearest_by_hand(rows, q, far):
+    best = {}
+    for k, v in rows:
+        if k != q:
+            best[k] = min(best.get(k, math.inf), far(v))
+    return [(i + 1, k, s) for i, (s, k) in enumerate(sorted((s, k) for k, s in best.items())[:10])]
+
+
+@pytest.mark.parametrize("strip", [64, 2_048])
+def test_top_k_of_repeated_rows_is_brute_force(spark, monkeypatch, strip):
+    monkeypatch.setattr(top_k, "STRIP", strip)
+    vectors, rows = _repeated(spark, 300)
+    got = {}
+    for r in top_k.top_k(vectors, vectors.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [(k, np.floor(1024 * v.astype(np.float64)).astype(int)) for k, v in rows]
+    for q in (0, 100, 200):
+        own = dict(whole[:300])[q]
+        assert sorted(got[q]) == [(i, k, -s) for i, k, s in _nearest_by_hand(whole, q, lambda w: -int(own @ w))]
+
+
+def test_nearest_neighbours_of_repeated_rows_are_brute_force(spark):
+    vectors, rows = _repeated(spark, 300)
+    index = ann.build(vectors)
+    got = {}
+    for r in ann.search(index, index.rows.where("vec_id % 100 = 0"), probe=1.0, rerank=20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [(k, v.astype(np.float64)) for k, v in rows]
+    for q in (0, 100, 200):
+        own = dict(whole[:300])[q]
+        want = _nearest_by_hand(whole, q, lambda v: float(np.sqrt(((v - own) ** 2).sum())))
+        assert [(i, k) for i, k, _ in sorted(got[q])] == [(i, k) for i, k, _ in want]
+        assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(sorted(got[q]), want, strict=True))
