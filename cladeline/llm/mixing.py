@@ -5,7 +5,8 @@ cut into blocks of BLOCK words.  The schedule's slot j holds the fractional part
 golden ratio (in steps of 2 ** -31); the sources' cumulative target shares cut [0, 1) into intervals, and the slot goes to the source
 whose interval holds its point.  A source's k-th slot takes the k-th block of its stream, which starts
 again from the front after the end (up to ``max_repeats`` passes), so every prefix of the schedule is
-mixed close to the targets.  What a source's slots hold beyond its target is cut off.
+mixed close to the targets.  What a source's slots hold beyond its target is cut off; blocks for which
+the schedule, which deviates by some slots, has none left are appended to it, so every quota is met.
 
 Prefix sums over a source are taken in two levels (hash buckets, then rows of a bucket), so that a
 source that holds most of the rows is still spread over many tasks.
@@ -26,7 +27,7 @@ from .common import Scratch, partitions, table, word_count
 BLOCK = 64
 #: 2 ** 31 divided by the golden ratio, and odd: slots run through all 2 ** 31 points before one recurs.
 GOLDEN, TURN = 1_327_217_885, 2**31
-#: Slots beyond the whole of the targets, so that rounding leaves no source short; the quotas cut them off.
+#: Slots of the schedule beyond the whole of the targets, so that few sources need slots appended; the quotas cut them off.
 SPARE = 256
 #: The unit interval's cells by which points meet the sources' intervals.
 CELLS = 4096
@@ -120,6 +121,16 @@ def ranked(slots: DataFrame, rows: int = 65_536) -> DataFrame:
     return slots.withColumn("inside", F.row_number().over(inside) - 1).join(sums, ["order_no", "part"]).select("slot", "order_no", (F.col("before") + F.col("inside")).alias("rank"))
 
 
+def completed(slots: DataFrame, sized: DataFrame, first: int, block: int = BLOCK) -> DataFrame:
+    """slots (slot, order_no, rank) and, from slot ``first`` on, those that a source lacks for its quota (order_no, quota)."""
+    have = slots.groupBy("order_no").agg(F.count("*").alias("have"))
+    lack = sized.join(have, "order_no", "left").select("order_no", F.coalesce("have", F.lit(0)).alias("rank"), F.expr(f"(quota + {block - 1}) div {block} - coalesce(have, 0)").alias("lacking")).where("lacking > 0")
+    ahead = W.partitionBy(F.lit(0)).orderBy("order_no").rowsBetween(W.unboundedPreceding, -1)
+    lack = lack.withColumn("before", F.coalesce(F.sum("lacking").over(ahead), F.lit(0)))
+    more = lack.select("order_no", "rank", "before", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lacking") - 1)).alias("k"))
+    return slots.unionByName(more.select((F.lit(first) + F.col("before") + F.col("k")).alias("slot"), "order_no", (F.col("rank") + F.col("k")).alias("rank")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = 3, block: int = BLOCK, text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(plan, documents).
 
@@ -145,8 +156,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
         .drop("t_source", "weight"),
         "positions",
     )
-    slots = ranked(schedule(targets, total, block))
     sized = targets.select("order_no", "source_size", F.round("target").cast("long").alias("quota"))
+    slots = completed(ranked(schedule(targets, total, block)), sized.select("order_no", "quota"), total // block + SPARE, block)
     taken = slots.join(F.broadcast(sized) if _few(targets) else sized, "order_no")
     # words [from, to) of the endless repetition of the stream, cut at the quota and at the stream's end
     taken = taken.select("slot", "order_no", "source_size", (F.col("rank") * block).alias("a"), F.least((F.col("rank") + 1) * block, F.col("quota")).alias("b")).where("b > a")

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cladeline.llm import html_extraction, jaccard_join, mixing, packing, sharding, suffix_dedup, url_filters
 from cladeline.llm.suffix_array import common_prefixes, merge_minima, suffix_array
@@ -336,6 +337,26 @@ def test_a_source_that_holds_most_is_capped_by_the_others(spark, tmp_path):
     assert got["small"] == (2700.0, 2700) and got["big"] == (6300.0, 6300)
 
 
+@pytest.mark.parametrize("big", [30_000, 200_000_000])
+def test_quotas_are_met_at_every_size(spark, big):
+    quotas = [300, 3_000, 1, big, 300, 0, 3_000, 64]
+    targets = spark.createDataFrame([(k, float(q), q) for k, q in enumerate(quotas)], "order_no long, target double, quota long")
+    total = sum(quotas)
+    slots = mixing.ranked(mixing.schedule(targets, total))
+    done = mixing.completed(slots, targets.select("order_no", "quota"), total // mixing.BLOCK + mixing.SPARE)
+    got = {r.order_no: r for r in done.groupBy("order_no").agg(F.count("*").alias("n"), F.countDistinct("rank").alias("ranks"), F.max("rank").alias("most")).collect()}
+    for k, q in enumerate(quotas):
+        assert not q or (got[k].n == got[k].ranks == got[k].most + 1 and got[k].n * mixing.BLOCK >= q)
+    assert done.count() == done.select("slot").distinct().count()
+
+
+def test_a_small_source_of_many_documents_is_taken_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SPARE", 0)  # as the reserve is next to nothing on a large table
+    docs = helpers.frame(spark, [(k, "w " * 37, "en", "big" if k % 50 else f"s{k // 50}", 1, *"abcde") for k in range(1_000)], tmp_path)
+    got = mixing.mix_rows(docs).groupBy("source", "target").agg(F.sum("taken").alias("t")).collect()
+    assert len(got) == 21 and all(r.t == round(r.target) for r in got)
+
+
 def test_boundaries_are_optimal():
     from itertools import combinations
 
