@@ -22,16 +22,22 @@ from .common import Scratch, trimmed
 PACKED = "block long, body binary"
 
 
+def filed(docs: DataFrame, store: Scratch) -> DataFrame:
+    """docs, written first if it is not read from files, so that each located() of it names its rows alike."""
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return store.put(docs, "documents")
+
+
 def located(docs: DataFrame, store: Scratch, rows: int, columns: list) -> DataFrame:
     """The columns (names or expressions), block, and rid, the row's number in the block.
 
-    What is not read from files is written first.
+    What is not read from files is written first, anew at each call: see filed().
     """
     names = [F.xxhash64("_metadata.file_path", F.expr(f"_metadata.row_index div {rows}")).alias("block"), F.expr(f"CAST(_metadata.row_index % {rows} AS INT)").alias("rid")]
-    try:
-        return docs.select(*columns, *names)
-    except AnalysisException:
-        return store.put(docs, "documents").select(*columns, *names)
+    return filed(docs, store).select(*columns, *names)
 
 
 def stored(located_docs: DataFrame, columns: list[str], store: Scratch, buckets: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeline.llm import jaccard_join, mixing, packing, quality, suffix_dedup
-from cladeline.llm.blocks import located
+from cladeline.llm.blocks import filed, located
 from cladeline.llm.common import Scratch, table
 
 #: How often the mix may repeat a document.
@@ -48,6 +48,7 @@ def jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts out repeated passages; a document of which nothing but white space is left goes."""
     store = Scratch(spark, "pipeline")
+    docs = filed(docs, store)
     rows = located(docs, store, suffix_dedup.BLOCK_ROWS, [_item(docs)])
     cut = suffix_dedup.repeated_bytes(docs, with_text=True)
     changed = store.put(cut.where("n_removed > 0").select("block", "rid", F.col("kept_text").alias("kept")), "changed")
@@ -62,6 +63,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document of which the mix takes nothing goes.
     """
     store = Scratch(spark, "pipeline")
+    docs = filed(docs, store)
     plan = store.put(mixing.mix_rows(docs, max_repeats=MAX_REPEATS), "mix")
     where = located(docs, store, mixing.BLOCK_ROWS, [_item(docs)])
     repeats = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -66,3 +67,12 @@ def test_run_and_empty(spark, folder, tmp_path):
     helpers.frame(spark, [], tmp_path, files=1)
     helpers.frame(spark, [], tmp_path, "labels", "doc_id long, quality int, toxic int", 1)
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_rows_not_read_from_files_are_found_again(spark):
+    passage = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, "first " + passage, "en", "a", 0), (2, "second " + passage, "en", "b", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(docs.where("doc_id = 1").withColumn("doc_id", F.lit(3).cast("long")))
+    assert 2 in {r.doc_id for r in corpus_pipeline.mixed(spark, docs, "").collect()}
+    cut = {r.doc_id: r.text for r in corpus_pipeline.suffixes(spark, docs, "").collect()}
+    assert cut[1] == "first " + passage and passage not in cut[2] and 3 not in cut
