@@ -104,18 +104,25 @@ def search(index: Index, queries: DataFrame, k: int = 10, probe: float = PROBE,
     """query_id, rank (from 1), vec_id, score (Euclidean distance): the k nearest found of each query (vec_id, vector).
 
     Rows with the query's own vec_id are no candidates.  Ties go to the smaller vec_id.  A vec_id met
-    several times counts once, at its nearest.
+    several times counts once, at its nearest.  A query visits all lists unless one of its nearest alone
+    holds more than k vec_ids, so none gets fewer than k while there are more.
     """
     centroids, codebooks, d = index.centroids, index.codebooks, index.d
     visits = max(1, round(probe * len(centroids)))
+    # a list may hold the query itself, and lists may share a vec_id
+    held = np.zeros(len(centroids), np.int64)
+    for row in index.rows.groupBy("list").agg(F.countDistinct("vec_id").alias("n")).collect():
+        held[row.list] = row.n
 
     def route(batches):
         for batch in batches:
             x = matrix(batch.column("vector"), d)
             far = (centroids**2).sum(1) - 2 * x @ centroids.T
             near = np.argpartition(far, visits - 1, axis=1)[:, :visits].astype(np.int32)
-            take = np.repeat(np.arange(len(x)), visits)
-            yield batch.take(pa.array(take)).append_column("list", pa.array(near.reshape(-1)))
+            every = np.arange(len(centroids), dtype=np.int32)
+            lists = [every if few else own for few, own in zip(held[near].max(axis=1) <= k, near, strict=True)]
+            take = np.repeat(np.arange(len(x)), [len(own) for own in lists])
+            yield batch.take(pa.array(take)).append_column("list", pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
 
     routed = queries.select("vec_id", "vector").mapInArrow(route, "vec_id long, vector array<double>, list int")
     lanes = index.rows.select("list", "lane").distinct().select(F.col("list").alias("its_list"), F.col("lane").alias("its_lane"))

@@ -203,3 +203,15 @@ def test_nearest_neighbours_of_repeated_rows_are_brute_force(spark):
         want = _nearest_by_hand(whole, q, lambda v: float(np.sqrt(((v - own) ** 2).sum())))
         assert [(i, k) for i, k, _ in sorted(got[q])] == [(i, k) for i, k, _ in want]
         assert all(abs(a[2] - b[2]) < 1e-12 for a, b in zip(sorted(got[q]), want, strict=True))
+
+
+def test_nearest_neighbours_of_few_rows_are_all_found(spark):
+    x = np.random.default_rng(8).normal(size=(9, 3))
+    index = ann.build(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert len(index.centroids) == 3
+    got = {}
+    for r in ann.search(index, index.rows).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in range(9):
+        far = ((x - x[q]) ** 2).sum(1)
+        assert sorted(got[q]) == [(i, k) for i, k in enumerate([k for k in np.argsort(far) if k != q], 1)]
