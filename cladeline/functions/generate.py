@@ -136,6 +136,20 @@ def case_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
     return out
 
 
+# The axes of the studies of clock-like trees, by profile.
+PROFILES = {
+    "smoke": {"topology": ["balanced", "caterpillar", "yule", "beta-critical"], "leaves": [128, 512], "sites": [256, 1024], "height": [0.001, 0.1], "replicates": 3},
+    "paper": {"topology": ["balanced", "caterpillar", "yule", "beta-critical"], "leaves": [128, 1024, 8192], "sites": [256, 2048, 8192], "height": [1e-4, 1e-3, 1e-2, 1e-1], "replicates": 10},
+    "stress": {"topology": ["balanced", "caterpillar", "yule", "beta-critical"], "leaves": [100, 1000, 10000], "sites": [1000, 10000, 100000], "height": [1e-4, 1e-3, 1e-2, 1e-1], "replicates": 3},
+}
+
+
+def study_cases(spark: SparkSession, profile: str) -> DataFrame:
+    """topology, leaves, sites, height, replicate of every case of a profile."""
+    axes = dict(PROFILES[profile])
+    return case_grid(spark, **{k: v for k, v in axes.items() if k != "replicates"}, replicate=list(range(axes["replicates"])))
+
+
 def cyclic_schedule(spark: SparkSession, cases: int, methods: Sequence[str]) -> DataFrame:
     """record, case_no, order_no, method: each case runs every method, each starting one further."""
     m = len(methods)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 STATES = "ACGT"
 #: Order of the six exchangeabilities.
@@ -154,6 +156,12 @@ def jukes_cantor_transition(t: float, rate: float = 1.0) -> np.ndarray:
     return transitions(jukes_cantor(rate), np.array([t]))[0]
 
 
+def jukes_cantor_columns(length: Column, rate: float = 1.0) -> tuple[Column, Column]:
+    """(the probability of each other state, of the same one) over a length, in closed form and in the JVM."""
+    other = -0.25 * F.expm1(-4.0 * rate / 3.0 * length)
+    return other, 1.0 - 3.0 * other
+
+
 def regularized_gamma_p(a: float, x: float) -> float:
     """Lower regularised incomplete gamma function: a series for small x, a continued fraction else."""
     if not (a > 0 and x >= 0):
@@ -169,8 +177,8 @@ def regularized_gamma_p(a: float, x: float) -> float:
             term *= x / (a + k)
             total += term
             if abs(term) < abs(total) * 1e-16:
-                break
-        return min(1.0, front * total)
+                return min(1.0, front * total)
+        raise ArithmeticError("the series does not converge")
     tiny = 1e-300
     b = x + 1 - a
     c, d = 1 / tiny, 1 / b
@@ -181,9 +189,9 @@ def regularized_gamma_p(a: float, x: float) -> float:
         d = 1 / (an * d + b or tiny)
         c = b + an / c or tiny
         h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return max(0.0, 1 - front * h)
+        if abs(d * c - 1) < 4e-16:
+            return max(0.0, 1 - front * h)
+    raise ArithmeticError("the fraction does not converge")
 
 
 def gamma_quantile(a: float, p: float) -> float:

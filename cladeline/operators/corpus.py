@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .report import bin_index
+from .report import bin_index, check_edges
 
 # Model names that mean nucleotides, by their beginnings.
 NUCLEOTIDE_MODELS = ("JC", "F81", "K80", "K81", "HKY", "TN", "TIM", "TVM", "TPM", "GTR")
@@ -27,7 +27,7 @@ def first_by_rank(rows: DataFrame, rank: Column, eligible: Column, k: int) -> tu
 
 
 def stratified(rows: DataFrame, size: Column, edges: Sequence[float], rank: Column, k: int) -> DataFrame:
-    """The k lowest ranks of each bin of size; rows below the first edge belong to none.
+    """The k lowest ranks of each bin [edge, next edge) of size; rows outside of all bins belong to none.
 
     Each bin is cut to k within tasks first, so a bin of most of the rows costs no task more than k of each.
     """
@@ -37,6 +37,31 @@ def stratified(rows: DataFrame, size: Column, edges: Sequence[float], rank: Colu
     return few.withColumn("place", F.row_number().over(W.partitionBy("bin").orderBy("rank"))).where(F.col("place") <= k)
 
 
+def stratified_with_exclusions(rows: DataFrame, size: Column, edges: Sequence[float], rank: Column, k: int, reason: Column) -> tuple[DataFrame, DataFrame, int]:
+    """(chosen, excluded, inspected): stratified() over rows looked at in the order of rank until all bins are full.
+
+    ``reason`` is null for a fit row; a row that is not, or lies outside of all bins, is excluded with its reason if it was
+    looked at.  What a full bin had no room for is neither chosen nor excluded.
+    """
+    edges = check_edges(edges, least=2)
+    ranked = rows.withColumn("rank", rank).withColumn("size", size)
+    outside = F.when(bin_index(F.col("size"), edges).isNull(), F.concat(F.lit("size="), F.col("size").cast("string"), F.lit(f" lies outside [{int(edges[0])}, {int(edges[-1])})")))
+    judged = ranked.withColumn("reason", F.coalesce(reason, outside))
+    chosen = stratified(judged.where("reason IS NULL"), F.col("size"), edges, F.col("rank"), k)
+    ends = chosen.groupBy("bin").agg(F.count("*").alias("n"), F.max("rank").alias("last"))
+    full, last = ends.where(F.col("n") == k).agg(F.count("*"), F.max("last")).first()
+    looked = judged if full < len(edges) - 1 else judged.where(F.col("rank") <= last)
+    return chosen.drop("reason", "size"), looked.where("reason IS NOT NULL").select(*rows.columns, "rank", "reason"), looked.count()
+
+
+def choose_families(families: DataFrame, leaves: str, least: int, most: int, wanted: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Families (family, position, ...) with so many leaves, of the wanted names if any are given, the first ``limit`` of them by position."""
+    out = families.where(F.col(leaves).between(least, most))
+    if wanted is not None:
+        out = out.where(F.col("family").isin(*wanted))
+    return out if limit is None else out.orderBy("position").limit(limit)
+
+
 def lowest(rows: DataFrame, hash_column: str, identifier: str, most: int) -> DataFrame:
     """All rows if there are at most ``most``, else those of the lowest hashes, in the order of the identifier."""
     return rows.orderBy(hash_column, identifier).limit(most).orderBy(identifier)
@@ -57,25 +82,35 @@ def eligible_columns(coverage: DataFrame, taxa: int, fraction: float) -> DataFra
     return coverage.where(F.col("covered") >= F.ceil(F.lit(fraction) * F.lit(taxa)))
 
 
-def select_tree(trees: DataFrame, log_likelihood: str = "log_likelihood", newick: str = "newick", by: list[str] | None = None) -> DataFrame:
-    """The likeliest tree of finite likelihood; of equals the smaller text."""
+def select_tree(trees: DataFrame, log_likelihood: str = "log_likelihood", newick: str = "newick", by: list[str] | None = None, version: str | None = None) -> DataFrame:
+    """The likeliest tree of finite likelihood (and of the version, if one is given); of equals the smaller text.
+
+    A struct's minimum, so that tasks reduce their rows before any meet.
+    """
     fine = trees.where(~F.isnan(log_likelihood) & (F.abs(log_likelihood) < float("inf")))
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(log_likelihood), newick)
-    return fine.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
+    if version is not None:
+        fine = fine.where(F.col("version") == version)
+    order = F.struct(-F.col(log_likelihood), F.col(newick))
+    found = fine.groupBy(*(by or [])).agg(F.min_by(F.struct(*[F.col(c) for c in trees.columns]), order).alias("tree"))
+    return found.where("tree IS NOT NULL").select("tree.*")
 
 
 def is_nucleotide_log(text: Column) -> Column:
-    """By the data type where it is told, else by the models' names."""
-    kind = F.regexp_extract(text, r"(?m)^\s*DataType:\s*(\S+)", 1)
-    models = F.regexp_extract_all(text, F.lit(r"(?m)^\s*Model:\s*(\S+)"), F.lit(1))
-    known = F.forall(models, lambda m: F.rlike(m, F.lit("^(?:" + "|".join(NUCLEOTIDE_MODELS) + ")")))
-    return F.when(kind != "", F.upper(kind) == "DNA").otherwise((F.size(models) > 0) & known)
+    """By all data types that are told, or else by the names of all models; the case does not matter."""
+    kinds = F.regexp_extract_all(text, F.lit(r"(?i)DataType:\s*(\S+)"), F.lit(1))
+    models = F.regexp_extract_all(text, F.lit(r"(?im)^Model:\s*([^+\s]+)"), F.lit(1))
+    known = F.forall(models, lambda m: F.rlike(F.upper(m), F.lit("^(?:" + "|".join(NUCLEOTIDE_MODELS) + ")")))
+    return F.when(F.size(kinds) > 0, F.forall(kinds, lambda t: F.upper(t) == "DNA")).otherwise((F.size(models) > 0) & known)
 
 
 def alignment_sites(text: Column) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(text, r"(?i)alignment sites(?:\s*/\s*patterns)?:\s*(\d+)", 1), F.lit("")), F.lit("999999999999")).cast("long")
+    """The first number of sites that a log tells, a plain one before one with patterns; null if there is none."""
+    plain = F.regexp_extract(text, r"(?i)Alignment sites:\s*([0-9]+)", 1)
+    both = F.regexp_extract(text, r"(?i)Alignment sites\s*/\s*patterns:\s*([0-9]+)\s*/", 1)
+    return F.coalesce(F.nullif(plain, F.lit("")), F.nullif(both, F.lit(""))).try_cast("long")
 
 
+# The columns of a manifest.
 MANIFEST = ("dataset", "taxa", "raw_sites", "unique_patterns", "alignment", "pattern_weights", "tree", "normalized_alignment_sha256", "pattern_weights_sha256", "normalized_tree_sha256")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.text import MASK_CODES, UNKNOWN
@@ -37,13 +38,35 @@ def mismatches(leaves: DataFrame, sequences: DataFrame) -> DataFrame:
     )
 
 
+def taxon_faults(left: DataFrame, right: DataFrame, samples: int = 5) -> DataFrame:
+    """side, n, sample: how many names (column ``name``) one side has and the other lacks, and the first few of them."""
+    only = lambda a, b, side: a.select("name").distinct().join(b, "name", "left_anti").withColumn("side", F.lit(side))
+    rows = only(left, right, "left only").unionByName(only(right, left, "right only"))
+    few = rows.withColumn("place", F.row_number().over(W.partitionBy("side").orderBy("name")))
+    return few.groupBy("side").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= samples, F.col("name")))), ", ").alias("sample"))
+
+
 def encode(leaves: DataFrame, sequences: DataFrame) -> DataFrame:
-    """leaves (node_id, label) and sequences (name, sequence), one to one -> site, node_id, mask."""
-    rows = leaves.join(sequences, leaves["label"] == sequences["name"])
+    """leaves (node_id, label) and sequences (name, sequence), one to one -> site, node_id, mask.
+
+    Sides are paired as groups of a name; a name that is not once on each side fails the job.
+    """
+    sides = leaves.select(F.col("label").alias("name"), "node_id", F.lit(None).cast("string").alias("sequence"))
+    sides = sides.unionByName(sequences.select("name", F.lit(None).cast(leaves.schema["node_id"].dataType).alias("node_id"), "sequence"))
+    one = sides.groupBy("name").agg(F.count("node_id").alias("n_leaves"), F.count("sequence").alias("n_sequences"), F.max("node_id").alias("node_id"), F.max("sequence").alias("sequence"))
+    fault = F.concat(F.lit("not one leaf and one sequence: "), F.coalesce("name", F.lit("null")))
+    rows = one.where(F.when((F.col("n_leaves") == 1) & (F.col("n_sequences") == 1), True).otherwise(F.raise_error(fault).cast("boolean")))
     letters = F.split("sequence", "")
     return rows.select("node_id", F.posexplode(letters).alias("site", "code")).where("code <> ''").select("site", "node_id", decoded(F.col("code")).alias("mask"))
 
 
+def select_sites(sites: DataFrame, first: int, count: int, n_sites: int | None = None) -> DataFrame:
+    """Sites first .. first + count - 1; an empty range, or one beyond ``n_sites``, is an error."""
+    if count < 1 or first < 0 or (n_sites is not None and first + count > n_sites):
+        raise ValueError(f"no such sites: {first} and {count} from there")
+    return sites.where(F.col("site").between(first, first + count - 1))
+
+
 def to_sites(observations: DataFrame) -> DataFrame:
     """site, node_id, mask -> site, nodes, masks: one row a site, nodes rising."""
     pairs = F.array_sort(F.collect_list(F.struct("node_id", "mask")))
@@ -57,18 +80,31 @@ def compress(sites: DataFrame, by: list[str]) -> DataFrame:
 
 
 def numbered(patterns: DataFrame) -> DataFrame:
-    """Adds pattern, the rank of the first occurrence, by range partitions and not in one task."""
-    spark = patterns.sparkSession
-    ordered = patterns.repartitionByRange(F.col("first_site")).sortWithinPartitions("first_site").withColumn("part", F.spark_partition_id())
-    ordered = ordered.withColumn("inside", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ordered = ordered.persist()
-    counts = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for part in sorted(counts):
-        starts.append((part, total))
-        total += counts[part]
-    offsets = spark.createDataFrame(starts or [(0, 0)], "part int, start long")
-    return ordered.join(F.broadcast(offsets), "part").withColumn("pattern", F.col("start") + F.col("inside")).drop("part", "inside", "start")
+    """Adds pattern, the rank of the first occurrence."""
+    return ranked(patterns, ["first_site"], "pattern")
+
+
+def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the row's place in a total order, from 0: by range partitions, and not by a window in one task.
+
+    The rows are dealt by range twice, once to count each range and once to number it; a sample that fell otherwise the
+    second time would move the ranges, so the ranges' bounds are taken once and applied as a condition.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*order)
+    dealt = rows.repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("least"))
+    bounds = sorted((r["least"] for r in dealt.collect()), key=tuple)
+    at = F.lit(0)
+    if bounds:
+        names = F.array(*[F.struct(*[F.lit(b[c]).cast(rows.schema[c].dataType).alias(c) for c in order]) for b in bounds])
+        at = F.size(F.filter(names, lambda b: b <= key)) - 1
+    placed = rows.withColumn("_part", at)
+    sums = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return placed.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_start")
 
 
 def column_coverage(observations: DataFrame) -> DataFrame:

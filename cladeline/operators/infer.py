@@ -7,6 +7,7 @@ BATCH_BYTES, whatever the tree's size.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,11 +41,13 @@ def collect_tree(nodes: DataFrame) -> tuple[Tree, np.ndarray]:
 def dense_masks(pdf: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
     """[site, node], 15 where nothing was observed."""
     out = np.full((len(pdf), len(ids)), 15, np.int64)
-    for k, (nodes, masks) in enumerate(zip(pdf["nodes"], pdf["masks"], strict=True)):
-        at = np.searchsorted(ids, nodes)
-        if len(at) and (at.max() >= len(ids) or (ids[at] != np.asarray(nodes)).any()):
+    counts = pdf["nodes"].map(len).to_numpy()
+    if counts.sum():
+        nodes, masks = (np.concatenate(pdf[c].to_numpy()).astype(np.int64) for c in ("nodes", "masks"))
+        at = np.minimum(np.searchsorted(ids, nodes), len(ids) - 1)
+        if (ids[at] != nodes).any():
             raise ValueError("an observed node is not in the tree")
-        out[k, at] = masks
+        out[np.repeat(np.arange(len(pdf)), counts), at] = masks
     return out
 
 
@@ -77,6 +80,10 @@ class Inference:
         problem = self.problem
         return self._map(sites, [], "site long, log_likelihood double", lambda pdf, m: pd.DataFrame({"site": pdf["site"], "log_likelihood": kernels.log_likelihoods(problem, m)}))
 
+    def likelihoods(self, sites: DataFrame) -> DataFrame:
+        """site, likelihood, which is 0 where its logarithm is too small."""
+        return self.log_likelihoods(sites).select("site", F.exp("log_likelihood").alias("likelihood"))
+
     def category_posteriors(self, sites: DataFrame) -> DataFrame:
         problem = self.problem
 
@@ -154,6 +161,42 @@ class Inference:
         return self._map(sites, [], "site long, category long, states array<long>", run)
 
 
+class Resident:
+    """A problem that is evaluated again and again, and what is worked out anew before each time.
+
+    full-input-update: sites and factors; factor-update: factors only, over sites that are kept as a written table;
+    fixed-model: neither.  ``timings`` has, by evaluation, the seconds of preparing, of running, and of both.
+    """
+
+    def __init__(self, tree: Tree, ids: np.ndarray, sites: DataFrame, folder: str):
+        self.tree, self.ids, self.source, self.folder = tree, ids, sites, folder
+        self.kept: DataFrame | None = None
+        self.inference: Inference | None = None
+        self.turn = 0
+        self.timings: list[dict[str, float]] = []
+
+    def evaluate(self, mode: str, model: NucleotideModel | None = None, mixture: RateMixture | None = None) -> float:
+        """The sum of the log-likelihoods of all sites."""
+        if mode not in ("full-input-update", "factor-update", "fixed-model"):
+            raise ValueError(f"no mode {mode}")
+        if mode != "full-input-update" and self.kept is None or mode == "fixed-model" and self.inference is None:
+            raise ValueError(f"{mode} needs an evaluation before it")
+        began = time.perf_counter()
+        if mode == "full-input-update":
+            path, self.turn = f"{self.folder}/sites-{self.turn}", self.turn + 1
+            self.source.write.parquet(path)
+            self.kept = self.source.sparkSession.read.parquet(path)
+        if mode != "fixed-model":
+            if model is None:
+                raise ValueError(f"{mode} needs a model")
+            self.inference = Inference(self.tree, self.ids, model, mixture)
+        ready = time.perf_counter()
+        total = self.inference.log_likelihoods(self.kept).agg(F.sum("log_likelihood")).first()[0]
+        ended = time.perf_counter()
+        self.timings.append({"prepare_s": ready - began, "run_s": ended - ready, "wall_s": ended - began})
+        return total
+
+
 def weighted_total(scored: DataFrame) -> DataFrame:
     """scored (log_likelihood, weight) -> n_patterns, n_sites, total."""
     return scored.agg(F.count("*").alias("n_patterns"), F.sum("weight").alias("n_sites"), F.sum(F.col("weight") * F.col("log_likelihood")).alias("total"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import io
 import re
 import tarfile
@@ -13,44 +14,72 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.randomness import Stream
-from ..sources.text import SEQUENCES, parse_fasta, parse_newick, write_newick
+from ..sources.text import SEQUENCES, fasta_records, parse_newick, write_newick
 from .encode import column_coverage, decode
 
-#: A member of an archive may be so large.
+#: A member of an archive may be so large.  Members are read as streams, so this bounds a task's time and not its memory.
 MOST_BYTES = 16 << 30
 FASTA_NAME = re.compile(r"\.(fa|fas|fasta|fna)$", re.I)
 
 
-def archive_fasta(content: bytes, most: int = MOST_BYTES) -> str:
-    """Text of the one FASTA member of a zip or a tar archive, plain or compressed."""
-    if zipfile.is_zipfile(io.BytesIO(content)):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            names = [i for i in z.infolist() if FASTA_NAME.search(i.filename)]
-            _one(names, [i.file_size for i in names], most)
-            return z.read(names[0]).decode()
-    with tarfile.open(fileobj=io.BytesIO(content)) as t:
-        members = [m for m in t.getmembers() if m.isfile() and FASTA_NAME.search(m.name)]
-        _one(members, [m.size for m in members], most)
-        return t.extractfile(members[0]).read().decode()
-
-
-def _one(found: list, sizes: list[int], most: int) -> None:
+@contextlib.contextmanager
+def archive_fasta(content: bytes | io.IOBase, most: int = MOST_BYTES):
+    """The one FASTA member of a zip or a tar archive, plain or compressed, as a stream of bytes."""
+    stream = io.BytesIO(content) if isinstance(content, bytes) else content
+    if zipfile.is_zipfile(stream):
+        with zipfile.ZipFile(stream) as z:
+            found = [i for i in z.infolist() if FASTA_NAME.search(i.filename)]
+            with z.open(_one(found, [i.file_size for i in found], most)) as f:
+                yield f
+        return
+    stream.seek(0)
+    with tarfile.open(fileobj=stream) as t:
+        found = [m for m in t.getmembers() if m.isfile() and FASTA_NAME.search(m.name)]
+        with t.extractfile(_one(found, [m.size for m in found], most)) as f:
+            yield f
+
+
+def _one(found: list, sizes: list[int], most: int):
     if len(found) != 1:
         raise ValueError(f"an archive has one FASTA member, not {len(found)}")
     if sizes[0] > most:
         raise ValueError(f"a member has at most {most} bytes")
+    return found[0]
 
 
-def archived_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """SEQUENCES rows of the archives under a path, each archive being one task's work."""
+def tar_of(members: dict[str, bytes]) -> bytes:
+    """A compressed tar archive."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        for name, data in members.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def archived(archives: DataFrame) -> DataFrame:
+    """archives (path, content) -> SEQUENCES rows, record by record: a task holds an archive and one record of it unpacked."""
 
     def run(batches):
         for pdf in batches:
             for where, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = [(where, *r) for r in parse_fasta(archive_fasta(bytes(content)))]
-                yield pd.DataFrame(rows, columns=["alignment_id", "record_idx", "name", "sequence"])
+                with archive_fasta(bytes(content)) as f:
+                    held: list[tuple] = []
+                    for k, (name, sequence) in enumerate(fasta_records(f)):
+                        held.append((where, k, name, sequence))
+                        if sum(len(r[3]) for r in held) > 4_000_000:
+                            yield pd.DataFrame(held, columns=["alignment_id", "record_idx", "name", "sequence"])
+                            held = []
+                    if held:
+                        yield pd.DataFrame(held, columns=["alignment_id", "record_idx", "name", "sequence"])
+
+    return archives.select("path", "content").mapInPandas(run, SEQUENCES)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SEQUENCES)
+
+def archived_sequences(spark: SparkSession, path: str) -> DataFrame:
+    """SEQUENCES rows of the archives under a path that Spark reads, each archive (2 GiB at most, as Spark's binary cells) one task's work."""
+    return archived(spark.read.format("binaryFile").load(path))
 
 
 def pattern_weights(spark: SparkSession, path: str, expected: int) -> DataFrame:
@@ -75,12 +104,26 @@ def cut_labels(text: str, codec: str = "iso-8859-1") -> str:
     return write_newick([(n, p, label.split(",")[0].strip() if n not in parents else label, x) for n, p, label, x in nodes])
 
 
+def _shortest_17():
+    """Column function: 17 significant digits, as printf's %.17g writes them; the JVM's formatter has no such form."""
+
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None or v != v else format(v, ".17g"))
+
+    return run
+
+
 def canonical_dataset(name: Column) -> Column:
-    """Numbers at the end of a synthetic identity in one spelling: counts without leading zeros, the height at full precision."""
-    pattern = r"^(synthetic-jc69-.*?|synthetic-jc69)-0*(\d+)-0*(\d+)-([0-9.]+(?:[eE][+-]?\d+)?)$"
+    """The end of a synthetic identity in one spelling: two counts without leading zeros, the height with 17 significant digits.
+
+    Names that do not end so stay as they are.
+    """
+    pattern = r"^(synthetic-jc69-?.*?)-([+-]?[0-9]+)-([+-]?[0-9]+)-([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)$"
     part = lambda k: F.regexp_extract(name, pattern, k)
-    height = F.regexp_replace(F.try_to_number(part(4), F.lit("999.99999999999999999")).cast("double").cast("string"), r"\.0$", "")
-    return F.when(part(2) != "", F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("-"), F.coalesce(height, part(4)))).otherwise(name)
+    count = lambda k: part(k).try_cast("long").cast("string")
+    spelt = F.concat_ws("-", part(1), count(2), count(3), _shortest_17()(part(4).try_cast("double")))
+    return F.when(part(2) != "", spelt).otherwise(name)
 
 
 def two_pass(sequences: DataFrame, fraction: float, checkpoint: str) -> tuple[DataFrame, DataFrame]:
@@ -102,24 +145,17 @@ def two_pass(sequences: DataFrame, fraction: float, checkpoint: str) -> tuple[Da
 
 
 def simulate_by_depth(nodes: list[tuple[int, int | None, str, float]], sites: int, seed: int) -> dict[str, str]:
-    """Leaf label -> sequence under Jukes-Cantor: nodes in depth-first order, a node's sites together.
+    """Leaf label -> sequence under Jukes-Cantor: the root's sites are drawn first, then edge by edge a node's sites,
+    edges by the preorder of their parents and the last child first.
 
-    A site keeps its parent's state with probability 1/4 + 3/4 exp(-4t/3) and else takes one of the other three.
+    A site keeps its parent's state with probability 1/4 + 3/4 exp(-4t/3) and else takes one of the other three by a
+    further draw.  ``nodes`` are in preorder, as parsers give them.
     """
-    kids: dict[int | None, list[int]] = {}
-    for node, parent, _, _ in nodes:
-        kids.setdefault(parent, []).append(node)
-    rng, out = Stream(seed), {}
-    root = kids[None][0]
-    stack = [(root, [rng.below(4) for _ in range(sites)])]
-    while stack:
-        node, states = stack.pop()
-        below = kids.get(node, [])
-        if not below:
-            out[nodes[node][2]] = "".join("ACGT"[s] for s in states)
-        for child in reversed(below):
-            same = 0.25 + 0.75 * float(np.exp(-4.0 * nodes[child][3] / 3.0))
-            stack.append((child, [s if rng.unit() < same else (s + 1 + rng.below(3)) % 4 for s in states]))
-    return out
-
-
+    rng, inner = Stream(seed), {p for _, p, _, _ in nodes}
+    states = {nodes[0][0]: np.array([rng.below(4) for _ in range(sites)], np.int8)}
+    for node, parent, _, length in sorted(nodes[1:], key=lambda n: (n[1], -n[0])):
+        above, keep = states[parent], 0.25 + 0.75 * float(np.exp(-4.0 * length / 3.0))
+        step = np.fromiter((0 if rng.unit() < keep else 1 + rng.below(3) for _ in range(sites)), np.int8, sites)
+        states[node] = (above + step) % 4
+    letters = np.frombuffer(b"ACGT", np.uint8)
+    return {label: letters[states[node]].tobytes().decode() for node, _, label, _ in nodes if node not in inner}

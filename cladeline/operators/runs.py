@@ -3,22 +3,30 @@
 from __future__ import annotations
 
 import hashlib
+import re
+import subprocess
 import time
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 from statistics import median
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.generate import default_lengths, simulate_jukes_cantor, topology, unique_patterns
 from ..functions.models import NucleotideModel, RateMixture, discrete_gamma, gtr, hky, jukes_cantor
-from .report import declarations, markers, sessions
+from ..functions.randomness import sequence_seed, topology_seed
+from ..functions.trees import Tree, floor_lengths
+from .report import declarations, marker_pairs, markers, sessions, to_resume
 
 # The frequencies and exchangeabilities of the presets.
 PRESET_PI = (0.3, 0.2, 0.2, 0.3)
 PRESET_EXCH = (1.2, 3.1, 0.7, 1.8, 4.6, 0.9)
 
+# What is worked out anew before each run.
 MODES = ("full-input-update", "factor-update", "fixed-model")
 
 
@@ -75,6 +83,113 @@ class Options:
         return hashlib.sha256("\n".join(f"{k}={v}" for k, v in sorted(asdict(self).items())).encode()).hexdigest()
 
 
+# The options' names on a command line, and what each is called here.
+FLAGS = {
+    "leaves": "leaves", "sites": "sites", "topology": "topology", "replicate": "replicate", "seed": "seed", "site-batch": "site_batch",
+    "benchmark-mode": "mode", "substitution-model": "model", "hky-kappa": "kappa", "substitution-rate": "rate", "rate-categories": "categories",
+    "gamma-shape": "gamma_shape", "root-to-tip-distance": "height", "minimum-branch-length": "minimum_length", "repeats": "repeats",
+    "newick": "tree", "alignment": "alignment", "pattern-weights": "weights",
+}
+
+
+def parse_options(words: Sequence[str]) -> Options:
+    """Options of ``--name value`` or ``--name=value`` words; an unknown name, one given twice, a value that is missing or no number is refused."""
+    kinds, given, at = {f.name: f.type for f in fields(Options)}, {}, 0
+    while at < len(words):
+        name, eq, value = words[at].removeprefix("--").partition("=")
+        at += 1
+        if not words[at - 1].startswith("--") or name not in FLAGS:
+            raise ValueError(f"unknown option: {words[at - 1]}")
+        if not eq:
+            if at == len(words):
+                raise ValueError(f"no value: --{name}")
+            value, at = words[at], at + 1
+        if FLAGS[name] in given:
+            raise ValueError(f"given twice: --{name}")
+        kind = kinds[FLAGS[name]]
+        try:
+            given[FLAGS[name]] = int(value) if kind == "int" else float(value) if kind.startswith("float") else value
+        except ValueError:
+            raise ValueError(f"no number: --{name} {value}") from None
+    return Options(**given)
+
+
+@dataclass
+class Study:
+    """A problem to be run: a tree with lengths, its distinct columns, and what was done to it."""
+
+    tree: Tree
+    sites: DataFrame  # site, nodes, masks, weight
+    floored: int
+    shape: dict
+
+
+def make_problem(spark: SparkSession, options: Options) -> Study:
+    """The synthetic problem of some options: with a height, a clock-like tree with simulated sites, compressed; else distinct columns."""
+    seed = topology_seed(options.seed, options.leaves, options.replicate, options.topology)
+    parents = topology(options.topology, options.leaves, seed)
+    bare = Tree(parents, np.zeros(len(parents)))
+    lengths = bare.clock_like(options.height) if options.height else np.where(parents < 0, 0.0, default_lengths(len(parents), options.seed))
+    lengths, floored = floor_lengths(lengths, options.minimum_length)
+    lengths = np.where(parents < 0, 0.0, lengths)
+    tree = Tree(parents, lengths)
+    tips = F.array(*[F.lit(int(v)).cast("long") for v in tree.leaves])
+    if options.height:
+        masks = simulate_jukes_cantor(tree, options.sites, sequence_seed(seed, options.sites, options.height))
+        kinds, first, weight = np.unique(masks, axis=0, return_index=True, return_counts=True)
+        order = np.argsort(first)
+        rows = [(int(first[k]), kinds[k].tolist(), int(weight[k])) for k in order]
+        sites = spark.createDataFrame(rows, "site long, masks array<int>, weight long").select("site", tips.alias("nodes"), "masks", "weight")
+    else:
+        made = unique_patterns(spark, options.sites, options.leaves, options.seed)
+        cells = F.transform(F.sequence(F.lit(0), F.lit(options.leaves - 1)), lambda i: F.conv(F.substr(F.hex("masks"), 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
+        sites = made.select("site", tips.alias("nodes"), cells.alias("masks"), F.lit(1).cast("long").alias("weight"))
+    return Study(tree, sites, floored - int(options.minimum_length > 0), tree.shape())
+
+
+def memory_limit(host: Column, group: Column, percent: Column) -> Column:
+    """Bytes that a run may take: a share of the machine's memory or of the group's limit, if that is less; the share is from 20 to 90."""
+    fine = percent.between(20, 90)
+    share = F.floor(F.least(host, F.coalesce(group, host)) * percent / 100).cast("long")
+    return F.when(fine, share).otherwise(F.raise_error(F.concat(F.lit("a share from 20 to 90, not "), percent.cast("string"))).cast("long"))
+
+
+# How a run ends that did not fit in memory.
+CAPACITY_EXIT = 137
+CAPACITY_TEXT = re.compile(r"bad_alloc|out of memory|MemoryError|cannot allocate|OutOfMemoryError", re.I)
+
+
+def bounded(command: Sequence[str], limit: int | None = None, timeout: float | None = None) -> str:
+    """What a command prints, run with at most ``limit`` bytes of address space.
+
+    A run that memory ended (by its exit code or by what it says) raises CapacityError; any other failure RuntimeError.
+    """
+
+    def bound():
+        import resource
+
+        resource.setrlimit(resource.RLIMIT_AS, (limit, limit))
+
+    done = subprocess.run(list(command), capture_output=True, text=True, timeout=timeout, preexec_fn=bound if limit else None)
+    if done.returncode in (CAPACITY_EXIT, -9) or (done.returncode and CAPACITY_TEXT.search(done.stderr + done.stdout)):
+        raise CapacityError(f"{command[0]} did not fit")
+    if done.returncode:
+        raise RuntimeError(f"{command[0]} ended with {done.returncode}: {done.stderr[-500:]}")
+    return done.stdout
+
+
+def resumed(planned: DataFrame, run: Callable[[DataFrame], DataFrame], path: str, key: list[str]) -> DataFrame:
+    """All records under ``path`` after what was planned and is not yet there has been run and added."""
+    spark = planned.sparkSession
+    try:
+        done = spark.read.parquet(path)
+        left = to_resume(planned, done, key)
+    except AnalysisException:
+        left = planned
+    run(left).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 def descending(run: Callable[[int], object], start: int, least: int = 1) -> tuple[int, object, list[int]]:
     """(batch, result, batches that did not fit): halves the batch until a run fits."""
     failed, batch = [], start
@@ -124,13 +239,14 @@ def summary(samples: Sequence[float]) -> dict[str, float]:
 def protocol_blocks(lines: DataFrame, start: str, end: str = "progress") -> tuple[DataFrame, DataFrame]:
     """(blocks, faults) of a log: a block opens at a ``# start=value`` line and closes at ``# end k=v ...``.
 
-    blocks: file, session, opened, pairs (declarations win over what the closing line repeats).  faults: blocks
+    blocks: file, session, opened, pairs (the last declaration of a key, which wins over what the closing line repeats).  faults: blocks
     that another opens inside of, or that never close.
     """
     opened = F.regexp_extract("line", rf"^#\s*{start}=(.*)$", 1)
     rows = sessions(lines.withColumn("opened", opened), ["file"], "line_no", F.col("opened") != "").where("session > 0")
     key, value = F.regexp_extract("line", r"^#\s*(\w+)=(.*)$", 1), F.regexp_extract("line", r"^#\s*\w+=(.*)$", 1)
-    heads = rows.groupBy("file", "session").agg(F.max("opened").alias("opened"), F.min("line_no").alias("line_no"), F.map_from_entries(F.collect_list(F.when(key != "", F.struct(key, value)))).alias("declared"))
+    last = rows.groupBy("file", "session", key.alias("key")).agg(F.max("opened").alias("opened"), F.max_by(value, "line_no").alias("value"))
+    heads = last.groupBy("file", "session").agg(F.max("opened").alias("opened"), F.map_from_entries(F.collect_list(F.when(F.col("key") != "", F.struct("key", "value")))).alias("declared"))
     closing = markers(lines, end).withColumnRenamed("line_no", "closed_at")
     ends = rows.select("file", "session", F.col("line_no").alias("closed_at")).join(closing, ["file", "closed_at"])
     ends = ends.groupBy("file", "session").agg(F.min_by("pairs", "closed_at").alias("said"), F.count("*").alias("n"))
@@ -151,6 +267,25 @@ def distinct_protocols(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*columns).distinct()
 
 
+def agreement(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """by, protocols (how many distinct ones a group has), agrees."""
+    return rows.groupBy(*by).agg(F.count_distinct(F.struct(*columns)).alias("protocols")).withColumn("agrees", F.col("protocols") == 1)
+
+
+def rendered(lines: DataFrame, identity: list[str], milestones: Sequence[str] = (), steps: int = 10) -> DataFrame:
+    """file, line_no, kind, line of what is worth showing of a log: lines that name an error, markers of ``milestones``, and
+    ``# progress ... done=n total=m`` markers that reach a further tenth for their identity, are its first, or its last."""
+    said = lines.withColumn("pairs", marker_pairs(F.regexp_extract("line", r"^#\s*progress\s+(.*)$", 1)))
+    done, total = F.col("pairs")["done"].try_cast("double"), F.col("pairs")["total"].try_cast("double")
+    moving = said.withColumn("bucket", F.floor(F.try_divide(done * steps, total)).cast("int")).withColumn("ends", done >= total)
+    own = W.partitionBy("file", *[F.col("pairs")[k] for k in identity], F.col("bucket").isNull()).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
+    before = F.max("bucket").over(own)
+    shown = F.when(F.col("bucket").isNotNull(), F.when(before.isNull() | (F.col("bucket") > before) | F.col("ends"), "progress"))
+    marker = F.regexp_extract("line", r"^#\s*(\w+)", 1)
+    kind = F.coalesce(shown, F.when(marker.isin(*milestones) if milestones else F.lit(False), "milestone"), F.when(F.col("line").rlike(r"(?i)^[^#].*\berror\b|^[^#]\w*error:|^traceback"), "error"))
+    return moving.withColumn("kind", kind).where("kind IS NOT NULL").select("file", "line_no", "kind", "line")
+
+
 def run_identity(lines: DataFrame, override: str | None = None) -> str:
     """The one identity that all logs are marked with; an override counts only if none is marked."""
     marked = declarations(lines).where("key = 'run_identity'").select("file", "value")

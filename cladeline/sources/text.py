@@ -156,6 +156,40 @@ def parse_fasta(text: str, rna: bool = False, least: int = 1) -> list[tuple[int,
     return _alike([(n, s.replace("U", "T") if rna else s) for n, s in joined], least)
 
 
+def fasta_records(lines) -> Iterator[tuple[str, str]]:
+    """(name, sequence) of lines of bytes, one record held at a time; upper case, white space dropped, letters checked.
+
+    All sequences must be of one length.  Names that occur twice are for the caller to find: they are not held here.
+    """
+    name, parts, length, at = None, [], None, 0
+
+    def whole():
+        nonlocal length
+        sequence = "".join(parts)
+        if not sequence or length not in (None, len(sequence)):
+            raise ParseError("sequences must be of one length, and not empty", at)
+        length = len(sequence)
+        return name, sequence
+
+    for line in lines:
+        body = line.decode().strip()
+        if body.startswith(">"):
+            if name is not None:
+                yield whole()
+            words = body[1:].split()
+            if not words:
+                raise ParseError("sequence without name", at)
+            name, parts = words[0], []
+        elif body:
+            if name is None:
+                raise ParseError("text before the first header", at)
+            parts.append(_known("".join(body.split()).upper(), at))
+        at += len(line)
+    if name is None:
+        raise ParseError("no sequences", at)
+    yield whole()
+
+
 def parse_phylip(text: str, least: int = 1) -> list[tuple[int, str, str]]:
     """(record, name, sequence) of relaxed sequential or interleaved PHYLIP; later blocks may repeat the names."""
     lines = [line.strip() for line in text.splitlines() if line.strip()]
@@ -271,18 +305,56 @@ def phylip_sequences(texts: DataFrame) -> DataFrame:
     return _parsed(texts, parse_phylip, SEQUENCES)
 
 
+def faults(texts: DataFrame, parse) -> DataFrame:
+    """text, at: the texts (column ``text``) that a parser refuses, and the offset it names."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for text in pdf["text"]:
+                try:
+                    parse(text)
+                except ParseError as e:
+                    rows.append((text, e.at))
+            yield pd.DataFrame(rows, columns=["text", "at"])
+
+    return texts.select("text").mapInPandas(run, "text string, at int")
+
+
+def flat_families(texts: DataFrame) -> DataFrame:
+    """family, name, sequence, masked of flat files (path, text): the sequences of each family, whole and cut to its mask."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(f["family"], name, s, masked(s, f["mask"])) for text in pdf["text"] for f in parse_pandit(text) for name, s in f["sequences"]]
+            yield pd.DataFrame(rows, columns=["family", "name", "sequence", "masked"])
+
+    return texts.select("text").mapInPandas(run, "family string, name string, sequence string, masked string")
+
+
+def _local(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 class _NewickReader(DataSourceReader):
-    """One partition a file, on a file system that executors mount; for other stores see read_whole()."""
+    """One partition a file, on a file system that executors mount; for other stores see read_whole() and newick_nodes()."""
 
     def __init__(self, options: dict):
-        self.pattern = options["path"]
+        self.pattern = _local(options["path"])
 
     def partitions(self):
         import glob
         import os
 
-        found = [self.pattern] if os.path.isfile(self.pattern) else sorted(glob.glob(os.path.join(self.pattern, "*") if os.path.isdir(self.pattern) else self.pattern))
-        return [InputPartition(path) for path in found]
+        found = [self.pattern] if os.path.isfile(self.pattern) else glob.glob(os.path.join(self.pattern, "**") if os.path.isdir(self.pattern) else self.pattern, recursive=True)
+        files = sorted(f for f in found if os.path.isfile(f) and os.path.basename(f)[0] not in "._")
+        if not files:
+            raise ValueError(f"no files: {self.pattern}")
+        return [InputPartition(f) for f in files]
 
     def read(self, partition) -> Iterator[tuple]:
         with open(partition.value, encoding="utf-8") as f:
@@ -308,7 +380,7 @@ class FastaRangeReader(DataSourceReader):
     """Reads a FASTA file on a file system that executors mount, by byte ranges."""
 
     def __init__(self, options: dict):
-        self.path, self.step = options["path"], int(options.get("bytes_per_partition", 128 << 20))
+        self.path, self.step = _local(options["path"]), int(options.get("bytes_per_partition", 128 << 20))
 
     def partitions(self):
         import os
@@ -331,9 +403,14 @@ class FastaRangeReader(DataSourceReader):
                         yield (self.path, at, name, "".join(parts))
                     if not line or here >= stop:
                         return
-                    name, at, parts = line[1:].split()[0].decode(), here, []
+                    words = line[1:].split()
+                    if not words:
+                        raise ParseError("sequence without name", here)
+                    name, at, parts = words[0].decode(), here, []
                 elif name is not None:
-                    parts.append("".join(line.decode().split()).upper())
+                    parts.append(_known("".join(line.decode().split()).upper(), here))
+                elif line.strip() and not start:
+                    raise ParseError("text before the first header", here)
 
 
 class FastaSource(DataSource):

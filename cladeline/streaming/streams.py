@@ -64,16 +64,19 @@ def running_patterns(spark: SparkSession, sites: DataFrame, by: list[str]) -> Da
 
 
 def progress_milestones(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """event_id, user_id, bucket of the events that bring a user to a higher bucket; the state is the last bucket."""
+    """event_id, user_id, bucket of the events that bring a user to a higher bucket, are the first, or (``last``, where there is such
+    a column) the last; the state is the highest bucket.  Only a user's own events need an order, so they are dealt by user.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else -1
         rows = pd.concat(list(batches)).sort_values("event_id")
         before = rows["bucket"].cummax().shift(fill_value=last).clip(lower=last)
-        out = rows[rows["bucket"] > before]
+        out = rows[(rows["bucket"] > before) | rows["last"]]
         state.update((int(max(last, rows["bucket"].max())),))
         yield out[["event_id", "user_id", "bucket"]]
 
-    ordered = events.coalesce(1).sortWithinPartitions("event_id")
+    events = events if "last" in events.columns else events.withColumn("last", F.lit(False))
+    ordered = events.repartition("user_id").sortWithinPartitions("event_id")
     milestones = landed(spark, ordered, "events").groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, bucket long", "last long", "append", GroupStateTimeout.NoTimeout)
     return run_available(milestones, "append", "milestones")

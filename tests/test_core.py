@@ -126,6 +126,7 @@ def test_kernels_are_brute_force(mixture):
     np.testing.assert_allclose(kernels.assignment_log_weight(problem, joint["states"], joint["category"]), joint["log_weight"], atol=1e-12)
 
 
+# Results that are published or agreed on.
 def test_conformance_goldens():
     one, four = kernels.Problem(RAGGED, CONFORMANCE, RateMixture()), kernels.Problem(RAGGED, CONFORMANCE, discrete_gamma(0.7, 4))
     np.testing.assert_allclose(kernels.log_likelihoods(one, SITES), [-3.830602714362235, -4.338844121823586, -0.8753978468642998, -1.1114799554067978, -1.8469937476819682], rtol=1e-11)
@@ -183,6 +184,7 @@ def test_samples_follow_the_posterior():
 # --- generators
 
 
+# Fingerprints of simulated alignments.
 @pytest.mark.parametrize("kind, fingerprint", [("yule", 2641326333024873219), ("beta-critical", 10536925141760390345), ("uniform", 10735218043514194703), ("caterpillar", 5234058107032935918)])
 def test_simulation_fingerprints(kind, fingerprint):
     parents = generate.topology(kind, 32, 71)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from cladeline.sources.text import fasta_records
 from cladeline.operators import prepare, report, runs
 from cladeline.sources.text import parse_newick
 
@@ -33,10 +34,13 @@ def test_archives(spark, tmp_path, pack):
     (tmp_path / "a.bin").write_bytes(pack([("x/readme.txt", "no"), ("x/a.fasta", ">A\nACGT\n>B\nAC-T\n")]))
     rows = prepare.archived_sequences(spark, str(tmp_path)).orderBy("record_idx").collect()
     assert [(r.name, r.sequence) for r in rows] == [("A", "ACGT"), ("B", "AC-T")]
-    with pytest.raises(ValueError):
-        prepare.archive_fasta(pack([("a.fa", ">A\nA\n"), ("b.fa", ">A\nA\n")]))
-    with pytest.raises(ValueError):
-        prepare.archive_fasta(pack([("a.fa", ">A\nA\n")]), most=2)
+    with pytest.raises(ValueError), prepare.archive_fasta(pack([("a.fa", ">A\nA\n"), ("b.fa", ">A\nA\n")])):
+        pass
+    with pytest.raises(ValueError), prepare.archive_fasta(pack([("a.fa", ">A\nA\n")]), most=2):
+        pass
+    for broken in ("AC\n>A\nAC\n", ">A\nAC\n>B\nA\n", ">\nAC\n", ">A\nA!\n", ">A\n", ""):
+        with pytest.raises(ValueError), prepare.archive_fasta(pack([("a.fa", broken)])) as f:
+            list(fasta_records(f))
 
 
 def test_weights(spark, tmp_path):

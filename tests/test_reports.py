@@ -66,16 +66,77 @@ def test_best_batch_prefers_the_larger_of_equals(spark):
 
 def test_bins_stay_when_empty(spark):
     rows = spark.createDataFrame([(5, 1.0), (7, 3.0), (500, 2.0)], "taxa int, ratio double")
-    got = report.bin_summary(rows, "taxa", "ratio", [2, 100, 200]).orderBy("bin").collect()
-    assert [(r.label, r.n, r.median_ratio) for r in got] == [("[2,100)", 2, 2.0), ("[100,200)", 0, None), ("[200,inf)", 1, 2.0)]
+    got = report.bin_summary(rows, "taxa", "ratio", [0, 100, 2000, float("inf")]).orderBy("bin").collect()
+    assert [(r.label, r.n, r.median_ratio) for r in got] == [("1–99", 2, 2.0), ("100–1,999", 1, 2.0), ("≥2,000", 0, None)]
+    for edges in ([0, float("inf")], [1, 2, float("inf")], [0, 5, 5, float("inf")], [0, 1.5, float("inf")], [0, 1, 2]):
+        with pytest.raises(ValueError):
+            report.bin_summary(rows, "taxa", "ratio", edges)
+    with pytest.raises(PySparkException):
+        report.bin_summary(rows.withColumn("taxa", F.lit(-1)), "taxa", "ratio", [0, 1, float("inf")]).collect()
 
 
 def test_methods_and_scopes(spark):
-    rows = spark.createDataFrame([("cuda", None, None, None, "m", 1, 2), (None, "beagle", "cpu", 4, "full-input-update", 1, 2), (None, "beagle", "gpu", 1, "m", 2, 2)], "backend string, baseline string, resource string, threads int, mode string, batch int, patterns int")
+    rows = spark.createDataFrame([("cuda", None, None, None, "m", 1, 2), (None, "beagle", "cpu", 4, "full-input-update", 1, 2), (None, "beagle", "cuda", 1, "m", 2, 2)], "backend string, baseline string, resource string, threads int, mode string, batch int, patterns int")
     c = F.col
     got = rows.select(report.method_id(c("backend"), c("baseline"), c("resource"), c("threads")).alias("m"), report.measurement_scope(c("mode"), c("batch"), c("patterns")).alias("s"), report.expected_batches([1, 4], c("patterns")).alias("b")).collect()
-    assert [r.m for r in got] == ["cuda", "beagle-cpu:4", "beagle-gpu"] and [r.s[:3] for r in got] == ["sum", "com", "com"] and got[0].b == [1, 2]
+    assert [r.m for r in got] == ["cuda", "beagle_cpu_4t", "beagle_cuda"] and [r.s[:3] for r in got] == ["sum", "com", "com"] and got[0].b == [1, 2]
     assert rows.select(report.samples(F.lit("1.5|2|3")).alias("x")).first().x == [1.5, 2.0, 3.0]
+    with pytest.raises(PySparkException):
+        rows.where("baseline IS NOT NULL").select(report.method_id(c("backend"), c("baseline"), F.lit("tpu"), c("threads"))).collect()
+    for name, threads in (("beagle-cpu", "0"), ("beagle-cuda", "2"), ("cuda", "1")):
+        with pytest.raises(PySparkException):
+            rows.limit(1).select(report.capacity_method(F.lit(name), F.lit(threads))).collect()
+    batches = lambda want, n: rows.limit(1).select(report.expected_batches(want, F.lit(n)).alias("b")).first().b
+    assert [batches([512, 256], 300), batches([256, 512], 300), batches([], 7), batches([4, 4, 2], 9)] == [[300], [256, 300], [7], [4, 2, 9]]
+
+
+def test_strict_scans_and_pairs(spark):
+    lines = spark.createDataFrame([("a", k, x) for k, x in enumerate(["backend,ms,err", 'cuda,"1,5",2', "cuda,1,nan", "cuda,0,1", "cuda,1", "cuda,2,1"])], "file string, line_no int, line string")
+    records, rejects = report.log_records(lines, ["cuda"], ["backend"], ["ms"], {}, ["err", "study"], ["err"])
+    assert records.count() == 0 and {r.reason for r in rejects.collect()} == {"lacks study", "wrong number of fields"}
+    records, rejects = report.log_records(lines, ["cuda"], ["backend"], ["ms"], {}, [], ["err"])
+    assert [(r.line_no, r.reason) for r in rejects.orderBy("line_no").collect()] == [(1, "elapsed time not positive"), (2, "not finite: err"), (3, "elapsed time not positive"), (4, "wrong number of fields")]
+    with pytest.raises(ValueError, match="a:1"):
+        report.strict(records, rejects)
+    assert report.strict(records, rejects.limit(0)).count() == 1
+    with pytest.raises(ValueError, match="no records"):
+        report.strict(records.limit(0), rejects.limit(0))
+    rows = spark.createDataFrame([("x", 1, 2.0), ("y", 1, 4.0), ("x", 2, 1.0)], "m string, k int, v double")
+    assert [r.ratio for r in report.paired(rows, ["k"], "m", "x", "y", "v").collect()] == [2.0]
+    for broken in (rows, rows.unionByName(rows.where("m = 'y'")).where("k = 1")):
+        with pytest.raises(PySparkException):
+            report.paired(broken, ["k"], "m", "x", "y", "v", strict=True).collect()
+    with pytest.raises(PySparkException):
+        report.paired(rows.unionByName(rows.where("k = 1")), ["k"], "m", "x", "y", "v").collect()
+    with pytest.raises(ValueError):
+        report.select_records(rows.withColumn("dataset", F.lit("a")), "b")
+
+
+def test_encoding_is_one_to_one(spark):
+    leaves = spark.createDataFrame([(1, "a"), (2, "b")], "node_id long, label string")
+    fine = [("a", "AC"), ("b", "GT")]
+    assert encode.encode(leaves, spark.createDataFrame(fine, "name string, sequence string")).count() == 4
+    for broken in (fine[:1], [*fine, ("c", "AA")], [*fine, fine[0]]):
+        with pytest.raises(PySparkException):
+            encode.encode(leaves, spark.createDataFrame(broken, "name string, sequence string")).collect()
+    for first, count in ((0, 0), (-1, 2), (3, 2)):
+        with pytest.raises(ValueError):
+            encode.select_sites(leaves, first, count, 4)
+
+
+def test_bounded_runs():
+    import sys
+
+    from cladeline.operators import runs
+
+    assert runs.bounded([sys.executable, "-c", "print(7)"]).strip() == "7"
+    with pytest.raises(runs.CapacityError):
+        runs.bounded([sys.executable, "-c", "x = bytearray(4 << 30)"], limit=1 << 30)
+    with pytest.raises(runs.CapacityError):
+        runs.bounded([sys.executable, "-c", "import sys; sys.exit(137)"])
+    with pytest.raises(RuntimeError) as e:
+        runs.bounded([sys.executable, "-c", "import sys; sys.exit(3)"])
+    assert not isinstance(e.value, runs.CapacityError)
 
 
 def test_manifest(spark):
