@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import generate, models, randomness
+from ..functions import generate, models, randomness, trees
 from ..functions.models import RateMixture, discrete_gamma, gtr, hky, jukes_cantor
 from ..operators import corpus, encode, report
 from ..operators.infer import Inference, weighted_total
@@ -33,11 +33,17 @@ def query(text: str | None = None):
     return add
 
 
+def _whole() -> None:
+    from . import formats, logs, studies  # noqa: F401  each adds its queries
+
+
 def queries() -> dict:
+    _whole()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _whole()
     return dict(_sql)
 
 
@@ -197,17 +203,18 @@ def root_to_tip(spark, d):
 
 @query("SELECT CAST(count_if(l < 0.03) AS BIGINT) AS raised, round(sum(greatest(l, 0.03::DOUBLE)), 6) AS total FROM (SELECT 0.01::DOUBLE + 0.0001::DOUBLE * (s_suppkey % 1000) AS l FROM supplier)")
 def floor_lengths(spark, d):
-    length = F.col("branch_length")
-    return derive.tree_nodes(spark, d).where("node_id >= 31").agg(F.count_if(length < 0.03).alias("raised"), F.round(F.sum(F.greatest(length, F.lit(0.03))), 6).alias("total"))
+    tree, ids = derive.tree(spark, d)
+    lengths, raised = trees.floor_lengths(tree.lengths[ids >= 31], 0.03)
+    return _small(spark, [(raised, float(lengths.sum()))], "raised long, total double").withColumn("total", F.round("total", 6))
 
 
 _IUPAC_SQL = "CASE WHEN strpos('ACMGRSVTWYHKDB', upper(ch)) > 0 THEN strpos('ACMGRSVTWYHKDB', upper(ch)) WHEN upper(ch) = 'U' THEN 8 WHEN strpos('NX?-.', upper(ch)) > 0 THEN 15 END"
 
 
-@query(f"SELECT ch, CAST({_IUPAC_SQL} AS INTEGER) AS mask, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' AND ascii(ch) < 128 GROUP BY 1, 2")
+@query(f"SELECT hex(encode(ch)) AS ch, CAST({_IUPAC_SQL} AS INTEGER) AS mask, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?s).')) AS ch FROM documents) GROUP BY ALL")
 def iupac_decode(spark, d):
-    letters = read(spark, d, "documents").select(F.explode(F.split("text", "")).alias("ch")).where("ch <> '' AND ascii(ch) < 128")
-    return letters.groupBy("ch").count().select("ch", encode.decode(F.col("ch")).alias("mask"), F.col("count").alias("n"))
+    letters = read(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("ch"))
+    return letters.groupBy("ch").count().select(F.hex(F.col("ch").cast("binary")).alias("ch"), encode.decode(F.col("ch")).alias("mask"), F.col("count").alias("n"))
 
 
 _OBS_SQL = "SELECT l_orderkey % 512 AS site, 31 + l_suppkey AS node_id, bit_or(CAST(1 << CAST(l_partkey % 4 AS INTEGER) AS INTEGER)) AS mask FROM lineitem GROUP BY 1, 2"
@@ -243,7 +250,7 @@ def encode_anti_checks(spark, d):
 
 @query(f"SELECT CAST(site AS BIGINT) AS site, count(*) AS observed FROM ({_OBS_SQL}) WHERE site >= 100 AND site < 164 GROUP BY 1")
 def select_sites(spark, d):
-    return derive.observations(spark, d).where("site >= 100 AND site < 164").groupBy("site").agg(F.count("*").alias("observed"))
+    return encode.select_sites(derive.observations(spark, d), 100, 64, derive.SITES).groupBy("site").agg(F.count("*").alias("observed"))
 
 
 _NARROW_SQL = "SELECT site, " + ", ".join(f"coalesce(bit_or(CASE WHEN l_linenumber = {k} THEN CAST(1 << CAST(l_partkey % 4 AS INTEGER) AS INTEGER) END), 15) AS m{k}" for k in range(1, 5)) + " FROM (SELECT l_orderkey AS site, l_linenumber, l_partkey FROM lineitem) GROUP BY 1"
@@ -339,11 +346,11 @@ def hash_rank_excluded(spark, d):
     return corpus.first_by_rank(read(spark, d, "documents").select("doc_id", "lang"), rank, F.col("lang") == "en", 25)[1].select("doc_id", "lang")
 
 
-_EDGES = [100, 1000, 4000, 16000]
-_BIN_SQL = "CASE WHEN n_chars >= 16000 THEN 3 WHEN n_chars >= 4000 THEN 2 WHEN n_chars >= 1000 THEN 1 WHEN n_chars >= 100 THEN 0 END"
+_EDGES = [100, 1000, 4000, 16000, 40000]
+_BIN_SQL = "CASE WHEN n_chars >= 40000 THEN NULL WHEN n_chars >= 16000 THEN 3 WHEN n_chars >= 4000 THEN 2 WHEN n_chars >= 1000 THEN 1 WHEN n_chars >= 100 THEN 0 END"
 
 
-@query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(bin AS INTEGER) AS bin, CAST(place AS INTEGER) AS place FROM (SELECT doc_id, {_BIN_SQL} AS bin, row_number() OVER (PARTITION BY {_BIN_SQL} ORDER BY {_RANK_SQL}) AS place FROM documents WHERE n_chars >= 100) WHERE place <= 20")
+@query(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(bin AS INTEGER) AS bin, CAST(place AS INTEGER) AS place FROM (SELECT doc_id, {_BIN_SQL} AS bin, row_number() OVER (PARTITION BY {_BIN_SQL} ORDER BY {_RANK_SQL}) AS place FROM documents WHERE n_chars >= 100 AND n_chars < 40000) WHERE place <= 20")
 def stratified_topk(spark, d):
     rank = randomness.stable_rank("cladeline-rank", F.col("doc_id").cast("string"))
     return corpus.stratified(read(spark, d, "documents").select("doc_id", "n_chars"), F.col("n_chars"), _EDGES, rank, 20).select("doc_id", "bin", "place")
@@ -401,10 +408,10 @@ def heat_cells(spark, d):
     return report.heat_cells(_pairs(spark, d).withColumn("cell", F.col("problem") % 4), ["cell"]).withColumn("median_log2_ratio", F.round("median_log2_ratio", 6))
 
 
-@query(f"""WITH p AS ({_PAIRS}), b(bin, label, lo, hi) AS (VALUES (0, '[0,10)', 0, 10), (1, '[10,30)', 10, 30), (2, '[30,60)', 30, 60), (3, '[60,1e+06)', 60, 1000000), (4, '[1e+06,inf)', 1000000, 1000000000000))
+@query(f"""WITH p AS ({_PAIRS}), b(bin, label, lo, hi) AS (VALUES (0, '1–9', 0, 10), (1, '10–29', 10, 30), (2, '30–59', 30, 60), (3, '60–999,999', 60, 1000000), (4, '≥1,000,000', 1000000, 1000000000000))
 SELECT CAST(bin AS INTEGER) AS bin, label, count(ratio) AS n, round(median(ratio), 6) AS median_ratio, round(min(ratio), 6) AS min_ratio, round(max(ratio), 6) AS max_ratio FROM b LEFT JOIN p ON problem >= lo AND problem < hi GROUP BY 1, 2""")
 def taxa_bins(spark, d):
-    out = report.bin_summary(_pairs(spark, d), "problem", "ratio", [0, 10, 30, 60, 1_000_000])
+    out = report.bin_summary(_pairs(spark, d), "problem", "ratio", [0, 10, 30, 60, 1_000_000, float("inf")])
     return out.select("bin", "label", "n", *[F.round(c, 6).alias(c) for c in ("median_ratio", "min_ratio", "max_ratio")])
 
 
@@ -426,12 +433,12 @@ def grid_completeness(spark, d):
 
 
 _LIMITS = "SELECT l_suppkey AS problem, max(l_linenumber) AS lim FROM lineitem WHERE l_quantity >= 49 GROUP BY 1"
-_DONE = "SELECT DISTINCT l_suppkey AS problem, l_linenumber AS batch FROM lineitem WHERE l_quantity < 2"
+_DONE = "SELECT DISTINCT l_suppkey AS problem, l_linenumber AS batch FROM lineitem WHERE l_quantity < 2 AND l_linenumber > 3 AND l_suppkey % 2 = 0"
 
 
 def _limits(spark, d) -> tuple[DataFrame, DataFrame]:
     lines = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("problem"), F.col("l_linenumber").alias("batch"), "l_quantity")
-    return lines.where("l_quantity >= 49").groupBy("problem").agg(F.max("batch").alias("lim")), lines.where("l_quantity < 2").select("problem", "batch").distinct()
+    return lines.where("l_quantity >= 49").groupBy("problem").agg(F.max("batch").alias("lim")), lines.where("l_quantity < 2 AND batch > 3 AND problem % 2 = 0").select("problem", "batch").distinct()
 
 
 @query(f"WITH l AS ({_LIMITS}), s AS ({_DONE}) SELECT CAST(problem AS BIGINT) AS problem, CAST(lim AS INTEGER) AS lim FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.problem = l.problem AND s.batch < l.lim)")
@@ -486,10 +493,12 @@ def error_metrics(spark, d):
     return out.select("n", F.round("max_abs", 6).alias("max_abs"), F.round("max_rel", 9).alias("max_rel"), "mismatches")
 
 
-@query("SELECT CAST(s_suppkey AS BIGINT) AS problem, array_to_string(list_distinct_in_order, ',') AS batches FROM (SELECT s_suppkey, list_sort(list_distinct([least(256, s_suppkey * 9 + 1), least(512, s_suppkey * 9 + 1), least(1024, s_suppkey * 9 + 1), s_suppkey * 9 + 1])) AS list_distinct_in_order FROM supplier)")
+@query("""SELECT CAST(s_suppkey AS BIGINT) AS problem, CASE WHEN n <= 512 THEN CAST(n AS VARCHAR) WHEN n <= 1024 THEN CASE WHEN n = 1024 THEN '512,256,1024' ELSE '512,256,' || n END ELSE '512,256,1024,' || n END AS batches
+FROM (SELECT s_suppkey, s_suppkey * 37 + 1 AS n FROM supplier)""")
 def expected_batches(spark, d):
-    batches = report.expected_batches([256, 512, 1024], F.col("s_suppkey") * 9 + 1)
-    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("problem"), F.array_join(F.array_sort(batches), ",").alias("batches"))
+    """Requested in an order that is not rising: the first batch that holds everything ends the list."""
+    batches = report.expected_batches([512, 256, 1024], F.col("s_suppkey") * 37 + 1)
+    return read(spark, d, "supplier").select(F.col("s_suppkey").alias("problem"), F.array_join(batches, ",").alias("batches"))
 
 
 @query("SELECT CAST(s_suppkey AS BIGINT) AS problem, CAST(greatest(1, least(5, 20000000 // ((2 * (s_suppkey * 100 + 2) - 1) * 256))) AS BIGINT) AS repeats FROM supplier")
