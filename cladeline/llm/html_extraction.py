@@ -50,7 +50,7 @@ NEXT_BUT_ONE = 20
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "main", "frame", "number")
+    __slots__ = ("tag", "parent", "main", "frame", "header", "number")
 
     def __init__(self, tag: str, parent, attributes: str, number: int):
         self.tag, self.parent, self.number = tag, parent, number
@@ -62,10 +62,11 @@ class _Element:
             frame = frame or (tag not in ("html", "body", "main", "article") and bool(words & NOISE))
         self.main = parent.main or main
         self.frame = parent.frame or frame
+        self.header = tag not in MAIN and (parent.header or tag == "header")
 
 
 class _Root:
-    tag, parent, main, frame, number = "", None, False, False, -1
+    tag, parent, main, frame, header, number = "", None, False, False, False, -1
 
 
 def blocks(page: str) -> list[tuple[str, _Element, int]]:
@@ -136,11 +137,8 @@ def evidence(text: str, element: _Element, linked: int) -> int:
         score += HEADING
     if e.main:
         score += IN_MAIN
-        while e.parent is not None and e.tag not in MAIN:
-            if e.tag == "header" and element.tag not in HEADINGS:
-                score -= IN_MAIN + 200
-                break
-            e = e.parent
+        if e.header and e.tag not in HEADINGS:
+            score -= IN_MAIN + 200
     if element.frame:
         score += IN_FRAME
     return score
@@ -198,26 +196,33 @@ def minimum_cut(capacity: list[int], edges: list[tuple[int, int, int]]) -> list[
                     links[link[0]][link[2]][1] += flow
 
 
-def main_text(page: str | None) -> str:
+def smoothness(a: _Element, b: _Element) -> int:
+    """What it costs to part two neighbours: the nearer they stand in the page, the more; little where a frame begins or ends."""
+    if a.frame != b.frame:
+        return NEAR[2]
+    over_a, over_b = a.parent, b.parent
+    if a is b or over_a is over_b or a is over_b or over_a is b:
+        return NEAR[0]
+    if over_a is not None and over_b is not None and (over_a.parent is over_b.parent or over_a is over_b.parent or over_a.parent is over_b):
+        return NEAR[1]
+    return NEAR[2]
+
+
+def labelled(found: list[tuple[str, _Element, int]], edges: bool = True) -> list[bool]:
+    """Which blocks are main text; without ``edges`` each by its own evidence."""
+    links = []
+    for k in range(1, len(found) if edges else 0):
+        a, b = found[k - 1][1], found[k][1]
+        links.append((k - 1, k, smoothness(a, b)))
+        if k > 1 and found[k - 2][1].parent is b.parent and found[k - 2][1].frame == b.frame:
+            links.append((k - 2, k, NEXT_BUT_ONE))
+    return minimum_cut([evidence(*block) for block in found], links)
+
+
+def main_text(page: str | None, edges: bool = True) -> str:
     """The main text: its blocks, white space inside them made one space, joined by empty lines."""
     found = blocks(page) if page else []
-    if not found:
-        return ""
-    edges = []
-    for k in range(1, len(found)):
-        a, b = found[k - 1][1], found[k][1]
-        pa_, pb = a.parent, b.parent
-        if a is b or pa_ is pb or a is pb or pa_ is b:
-            near = NEAR[0]
-        elif pa_ is not None and pb is not None and (pa_.parent is pb.parent or pa_ is pb.parent or pa_.parent is pb):
-            near = NEAR[1]
-        else:
-            near = NEAR[2]
-        edges.append((k - 1, k, near))
-        if k > 1 and found[k - 2][1].parent is pb:
-            edges.append((k - 2, k, NEXT_BUT_ONE))
-    side = minimum_cut([evidence(*block) for block in found], edges)
-    return "\n\n".join(block[0] for block, inside in zip(found, side, strict=True) if inside)
+    return "\n\n".join(block[0] for block, inside in zip(found, labelled(found, edges), strict=True) if inside)
 
 
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
