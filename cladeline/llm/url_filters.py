@@ -6,8 +6,9 @@ nest or are disjoint.  Keys of pages and both ends of every interval are sorted
 window sweeps over them and holds the stack of the rules that are open.  A page tests the paths of the
 rules on its stack and takes the longest.
 
-Each sweep lane gets a share of the pages, dealt by row number and so even whatever the hosts are, and
-a copy of the interval ends.  The rules are a configuration of at most MAX_RULES; more are refused.
+Each sweep lane gets a share of the pages, about LANE_ROWS, dealt by row number and so even whatever the hosts are, and
+a copy of the interval ends.  Rules are swept SWEEP_RULES at a time, so that a lane's copy stays small however many there are;
+the best rule of one sweep meets that of the next.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Window as W
 
 from .common import partitions, table
 
-MAX_RULES = 10_000
+SWEEP_RULES, LANE_ROWS = 10_000, 1_000_000
 
 RULES = (
     ("allow", "com/"),
@@ -50,8 +51,6 @@ def host_key(host: Column) -> Column:
 
 def rule_events(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> tuple[DataFrame, int]:
     """Both ends of each rule host's interval, and how deep intervals nest."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules, not {len(rules)}")
     by_key: dict[str, list[tuple[str, str, str, int]]] = {}
     for action, rule in rules:
         host, slash, path = rule.partition("/")
@@ -80,39 +79,17 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defau
     ``pages`` named like a result are replaced; others are kept.  An empty table gives an empty one.
     """
     spark = pages.sparkSession
-    events, deepest = rule_events(spark, rules)
-    lanes = partitions(spark)
+    lanes = max(partitions(spark), pages.count() // LANE_ROWS)
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    item = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("item")
-    rule_type = events.schema["opened"].dataType
-    urls = pages.select(
-        host_key(host_of(url)).alias("key"),
-        F.lit(2).alias("ord"),
-        F.lit(0).alias("delta"),
-        F.lit(0).alias("level"),
-        F.lit(None).cast(rule_type).alias("opened"),
-        path_of(url).alias("path"),
-        host_of(url).alias("host"),
+    swept = pages.select(
+        host_key(host_of(url)).alias("key"), host_of(url).alias("host"), path_of(url).alias("path"),
         F.pmod(F.monotonically_increasing_id(), F.lit(lanes)).cast("int").alias("lane"),
-        item,
-    )
-    ends = events.select(
-        "key", "ord", "delta", "level", "opened",
-        F.lit("").alias("path"), F.lit("").alias("host"),
-        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
-        F.lit(None).cast(urls.schema["item"].dataType).alias("item"),
+        F.lit(None).cast("struct<n:int,rule:string,action:string>").alias("best"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("item"),
     )
-    sweep = W.partitionBy("lane").orderBy("key", "ord").rowsBetween(W.unboundedPreceding, W.currentRow)
-    swept = urls.unionByName(ends).select(
-        "ord", "item", "host", "path",
-        F.sum("delta").over(sweep).alias("depth"),
-        *[F.last(F.when(F.col("level") == k, F.col("opened")), True).over(sweep).alias(f"open_{k}") for k in range(1, deepest + 1)],
-    ).where("ord = 2")
-    stack = [F.when(F.col("depth") >= k, F.col(f"open_{k}")) for k in range(1, deepest + 1)]
-    active = F.flatten(F.array_compact(F.array(*stack))) if stack else F.lit(None).cast(rule_type)
-    fits = F.filter(active, lambda r: F.startswith(F.col("path"), r["path"]))
-    best = F.array_min(F.transform(fits, lambda r: F.struct((-r["length"]).alias("n"), r["rule"].alias("rule"), r["action"].alias("action"))))
-    return swept.withColumn("best", best).select(
+    for a in range(0, len(rules), SWEEP_RULES):
+        swept = _sweep(swept, *rule_events(spark, rules[a : a + SWEEP_RULES]), lanes)
+    return swept.select(
         *[F.col("item").getField(c).alias(c) for c in kept],
         "host",
         "path",
@@ -121,6 +98,28 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defau
     )
 
 
+def _sweep(urls: DataFrame, events: DataFrame, deepest: int, lanes: int) -> DataFrame:
+    """urls with the better of ``best`` and the best of these rules."""
+    held = ["host", "path", "best", "item"]
+    opened = events.schema["opened"].dataType
+    rows = urls.select("key", F.lit(2).alias("ord"), F.lit(0).alias("delta"), F.lit(0).alias("level"), F.lit(None).cast(opened).alias("opened"), "lane", *held)
+    ends = events.select(
+        "key", "ord", "delta", "level", "opened",
+        F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"),
+        *[F.lit(None).cast(urls.schema[c].dataType).alias(c) for c in held],
+    )
+    over = W.partitionBy("lane").orderBy("key", "ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = rows.unionByName(ends).select(
+        "key", "ord", "lane", *held,
+        F.sum("delta").over(over).alias("depth"),
+        *[F.last(F.when(F.col("level") == k, F.col("opened")), True).over(over).alias(f"open_{k}") for k in range(1, deepest + 1)],
+    ).where("ord = 2")
+    stack = [F.when(F.col("depth") >= k, F.col(f"open_{k}")) for k in range(1, deepest + 1)]
+    fits = F.filter(F.flatten(F.array_compact(F.array(*stack))), lambda r: F.startswith(F.col("path"), r["path"]))
+    here = F.array_min(F.transform(fits, lambda r: F.struct((-r["length"]).alias("n"), r["rule"].alias("rule"), r["action"].alias("action"))))
+    return swept.select("key", "lane", "host", "path", F.least("best", here).alias("best"), "item")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict")
