@@ -5,7 +5,8 @@ least padding; inside a bucket every document is padded to the boundary, and bat
 documents as the token budget allows.
 
 Lengths of 512 and more are counted by steps of at most 1/256 (rounded up), so the histogram has at most
-512 + 256 rows for each doubling, whatever the corpus is.
+512 + 256 rows for each doubling, whatever the corpus is.  Each boundary is then lowered to the longest document of its
+bucket, so a bucket is never longer than what is in it.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _on_grid(n):
     return (F.floor((n + step - 1) / step) * step).cast("long")
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: str = "text", store: Scratch | None = None) -> DataFrame:
     """doc_id, n_tokens, bucket, length (the bucket's boundary), batch (in the bucket), place (in the batch).
 
     A token is a word.  Null, empty and blank texts have none; they take one padded token in a batch.  Rows that repeat a
@@ -68,10 +69,15 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, text: st
     files.  A batch's documents times its bucket's length is at most the budget unless it is one document.
     An empty table gives an empty one.
     """
-    store = Scratch(docs.sparkSession, "pack")
+    store = store or Scratch(docs.sparkSession, "pack")
     rows = store.put(docs.select("doc_id", word_count(f"`{text}`").alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
     histogram = rows.groupBy(_on_grid(F.col("n_tokens")).alias("length")).count().orderBy("length").toPandas()
     cuts = boundaries(histogram["length"].to_numpy(), histogram["count"].to_numpy(), buckets)
+    longest = dict(zip(cuts, cuts, strict=True))
+    if cuts and cuts[-1] >= 512:
+        least = F.array_min(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c >= F.col("n_tokens")))
+        longest |= {r.cut: r.most for r in rows.groupBy(least.alias("cut")).agg(F.max("n_tokens").alias("most")).collect()}  # a row a bucket
+    cuts = [int(longest[c]) for c in cuts]
     parts = int(histogram["count"].sum()) // PART_ROWS + 1
     ladder = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
     above = F.filter(ladder, lambda c: c >= F.col("n_tokens"))
