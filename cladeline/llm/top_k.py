@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, table
+from .common import Scratch, partitions, table
 from .vectors import dimension, matrix, usable
 
 SCALE = 1024
-#: Queries of a chunk, rows of a lane (about), and candidates scored at once.
-CHUNK, LANE_ROWS, STRIP = 256, 8_192, 2_048
+#: Queries of a chunk and rows of a lane, about, which meet in one task; the longer both, the less is sent twice.
+CHUNK, LANE_ROWS = 4_096, 32_768
+#: Rows of a lane where there are fewer lanes than tasks; queries and candidates scored at once.
+LEAST_ROWS, PART, STRIP = 2_048, 256, 2_048
 
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
@@ -72,7 +74,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
 
     candidates = store.put(weighted(vectors), "candidates")
     asked = store.put(weighted(queries), "queries")
-    lanes, chunks = candidates.count() // LANE_ROWS + 1, asked.count() // CHUNK + 1
+    n = candidates.count()
+    lanes, chunks = max(n // LANE_ROWS + 1, min(partitions(spark), n // LEAST_ROWS + 1)), asked.count() // CHUNK + 1
     left = candidates.select("vec_id", "w", F.pmod(F.xxhash64("row"), F.lit(lanes)).alias("lane"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     right = asked.select("vec_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("q_lane"), F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("q_chunk"))
 
@@ -83,8 +86,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
             q_ids, q = asked.column("vec_id").to_numpy(), matrix(asked.column("w"), d, np.int64)
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], x[order]
-            for c in range(0, len(q), CHUNK):
-                part, part_ids = q[c : c + CHUNK], q_ids[c : c + CHUNK]
+            for c in range(0, len(q), PART):
+                part, part_ids = q[c : c + PART], q_ids[c : c + PART]
                 held: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(part)
                 for a in range(0, len(ids), STRIP):
                     strip = ids[a : a + STRIP]
@@ -121,6 +124,6 @@ def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS w FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+s AS (SELECT q.vec_id AS query_id, c.vec_id, max(CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT)) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id GROUP BY 1, 2)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
