@@ -21,7 +21,7 @@ from ..functions.trees import Tree
 from . import kernels
 
 BATCH_BYTES = 32 << 20
-#: Trees of more nodes are refused: they travel to every task.
+#: Trees of more nodes do not travel to every task; relational.log_likelihoods() prunes those as joins, of any size.
 MOST_NODES = 4_000_000
 
 
@@ -29,7 +29,7 @@ def collect_tree(nodes: DataFrame) -> tuple[Tree, np.ndarray]:
     """nodes (node_id, parent_id, branch_length) -> the tree over 0..n-1 and the node_id of each."""
     pdf = nodes.select("node_id", "parent_id", "branch_length").orderBy("node_id").limit(MOST_NODES + 1).toPandas()
     if len(pdf) > MOST_NODES:
-        raise ValueError(f"a tree has at most {MOST_NODES} nodes")
+        raise ValueError(f"a tree that goes to every task has at most {MOST_NODES} nodes; see relational.log_likelihoods")
     ids = pdf["node_id"].to_numpy(np.int64)
     parent = pdf["parent_id"].to_numpy(float)
     known = ~np.isnan(parent)

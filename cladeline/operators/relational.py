@@ -6,11 +6,14 @@ second route to the kernels' results.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.models import SpectralForm
+from ..streaming.streams import folder
 
 
 def _log(x):
@@ -24,17 +27,26 @@ def transition_rows(nodes: DataFrame, form: SpectralForm) -> DataFrame:
     return nodes.where("parent_id IS NOT NULL").select("node_id", "parent_id", F.explode(cells).alias("c")).select("node_id", "parent_id", "c.a", "c.b", "c.p")
 
 
+def depths(nodes: DataFrame) -> DataFrame:
+    """node_id, depth of every node, written once: each level is one join of the recursion, and is not worked out again."""
+    spark, view, path = nodes.sparkSession, f"nodes_{uuid.uuid4().hex}", folder(nodes.sparkSession, "depths")
+    nodes.createOrReplaceTempView(view)
+    try:
+        walk = spark.sql(f"""WITH RECURSIVE walk(node_id, depth) MAX RECURSION LEVEL 1000000 AS (
+          SELECT node_id, 0 FROM {view} WHERE parent_id IS NULL
+          UNION ALL SELECT n.node_id, w.depth + 1 FROM walk w JOIN {view} n ON n.parent_id = w.node_id)
+          SELECT node_id, depth FROM walk""")
+        walk.write.parquet(path)
+    finally:
+        spark.catalog.dropTempView(view)
+    return spark.read.parquet(path)
+
+
 def log_likelihoods(nodes: DataFrame, observations: DataFrame, form: SpectralForm, root_pi: np.ndarray) -> DataFrame:
     """site, log_likelihood.  Nodes without an observation are unknown; the root has none."""
-    depth, frontier = 0, nodes.where("parent_id IS NULL").select("node_id")
-    levels = []
-    while True:
-        below = nodes.join(frontier.withColumnRenamed("node_id", "up"), F.col("parent_id") == F.col("up")).select("node_id")
-        if below.isEmpty():
-            break
-        depth += 1
-        levels.append(below)
-        frontier = below
+    deep = depths(nodes)
+    deepest = deep.agg(F.max("depth")).first()[0] or 0
+    levels = [deep.where(F.col("depth") == k).select("node_id") for k in range(1, deepest + 1)]
     p = transition_rows(nodes, form)
     seen = observations.select("site", "node_id", F.explode(F.array(*[F.struct(F.lit(s).alias("b"), F.when(F.col("mask").bitwiseAND(F.lit(1 << s)) != 0, 0.0).otherwise(float("-inf")).alias("l")) for s in range(4)])).alias("s")).select("site", "node_id", "s.b", "s.l")
     partial = None
