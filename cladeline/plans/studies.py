@@ -229,7 +229,7 @@ _LINES = [
 
 
 @query("SELECT line, fault FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _LINES) + ") v(line, fault)")
-def option_faults(spark, d):
+def command_line_faults(spark, d):
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame({"line": pdf["line"], "fault": [_refused(lambda x=x: runs.parse_options(x.split())) for x in pdf["line"]]})
