@@ -7,7 +7,6 @@ What is found out about a block elsewhere is sent to its bucket; the texts thems
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -42,12 +41,8 @@ def located(docs: DataFrame, store: Scratch, rows: int, columns: list) -> DataFr
 
 def stored(located_docs: DataFrame, columns: list[str], store: Scratch, buckets: int) -> DataFrame:
     """PACKED rows of the documents in the shared folder, bucketed by block."""
-    store.count += 1
-    name, path = f"blocks_{uuid.uuid4().hex}", f"{store.root}/{store.count:03d}-blocks"
     packed = located_docs.select(*columns, "block").mapInArrow(packing(columns), PACKED)
-    with store.settings():
-        packed.write.bucketBy(buckets, "block").option("compression", "uncompressed").option("path", path).saveAsTable(name)
-    return store.spark.table(name)
+    return store.put_by(packed, "block", buckets, "blocks", deal=False, compression="uncompressed")
 
 
 def runs(values: np.ndarray) -> list[tuple[int, int]]:

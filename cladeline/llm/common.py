@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import gc
 import uuid
 
 import numpy as np
@@ -14,7 +13,9 @@ from pyspark.sql import functions as F
 
 #: Holds while a table is written here.  Texts are long, so Arrow batches are short.  Where the texts of some
 #: documents are picked by id, Spark may drop the others by a Bloom filter (8 MB at most) before it shuffles.
+#: A job's shuffle files go when its table is written.
 WRITE_CONF = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
@@ -39,14 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables in the shared folder that cut lineage: each put() writes Parquet and reads it back.
 
-    A lost executor then costs a re-read, not a recomputation of everything before.
-    drop() deletes tables that no returned frame reads.
+    A lost executor then costs a re-read, not a recomputation of everything before.  drop() deletes tables that no
+    returned frame reads, close() all of them; as a context, a store is closed by an error and else left as it is.
     """
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is not None:
+            self.close()
 
     @contextlib.contextmanager
     def settings(self):
@@ -59,24 +68,58 @@ class Scratch:
             for key, value in before.items():
                 self.spark.conf.unset(key) if value is None else self.spark.conf.set(key, value)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def _path(self, name: str) -> str:
         self.count += 1
-        path = f"{self.root}/{self.count:03d}-{name}"
+        return f"{self.root}/{self.count:03d}-{name}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = self._path(name)
         with self.settings():
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
+        out._scratch = path, None
+        return out
+
+    def put_by(self, df: DataFrame, key: str, buckets: int, name: str, deal: bool = True, compression: str = "zstd") -> DataFrame:
+        """put(), bucketed by a column: what is grouped or joined by it then stays where it lies.
+
+        Rows are dealt to their buckets first unless a task's rows belong to few of them anyhow.
+        """
+        path, own = self._path(name), f"{name}_{uuid.uuid4().hex}"
+        with self.settings():
+            df = df.repartition(buckets, key) if deal else df
+            df.write.bucketBy(buckets, key).option("compression", compression).option("path", path).saveAsTable(own)
+        self.tables.append(own)
+        out = self.spark.table(own)
+        out._scratch = path, own
         return out
 
-    def tidy(self) -> None:
-        """Lets Spark delete the shuffle files of finished jobs now and not when memory happens to be short."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            path, own = df._scratch
+            if own:
+                self.spark.sql(f"DROP TABLE IF EXISTS {own}")
+                self.tables.remove(own)
+            self._delete(path)
+
+    def close(self) -> None:
+        for own in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {own}")
+        self.tables = []
+        self._delete(self.root)
+
+
+#: Bytes of ids that go to every executor at most; see small().
+BROADCAST_BYTES = 64 << 20
+
+
+def small(ids: DataFrame, row_bytes: int = 24) -> DataFrame:
+    """A written table as the side of a join: sent to every executor if its counted rows fit BROADCAST_BYTES, else shuffled."""
+    return F.broadcast(ids) if ids.count() * row_bytes <= BROADCAST_BYTES else ids.hint("merge")
 
 
 def partitions(spark: SparkSession) -> int:

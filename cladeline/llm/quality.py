@@ -1,53 +1,61 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of trusted text, one for each language.
+"""Quality classifier: interpolated modified Kneser-Ney models of trusted text, two for each language.
 
-Symbols are characters, code points above 3071 folded to 1024 classes, so that a gram of ORDER = 4 fits
-48 bits.  The model is trained on all trusted documents: their gram counts are summed in shards, counts
-of lower orders are continuation counts, and every order has three discounts from its counts of
-counts.
+One is of characters, order ORDER, and knows how words are spelt; one is of words, order 2 (word_model), and knows
+which words there are and what follows what.  Both count all trusted documents but the quarter that is
+held out; gram counts are summed in shards, counts of lower orders are continuation counts, and every
+order has three discounts from its counts of counts.
 
-Scoring joins counts, it does not hand the model out: each block of documents lists its distinct grams
+Scoring joins counts, it does not hand the models out.  For characters, each block of documents lists its distinct grams
 by shard; the shards' distinct grams are joined with counts and contexts order by order, which gives
 each gram its log-probability; each block gets back what it asked for, meets its texts (compressed)
-and sums by document.  A task holds one block and its grams.
+and sums by document.  A task holds one block and its grams, or one shard's.
 
-A document is rejected if its smoothed mean log-loss is above its language's limit, the median of the
-trusted documents and SLACK times the way from there to their 99th percentile.  A language without
-trusted documents has no limit and rejects nothing.
+A document is rejected if its smoothed mean log-loss is above the UPPER quantile of the held-out trusted documents of its
+language, by characters or by words, or if that of its words by the lowest order alone is below the LOWER quantile of all
+trusted ones: text of a few common words again and again.  (The whole model would not do for this limit: it knows copies
+of what it was trained on.)  A language without held-out documents has no limits and rejects nothing.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from . import word_model
 from .blocks import located, runs, stored, unpacked
-from .common import Scratch, partitions, table, trimmed
+from .common import WORD_PATTERN, Scratch, partitions, small, table, trimmed
 from .shared_keys import planes, unplanes
 
 ORDER = 4
-BITS = 12
+#: Code points up to 65,535 are symbols as they are; those above share the 8,448 places of surrogates and private use.
+BITS = 16
 SYMBOLS = 1 << BITS
 #: Stands before the first character; no text keeps it (code point 1 counts as one more such mark).
 START = 1
 #: Documents of a block, and symbols handled at once.
 BLOCK_ROWS, PIECE = 4_096, 1_000_000
-#: Symbols of average text that a document's mean is smoothed with, so that a few characters prove little.
-PRIOR = 200
-UPPER, SLACK = 0.99, 2.5
+#: Characters and words of average text that a document's means are smoothed with, so that a few prove little.
+PRIOR, WORD_PRIOR = 200, 30
+#: Quantiles of trusted documents, and one in how many of these is held out.
+UPPER, LOWER, HELD_OUT = 0.998, 0.002, 4
 #: Steps of the log-loss by which quantiles are counted.
 STEP = 0.002
+#: Bytes of text to a shard of counts.
+SHARD_BYTES = 16 << 20
 #: Grams are dealt to shards by their remainder by this prime.
 PRIME = 1_000_003
 
 
 def symbols(text: str) -> np.ndarray:
     s = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(s < 3072, s, 3072 + s % 1024)
+    return np.where(s < 0x10000, s, 0xD800 + s % 0x2100)
 
 
 def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +186,16 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
 
 
 def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    press = zstandard.ZstdDecompressor().decompress
     model: dict[str, list] = defaultdict(list)
-    for lang, keys, logp in zip(answers.column("lang").to_pylist(), answers.column("keys"), answers.column("logp"), strict=True):
-        model[lang].append((unplanes(keys.as_buffer(), np.int64), np.frombuffer(logp.as_buffer(), np.float32)))
+    words = np.zeros((BLOCK_ROWS, 3))  # of each row of the block: ln p of known words, unknown words, other terms
+    for row in range(len(answers)):
+        cell = lambda c, row=row: answers.column(c)[row]
+        if cell("rid").is_valid:
+            rid = unplanes(press(cell("rid").as_buffer()), np.int32)  # each once in a cell
+            words[rid] += np.stack([unplanes(press(cell(c).as_buffer()), np.float32) for c in ("lp", "unknown", "rest")], axis=1)
+        else:
+            model[cell("lang").as_py()].append((unplanes(cell("keys").as_buffer(), np.int64), np.frombuffer(cell("logp").as_buffer(), np.float32)))
     ready = {}
     for lang, parts in model.items():
         keys, logp = np.concatenate([k for k, _ in parts]), np.concatenate([p for _, p in parts])
@@ -189,19 +204,26 @@ def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
     rows = []
     for columns in unpacked(texts):
         by_lang = defaultdict(list)
-        for doc, fp, _, lang, text in zip(*columns, strict=True):
+        for doc, fp, rid, lang, text in zip(*columns, strict=True):
             if text:
-                by_lang[lang].append((doc, fp, text))
+                by_lang[lang].append((doc, fp, rid, text))
             else:
-                rows.append((doc, fp, lang, 0, 0.0))
+                rows.append((doc, fp, lang, 0, 0.0, 0, 0.0, 0.0, 0.0))
         for lang, docs in by_lang.items():
             have, logp = ready[lang]
-            own = [t for _, _, t in docs]
+            own = [d[-1] for d in docs]
             for a, b in _pieces(own):
                 keys, begins = gram_keys(own[a:b])
                 sums = np.add.reduceat(logp[np.searchsorted(have, keys)].astype(np.float64), begins[:-1])
-                rows += [(doc, fp, lang, len(t), -float(s)) for (doc, fp, t), s in zip(docs[a:b], sums, strict=True)]
-    return pa.Table.from_batches([_batch(rows, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()], ["doc_id", "fp", "lang", "n", "loss"])])
+                for (doc, fp, rid, t), s in zip(docs[a:b], sums, strict=True):
+                    rows.append((doc, fp, lang, len(t), -float(s), len(_WORD.findall(t)) + 1, *words[rid].tolist()))
+    return pa.Table.from_batches([_batch(rows, _SCORED_TYPES, _SCORED_NAMES)])
+
+
+_WORD = re.compile(WORD_PATTERN)
+_SCORED_SQL = "doc_id long, fp long, lang string, n long, loss double, n_words long, lp double, unknowns double, rest double"
+_SCORED_NAMES = [x.split()[0] for x in _SCORED_SQL.split(", ")]
+_SCORED_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
 
 def lower_order(types: DataFrame, order: int) -> DataFrame:
@@ -218,7 +240,7 @@ def discounts(types: DataFrame) -> DataFrame:
 
 
 def log_probabilities(types: DataFrame, asked: DataFrame, store: Scratch) -> DataFrame:
-    """types (lang, key, c) of trusted text and asked (lang, key), both of ORDER -> asked with logp."""
+    """types (lang, key, c) of trusted text and asked (lang, key), both of ORDER -> asked with logp, a table of the store."""
     of_order, need = {ORDER: types}, {ORDER: asked}
     for n in range(ORDER - 1, 0, -1):
         of_order[n] = store.put(lower_order(of_order[n + 1], n), f"types{n}")
@@ -226,65 +248,113 @@ def log_probabilities(types: DataFrame, asked: DataFrame, store: Scratch) -> Dat
     q = None
     for n in range(1, ORDER + 1):
         c = F.col("c")
-        cut = of_order[n].join(discounts(of_order[n]), "lang").withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3")))
-        context = cut.groupBy("lang", F.shiftright("key", BITS).alias("context")).agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
-        rows = need[n].withColumn("context", F.shiftright("key", BITS)).join(cut.select("lang", "key", (c - F.col("d")).alias("own")), ["lang", "key"], "left").join(context, ["lang", "context"], "left")
+        cuts = store.put(discounts(of_order[n]), f"discounts{n}")
+        cut = of_order[n].join(small(cuts, 64), "lang").withColumn("d", F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3")))
+        before = F.shiftrightunsigned("key", BITS)
+        context = cut.groupBy("lang", before.alias("context")).agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
+        rows = need[n].withColumn("context", before).join(cut.select("lang", "key", (c - F.col("d")).alias("own")), ["lang", "key"], "left").join(context, ["lang", "context"], "left")
         if q is None:
             rows = rows.withColumn("p_low", F.lit(1.0 / SYMBOLS))
         else:
             low = q.select("lang", F.col("key").alias("low"), F.col("p").alias("p_low"))
             rows = rows.withColumn("low", F.col("key").bitwiseAND(F.lit((1 << BITS * (n - 1)) - 1))).join(low, ["lang", "low"])
         p = F.when(F.col("total").isNull(), F.col("p_low")).otherwise(F.coalesce("own", F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("p_low"))
-        q = store.put(rows.select("lang", "key", p.alias("p")), f"q{n}")
-    return q.select("lang", "key", F.ln("p").alias("logp"))
+        above = store.put(rows.select("lang", "key", p.alias("p")), f"q{n}")
+        store.drop(of_order[n], need[n], cuts, *([] if q is None else [q]))
+        q = above
+    return q
+
 
+def losses(docs: DataFrame, trusted: DataFrame, text: str = "text", store: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, languages), tables of the store.
 
-def losses(docs: DataFrame, trusted: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, lang, n (characters), loss (sum of -ln p of its characters) of every row of ``docs``.
+    rows: doc_id, fp, lang, n (characters), loss (sum of -ln p of its characters), n_words (words and the mark of the
+    end), lp, unknowns, rest of every row of ``docs``: over its words, the sum of ln p by the lowest order where it knows them, the number
+    of others, and what the second order adds.  languages: lang, unknown (ln p of such a word).
 
-    trusted: doc_id of the documents to train on.  Null texts count as empty, with n and loss 0.  A null lang is a
-    language of its own, ''.
+    trusted: doc_id of the trusted documents; the models are trained on those that are not held out.  Null texts count
+    as empty, with zeros throughout.  A null lang is a language of its own, ''.
     """
     spark = docs.sparkSession
-    store, shards = Scratch(spark, "quality"), partitions(spark)
-    lang = F.coalesce("lang", F.lit("")).alias("lang")
-    flat = located(docs, store, BLOCK_ROWS, [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("lang", F.col(f"`{text}`")).alias("fp"), lang, F.col(f"`{text}`").alias("text")])
-    texts = stored(flat, ["doc_id", "fp", "rid", "lang", "text"], store, max(shards, docs.count() // (2 * BLOCK_ROWS)))
-    flags = flat.select("doc_id", "block", "rid").join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("block", "rid")
-    counts = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_count(shards), "shard int, lang string, keys binary, counts binary")
-    types = store.put(counts.groupBy("shard").applyInArrow(lambda rows: _sum(rows), "lang string, key long, c long"), "types")
-    asked = store.put(texts.mapInArrow(_asked(shards), "block long, lang string, shard int, keys binary"), "asked")
-    distinct = store.put(asked.groupBy("shard").applyInArrow(lambda rows: _distinct(rows), "lang string, key long"), "distinct")
-    model = log_probabilities(types, distinct, store).withColumn("shard", F.pmod(F.pmod("key", F.lit(PRIME)), F.lit(shards)).cast("int"))
-    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(lambda a, m: _answer(a, m), "block long, lang string, keys binary, logp binary")
-    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trimmed(_score(t, a)), "doc_id long, fp long, lang string, n long, loss double")
-    return store.put(scored, "scored")
-
-
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, lang, n_symbols, log_loss (smoothed mean), perplexity, limit, keep of every row of ``docs``.
-
-    Trusted are the documents labelled quality 1 and toxic 0.  perplexity and limit are exp of mean log-losses; the
-    decision compares the smoothed mean with the limit.  Documents without characters are kept.
-    Without labels nothing is rejected.  An empty table gives an empty one.
+    with store or Scratch(spark, "quality") as store:
+        lang = F.coalesce("lang", F.lit("")).alias("lang")
+        flat = located(docs, store, BLOCK_ROWS, [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("lang", F.col(f"`{text}`")).alias("fp"), lang, F.col(f"`{text}`").alias("text")])
+        n_docs, size = flat.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        shards = max(partitions(spark), size // SHARD_BYTES)
+        texts = stored(flat, ["doc_id", "fp", "rid", "lang", "text"], store, min(100_000, max(partitions(spark), n_docs // (2 * BLOCK_ROWS))))
+        chosen = store.put(trusted.select("doc_id").distinct(), "trusted")
+        flags = flat.where(~held_out(F.col("fp"))).select("doc_id", "block", "rid").join(small(chosen), "doc_id", "left_semi").select("block", "rid")
+        flags = store.put(flags, "flags")
+        sums, langs = word_model.word_sums(texts, flags, size, store)
+        counts = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_count(shards), "shard int, lang string, keys binary, counts binary")
+        types = store.put(counts.groupBy("shard").applyInArrow(lambda rows: _sum(rows), "lang string, key long, c long"), "types")
+        asked = store.put(texts.mapInArrow(_asked(shards), "block long, lang string, shard int, keys binary"), "asked")
+        distinct = store.put(asked.groupBy("shard").applyInArrow(lambda rows: _distinct(rows), "lang string, key long"), "distinct")
+        probable = log_probabilities(types, distinct, store)
+        model = probable.select("lang", "key", F.ln("p").alias("logp"), F.pmod(F.pmod("key", F.lit(PRIME)), F.lit(shards)).cast("int").alias("shard"))
+        answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(lambda a, m: _answer(a, m), "block long, lang string, keys binary, logp binary")
+        answers = answers.unionByName(sums, allowMissingColumns=True)
+        scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: trimmed(_score(t, a)), _SCORED_SQL)
+        scored = store.put(scored, "scored")
+        store.drop(texts, chosen, flags, asked, probable)
+        return scored, langs
+
+
+def held_out(fp):
+    """By the text, so that its copies are on the same side."""
+    return F.pmod(F.xxhash64(F.lit("held out"), fp), F.lit(HELD_OUT)) == 0
+
+
+def limits(rows: DataFrame, trusted: DataFrame, store: Scratch) -> DataFrame:
+    """lang, and of its held-out trusted documents the means, and the limits of the three measures, a table of the store."""
+    every = rows.join(small(trusted), "doc_id", "left_semi").where("n > 0").withColumn("held", held_out(F.col("fp")))
+    good = every.where("held")
+    means = store.put(good.groupBy("lang").agg(*[(F.sum(loss) / F.sum(n)).alias(f"mean_{m}") for m, (loss, n, _) in MEASURES.items()]), "means")
+    smooth = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), smoothed(m).alias("x")) for m in MEASURES])).alias("s")
+    bins = every.join(small(means, 64), "lang").select("lang", "held", smooth).where("held OR s.m = 'lowest'").groupBy("lang", "s.m", F.floor(F.col("s.x") / STEP).alias("bin")).count()
+    upto = F.sum("count").over(W.partitionBy("lang", "m").orderBy("bin"))
+    whole = F.sum("count").over(W.partitionBy("lang", "m"))
+    shares = bins.select("lang", "m", "bin", (upto / whole).alias("share"))
+    at = lambda m, q, side: F.min(F.when((F.col("m") == m) & (F.col("share") >= q), (F.col("bin") + side) * STEP))
+    found = shares.groupBy("lang").agg(at("characters", UPPER, 1).alias("limit_characters"), at("words", UPPER, 1).alias("limit_words"), at("lowest", LOWER, 0).alias("limit_lowest"))
+    out = store.put(means.join(found, "lang"), "limits")
+    store.drop(means)
+    return out
+
+
+#: Measure: its sum of losses, what that is divided by, and how much average text smooths it.
+MEASURES = {"characters": ("loss", "n", PRIOR), "words": ("word_loss", "n_words", WORD_PRIOR), "lowest": ("lowest_loss", "n_words", WORD_PRIOR)}
+
+
+def smoothed(measure: str):
+    loss, n, prior = MEASURES[measure]
+    return (F.col(loss) + prior * F.col(f"mean_{measure}")) / (F.col(n) + prior)
+
+
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", store: Scratch | None = None) -> DataFrame:
+    """doc_id, fp, lang, n_symbols, log_loss (smoothed mean by characters), perplexity, limit, word_loss, word_limit, lowest_loss,
+    lowest_limit, keep of every row of ``docs``.
+
+    Trusted are the documents labelled quality 1 and toxic 0.  perplexity and limit are exp of mean log-losses by characters;
+    the decisions compare the smoothed means with their limits.  Documents without characters are kept.
+    Without labels nothing is rejected.  An empty table gives an empty one.  Whoever gives ``store`` closes it once the
+    result is written.
     """
-    trusted = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    rows = losses(docs, trusted, text)
-    good = rows.join(trusted, "doc_id", "left_semi").where("n > 0")
-    mean = good.groupBy("lang").agg((F.sum("loss") / F.sum("n")).alias("mean"))
-    smooth = (F.col("loss") + PRIOR * F.col("mean")) / (F.col("n") + PRIOR)
-    bins = good.join(mean, "lang").groupBy("lang", F.floor(smooth / STEP).alias("bin")).count()
-    upto = F.sum("count").over(W.partitionBy("lang").orderBy("bin"))
-    whole = F.sum("count").over(W.partitionBy("lang"))
-    shares = bins.select("lang", "bin", (upto / whole).alias("share"))
-    at = lambda p: F.min(F.when(F.col("share") >= p, (F.col("bin") + 0.5) * STEP))
-    limits = shares.groupBy("lang").agg((at(0.5) + SLACK * (at(UPPER) - at(0.5))).alias("cap"))
-    judged = rows.join(mean, "lang", "left").join(limits, "lang", "left").withColumn("smooth", smooth)
-    return judged.select(
-        "doc_id", "fp", "lang", F.col("n").alias("n_symbols"), F.col("smooth").alias("log_loss"),
-        F.exp(F.try_divide(F.col("loss"), F.col("n"))).alias("perplexity"), F.exp("cap").alias("limit"),
-        F.coalesce((F.col("n") == 0) | (F.col("smooth") <= F.col("cap")), F.lit(True)).alias("keep"),
-    )
+    with store or Scratch(docs.sparkSession, "quality") as store:
+        trusted = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        trusted = store.put(trusted, "trusted")
+        rows, langs = losses(docs, trusted, text, store)
+        lowest = -(F.col("lp") + F.col("unknowns") * F.col("unknown"))
+        rows = rows.join(small(langs, 64), "lang", "left").withColumn("lowest_loss", lowest).withColumn("word_loss", lowest - F.col("rest"))
+        judged = rows.join(small(limits(rows, trusted, store), 64), "lang", "left")
+        fine = (smoothed("characters") <= F.col("limit_characters")) & (smoothed("words") <= F.col("limit_words")) & (smoothed("lowest") >= F.col("limit_lowest"))
+        return judged.select(
+            "doc_id", "fp", "lang", F.col("n").alias("n_symbols"), smoothed("characters").alias("log_loss"),
+            F.exp(F.try_divide(F.col("loss"), F.col("n"))).alias("perplexity"), F.exp("limit_characters").alias("limit"),
+            smoothed("words").alias("word_loss"), F.col("limit_words").alias("word_limit"),
+            smoothed("lowest").alias("lowest_loss"), F.col("limit_lowest").alias("lowest_limit"),
+            F.coalesce((F.col("n") == 0) | fine, F.lit(True)).alias("keep"),
+        )
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

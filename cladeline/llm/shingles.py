@@ -63,6 +63,29 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return mixed((total[ends] - total[starts]) * inverse[starts]), np.searchsorted(starts, offsets)
 
 
+def chunked_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() by stretches of about CHUNK bytes that end where a word does, so that memory follows the words and not the bytes."""
+    n, docs = len(raw), len(offsets) - 1
+    counts, out, a = np.zeros(docs, np.int64), [np.zeros(0, np.uint64)], 0
+    while a < n:
+        b = min(n, a + CHUNK)
+        while b < n:
+            edges = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "right")]
+            blanks = np.flatnonzero(_SPACE[raw[a:b]])
+            cut = max(int(edges[-1]) if len(edges) else 0, a + int(blanks[-1]) + 1 if len(blanks) else 0)
+            if cut > a:
+                b = cut
+                break
+            b = min(n, b + CHUNK)
+        inner = np.unique(offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")])
+        parts = np.r_[a, inner, b] - a
+        hashes, first = word_hashes(raw[a:b], parts)
+        np.add.at(counts, np.searchsorted(offsets, parts[:-1] + a, "right") - 1, np.diff(first))
+        out.append(hashes)
+        a = b
+    return np.concatenate(out), np.r_[0, np.cumsum(counts)]
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingles) of every document."""
     n, a = len(offsets) - 1, 0
@@ -96,8 +119,8 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """Hashed bitmap: a power of two of bits, at least four a shingle, 512 to 8192."""
-    bits = min(8192, max(512, 1 << int(4 * max(1, len(shingles)) - 1).bit_length()))
+    """Hashed bitmap: a power of two of bits, at least two a shingle, 128 to 8192."""
+    bits = min(8192, max(128, 1 << int(2 * max(1, len(shingles)) - 1).bit_length()))
     out = np.zeros(bits, np.uint8)
     out[(mixed(shingles.copy()) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little").tobytes()
