@@ -131,7 +131,7 @@ def completed(slots: DataFrame, sized: DataFrame, first: int, block: int = BLOCK
     return slots.unionByName(more.select((F.lit(first) + F.col("before") + F.col("k")).alias("slot"), "order_no", (F.col("rank") + F.col("k")).alias("rank")))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = 3, block: int = BLOCK, text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int = 3, block: int = BLOCK, text: str = "text", source: str = "source", store: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(plan, documents).
 
     plan: slot, block, rid, doc_id, source, word_from, word_to: the words of the document that the slot takes, in
@@ -143,7 +143,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
     table gives empty ones.
     """
     spark = docs.sparkSession
-    store = Scratch(spark, "mix")
+    store = store or Scratch(spark, "mix")
     base = located(docs, store, BLOCK_ROWS, [F.col("doc_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")])
     rows = store.put(streams(base).drop("text"), "sizes")
     counted = rows.agg(F.count("*"), F.sum("size")).first()
@@ -156,6 +156,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_repeats: int =
         .drop("t_source", "weight"),
         "positions",
     )
+    store.drop(rows)
     sized = targets.select("order_no", "source_size", F.round("target").cast("long").alias("quota"))
     slots = completed(ranked(schedule(targets, total, block)), sized.select("order_no", "quota"), total // block + SPARE, block)
     taken = slots.join(F.broadcast(sized) if _few(targets) else sized, "order_no")

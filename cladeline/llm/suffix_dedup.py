@@ -327,7 +327,7 @@ def _without(data: bytes, spans: list) -> bytes:
     return b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
 
 
-def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False) -> DataFrame:
+def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False, store: Scratch | None = None) -> DataFrame:
     """doc_id, block, rid, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text of every row of
     ``docs``; block and rid name the row (blocks.located with BLOCK_ROWS).
 
@@ -337,7 +337,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False)
     same doc_id among themselves lose nothing.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
-    store = Scratch(spark, "suffix")
+    store = store or Scratch(spark, "suffix")
     flat = located(docs, store, BLOCK_ROWS, [F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")])
     long = flat.where(f"doc_id is not null and octet_length(text) >= {WIDTH}")
     n, size = keys.text_bytes(long)
@@ -349,6 +349,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", with_text: bool = False)
     body = stored(flat, ["doc_id", "rid", "text"], store, max(partitions(spark), n // (2 * BLOCK_ROWS)))
     sent = body.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(_send(shards), _SENT)
     cuts = store.put(sent.groupBy("shard").applyInArrow(lambda rows: trimmed(_settle(rows)), _CUTS), "cuts")
+    store.drop(shared)
     schema = _DONE + ", kept_text string" * with_text
     return body.groupBy("block").cogroup(cuts.groupBy("block")).applyInArrow(_cut(with_text), schema)
 
