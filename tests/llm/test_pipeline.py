@@ -76,3 +76,25 @@ def test_rows_not_read_from_files_are_found_again(spark):
     assert 2 in {r.doc_id for r in corpus_pipeline.mixed(spark, docs, "").collect()}
     cut = {r.doc_id: r.text for r in corpus_pipeline.suffixes(spark, docs, "").collect()}
     assert cut[1] == "first " + passage and passage not in cut[2] and 3 not in cut
+
+
+def test_columns_of_any_type_and_name(spark):
+    """Extra columns, also maps and those named like our own, pass through; rows alike in all columns count once."""
+    text = " ".join(f"word{k}" for k in range(30))
+    rows = [(1, text, {"a": 1}, "x", 1), (1, text, {"a": 1}, "x", 1), (2, text, None, None, 2), (3, "other words altogether here now", {"b": 2}, "y", 3), (None, text, {}, "z", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, item string, rid int")
+    got = corpus_pipeline.jaccard(spark, docs.withColumn("r_doc", F.lit(7)).withColumn("lang", F.lit("en")), "").collect()
+    assert sorted((r.doc_id or 0, r.item, r.rid) for r in got) == [(0, "z", 4), (1, "x", 1), (3, "y", 3)]
+    assert {r.doc_id: r.m for r in got}[3] == {"b": 2} and all(r.r_doc == 7 for r in got)
+    cut = corpus_pipeline.suffixes(spark, docs, "").collect()
+    assert {r.doc_id for r in cut if r.text == text} == {1, None} and not any(r.doc_id == 2 for r in cut)
+
+
+def test_run_leaves_only_what_its_result_reads(spark, folder, tmp_path, monkeypatch):
+    from cladeline.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    n = corpus_pipeline.run(spark, f"file://{folder}").count()
+    left = sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if any(q.is_file() for q in p.rglob("*.parquet")))
+    assert n > 0 and set(left) <= {"pipeline", "pipeline-run-4"}, left
+    assert common.small(spark.range(3)).count() == 3

@@ -77,6 +77,93 @@ def test_a_linked_document_is_never_pruned():
             assert len(a & b) >= least_shared(len(x)) and len(a & b) >= least_shared(len(y))
 
 
+def test_rules_of_several_sweeps(spark, monkeypatch):
+    rng = __import__("random").Random(4)
+    hosts = ["com", "example.com", "www.example.com", "a.www.example.com", "net", "b.net", "b.b.net"]
+    rules = list(dict.fromkeys((rng.choice(["allow", "block"]), rng.choice(hosts) + rng.choice(["/", "/x", "/x/y", "/é"])) for _ in range(60)))
+    urls = [f"http://{rng.choice([*hosts, 'org', 'q.com'])}{rng.choice(['', '/', '/x', '/x/y/z', '/é?u', '#f'])}" for _ in range(80)] + [None, "no url"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    want = sorted(tuple(r) for r in url_filters.url_filter(pages, rules).select("page_id", "rule", "verdict").collect())
+    assert any(r[1] for r in want)
+    for page, rule, verdict in want:
+        r = urls[page]
+        host, path = ("", "") if r is None or "://" not in r else (lambda x: (x.split("/")[0].split("?")[0].split("#")[0], x))(r.split("://", 1)[1])
+        path = path[len(host) :].split("?")[0].split("#")[0]
+        fit = [(-len(t), t, act) for act, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
+        assert (rule, verdict) == ((min(fit)[1], min(fit)[2]) if fit else (None, "allow"))
+    monkeypatch.setattr(url_filters, "SWEEP_RULES", 7)
+    assert sorted(tuple(r) for r in url_filters.url_filter(pages, rules).select("page_id", "rule", "verdict").collect()) == want
+    assert url_filters.url_filter(pages, []).where("verdict = 'allow'").count() == len(urls)
+
+
+# --- pages without telling names
+
+
+def _plain_pages(seed=5, n=60):
+    """Pages of plain divs: menus, link lists, cookie text and imprints around articles with short paragraphs; (page, the article's blocks)."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: rng.choice("river stone light water garden winter letter morning silver window story people market evening forest house".split())
+    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    link = lambda: f'<a href="/{word()}">{words(1, 3)}</a>'
+    out = []
+    for _ in range(n):
+        menu = "<div>" + "".join(f"<p>{link()}</p>" for _ in range(rng.randint(4, 8))) + "</div>"
+        paragraphs = []
+        for _ in range(rng.randint(4, 9)):
+            kind = rng.random()
+            paragraphs.append(words(25, 70).capitalize() + "." if kind < 0.65 else words(2, 4) if kind < 0.85 else f"{words(3, 5)}, {words(3, 4)}")
+        paragraphs[0] = words(30, 60).capitalize() + "."
+        paragraphs[-1] = words(30, 60).capitalize() + "."
+        article = "<div>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div>"
+        links = "<div>" + "".join(f"<div>{link()}</div>" for _ in range(rng.randint(3, 6))) + "</div>"
+        imprint = f"<div><p>{link()}</p><p>{words(8, 12).capitalize()}.</p><p>{link()}</p></div>"
+        out.append((f"<html><body>{menu}{article}{links}{imprint}</body></html>", paragraphs))
+    return out
+
+
+def _f1(edges):
+    hit = said = want = 0
+    for page, truth in _plain_pages():
+        got = html_extraction.main_text(page, edges).split("\n\n")
+        hit, said, want = hit + len(set(got) & set(truth)), said + len(set(got)), want + len(set(truth))
+    return 2 * hit / (said + want)
+
+
+def test_the_cut_decides_pages_without_telling_names():
+    without, cut = _f1(False), _f1(True)
+    assert cut > 0.97 and cut > without + 0.05, (without, cut)
+
+
+def test_the_cut_is_the_cheapest_labelling_of_whole_pages():
+    import itertools
+
+    checked = 0
+    for page, _ in _plain_pages(8, 40):
+        found = html_extraction.blocks(page)[2:14]
+        costs = [html_extraction.evidence(*b) for b in found]
+        links = [(k - 1, k, html_extraction.smoothness(found[k - 1][1], found[k][1])) for k in range(1, len(found))]
+        links += [(k - 2, k, html_extraction.NEXT_BUT_ONE) for k in range(2, len(found)) if found[k - 2][1].parent is found[k][1].parent and found[k - 2][1].frame == found[k][1].frame]
+        price = lambda side: sum(abs(c) for c, s in zip(costs, side) if (c > 0) != s and c) + sum(w for i, j, w in links if side[i] != side[j])  # noqa: E731, B023
+        best = min(price(side) for side in itertools.product((False, True), repeat=len(found)))
+        got = html_extraction.labelled(found)
+        assert price(got) == best
+        checked += got != html_extraction.labelled(found, edges=False)
+    assert checked > 5
+
+
+def test_extraction_of_nothing_and_of_deep_pages(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert html_extraction.extract(empty).count() == 0
+    deep = "<div>" * 3_000 + "<p>" + "word " * 30 + "end.</p>" + "</div>" * 3_000
+    rows = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (3, "u", "   <p> </p>", "x"), (4, "u", deep, "x"), (5, "u", "&lt;no tag&gt; just a long line of words that goes on for quite a while, without any markup at all.", "x")], "page_id long, url string, html string, text string")
+    got = {r.page_id: r for r in html_extraction.extract(rows).collect()}
+    assert [got[k].text for k in (1, 2, 3)] == ["", "", ""] and [got[k].n_chars for k in (1, 2, 3)] == [0, 0, 0]
+    assert got[4].text == "word " * 30 + "end." and got[5].text.startswith("<no tag> just")
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
 # --- suffix arrays
 
 
@@ -146,6 +233,20 @@ def test_a_shard_that_removes_nothing():
     assert len(suffix_dedup._settle(sent)) == 0
 
 
+def test_words_by_stretches(monkeypatch):
+    from cladeline.llm import shingles
+    from cladeline.llm.common import byte_batch
+    import pyarrow as pa
+
+    texts = ["", "one", "two words", " " * 40, "x" * 90 + " y", "", "a b c d e f g h i j k l m n o p", "tail "] * 3
+    raw, offsets = byte_batch(pa.array(texts))
+    want = shingles.word_hashes(raw, offsets)
+    for chunk in (1, 5, 17, 64, 10_000):
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        got = shingles.chunked_words(raw, offsets)
+        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffix_dedup.dedup_spans(empty).count() == 0
 
@@ -259,6 +360,38 @@ def test_differencing_keeps_sums():
         assert have == sums
 
 
+def _by_the_book(sizes, shards):
+    """Differencing with whole lists: the two partial partitions of largest spread are joined, the largest sums of one with the least of the other."""
+    held = [(i, [(size, [i])] + [(0, [])] * (shards - 1)) for i, size in enumerate(sizes)]
+    number = len(held)
+    while len(held) > 1:
+        spread = lambda x: (-(x[1][0][0] - x[1][-1][0]), x[0])
+        held.sort(key=spread)
+        a, b = held.pop(0)[1], held.pop(0)[1]
+        both = [(x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))]
+        order = sorted(range(shards), key=lambda k: (-both[k][0], k))
+        held.append((number, [both[k] for k in order]))
+        number += 1
+    return [(s, sorted(p)) for s, p in held[0][1]]
+
+
+def test_differencing_is_by_the_book(spark, tmp_path):
+    rng = random.Random(12)
+    for shards in (2, 3, 16):
+        sizes = [rng.randrange(1, 400) for _ in range(60)]
+        sums, placed = sharding.differencing([[s] + [0] * (shards - 1) for s in sizes])
+        want = _by_the_book(sizes, shards)
+        assert sums == [s for s, _ in want]
+        assert [sorted(i for i, p in enumerate(placed) if p[0] == k) for k in range(shards)] == [p for _, p in want]
+    sizes = rng.sample(range(1, 3_000), 80)
+    docs = helpers.frame(spark, [(k, "x" * n, None, None, 0, *"abcde") for k, n in enumerate(sizes)], tmp_path)
+    got = {}
+    for r in sharding.shard_bytes(docs).collect():
+        got.setdefault(r.shard, []).append(r["size"])
+    falling = sorted((n + 1 for n in sizes), reverse=True)
+    assert sorted((sum(v), sorted(v)) for v in got.values()) == sorted((s, sorted(falling[i] for i in p)) for s, p in _by_the_book(falling, 16))
+
+
 def test_sharding(docs, plain):
     got = sharding.shard_bytes(docs).collect()
     assert len(got) == len(plain)
@@ -371,6 +504,19 @@ def test_boundaries_are_optimal():
         assert waste(got) == best and len(got) <= k and got == sorted(got)
 
 
+def test_bucket_lengths_are_those_of_documents(spark, tmp_path):
+    rng = random.Random(8)
+    sizes = [rng.randrange(1, 5_000) for _ in range(150)] + [700, 700, 4_999]
+    docs = helpers.frame(spark, [(k, "w " * n, None, None, 0, *"abcde") for k, n in enumerate(sizes)], tmp_path)
+    got = packing.pack(docs, buckets=7, budget=9_000).collect()
+    by_bucket = {}
+    for r in got:
+        by_bucket.setdefault((r.bucket, r.length), []).append(r.n_tokens)
+    assert sum(map(len, by_bucket.values())) == len(sizes) and all(max(v) == length for (_, length), v in by_bucket.items())
+    ends = sorted(length for _, length in by_bucket)
+    assert [b for b, _ in sorted(by_bucket)] == list(range(7)) and all(r.length == min(e for e in ends if e >= r.n_tokens) for r in got)
+
+
 def test_packing(docs, plain):
     got = packing.pack(docs, buckets=4, budget=500).collect()
     assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((d, len(helpers.WORD.findall(t or ""))) for d, t in plain)
