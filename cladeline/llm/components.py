@@ -9,7 +9,7 @@ from .common import Scratch
 
 
 def components(links: DataFrame, store: Scratch) -> DataFrame:
-    """links (a, b) -> (node, root): the smallest id that links reach, for every node of a link.
+    """links (a, b) -> (node, root), a table of the store: the smallest id that links reach, for every node of a link.
 
     A round hangs every neighbour of a node under the least of them.  It is over when each node hangs
     under one other and that one under none.
@@ -25,7 +25,9 @@ def components(links: DataFrame, store: Scratch) -> DataFrame:
         store.drop(edges, large)
         edges = small
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    found = store.put(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), "roots")
+    store.drop(edges)
+    return found
 
 
 def _stars(edges: DataFrame) -> bool:

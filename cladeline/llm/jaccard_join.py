@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import shared_keys as keys
-from .common import Scratch, byte_batch, partitions, table, trimmed
+from .common import Scratch, byte_batch, partitions, small, table, trimmed
 from .components import components
 from .shingles import enough, folded, least_shared, prefix_length, shingle_sets, signature
 
@@ -47,8 +47,8 @@ LEAD = 8
 FEW = 8
 #: least_shared() of n, in SQL.
 _LEAST = "1 + (3 * n div 4) div 10"
-#: Rows of a tile task, about.
-TILE_ROWS = 20_000
+#: Rows of a tile task, about, and bands of sizes whose tiles lie together.
+TILE_ROWS, BANDS = 10_000, 8
 #: Pairs compared at once.
 PAIRS = 100_000
 #: Bytes of text (as UTF-8) that yield one prefix shingle, about: 5.5 a word, a third of the shingles.
@@ -172,12 +172,13 @@ def _within_bound(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return near.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_by_bitmap, "a long, b long").distinct()
 
 
-def _shingle_sets(held: DataFrame, docs: DataFrame, store: Scratch) -> DataFrame:
-    """doc, shingles of the documents that hold a shared shingle.  Joined by a merge at every size, so that the
-    cost follows the input."""
-    ids = held.select(F.col("doc").alias("doc_id")).distinct()
-    picked = docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
-    return store.put(picked.mapInArrow(_sets, "doc long, shingles binary"), "sets")
+def _shingle_sets(held: DataFrame, docs: DataFrame, store: Scratch, buckets: int) -> DataFrame:
+    """doc, shingles of the documents that hold a shared shingle."""
+    ids = store.put(held.select(F.col("doc").alias("doc_id")).distinct(), "holders")
+    picked = docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text")
+    sets = store.put_by(picked.mapInArrow(_sets, "doc long, shingles binary"), "doc", buckets, "sets")
+    store.drop(ids)
+    return sets
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, store: Scratch) -> DataFrame:
@@ -206,10 +207,20 @@ class _Forest:
 
 def _tile(rows: pa.Table, spanning: bool) -> pa.Table:
     """Pairs of different components in the tiles (token, band) of these rows that the bitmaps let through;
-    if ``spanning``, only as many as would join what they could join."""
+    if ``spanning``, only as many as would join what they could join.
+
+    Rows are of bands of one group, or of the lowest band of the next one, which are guests only; each is a guest in the
+    band below its own.
+    """
     forest = _Forest()
+    band, group = (rows.column(c).to_numpy() for c in ("band", "bands"))
+    home, guest = np.flatnonzero(band // BANDS == group), np.flatnonzero((band - 1) // BANDS == group)
+    rows = pa.concat_tables([
+        rows.take(pa.array(home)).append_column("guest", pa.array(np.zeros(len(home), np.int32))),
+        rows.take(pa.array(guest)).set_column(rows.schema.get_field_index("band"), "band", pa.array(band[guest] - 1)).append_column("guest", pa.array(np.ones(len(guest), np.int32))),
+    ])
     rows = rows.sort_by([("token", "ascending"), ("band", "ascending"), ("guest", "ascending")])
-    token, band, guest, doc, root, n = (rows.column(c).to_numpy() for c in ("token", "band", "guest", "doc", "root", "n"))
+    token, band, guest, doc, root, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "band", "guest", "doc", "root", "n"))
     sig = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("sig").combine_chunks()]
     lead = rows.column("lead").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LEAD)
     new = np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])]
@@ -261,17 +272,21 @@ def _with_enough(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.join(enough_.select("doc"), "doc", "left_semi")
 
 
-def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch) -> DataFrame:
+def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch, buckets: int) -> DataFrame:
     """token, doc, root of shingles with several components, of documents that such shingles could link to another component."""
-    rows = _rooted(held, roots)
+    rows, before = _rooted(held, roots), None
     for k in range(2):
-        rooted = store.put(rows, f"rooted{k}")
-        several = rooted.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-        rows = _with_enough(rooted.join(several, "token"), sizes)
+        several = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+        rows = store.put_by(rows.join(several, "token"), "doc", buckets, f"several{k}")
+        if before is not None:
+            store.drop(before)
+        before, rows = rows, _with_enough(rows, sizes)
     # a link takes least_shared() of these: under one order of all, it shows among all but the last so many less one
     by_doc = W.partitionBy("doc")
     placed = rows.join(sizes, "doc").select("token", "doc", "root", "n", F.row_number().over(by_doc.orderBy("token")).alias("no"), F.count("*").over(by_doc).alias("c"))
-    return store.put(placed.where(f"no <= c - ({_LEAST}) + 1").select("token", "doc", "root"), "open")
+    open_ = store.put_by(placed.where(f"no <= c - ({_LEAST}) + 1").select("token", "doc", "root"), "doc", buckets, "open", deal=False)
+    store.drop(before)
+    return open_
 
 
 def _offered(open_: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool) -> DataFrame:
@@ -279,12 +294,13 @@ def _offered(open_: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool)
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + F.lit(1e-9)).cast("int")
     first = F.slice(F.concat(F.sort_array(F.collect_list("token")), F.array_repeat(F.lit((1 << 63) - 1), LEAD)), 1, LEAD)
     leads = open_.groupBy("doc").agg(first.alias("lead"))
-    tiles = open_.join(leads.join(sigs, "doc"), "doc").select(
-        "token", "doc", "root", "n", "sig", "lead",
-        F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("guest")), F.struct((band - 1).alias("band"), F.lit(1).alias("guest")))).alias("t"),
-    )
-    buckets = 2 * open_.count() // TILE_ROWS + 1
-    tiles = tiles.select("token", "doc", "root", "n", "sig", "lead", "t.band", "t.guest", F.pmod(F.xxhash64("token", "t.band"), F.lit(buckets)).alias("bucket"))
+    own = F.expr(f"band div {BANDS}")
+    below = F.expr(f"(band - 1) div {BANDS}")
+    tiles = open_.join(leads.join(sigs, "doc"), "doc").withColumn("band", band + 1)
+    buckets = open_.count() // TILE_ROWS + 1
+    columns = ["token", "doc", "root", F.col("n").cast("int").alias("n"), "sig", "lead", "band"]
+    tiles = tiles.select(*columns, F.explode(F.array_distinct(F.array(own.cast("int"), below.cast("int")))).alias("bands"))
+    tiles = tiles.withColumn("bucket", F.pmod(F.xxhash64("token", "bands"), F.lit(buckets)).cast("int"))
     return store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: trimmed(_tile(rows, spanning)), "a long, b long").distinct(), "tiles")
 
 
@@ -292,53 +308,61 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select("token", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", store: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
     A document's set: its distinct shingles of five words (A-Z lower-cased), or, with one to four words,
     the whole sequence as one; a null, empty or blank text has none and links with nothing.
     component_id: the smallest doc_id that links reach.  Rows that repeat a doc_id are one
     node with several texts.  A row without doc_id is linked with nothing and has no component_id.
-    An empty table gives an empty one.
+    An empty table gives an empty one.  Whoever gives ``store`` closes it once the result is written.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    store = Scratch(spark, "jaccard")
-    n, size = keys.text_bytes(docs)
-    frequent = frequent_shingles(docs, n)
-    shards = keys.shards_for(size // BYTES_PER_KEY, partitions(spark))
-    met = store.put(keys.shared(docs, _emit(frequent), lambda rows: trimmed(_finish(rows)), _MET, shards), "met")
-    nodes = met.where("n is not null").select("doc", "n", "rep")
-    sigs = met.where("sig is not null").select("doc", "n", "sig")
-    held = met.where("token is not null").select("token", "doc")
-    sizes = sigs.groupBy("doc").agg(F.min("n").alias("n"))
-    store.tidy()
-    held = store.put(_with_enough(held, sizes), "enough")
-    held = store.put(_with_enough(held.join(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), sizes), "held")
-    store.tidy()
-    sets = _shingle_sets(held, docs, store)
-    store.tidy()
-
-    few = held.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy("token"))).where(F.col("no") <= FEW).drop("no")
-    few = store.put(few, "few")
-    central = few.groupBy("doc").agg(F.avg("df").alias("central"))
-    best = few.join(central, "doc").groupBy("token").agg(F.max(F.struct("central", F.col("doc").alias("lead"))).alias("best"))
-    votes = few.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead").groupBy("doc", "lead").count()
-    stars = votes.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("count"), "lead"))).where(f"no <= {LEADERS}")
-    stars = stars.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
-    links = _verify(store.put(_within_bound(stars, sigs), "stars"), sets, store)
-    same = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    links = links.unionByName(same)
-    roots = components(links, store)
-    links = links.unionByName(_verify(_offered(_rooted(few, roots), sigs, store, True), sets, store))
-    roots = components(links, store)
-    store.tidy()
-    links = links.unionByName(_verify(_offered(_open(held, roots, sizes, store), sigs, store, False), sets, store))
-    roots = components(links, store)
-    store.tidy()
-    return nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id")
-    )
+    with store or Scratch(spark, "jaccard") as store:
+        n, size = keys.text_bytes(docs)
+        frequent = frequent_shingles(docs, n)
+        shards = keys.shards_for(size // BYTES_PER_KEY, partitions(spark))
+        buckets = min(100_000, max(partitions(spark), shards // 4))
+        met = store.put(keys.shared(docs, _emit(frequent), lambda rows: trimmed(_finish(rows)), _MET, shards), "met")
+        nodes = store.put_by(met.where("n is not null").select("doc", "n", "rep", "sig"), "doc", buckets, "nodes")
+        sigs = nodes.where("sig is not null").select("doc", "n", "sig")
+        sizes = sigs.groupBy("doc").agg(F.min("n").alias("n"))
+        all_held = store.put_by(met.where("token is not null").select("token", "doc"), "doc", buckets, "tokens")
+        store.drop(met)
+        held = _with_enough(all_held, sizes)
+        shared = store.put_by(held.join(held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token"), "doc", buckets, "shared")
+        store.drop(all_held)
+        held = store.put_by(_with_enough(shared, sizes), "doc", buckets, "held", deal=False)
+        store.drop(shared)
+        sets = _shingle_sets(held, docs, store, buckets)
+
+        few = held.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy("token"))).where(F.col("no") <= FEW).drop("no")
+        few = store.put_by(few, "doc", buckets, "few", deal=False)
+        central = few.groupBy("doc").agg(F.avg("df").alias("central"))
+        best = few.join(central, "doc").groupBy("token").agg(F.max(F.struct("central", F.col("doc").alias("lead"))).alias("best"))
+        votes = few.join(best.select("token", F.col("best.lead").alias("lead")), "token").where("doc <> lead").groupBy("doc", "lead").count()
+        stars = votes.withColumn("no", F.row_number().over(W.partitionBy("doc").orderBy(F.desc("count"), "lead"))).where(f"no <= {LEADERS}")
+        stars = store.put(stars.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct(), "stars")
+        near = store.put(_within_bound(stars, sigs), "near")
+        same = nodes.where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+        found = [_verify(near, sets, store)]
+        store.drop(stars, near)
+        roots = components(found[0].unionByName(same), store)
+        tiles = _offered(_rooted(few, roots), sigs, store, True)
+        found.append(_verify(tiles, sets, store))
+        store.drop(tiles, few, roots)
+        roots = components(found[0].unionByName(found[1]).unionByName(same), store)
+        open_ = _open(held, roots, sizes, store, buckets)
+        store.drop(held, roots)
+        tiles = _offered(open_, sigs, store, False)
+        store.drop(open_)
+        found.append(_verify(tiles, sets, store))
+        store.drop(tiles, sets)
+        roots = components(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(same), store)
+        store.drop(*found)
+        out = nodes.join(roots.withColumnRenamed("node", "doc"), "doc", "left")
+        return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
