@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_extraction, jaccard_join, mixing, packing, quality, sharding, suffix_dedup, top_k, url_filters
+from . import ann, divergence, html_extraction, jaccard_join, lexical_search, media, mixing, packing, quality, sharding, suffix_dedup, top_k, url_filters
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_nearest_neighbours": ann.op8_nearest_neighbours,
         "op9_top_k": top_k.op9_top_k,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_media_columns": media.op11_media_columns,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
     }
 
 
@@ -26,4 +29,6 @@ def oracle_sql() -> dict:
         "op6_suffix_dedup": suffix_dedup.OP6_SQL,
         "op9_top_k": top_k.OP9_SQL,
         "op10_jaccard_join": jaccard_join.OP10_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
+        "op13_lexical_search": lexical_search.OP13_SQL,
     }
