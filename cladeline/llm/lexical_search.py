@@ -70,7 +70,7 @@ def _postings(vocabulary: np.ndarray):
             holders += np.bincount(ids, minlength=size)
             documents, words = documents + int(np.count_nonzero(n)), words + int(n.sum())
             first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
-            own, last = row[first], np.r_[first[1:], len(row)]
+            own, last = row[first], np.r_[first[1:], len(row)][: len(first)]
             ids, tf = ids.astype("<u4"), tf.astype("<u4") if not len(tf) or tf.max() < 1 << 32 else tf.astype("<u8")
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())
             columns = [pa.array(np.full(len(own), DOCUMENT, np.int32)), batch.column("doc_id").take(pa.array(own)), pa.array(n[own]), cut(ids), cut(tf)]
