@@ -119,3 +119,18 @@ def distances(nodes: DataFrame, lengths: str = "branch_length") -> DataFrame:
     sums = sums.select("path", "seg", F.coalesce(above, F.lit(0.0)).alias("above"))
     inside = F.sum(lengths).over(W.partitionBy("path", "seg").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
     return nodes.join(sums, ["path", "seg"]).withColumn("x", inside + F.col("above")).drop("above")
+
+
+def root_distances(nodes: DataFrame, store: Store) -> DataFrame:
+    """node_id, distance, depth: the summed lengths and the number of edges from the root, in as many rounds as the depth has binary digits."""
+    rows, n, _ = _checked(nodes, store)
+    state, rounds = store.put(rows.select("node_id", F.col("parent_id").alias("up"), F.col("branch_length").alias("distance"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth")), "far"), 0
+    while not state.where("up IS NOT NULL").isEmpty():
+        if n >> rounds == 0:
+            raise ValueError("not a tree: some nodes never reach the root")
+        ahead = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("distance").alias("more"), F.col("depth").alias("deeper"))
+        moved = state.where("up IS NOT NULL").join(ahead, "up").select("node_id", F.col("next").alias("up"), (F.col("distance") + F.col("more")).alias("distance"), (F.col("depth") + F.col("deeper")).alias("depth"))
+        after = store.put(moved.unionByName(state.where("up IS NULL")), "far")
+        store.drop(state)
+        state, rounds = after, rounds + 1
+    return state.drop("up")

@@ -21,7 +21,7 @@ from ..functions.trees import Tree
 from . import kernels
 
 BATCH_BYTES = 32 << 20
-#: Trees of more nodes do not travel to every task; relational.log_likelihoods() prunes those as joins, of any size.
+#: Trees of more nodes do not travel to every task; path_pruning.PathPruning works those out as rows, of any size and depth.
 MOST_NODES = 4_000_000
 
 
@@ -29,7 +29,7 @@ def collect_tree(nodes: DataFrame) -> tuple[Tree, np.ndarray]:
     """nodes (node_id, parent_id, branch_length) -> the tree over 0..n-1 and the node_id of each."""
     pdf = nodes.select("node_id", "parent_id", "branch_length").orderBy("node_id").limit(MOST_NODES + 1).toPandas()
     if len(pdf) > MOST_NODES:
-        raise ValueError(f"a tree that goes to every task has at most {MOST_NODES} nodes; see relational.log_likelihoods")
+        raise ValueError(f"a tree that goes to every task has at most {MOST_NODES} nodes; see path_pruning.PathPruning")
     ids = pdf["node_id"].to_numpy(np.int64)
     parent = pdf["parent_id"].to_numpy(float)
     known = ~np.isnan(parent)
@@ -61,11 +61,11 @@ class Inference:
         self.ids = ids
         self.problem = kernels.Problem(tree, model, mixture or RateMixture())
 
-    def _rows(self) -> int:
-        return max(1, BATCH_BYTES // (self.problem.tree.size * self.problem.mixture.count * 32))
+    def _rows(self, categories: int | None = None) -> int:
+        return max(1, BATCH_BYTES // (self.problem.tree.size * (categories or self.problem.mixture.count) * 32))
 
-    def _map(self, sites: DataFrame, columns: list[str], schema: str, run) -> DataFrame:
-        ids, rows = self.ids, self._rows()
+    def _map(self, sites: DataFrame, columns: list[str], schema: str, run, categories: int | None = None) -> DataFrame:
+        ids, rows = self.ids, self._rows(categories)
 
         def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
@@ -95,17 +95,18 @@ class Inference:
 
         return self._map(sites, [], "site long, category int, p double", run)
 
-    def node_marginals(self, sites: DataFrame, nodes: np.ndarray | None = None) -> DataFrame:
-        """site, node_id, state, p; rows of a site that cannot occur are left out."""
+    def node_marginals(self, sites: DataFrame, nodes: np.ndarray | None = None, online: bool = False) -> DataFrame:
+        """site, node_id, state, p; rows of a site that cannot occur are left out.  ``online`` holds the arrays of one category at a time."""
         problem, ids = self.problem, self.ids
+        marginals = kernels.online_marginals if online else kernels.marginals
         keep = np.arange(len(ids)) if nodes is None else np.searchsorted(ids, nodes)
 
         def run(pdf, m):
-            p = kernels.marginals(problem, m)["node"][:, keep]
+            p = marginals(problem, m)["node"][:, keep]
             s, n, _ = p.shape
             return pd.DataFrame({"site": np.repeat(pdf["site"].to_numpy(), n * 4), "node_id": np.tile(np.repeat(ids[keep], 4), s), "state": np.tile(np.arange(4), s * n), "p": p.reshape(-1)}).dropna()
 
-        return self._map(sites, [], "site long, node_id long, state int, p double", run)
+        return self._map(sites, [], "site long, node_id long, state int, p double", run, 1 if online else None)
 
     def edge_marginals(self, sites: DataFrame, nodes: np.ndarray | None = None) -> DataFrame:
         """site, child_id, parent_state, child_state, p."""

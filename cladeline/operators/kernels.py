@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from ..functions.models import NucleotideModel, RateMixture, transitions
+from ..functions.models import NucleotideModel, RateMixture, select_category, transitions
 from ..functions.trees import Tree
 
 #: Row m: which states the mask m allows.
@@ -120,6 +120,32 @@ def marginals(problem: Problem, masks: np.ndarray) -> dict[str, np.ndarray]:
     return {"node": node, "edge": edge, "category": category.T, "log_likelihood": ll}
 
 
+def online_marginals(problem: Problem, masks: np.ndarray) -> dict[str, np.ndarray]:
+    """node, edge and log_likelihood of marginals(), category by category with the arrays of one held at a time.
+
+    What has been added up is kept as if its own likelihood were the whole, and is scaled down when the next category joins.
+    """
+    total = np.full(masks.shape[0], -np.inf)
+    node = edge = None
+    for c in range(problem.mixture.count):
+        one = marginals(Problem(problem.tree, select_category(problem.model, problem.mixture, c), RateMixture()), masks)
+        own = one["log_likelihood"] + problem.log_weights[c]
+        after = np.logaddexp(total, own)
+        with np.errstate(invalid="ignore"):
+            before, new = (np.where(np.isneginf(x), 0.0, np.exp(x - after)) for x in (total, own))
+        alive = ~np.isneginf(own)
+        if node is None:
+            node, edge = np.zeros_like(one["node"]), np.zeros_like(one["edge"])
+        for kept, part in ((node, one["node"]), (edge, one["edge"])):
+            shape = (-1,) + (1,) * (part.ndim - 1)
+            kept *= before.reshape(shape)
+            kept[alive] += part[alive] * new[alive].reshape(shape)
+        total = after
+    dead = np.isneginf(total)
+    node[dead], edge[dead] = np.nan, np.nan
+    return {"node": node, "edge": edge, "log_likelihood": total}
+
+
 def joint_maximum(problem: Problem, masks: np.ndarray) -> dict[str, np.ndarray]:
     """states [site, node], category [site], log_weight [site]: the most probable joint assignment.
 

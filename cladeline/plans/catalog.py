@@ -34,7 +34,7 @@ def query(text: str | None = None):
 
 
 def _whole() -> None:
-    from . import formats, logs, studies  # noqa: F401  each adds its queries
+    from . import deep, formats, logs, studies  # noqa: F401  each adds its queries
 
 
 def queries() -> dict:
@@ -192,12 +192,11 @@ def tree_shape(spark, d):
 @query("""SELECT CAST(31 + s_suppkey AS BIGINT) AS node_id, round(0.05::DOUBLE + 0.01::DOUBLE * r_regionkey + 0.02::DOUBLE + 0.01::DOUBLE * (n_nationkey % 7) + 0.01::DOUBLE + 0.0001::DOUBLE * (s_suppkey % 1000), 9) AS distance
 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def root_to_tip(spark, d):
-    """Distances by a recursive query over edges: each level is one join."""
-    derive.tree_nodes(spark, d).createOrReplaceTempView("cladeline_tree")
-    out = spark.sql("""WITH RECURSIVE walk(node_id, distance) MAX RECURSION LEVEL 1000 AS (
-      SELECT node_id, CAST(0 AS DOUBLE) FROM cladeline_tree WHERE parent_id IS NULL
-      UNION ALL SELECT t.node_id, w.distance + t.branch_length FROM walk w JOIN cladeline_tree t ON t.parent_id = w.node_id)
-      SELECT node_id, distance FROM walk""")
+    """Distances of the tips by pointer doubling, whatever the depth."""
+    from ..operators.decompose import root_distances
+    from .deep import _store
+
+    out = root_distances(derive.tree_nodes(spark, d), _store(spark, "distances"))
     return out.where("node_id >= 31").select("node_id", F.round("distance", 9).alias("distance"))
 
 

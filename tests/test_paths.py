@@ -140,3 +140,27 @@ def test_impossible_sites_and_no_observation(spark):
         assert {(r.site, r.node_id) for r in rows} == {(1, 1), (1, 3)} and next(r.p for r in rows if r.node_id == 3 and r.state == 2) == 1.0
     with Store(spark, "t") as store:
         assert PathPruning(nodes, seen.limit(0), jukes_cantor(), None, store).evaluate().count() == 0
+
+
+def test_categories_one_at_a_time_are_all_at_once():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    parents = np.array([-1] + [int(rng.integers(max(0, k - 6), k)) for k in range(1, 200)])
+    tree = Tree(parents, rng.random(200) * 0.2)
+    masks = rng.choice([1, 2, 4, 8, 15], (40, 200))
+    tree.lengths[0] = 0.0
+    masks[0, :2], tree.lengths[1] = (1, 2), 0.0  # a site that cannot occur, if node 1 hangs under the root by no length
+    peaks = {}
+    for k in (1, 32):
+        problem = kernels.Problem(tree, MODEL, discrete_gamma(0.7, k) if k > 1 else RateMixture())
+        tracemalloc.start()
+        got = kernels.online_marginals(problem, masks)
+        peaks[k] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        want = kernels.marginals(problem, masks)
+        assert np.isneginf(got["log_likelihood"][0]) and np.isnan(got["node"][0]).all()
+        assert np.allclose(got["log_likelihood"], want["log_likelihood"], atol=1e-9)
+        assert np.allclose(got["node"], want["node"], atol=1e-9, equal_nan=True)
+        assert np.allclose(got["edge"][:, 1:], want["edge"][:, 1:], atol=1e-9, equal_nan=True)
+    assert peaks[32] < 2 * peaks[1]
