@@ -217,13 +217,16 @@ def _pair_terms(shards: int):
         free, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         keys, lp = words.column("key").to_numpy().view(np.uint64), words.column("lp").to_numpy()
         order = np.argsort(keys)
-        keys, lp, rows = keys[order], lp[order], []
+        keys, lp, names, terms = keys[order], lp[order], [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
         for row in pairs.to_pylist():
-            w, name = unsteps(free(row["w"])), unplanes(free(row["name"]), np.uint64)
-            term = np.log1p(np.frombuffer(free(row["ratio"]), np.float32) * np.exp(-lp[np.searchsorted(keys, w)])).astype(np.float32)
-            order = np.argsort(name)
-            name, term = name[order], term[order]
-            rows += [(s, press(steps(name[at])), press(term[at].tobytes())) for s, at in _dealt(_shard(name, shards))]
+            w = unsteps(free(row["w"]))
+            names.append(unplanes(free(row["name"]), np.uint64))
+            terms.append(np.log1p(np.frombuffer(free(row["ratio"]), np.float32) * np.exp(-lp[np.searchsorted(keys, w)])).astype(np.float32))
+        # dealt once for all rows: a row each would send as many as there are shards, from every row of every shard
+        name, term = np.concatenate(names), np.concatenate(terms)
+        order = np.argsort(name)
+        name, term = name[order], term[order]
+        rows = [(s, press(steps(name[at])), press(term[at].tobytes())) for s, at in _dealt(_shard(name, shards))]
         return _rows(rows, _TERMS)
 
     return run
