@@ -151,3 +151,10 @@ def write_metadata(pairs: dict[str, str]) -> str:
         if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.-]*", key):
             raise ValueError(f"no key: {key!r}")
     return "".join(f"{k}={' '.join(str(v).splitlines())}\n" for k, v in pairs.items())
+
+
+def write_metadata_rows(pairs: DataFrame, order: list[str], path: str) -> None:
+    """As write_metadata(), of rows (key, value, and the columns they are ordered by), as text files that follow each other in their names' order."""
+    key = F.when(F.col("key").rlike("^[A-Za-z_][A-Za-z0-9_.-]*$"), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("no key: "), F.coalesce("key", F.lit("null")))))
+    value = F.regexp_replace(F.regexp_replace(F.col("value").cast("string"), r"(\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029])$", ""), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]", " ")
+    pairs.orderBy(*order).select(F.concat(key, F.lit("="), F.coalesce(value, F.lit(""))).alias("value")).write.mode("overwrite").text(path)

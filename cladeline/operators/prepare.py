@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
 import re
 import tarfile
@@ -10,12 +11,12 @@ import zipfile
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.randomness import Stream
 from ..sources.text import SEQUENCES, fasta_records, parse_newick, write_newick
-from .encode import column_coverage, decode
 
 #: A member of an archive may be so large.  Members are read as streams, so this bounds a task's time and not its memory.
 MOST_BYTES = 16 << 30
@@ -126,22 +127,117 @@ def canonical_dataset(name: Column) -> Column:
     return F.when(part(2) != "", spelt).otherwise(name)
 
 
-def two_pass(sequences: DataFrame, fraction: float, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+#: Part of the identity of kept statistics: another way to count needs another number.
+STATISTICS_VERSION = 2
+#: Columns that travel as one packed row.
+BLOCK = 1 << 16
+
+
+def _codes() -> np.ndarray:
+    """The states (1 to 15) that a byte of a sequence allows, as encode.decode() has them; 0 for what is no code."""
+    out = np.zeros(256, np.uint8)
+    for k, letter in enumerate("ACMGRSVTWYHKDB", 1):
+        out[ord(letter)] = out[ord(letter.lower())] = k
+    for letter in "Uu":
+        out[ord(letter)] = 8
+    for letter in "NnXx?-.":
+        out[ord(letter)] = 15
+    return out
+
+
+def _columns_of(block: int):
+    """Sequences -> for each block of columns, how many cells have one state, and which states those are."""
+
+    def run(batches):
+        code, covered, states = _codes(), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        for batch in batches:
+            for cell in batch.column("sequence"):
+                if not cell.is_valid:
+                    continue
+                own = code[np.frombuffer(cell.as_buffer(), np.uint8)]
+                if not own.all():
+                    raise ValueError("a sequence holds what is no code")
+                if len(own) > len(covered):
+                    covered, states = np.pad(covered, (0, len(own) - len(covered))), np.pad(states, (0, len(own) - len(states)))
+                one = (own & (own - 1)) == 0
+                covered[: len(own)] += one
+                states[: len(own)] |= np.where(one, own, np.uint8(0))
+        for a in range(0, len(covered), block):
+            yield pa.RecordBatch.from_arrays([pa.array([a // block], pa.int64()), pa.array([covered[a : a + block].tobytes()], pa.binary()), pa.array([states[a : a + block].tobytes()], pa.binary())], names=["block", "covered", "states"])
+
+    return run
+
+
+def _merged(block: int):
+    """The packed rows of one block -> site, covered, states, variable."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        most = max(len(x.as_buffer()) for x in rows.column("states"))
+        covered, states = np.zeros(most, np.int64), np.zeros(most, np.uint8)
+        for c, s in zip(rows.column("covered"), rows.column("states"), strict=True):
+            n = len(s.as_buffer())
+            covered[:n] += np.frombuffer(c.as_buffer(), np.int64)
+            states[:n] |= np.frombuffer(s.as_buffer(), np.uint8)
+        site = rows.column("block")[0].as_py() * block + np.arange(most)
+        return pa.table([pa.array(site), pa.array(covered), pa.array(states.astype(np.int32)), pa.array(np.bitwise_count(states) > 1)], names=["site", "covered", "states", "variable"])
+
+    return run
+
+
+def _bits(block: int):
+    """The kept columns of one block, a bit for each of its columns."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        number, mark = rows.column("block")[0].as_py(), np.zeros(block, bool)
+        mark[rows.column("site").to_numpy() - number * block] = True
+        return pa.table([pa.array([number], pa.int64()), pa.array([np.packbits(mark).tobytes()], pa.binary())], names=["block", "bits"])
+
+    return run
+
+
+def column_statistics(sequences: DataFrame) -> DataFrame:
+    """site, covered, states, variable of the columns of aligned sequences (name, sequence).
+
+    A task adds up vectors of its sequences and sends one packed row for each BLOCK of columns; no cell becomes a row.
+    Shorter sequences have no cells beyond their end, null ones none; a character that is no code is an error.
+    """
+    packed = sequences.select("sequence").mapInArrow(_columns_of(BLOCK), "block long, covered binary, states binary")
+    return packed.groupBy("block").applyInArrow(_merged(BLOCK), "site long, covered long, states int, variable boolean")
+
+
+def statistics_identity(sequences: DataFrame, member: str = "") -> tuple[str, int]:
+    """(name under which the statistics of just these sequences are kept, how many sequences there are)."""
+    row = F.xxhash64("name", "sequence")
+    n, a, b = sequences.agg(F.count("*"), F.bit_xor(row), F.sum(F.hash("sequence", "name").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr((STATISTICS_VERSION, member, n, a, str(b))).encode()).hexdigest()[:32], int(n)
+
+
+def two_pass(sequences: DataFrame, fraction: float, checkpoint: str, member: str = "") -> tuple[DataFrame, DataFrame]:
     """(retained columns, sequences over them): a column stays if at least ceil(fraction * taxa) cells have one state.
 
-    The first pass's statistics are kept under ``checkpoint`` and used again if they are there.  Positions are
-    exploded and counted in parallel; the second pass filters each sequence on its own.
+    The first pass's statistics are kept under ``checkpoint``, by version, member and digest of the sequences, and are used
+    again for the same input only.  The second pass gathers each sequence's kept bytes; the kept columns travel as one bit each.
     """
     spark = sequences.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        cells = sequences.select("name", F.posexplode(F.split("sequence", "")).alias("site", "code")).where("code <> ''")
-        column_coverage(cells.select("site", decode(F.col("code")).alias("mask"))).write.parquet(checkpoint)
-    taxa = sequences.count()
-    kept = spark.read.parquet(checkpoint).where(F.col("covered") >= F.ceil(F.lit(fraction) * taxa)).orderBy("site")
-    places = kept.agg(F.array_sort(F.collect_list("site")).alias("sites"))
-    cut = F.array_join(F.transform("sites", lambda k: F.substring("sequence", k + 1, F.lit(1))), "")
-    return kept, sequences.join(F.broadcast(places)).select("name", cut.alias("sequence"))
+    key, taxa = statistics_identity(sequences, member)
+    path = f"{checkpoint}/{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        column_statistics(sequences).write.mode("overwrite").parquet(path)
+    kept = spark.read.schema("site long, covered long, states int, variable boolean").parquet(path).where(F.col("covered") >= F.ceil(F.lit(fraction) * taxa))
+    packed = kept.select(F.expr(f"site div {BLOCK}").alias("block"), "site").groupBy("block").applyInArrow(_bits(BLOCK), "block long, bits binary")
+    bits = {r["block"]: r["bits"] for r in packed.collect()}  # an eighth of one sequence's cell, at most
+    empty = bytes(BLOCK // 8)
+    sent = spark.sparkContext.broadcast(np.frombuffer(b"".join(bits.get(k, empty) for k in range(max(bits, default=-1) + 1)), np.uint8))
+
+    def gather(batches):
+        at = np.flatnonzero(np.unpackbits(sent.value))
+        for batch in batches:
+            cells = [np.frombuffer(x.as_buffer(), np.uint8) if x.is_valid else None for x in batch.column("sequence")]
+            cut = [None if c is None else c[at[: np.searchsorted(at, len(c))]].tobytes().decode("ascii") for c in cells]
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(cut, pa.string())], names=["name", "sequence"])
+
+    return kept.orderBy("site"), sequences.select("name", "sequence").mapInArrow(gather, "name string, sequence string")
 
 
 def simulate_by_depth(nodes: list[tuple[int, int | None, str, float]], sites: int, seed: int) -> dict[str, str]:

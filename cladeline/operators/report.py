@@ -9,26 +9,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.store import Store
 from .encode import ranked
 
 
-def numbered_lines(spark, path: str | list[str]) -> DataFrame:
-    """file, line_no, line of text logs; each file is one row until it is split, so files are its parallel units."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("at", "line")).select("file", (F.col("at") + 1).alias("line_no"), F.trim(F.regexp_replace("line", "\r$", "")).alias("line"))
+#: Rows of a range of carry_forward(), about: order numbers that lie so far apart are of different ranges.
+RANGE = 65_536
 
 
-def carry_forward(rows: DataFrame, by: list[str], order: str, value: Column, name: str) -> DataFrame:
-    """Adds the last value that is not null at or above the row."""
-    w = W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn(name, F.last(value, True).over(w))
+def numbered_lines(spark, path: str | list[str], log: Column | None = None) -> DataFrame:
+    """file, line_no, line of text logs, read by splits, so that no task needs a whole log.
+
+    A row's number in its split is its distance from the split's first row; how many lines lie before a split is summed over the splits
+    of the log.  ``log`` names a row's log by its path (``file``); files of one log follow each other in the order of their paths.
+    """
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    rows = spark.read.option("lineSep", "\n").text(path).select(*where, F.monotonically_increasing_id().alias("id"), "value")
+    splits = rows.groupBy("file", "start").agg(F.min("id").alias("first"), F.count("*").alias("lines"))
+    splits = splits.withColumn("log", F.col("file") if log is None else log)
+    above = F.sum("lines").over(W.partitionBy("log").orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("file", "start", "log", (F.coalesce(above, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return rows.join(splits, ["file", "start"]).select(F.col("log").alias("file"), (F.col("id") + F.col("shift")).alias("line_no"), F.trim(F.regexp_replace("value", "\r$", "")).alias("line"))
+
+
+def carry_forward(rows: DataFrame, by: list[str], order: str, value: Column, name: str, width: int = RANGE) -> DataFrame:
+    """Adds the last value that is not null at or above the row, in the order of a whole number.
+
+    In two levels: the last value of each range of ``width`` numbers is carried over the ranges, and each range then begins with what was
+    carried to it.  So a task holds one range, however long the file is.
+    """
+    held = rows.withColumn("_value", value).withColumn("_range", F.expr(f"`{order}` div {width}"))
+    last = held.groupBy(*by, "_range").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_last"))
+    before = F.last("_last", True).over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    keys = [*by, "_range"]
+    ranges = last.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], before.alias("_before"))
+    same = None
+    for i, c in enumerate(keys):
+        equal = F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        same = equal if same is None else same & equal
+    inside = F.last("_value", True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return held.join(ranges, same).withColumn(name, F.coalesce(inside, "_before")).drop("_value", "_range", "_before", *[f"_k{i}" for i in range(len(keys))])
 
 
 def csv_fields(line: Column) -> Column:
     """Cells of a line of CSV; in double quotes a cell may hold commas, and a doubled quote stands for one."""
     cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
     bare = lambda c: F.regexp_replace(c.substr(F.lit(2), F.length(c) - 2), '""', '"')
-    return F.transform(cells, lambda c: F.when(c.rlike('^".*"$'), bare(c)).otherwise(c))
+    quoted = F.transform(cells, lambda c: F.when(c.rlike('^".*"$'), bare(c)).otherwise(c))
+    return F.when(F.instr(line, '"') > 0, quoted).otherwise(F.split(line, ",", -1))
 
 
 def number(fields: Column, name: str) -> Column:
@@ -49,6 +77,7 @@ def log_records(
     identity: Sequence[str] = (),
     finite: Sequence[str] = (),
     every: bool = False,
+    store: Store | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of lines of CSV under changing headers.
 
@@ -57,10 +86,13 @@ def log_records(
     line_no and a map of fields with defaults filled in; rejects have file, line_no and the first reason: a header that
     names a column twice, a wrong number of fields, an ``identity`` column that is missing, a ``finite`` one that is no finite
     number, or an elapsed time (the first ``required`` column that is there, unless ``every``) that is not positive.
+    With a ``store``, the lines and what they are found to be are each written there once, and both results read that.
     """
-    rows = lines.where("line <> '' AND NOT startswith(line, '#')").withColumn("fields", csv_fields(F.col("line")))
-    is_header = F.element_at("fields", 1).isin(*headers)
-    rows = carry_forward(rows, ["file"], "line_no", F.when(is_header, F.col("fields")), "header")
+    rows = lines.where("line <> '' AND NOT startswith(line, '#')")
+    rows = store.put(rows, "lines") if store else rows
+    first = F.regexp_extract("line", r'^(?:"([^",]*)"|([^",]*))(?:,|$)', 0)
+    is_header = F.regexp_replace(first, '[",]', "").isin(*headers)
+    rows = carry_forward(rows, ["file"], "line_no", F.when(is_header, csv_fields(F.col("line"))), "header").withColumn("fields", csv_fields(F.col("line")))
     has = (lambda c: F.array_contains("header", c))
     wanted = F.forall(F.array(*map(F.lit, required)), has) if every else F.exists("header", lambda h: h.isin(*required))
     twice = F.size(F.array_distinct("header")) < F.size("header")
@@ -80,6 +112,8 @@ def log_records(
         .when(F.size(unfit) > 0, F.concat(F.lit("not finite: "), F.array_join(unfit, ", ")))
         .when(F.lit(not every) & ~(_finite(elapsed_) & (elapsed_ > 0)), "elapsed time not positive"),
     )
+    rows = rows.select("file", "line_no", F.when(F.col("reason").isNull(), F.col("pairs")).alias("pairs"), "reason")
+    rows = store.put(rows, "scan") if store else rows
     return rows.where("reason IS NULL").select("file", "line_no", F.col("pairs").alias("fields")), rows.where("reason IS NOT NULL").select("file", "line_no", "reason")
 
 

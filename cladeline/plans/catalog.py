@@ -194,9 +194,8 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionke
 def root_to_tip(spark, d):
     """Distances of the tips by pointer doubling, whatever the depth."""
     from ..operators.decompose import root_distances
-    from .deep import _store
 
-    out = root_distances(derive.tree_nodes(spark, d), _store(spark, "distances"))
+    out = root_distances(derive.tree_nodes(spark, d), derive.kept(spark, "distances"))
     return out.where("node_id >= 31").select("node_id", F.round("distance", 9).alias("distance"))
 
 

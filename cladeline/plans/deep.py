@@ -5,35 +5,20 @@ The SQL of the chain goes along it node by node, in recursion; the queries go by
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.models import RateMixture, discrete_gamma, jukes_cantor
 from ..operators import decompose
 from ..operators.path_pruning import PathPruning
-from ..sources.store import Store
 from . import derive, sql
 from .catalog import _TREE_SQL, GAMMA4, GTR, UPPER, _inference, query
-from .derive import read
+from .derive import kept, read
 
 CHAIN_SITES, LEGS = 16, 1_000_000_000
 MANY = discrete_gamma(0.7, 64)
 
 
-def _store(spark: SparkSession, name: str) -> Store:
-    """A query's result reads its tables when it is collected, so they go when the session's process ends."""
-    store = Store(spark, name)
-    atexit.register(_gone, store)
-    return store
-
-
-def _gone(store: Store) -> None:
-    if store.spark._jsc is not None and not store.spark._jsc.sc().isStopped():
-        store.close()
-
-
 # --- a chain as deep as there are parts
 
 _CHAIN = f"""chain AS (SELECT p_partkey + 1 AS k, 0.0005::DOUBLE * (1 + p_partkey % 20) AS len FROM part),
@@ -71,7 +56,7 @@ def chain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _chain_pruning(spark: SparkSession, d: str, stretch: int = 256) -> PathPruning:
-    return PathPruning(*chain(spark, d), jukes_cantor(), None, _store(spark, "chain"), stretch)
+    return PathPruning(*chain(spark, d), jukes_cantor(), None, kept(spark, "chain"), stretch)
 
 
 @query(f"WITH RECURSIVE {_CHAIN} SELECT CAST(site AS BIGINT) AS site, round(ls + ln(0.25 * (m0 + m1 + m2 + m3)), 6) AS log_likelihood FROM up WHERE k = 1")
@@ -101,7 +86,7 @@ SELECT CAST(k AS BIGINT) AS node_id, round(sum(len) OVER (ORDER BY k), 9) AS dis
 UNION ALL SELECT 0, 0 UNION ALL SELECT 1000000000 + s_suppkey, round(x + 0.02 + 0.001 * (s_suppkey % 10), 9) FROM supplier, n, (SELECT k, sum(len) OVER (ORDER BY k) AS x FROM c) p WHERE p.k = (s_suppkey * 7919) % n + 1""")
 def deep_distances(spark, d):
     """From the root to every node, by pointer doubling."""
-    return decompose.root_distances(chain(spark, d)[0], _store(spark, "distances")).select("node_id", F.round("distance", 9).alias("distance"))
+    return decompose.root_distances(chain(spark, d)[0], kept(spark, "distances")).select("node_id", F.round("distance", 9).alias("distance"))
 
 
 _HEADS = f"""t AS ({_TREE_SQL}), s AS (SELECT s_suppkey, s_nationkey AS n, s_suppkey = min(s_suppkey) OVER (PARTITION BY s_nationkey) AS heavy FROM supplier),
@@ -117,14 +102,14 @@ heads AS (SELECT 0 AS node_id, 0 AS head, NULL AS n, NULL AS g UNION ALL SELECT
 @query(f"WITH {_HEADS} SELECT CAST(node_id AS BIGINT) AS node_id, CAST(head AS BIGINT) AS path, CAST(CASE WHEN head >= 31 THEN 0 WHEN node_id = head THEN 0 WHEN node_id >= 31 THEN 2 WHEN node_id >= 6 THEN 1 ELSE 0 END + CASE WHEN head = 0 AND node_id > 0 THEN 1 ELSE 0 END - CASE WHEN head BETWEEN 6 AND 30 AND node_id >= 31 THEN 1 ELSE 0 END AS BIGINT) AS pos FROM heads")
 def tree_paths(spark, d):
     """Heavy paths of the tree of regions, nations and suppliers."""
-    return decompose.heavy_paths(derive.tree_nodes(spark, d), _store(spark, "paths")).nodes.select("node_id", "path", "pos")
+    return decompose.heavy_paths(derive.tree_nodes(spark, d), kept(spark, "paths")).nodes.select("node_id", "path", "pos")
 
 
 # --- marginals as rows, on the tree of the other queries
 
 
 def _pruning(spark: SparkSession, d: str, model, mixture: RateMixture | None, name: str) -> PathPruning:
-    return PathPruning(derive.tree_nodes(spark, d), derive.observations(spark, d), model, mixture, _store(spark, name))
+    return PathPruning(derive.tree_nodes(spark, d), derive.observations(spark, d), model, mixture, kept(spark, name))
 
 
 def _upper(paths: PathPruning, least: int, most: int) -> DataFrame:

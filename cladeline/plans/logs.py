@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..operators import corpus, encode, report, runs
 from ..streaming.streams import folder
 from .catalog import _BEST, _COVER, _medians, _small, query
-from .derive import read
+from .derive import kept, read
 
 # --- a log of measurements under changing headers
 
@@ -29,20 +30,24 @@ def _text(*parts) -> F.Column:
 
 
 def _lines(spark, d) -> DataFrame:
-    """file, line_no, line: items under the header of the last order that has one; every item of an even part is native."""
-    x = _items(spark, d)
+    """file, line_no, line: items under the header of the last order that has one; every item of an even part is native.
+
+    One exchange, by order: an order's first item also brings the order's header and note.
+    """
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey", "l_quantity", "l_returnflag").repartition("o")
+    x = lines.groupBy("o", "n").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("q"), F.min("l_returnflag").alias("flag"))
     n, s, q = F.col("n"), F.col("s"), F.col("q")
     batch = F.call_function("shiftleft", F.lit(1), n)
     abs_error = F.when(q == 49, "nan").otherwise(_text(q, "e-9"))
     time = F.when(q == 50, "0").otherwise(q.cast("string"))
     native = _text("cuda,", F.when(n % 2 == 0, "FP32").otherwise("FP64"), ',"set,', s, '",', batch, ",128,", time, ",", abs_error, ",", q, F.when(n % 2 == 0, "e-4").otherwise("e-12"), ",", F.when((n == 6) & (s % 5 == 0), 1).otherwise(0))
     base = _text("ext,FP64,set-", s, ",", batch, ",128,", F.when(F.col("flag") == "A", "cuda").otherwise("cpu"), ",", n, ",", time, ",", abs_error, ",", q, "e-12")
-    where = [_text("log", F.col("o") % 4).alias("file")]
-    rows = x.select(*where, (F.col("o") * 10 + n).alias("line_no"), F.when(F.col("p") % 2 == 0, native).otherwise(base).alias("line"))
     head = F.when(F.col("o") % 7 == 0, _NATIVE).when(F.col("o") % 7 == 3, _BASE).when(F.col("o") % 7 == 5, _OFF)
-    heads = x.select("o").distinct().select(*where, (F.col("o") * 10).alias("line_no"), head.alias("line")).where("line IS NOT NULL")
-    notes = x.select("o").distinct().where("o % 3 = 0").select(*where, (F.col("o") * 10 + 9).alias("line_no"), F.lit("# a, note").alias("line"))
-    return rows.unionByName(heads).unionByName(notes)
+    x = x.withColumn("opens", F.row_number().over(W.partitionBy("o").orderBy("n")) == 1)
+    opens = F.col("opens")
+    row = lambda at, line: F.struct((F.col("o") * 10 + at).alias("line_no"), line.alias("line"))
+    found = F.array(row(n, F.when(F.col("p") % 2 == 0, native).otherwise(base)), row(F.lit(0), F.when(opens, head)), row(F.lit(9), F.when(opens & (F.col("o") % 3 == 0), F.lit("# a, note"))))
+    return x.select(_text("log", F.col("o") % 4).alias("file"), F.explode(F.filter(found, lambda r: r["line"].isNotNull())).alias("r")).select("file", "r.line_no", "r.line")
 
 
 _SCAN_SQL = f"""WITH x AS ({_ITEM_SQL}),
@@ -56,7 +61,7 @@ _ELAPSED = ["measured_total_ms", "base_total_ms"]
 
 
 def _scan(spark, d) -> tuple[DataFrame, DataFrame]:
-    return report.log_records(_lines(spark, d), ["cuda", "ext"], ["backend", "baseline"], _ELAPSED, _DEFAULTS, ["precision", "dataset", "site_batch", "unique_patterns", "study"], ["max_abs_error", "max_relative_error"])
+    return report.log_records(_lines(spark, d), ["cuda", "ext"], ["backend", "baseline"], _ELAPSED, _DEFAULTS, ["precision", "dataset", "site_batch", "unique_patterns", "study"], ["max_abs_error", "max_relative_error"], store=kept(spark, "log"))
 
 
 @query(f"""{_SCAN_SQL} SELECT file, CAST(line_no AS BIGINT) AS line_no, CASE WHEN kind = 9 THEN 'set,' ELSE 'set-' END || s AS dataset,
@@ -78,11 +83,10 @@ def log_rejects(spark, d):
 
 @query(f"{_SCAN_SQL} SELECT file, count(*) AS records FROM r WHERE reason IS NULL GROUP BY 1")
 def log_files(spark, d):
-    """Logs written as files, read back by path and scanned as one: their union, told apart by where they come from."""
+    """Logs written as folders of part files, read back by splits and scanned as one: their union, told apart by where they come from."""
     path = folder(spark, "logs")
-    lines = _lines(spark, d).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    lines.select("file", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("value")).repartition("file").write.partitionBy("file").text(path)
-    found = report.numbered_lines(spark, path).withColumn("file", F.regexp_extract("file", "file=([a-z0-9]+)", 1))
+    _lines(spark, d).repartitionByRange(8, "file", "line_no").sortWithinPartitions("file", "line_no").select("file", F.col("line").alias("value")).write.partitionBy("file").text(path)
+    found = report.numbered_lines(spark, path, F.regexp_extract("file", "file=([a-z0-9]+)", 1))
     records, _ = report.log_records(found, ["cuda", "ext"], ["backend", "baseline"], _ELAPSED, _DEFAULTS, [], ["max_abs_error"])
     return records.groupBy("file").agg(F.count("*").alias("records"))
 
@@ -138,7 +142,7 @@ def _task_lines(spark, d) -> DataFrame:
 
 
 def _task_scan(spark, d) -> tuple[DataFrame, DataFrame]:
-    return report.log_records(_task_lines(spark, d), ["cuda"], ["backend", "baseline"], _TASK.split(","), {"gamma_shape": "none"}, every=True)
+    return report.log_records(_task_lines(spark, d), ["cuda"], ["backend", "baseline"], _TASK.split(","), {"gamma_shape": "none"}, every=True, store=kept(spark, "tasks"))
 
 
 @query(f"SELECT 'tasks' AS file, CAST(o * 10 + n AS BIGINT) AS line_no, [{', '.join(repr(x) for x in _TASK_BAD)}][CAST(k + 1 AS INTEGER)] AS fault FROM ({_TASK_SQL}) WHERE k < 8 UNION ALL SELECT 'twice', 1, 'a column occurs twice'")
@@ -299,10 +303,9 @@ def written_report(spark, d):
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS line_no, 'key_' || n_nationkey || '=' || n_name || ' a nation' AS line FROM nation")
 def written_metadata(spark, d):
-    pairs = {f"key_{r.n_nationkey}": f"{r.n_name}\na nation" for r in read(spark, d, "nation").orderBy("n_nationkey").limit(1_000).collect()}
     path = folder(spark, "metadata")
-    _small(spark, [(corpus.write_metadata(pairs).rstrip("\n"),)], "value string").coalesce(1).write.text(path)
-    lines = report.numbered_lines(spark, path)
+    corpus.write_metadata_rows(read(spark, d, "nation").select("n_nationkey", _text("key_", F.col("n_nationkey")).alias("key"), _text(F.col("n_name"), "\na nation").alias("value")), ["n_nationkey"], path)
+    lines = report.numbered_lines(spark, path, F.lit("metadata"))
     return lines.where("line <> ''").select((F.col("line_no") - 1).cast("long").alias("line_no"), "line")
 
 

@@ -2,12 +2,13 @@ import io
 import tarfile
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cladeline.sources.text import fasta_records
-from cladeline.operators import prepare, report, runs
+from cladeline.operators import encode, prepare, report, runs
 from cladeline.sources.text import parse_newick
 
 
@@ -69,6 +70,28 @@ def test_two_passes(spark, tmp_path):
     assert [(r.site, r.covered, r.variable) for r in kept.collect()] == [(0, 3, False), (1, 3, True), (3, 2, False), (4, 3, False), (5, 3, True)]
     assert {r.name: r.sequence for r in cut.collect()} == {"a": "AC-AA", "b": "ACTAC", "c": "AUTAG"}
     assert prepare.two_pass(rows, 0.6, f"file://{tmp_path}/stats")[0].count() == 5
+    # other sequences, or another member, are not served from what is kept for these
+    changed = rows.replace({"ACG-AA": "A-G-AA"}, subset=["sequence"])
+    kept, _ = prepare.two_pass(changed, 0.6, f"file://{tmp_path}/stats")
+    assert [(r.site, r.covered) for r in kept.collect()] == [(0, 3), (1, 2), (3, 2), (4, 3), (5, 3)]
+    assert len(list((tmp_path / "stats").iterdir())) == 2
+    assert prepare.two_pass(rows, 0.6, f"file://{tmp_path}/stats", member="x.fa")[0].count() == 5 and len(list((tmp_path / "stats").iterdir())) == 3
+
+
+def test_column_statistics_by_blocks_and_their_faults(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"s{k}", "".join(rng.choice(list("ACGTUNR-acx"), int(rng.integers(0, 60))))) for k in range(40)] + [("none", None), ("empty", "")]
+    frame = spark.createDataFrame(rows, "name string, sequence string").repartition(3)
+    cells = frame.select("name", F.posexplode(F.split("sequence", "")).alias("site", "code")).where("code <> ''")
+    want = sorted(tuple(r) for r in encode.column_coverage(cells.select("site", encode.decode(F.col("code")).alias("mask"))).collect())
+    monkeypatch.setattr(prepare, "BLOCK", 16)
+    assert sorted(tuple(r) for r in prepare.column_statistics(frame).collect()) == want
+    kept, cut = prepare.two_pass(frame, 0.2, f"file://{tmp_path}/stats")
+    places = [r.site for r in kept.collect()]
+    assert 0 < len(places) < 60 and {r.name: r.sequence for r in cut.collect()} == {n: None if s is None else "".join(s[k] for k in places if k < len(s)) for n, s in rows}
+    with pytest.raises(Exception, match="no code"):
+        prepare.column_statistics(spark.createDataFrame([("a", "AC!")], "name string, sequence string")).collect()
+    assert prepare.column_statistics(frame.limit(0)).count() == 0
 
 
 def test_simulation_by_depth():

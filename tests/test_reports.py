@@ -1,5 +1,6 @@
 """Report gates: each accepts what is right and names what is not."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -186,3 +187,32 @@ def test_pairs_and_coverage(spark):
     rows = spark.createDataFrame([("x", "p", 1.0), ("y", "p", 3.0), ("x", "q", 1.0)], "method string, problem string, ms double")
     assert report.paired(rows, ["problem"], "method", "x", "y", "ms").first().ratio == 3.0
     assert [(r.problem, r.missing) for r in report.unpaired(rows, ["problem"], "method", "x", "y").collect()] == [("q", "y")]
+
+
+def test_logs_of_many_splits_are_numbered_and_carried_as_wholes(spark, tmp_path, monkeypatch):
+    """Lines of one log come from many splits and files, and a header far above still counts."""
+    rng, text = np.random.default_rng(2), []
+    for k in range(3_000):
+        text.append(["cuda,%d" % k, "", "# note %d" % k, "x" * int(rng.integers(0, 90)), "backend,ms%d" % k if rng.random() < 0.02 else "cuda,1"][int(rng.integers(0, 5))] + ("\r" if rng.random() < 0.1 else ""))
+    (tmp_path / "log=a").mkdir()
+    (tmp_path / "log=b").mkdir()
+    (tmp_path / "log=a" / "part-0").write_text("\n".join(text[:1_700]) + "\n", newline="")
+    (tmp_path / "log=a" / "part-1").write_text("\n".join(text[1_700:]) + "\n", newline="")
+    (tmp_path / "log=b" / "part-0").write_text("backend,only\ncuda,5", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = report.numbered_lines(spark, str(tmp_path), F.regexp_extract("file", "log=([a-z])", 1))
+        assert lines.rdd.getNumPartitions() > 3
+        got = {(r.file, r.line_no): r.line for r in lines.collect()}
+        want = {("a", k + 1): x.strip(" ").rstrip("\r").strip(" ") for k, x in enumerate(text)} | {("b", 1): "backend,only", ("b", 2): "cuda,5"}
+        assert got == want
+        for width in (7, 1_000, report.RANGE):
+            carried = report.carry_forward(lines, ["file"], "line_no", F.when(F.col("line").startswith("backend"), F.col("line")), "header", width)
+            held, last = {}, {}
+            for (f, k), x in sorted(want.items()):
+                last[f] = x if x.startswith("backend") else last.get(f)
+                held[f, k] = last[f]
+            assert {(r.file, r.line_no): r.header for r in carried.collect()} == held
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
