@@ -85,6 +85,7 @@ def _emit(frequent: np.ndarray):
                 ids = ids.fill_null(0).to_numpy().astype(np.int64)
                 sizes, reps = np.zeros(len(ids), np.int64), ids.copy()
                 some, owners, sigs = [], [], [b""] * len(ids)
+                early = np.full(len(ids), -1, np.int64)
                 for k, s in shingle_sets(*byte_batch(batch.column("text"))):
                     sizes[k] = len(s)
                     if not len(s) or null[k]:
@@ -93,15 +94,19 @@ def _emit(frequent: np.ndarray):
                     if rep != ids[k]:
                         continue
                     sigs[k] = signature(s)
+                    rare = len(s)
                     if len(frequent):
                         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                         late = frequent[at] == s
                         if late.any():
+                            rare -= int(np.count_nonzero(late))
                             s = np.concatenate([s[~late], s[late]])
                     some.append(s[: prefix_length(len(s))])
+                    if rare <= len(some[-1]):
+                        early[k] = rare
                     owners.append(np.full(len(some[-1]), ids[k]))
                 widths = np.array([len(x) for x in sigs], np.int64)
-                yield packer.note(keys.planes(ids), keys.planes(sizes) + keys.planes(reps) + keys.planes(widths) + null.tobytes() + b"".join(sigs))
+                yield packer.note(keys.planes(ids), keys.planes(sizes) + keys.planes(reps) + keys.planes(early) + keys.planes(widths) + null.tobytes() + b"".join(sigs))
                 if some:
                     yield from packer.add(np.concatenate(some), np.concatenate(owners))
             yield from packer.flush()
@@ -112,19 +117,19 @@ def _emit(frequent: np.ndarray):
     return emit
 
 
-_MET = "doc long, token long, n long, rep long, sig binary"
+_MET = "doc long, token long, n long, rep long, early long, sig binary"
 
 
 def _finish(rows: pa.Table) -> pa.Table:
     k, d, notes = keys.meet(rows)
-    parts = [(pa.array(d), pa.array(_as_long(k)), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.int64()), pa.nulls(len(d), pa.binary()))]
+    parts = [(pa.array(d), pa.array(_as_long(k)), *[pa.nulls(len(d), pa.int64()) for _ in range(3)], pa.nulls(len(d), pa.binary()))]
     for a, b in notes:
         m = len(a) // 8
-        ids, sizes, reps, widths = (keys.unplanes(x, np.int64) for x in (a, b[: 8 * m], b[8 * m : 16 * m], b[16 * m : 24 * m]))
-        null, stops = np.frombuffer(b[24 * m : 25 * m], bool), np.cumsum(widths) + 25 * m
+        ids, sizes, reps, early, widths = (keys.unplanes(x, np.int64) for x in (a, *(b[8 * i * m : 8 * (i + 1) * m] for i in range(4))))
+        null, stops = np.frombuffer(b[32 * m : 33 * m], bool), np.cumsum(widths) + 33 * m
         sigs = [b[y - w : y] or None for y, w in zip(stops.tolist(), widths.tolist(), strict=True)]
-        parts.append((pa.array(ids, mask=null), pa.nulls(m, pa.int64()), pa.array(sizes), pa.array(reps, mask=null), pa.array(sigs, pa.binary())))
-    return pa.table([pa.chunked_array(list(c)) for c in zip(*parts, strict=True)], names=["doc", "token", "n", "rep", "sig"])
+        parts.append((pa.array(ids, mask=null), pa.nulls(m, pa.int64()), pa.array(sizes), pa.array(reps, mask=null), pa.array(early), pa.array(sigs, pa.binary())))
+    return pa.table([pa.chunked_array(list(c)) for c in zip(*parts, strict=True)], names=["doc", "token", "n", "rep", "early", "sig"])
 
 
 def _sets(batches):
@@ -205,6 +210,47 @@ class _Forest:
         return x != y
 
 
+def _spans(group: np.ndarray, home: np.ndarray, n: np.ndarray, alone: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """(left, right, start, count): row left[k] of a tile is to be compared with the rows right[start[k]], ..., count[k] of them.
+
+    Homes meet homes and guests of their group.  Where both have all their rare shingles in their prefixes (alone >= 0), those that
+    no other document has (alone) are in neither's overlap, so that two sets of sizes a and b with more than (a + b) / 7 such
+    shingles do not link.  Rows lie by that number, and a row's span ends where the sum passes the limit: pages of one template that
+    differ in their own words are not compared one by one.  Keys have 48 bits and now and then two are taken for one,
+    so the limit is two wider.
+    """
+    if not len(group):
+        return []
+    strong, u, wide = alone >= 0, np.clip(alone, 0, (1 << 31) - 1), np.int64(1 << 31)
+    top = np.maximum.reduceat(n, np.flatnonzero(np.r_[True, group[1:] != group[:-1]]))[group]
+    out = []
+    for left, right, same, limited in ((home & strong, home & strong, True, True), (home & ~strong, home & ~strong, True, False), (home & strong, home & ~strong, False, False), (home & strong, ~home & strong, False, True), (home & strong, ~home & ~strong, False, False), (home & ~strong, ~home, False, False)):
+        left, right = np.flatnonzero(left), np.flatnonzero(right)
+        if not len(left) or not len(right):
+            continue
+        right = right[np.lexsort((u[right], group[right]))]
+        place = group[right] * wide + u[right]
+        if same:
+            left, start = right, np.arange(1, len(right) + 1)
+        else:
+            start = np.searchsorted(place, group[left] * wide, "left")
+        most = np.clip((n[left] + top[left]) // 7 + 2 - u[left], -1, wide - 1) if limited else wide - 1
+        count = np.searchsorted(place, group[left] * wide + most, "right") - start
+        out.append((left, right, start, np.maximum(count, 0)))
+    return out
+
+
+def _enumerated(spans: list[tuple[np.ndarray, ...]]):
+    """(i, j) of the spans' pairs, PAIRS at a time."""
+    for left, right, start, count in spans:
+        ends, done = np.cumsum(count), 0
+        while done < ends[-1]:
+            numbers = np.arange(done, min(int(ends[-1]), done + PAIRS))
+            k = np.searchsorted(ends, numbers, "right")
+            yield left[k], right[start[k] + numbers - (ends[k] - count[k])]
+            done += len(numbers)
+
+
 def _tile(rows: pa.Table, spanning: bool) -> pa.Table:
     """Pairs of different components in the tiles (token, band) of these rows that the bitmaps let through;
     if ``spanning``, only as many as would join what they could join.
@@ -220,13 +266,11 @@ def _tile(rows: pa.Table, spanning: bool) -> pa.Table:
         rows.take(pa.array(guest)).set_column(rows.schema.get_field_index("band"), "band", pa.array(band[guest] - 1)).append_column("guest", pa.array(np.ones(len(guest), np.int32))),
     ])
     rows = rows.sort_by([("token", "ascending"), ("band", "ascending"), ("guest", "ascending")])
-    token, band, guest, doc, root, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "band", "guest", "doc", "root", "n"))
+    token, band, guest, doc, root, n, alone = (rows.column(c).to_numpy().astype(np.int64) for c in ("token", "band", "guest", "doc", "root", "n", "alone"))
     sig = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("sig").combine_chunks()]
     lead = rows.column("lead").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, LEAD)
     new = np.r_[True, (token[1:] != token[:-1]) | (band[1:] != band[:-1])]
-    last = np.r_[np.flatnonzero(new)[1:], len(token)][np.cumsum(new) - 1]
-    partners = np.where(guest == 0, last - np.arange(len(token)) - 1, 0)
-    ends = np.cumsum(partners)
+    spans = _spans(np.cumsum(new) - 1, guest == 0, n, alone)
     widths = np.array([len(s) for s in sig])
     matrices: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for w in np.unique(widths):
@@ -234,15 +278,10 @@ def _tile(rows: pa.Table, spanning: bool) -> pa.Table:
         at = np.full(len(sig), -1)
         at[own] = np.arange(len(own))
         matrices[int(w)] = (np.stack([folded(sig[i], w) for i in own]), at)
-    found, done, total = [np.zeros((0, 2), np.int64)], 0, int(ends[-1]) if len(ends) else 0
-    while done < total:
-        upto = min(total, done + PAIRS)
-        numbers = np.arange(done, upto)
-        i = np.searchsorted(ends, numbers, "right")
-        j = i + 1 + numbers - (ends[i] - partners[i])
+    found = [np.zeros((0, 2), np.int64)]
+    for i, j in _enumerated(spans):
         keep = (root[i] != root[j]) & (doc[i] != doc[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
         i, j = i[keep], j[keep]
-        done = upto
         for w in np.unique(np.minimum(widths[i], widths[j])):
             pick = np.minimum(widths[i], widths[j]) == w
             matrix, at = matrices[int(w)]
@@ -272,8 +311,8 @@ def _with_enough(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.join(enough_.select("doc"), "doc", "left_semi")
 
 
-def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch, buckets: int) -> DataFrame:
-    """token, doc, root of shingles with several components, of documents that such shingles could link to another component."""
+def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(token, doc, root of shingles with several components, of documents that such shingles could link to another component; all of those documents' shingles with several)."""
     rows, before = _rooted(held, roots), None
     for k in range(2):
         several = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
@@ -285,8 +324,7 @@ def _open(held: DataFrame, roots: DataFrame, sizes: DataFrame, store: Scratch, b
     by_doc = W.partitionBy("doc")
     placed = rows.join(sizes, "doc").select("token", "doc", "root", "n", F.row_number().over(by_doc.orderBy("token")).alias("no"), F.count("*").over(by_doc).alias("c"))
     open_ = store.put_by(placed.where(f"no <= c - ({_LEAST}) + 1").select("token", "doc", "root"), "doc", buckets, "open", deal=False)
-    store.drop(before)
-    return open_
+    return open_, before
 
 
 def _offered(open_: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool) -> DataFrame:
@@ -298,12 +336,19 @@ def _offered(open_: DataFrame, sigs: DataFrame, store: Scratch, spanning: bool)
     below = F.expr(f"(band - 1) div {BANDS}")
     tiles = open_.join(leads.join(sigs, "doc"), "doc").withColumn("band", band + 1)
     buckets = open_.count() // TILE_ROWS + 1
-    columns = ["token", "doc", "root", F.col("n").cast("int").alias("n"), "sig", "lead", "band"]
+    columns = ["token", "doc", "root", F.col("n").cast("int").alias("n"), "alone", "sig", "lead", "band"]
     tiles = tiles.select(*columns, F.explode(F.array_distinct(F.array(own.cast("int"), below.cast("int")))).alias("bands"))
     tiles = tiles.withColumn("bucket", F.pmod(F.xxhash64("token", "bands"), F.lit(buckets)).cast("int"))
     return store.put(tiles.groupBy("bucket").applyInArrow(lambda rows: trimmed(_tile(rows, spanning)), "a long, b long").distinct(), "tiles")
 
 
+def _alone(rows: DataFrame, sigs: DataFrame, late: DataFrame) -> DataFrame:
+    """sigs with alone: the rare prefix shingles of a document that are not among its rows (token, doc), which hold all that others have; -1 if unknown."""
+    met = rows.join(F.broadcast(late), "token", "left_anti").groupBy("doc").agg(F.count("*").alias("met"))
+    alone = F.when(F.col("early") >= 0, F.greatest(F.col("early") - F.coalesce("met", F.lit(0)), F.lit(0))).otherwise(-1).cast("int")
+    return sigs.join(met, "doc", "left").select("doc", "n", "sig", alone.alias("alone"))
+
+
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select("token", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", F.coalesce("root", "doc").alias("root"))
 
@@ -325,8 +370,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", store: Scratch | None =
         shards = keys.shards_for(size // BYTES_PER_KEY, partitions(spark))
         buckets = min(100_000, max(partitions(spark), shards // 4))
         met = store.put(keys.shared(docs, _emit(frequent), lambda rows: trimmed(_finish(rows)), _MET, shards), "met")
-        nodes = store.put_by(met.where("n is not null").select("doc", "n", "rep", "sig"), "doc", buckets, "nodes")
-        sigs = nodes.where("sig is not null").select("doc", "n", "sig")
+        nodes = store.put_by(met.where("n is not null").select("doc", "n", "rep", "early", "sig"), "doc", buckets, "nodes")
+        sigs = nodes.where("sig is not null").select("doc", "n", "sig", "early")
+        late = spark.createDataFrame(pa.table({"token": _as_long(np.unique(frequent & keys.KEPT))}))  # ORDER_KEYS at most
         sizes = sigs.groupBy("doc").agg(F.min("n").alias("n"))
         all_held = store.put_by(met.where("token is not null").select("token", "doc"), "doc", buckets, "tokens")
         store.drop(met)
@@ -349,14 +395,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", store: Scratch | None =
         found = [_verify(near, sets, store)]
         store.drop(stars, near)
         roots = components(found[0].unionByName(same), store)
-        tiles = _offered(_rooted(few, roots), sigs, store, True)
+        tiles = _offered(_rooted(few, roots), _alone(held, sigs, late), store, True)
         found.append(_verify(tiles, sets, store))
         store.drop(tiles, few, roots)
         roots = components(found[0].unionByName(found[1]).unionByName(same), store)
-        open_ = _open(held, roots, sizes, store, buckets)
+        open_, several = _open(held, roots, sizes, store, buckets)
         store.drop(held, roots)
-        tiles = _offered(open_, sigs, store, False)
-        store.drop(open_)
+        tiles = _offered(open_, _alone(several, sigs, late), store, False)
+        store.drop(open_, several)
         found.append(_verify(tiles, sets, store))
         store.drop(tiles, sets)
         roots = components(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(same), store)

@@ -527,3 +527,40 @@ def test_packing(docs, plain):
     for rows in batches.values():
         assert sorted(r.place for r in rows) == list(range(len(rows)))
         assert len(rows) == 1 or len(rows) * max(1, rows[0].length) <= 500
+
+
+def _template_pages(n, copies=0):
+    """Pages of 84 common and 17 own words, no two of which link, and near copies of some."""
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(84)]
+    pages = [" ".join(common[:40] + [f"own{d}x{k}" for k in range(17)] + common[40:]) for d in range(n)]
+    for d in range(copies):
+        words = pages[d].split()
+        words[rng.randrange(3)] = f"new{d}"
+        pages.append(" ".join(words))
+    return list(enumerate(pages))
+
+
+def test_pages_of_one_template_are_not_paired(spark, tmp_path):
+    """Their own words tell them apart before any pair is made; near copies among them are found all the same."""
+    rows = _template_pages(300, 12)
+    docs = helpers.frame(spark, rows, tmp_path, schema="doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == helpers.components(rows) and sum(d != c for d, c in got.items()) == 12
+
+
+def test_spans_hold_every_pair_that_could_link_once():
+    rng = np.random.default_rng(9)
+    m = 400
+    group, home = np.sort(rng.integers(0, 12, m)), rng.random(m) < 0.7
+    n, alone = rng.integers(20, 120, m), rng.integers(-1, 30, m)
+    met = [p for i, j in jaccard_join._enumerated(jaccard_join._spans(group, home, n, alone)) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len({frozenset(p) for p in met}) == len(met)
+    for i in range(m):
+        for j in range(i):
+            if group[i] == group[j] and (home[i] or home[j]) and (min(alone[i], alone[j]) < 0 or 7 * (alone[i] + alone[j]) <= n[i] + n[j]):
+                assert (i, j) in met or (j, i) in met
+    # documents that all have many words of their own: none is compared, however many there are
+    for m in (100, 10_000):
+        every = np.zeros(m, np.int64)
+        assert not list(jaccard_join._enumerated(jaccard_join._spans(every, every == 0, every + 101, every + 21)))
