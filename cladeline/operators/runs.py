@@ -272,18 +272,55 @@ def agreement(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count_distinct(F.struct(*columns)).alias("protocols")).withColumn("agrees", F.col("protocols") == 1)
 
 
-def rendered(lines: DataFrame, identity: list[str], milestones: Sequence[str] = (), steps: int = 10) -> DataFrame:
-    """file, line_no, kind, line of what is worth showing of a log: lines that name an error, markers of ``milestones``, and
-    ``# progress ... done=n total=m`` markers that reach a further tenth for their identity, are its first, or its last."""
-    said = lines.withColumn("pairs", marker_pairs(F.regexp_extract("line", r"^#\s*progress\s+(.*)$", 1)))
-    done, total = F.col("pairs")["done"].try_cast("double"), F.col("pairs")["total"].try_cast("double")
-    moving = said.withColumn("bucket", F.floor(F.try_divide(done * steps, total)).cast("int")).withColumn("ends", done >= total)
-    own = W.partitionBy("file", *[F.col("pairs")[k] for k in identity], F.col("bucket").isNull()).orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    before = F.max("bucket").over(own)
-    shown = F.when(F.col("bucket").isNotNull(), F.when(before.isNull() | (F.col("bucket") > before) | F.col("ends"), "progress"))
-    marker = F.regexp_extract("line", r"^#\s*(\w+)", 1)
-    kind = F.coalesce(shown, F.when(marker.isin(*milestones) if milestones else F.lit(False), "milestone"), F.when(F.col("line").rlike(r"(?i)^[^#].*\berror\b|^[^#]\w*error:|^traceback"), "error"))
-    return moving.withColumn("kind", kind).where("kind IS NOT NULL").select("file", "line_no", "kind", "line")
+# What a live view shows of a log.
+MILESTONES = (
+    "# benchmark_suite_", "# benchmark_precision_complete", "# benchmark_section_complete", "# portability_compile_", "# validation_complete", "# validation_incomplete",
+    "# validation_sanitizer_skipped", "# correctness_gate_", "# baseline_unavailable", "# capacity_limit", "# capacity_failure",
+)
+ERRORS = r"(?i)(?:^|[ :])(critical error|error|failed|failure|fatal)(?:[ :=-]|$)"
+IDENTITY = ("method", "precision", "study", "benchmark_mode", "threads")
+LEVELS = ("quiet", "compact", "full")
+
+
+def classified(lines: DataFrame, level: str = "compact") -> DataFrame:
+    """file, line_no, line, kind of lines that are shown for what they say; and where progress decides, identity, bucket (tenths) and resets.
+
+    ``quiet`` shows milestones and errors, ``compact`` also headings and progress, ``full`` all lines.  A progress line counts if it has a
+    position of 0 to its total, above 0; its identity is its run's settings and total.  The first and the last position reset.
+    """
+    if level not in LEVELS:
+        raise ValueError(f"no level {level}")
+    line = F.col("line")
+    starts = lambda *with_: F.exists(F.array(*map(F.lit, with_)), lambda x: F.startswith(line, x))
+    kind = F.when(starts(*MILESTONES), "milestone").when(line.rlike(ERRORS) | F.contains(line, F.lit("ERROR SUMMARY:")), "error")
+    if level != "quiet":
+        kind = kind.when(starts("===", "# task_progress "), "heading")
+    position = lambda k: F.regexp_extract("line", r"(?:case|cases_through)=([0-9]+)/([0-9]+)", k).try_cast("long")
+    keys, values = (F.regexp_extract_all("line", F.lit(r"([A-Za-z_][A-Za-z0-9_-]*)=([^ ]+)"), F.lit(k)) for k in (1, 2))
+    said = F.arrays_zip(keys.alias("k"), values.alias("v"))
+    last = lambda name: F.coalesce(F.try_element_at(F.filter(said, lambda e: e["k"] == name), F.lit(-1))["v"], F.lit(""))
+    rows = lines.withColumn("kind", kind).withColumn("now", position(1)).withColumn("total", position(2))
+    moves = F.col("kind").isNull() & F.startswith(line, F.lit("# progress ")) & (F.col("total") > 0) & (F.col("now") <= F.col("total")) & F.lit(level != "quiet")
+    rows = rows.withColumn("moves", F.coalesce(moves, F.lit(False)))
+    when = lambda x: F.when(F.col("moves"), x)
+    rows = rows.select(
+        "file", "line_no", "line", F.coalesce("kind", F.when(F.lit(level == "full") & ~F.col("moves"), "line")).alias("kind"), when(F.to_json(F.array(*map(last, IDENTITY), F.col("total").cast("string")))).alias("identity"),
+        when(F.least(F.lit(10), F.expr("now div total * 10 + now % total * 10 div total")).cast("int")).alias("bucket"), when(F.col("now").isin(1) | (F.col("now") == F.col("total"))).alias("resets"),
+    )
+    return rows.where("kind IS NOT NULL OR bucket IS NOT NULL")
+
+
+def rendered(lines: DataFrame, level: str = "compact") -> DataFrame:
+    """file, line_no, kind, line of what a view of a log shows: see classified().
+
+    A progress line is shown if it resets its run, or is in a further tenth than its run's last one shown since.
+    """
+    rows = classified(lines, level)
+    run = W.partitionBy("file", "identity").orderBy("line_no")
+    moving = rows.where("bucket IS NOT NULL").withColumn("part", F.sum(F.col("resets").cast("int")).over(run))
+    before = F.max("bucket").over(W.partitionBy("file", "identity", "part").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
+    shown = moving.withColumn("before", before).where(F.lit(level == "full") | F.col("resets") | F.col("before").isNull() | (F.col("bucket") > F.col("before")))
+    return rows.where("bucket IS NULL").select("file", "line_no", "kind", "line").unionByName(shown.select("file", "line_no", F.lit("progress").alias("kind"), "line"))
 
 
 def run_identity(lines: DataFrame, override: str | None = None) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import corpus, encode, report, runs
-from ..streaming.streams import folder
+from ..streaming.streams import folder, render_available
 from .catalog import _BEST, _COVER, _medians, _small, query
 from .derive import kept, read
 
@@ -337,15 +337,37 @@ def correctness_gate(spark, d):
     return report.gate(metrics.withColumn("state_mismatches", F.lit(0)), 0.5).drop("state_mismatches")
 
 
-@query("""SELECT CAST(line_no AS BIGINT) AS line_no, kind FROM (SELECT event_id AS line_no, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'click' AND (bucket > before OR before IS NULL OR done) THEN 'progress' WHEN event_type = 'purchase' THEN 'milestone' END AS kind FROM (
-  SELECT *, max(CASE WHEN event_type = 'click' THEN bucket END) OVER (PARTITION BY user_id % 5 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
-    SELECT *, (event_id % 50 + 1) * 10 // 50 AS bucket, event_id % 50 = 49 AS done FROM events))) WHERE kind IS NOT NULL""")
-def rendered_log(spark, d):
-    """The lines of a long log that are worth showing: errors, milestones, and progress by tenths, with its first and last."""
+_SHOWN_SQL = """WITH e AS (SELECT event_id, event_type, user_id % 5 AS run, event_id % 50 + 1 AS now FROM events),
+c AS (SELECT *, now * 10 // 50 AS bucket, now IN (1, 50) AS resets, sum(CASE WHEN now IN (1, 50) THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY event_id) AS part FROM e WHERE event_type = 'click'),
+p AS (SELECT *, max(bucket) OVER (PARTITION BY run, part ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c)
+SELECT CAST(event_id AS BIGINT) AS line_no, 'progress' AS kind FROM p WHERE resets OR before IS NULL OR bucket > before
+UNION ALL SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'milestone' ELSE 'heading' END FROM e WHERE event_type IN ('error', 'purchase', 'signup')"""
+
+
+def _long_log(spark, d) -> DataFrame:
     e, kind = F.col("event_id"), F.col("event_type")
-    line = F.when(kind == "error", _text("RuntimeError: no ", e)).when(kind == "purchase", _text("# benchmark_section_complete section=s", e)).when(kind == "click", _text("# progress identity=i", F.col("user_id") % 5, " done=", e % 50 + 1, " total=50")).otherwise(_text("cuda,", e))
-    lines = read(spark, d, "events").select(F.lit("log").alias("file"), e.alias("line_no"), line.alias("line"))
-    return runs.rendered(lines, ["identity"], milestones=["benchmark_section_complete"]).select("line_no", "kind")
+    line = F.when(kind == "error", _text("cuda error: no ", e)).when(kind == "purchase", _text("# benchmark_section_complete section=s", e)).when(kind == "signup", _text("=== ", e))
+    line = line.when(kind == "click", _text("# progress method=m", F.col("user_id") % 5, " method=x", F.col("user_id") % 5, " case=", e % 50 + 1, "/50")).otherwise(_text("# progress case=", e, "/0"))
+    return read(spark, d, "events").select(F.lit("log").alias("file"), e.alias("line_no"), line.alias("line"))
+
+
+@query(_SHOWN_SQL)
+def rendered_log(spark, d):
+    """The lines of a long log that are worth showing: errors, milestones, headings, and progress by tenths, with its first and last."""
+    return runs.rendered(_long_log(spark, d)).select("line_no", "kind")
+
+
+@query(_SHOWN_SQL)
+def rendered_stream(spark, d):
+    """The same of lines that arrive in four files, with a restart between the second and the third."""
+    arriving, shown, state = (folder(spark, f"live-{x}") for x in ("lines", "shown", "state"))
+    lines = _long_log(spark, d)
+    n = (lines.agg(F.max("line_no")).first()[0] or 0) + 1
+    for k in range(4):
+        lines.where(F.expr(f"line_no * 4 div {n}") == k).coalesce(1).write.mode("append").parquet(arriving)
+        if k % 2:
+            render_available(spark, arriving, shown, state)
+    return spark.read.schema("line_no long, kind string").parquet(shown)
 
 
 @query(f"SELECT CAST(o AS BIGINT) AS o, CAST(row_number() OVER (ORDER BY o) - 1 AS BIGINT) AS place FROM (SELECT DISTINCT o FROM ({_ITEM_SQL}))")

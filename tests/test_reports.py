@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cladeline.functions import generate, randomness
-from cladeline.operators import corpus, encode, report
+from cladeline.operators import corpus, encode, report, runs
 
 LOG = """# study=one
 # profile=fixture
@@ -216,3 +216,53 @@ def test_logs_of_many_splits_are_numbered_and_carried_as_wholes(spark, tmp_path,
             assert {(r.file, r.line_no): r.header for r in carried.collect()} == held
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def _shown(lines, level):
+    """The view's rules one line at a time: (number, kind) of what is shown."""
+    import re
+
+    out, tenth = [], {}
+    for k, x in lines:
+        kind = "milestone" if x.startswith(runs.MILESTONES) else "error" if re.search(runs.ERRORS, x) or "ERROR SUMMARY:" in x else None
+        if kind is None and level != "quiet":
+            m = re.search(r"(?:case|cases_through)=([0-9]+)/([0-9]+)", x)
+            if x.startswith(("===", "# task_progress ")):
+                kind = "heading"
+            elif x.startswith("# progress ") and m and 0 < int(m[2]) >= int(m[1]):
+                now, total, said = int(m[1]), int(m[2]), dict(re.findall(r"([A-Za-z_][A-Za-z0-9_-]*)=([^ ]+)", x))
+                run = (*(said.get(i, "") for i in runs.IDENTITY), total)
+                if now in (1, total) or now * 10 // total > tenth.get(run, -1):
+                    tenth[run], kind = now * 10 // total, "progress"
+        if kind is None and level == "full":
+            kind = "line" if not (x.startswith("# progress ") and m and 0 < int(m[2]) >= int(m[1])) else "progress"
+        if kind:
+            out.append((k, kind))
+    return sorted(out)
+
+
+def _a_log():
+    rng = np.random.default_rng(3)
+    lines = ["# progress method=a case=%d/40 precision=FP32" % k for k in range(0, 42)] + ["# progress method=a cases_through=%d/7" % (k % 8) for k in range(30)] + ["# progress case=3/0", "# progress", "fatal", "no fatality", "x Error: y", "== ERROR SUMMARY: 0", "=== head", "# task_progress x", "# capacity_limit a=b", "# other", "plain,row", "# progress method=b method=a case=39/40 precision=FP32"]
+    at = rng.permutation(len(lines) * 2) % len(lines)
+    return [(k, lines[i]) for k, i in enumerate(at)]
+
+
+@pytest.mark.parametrize("level", runs.LEVELS)
+def test_a_view_shows_what_the_rules_say(spark, level):
+    lines = _a_log()
+    frame = spark.createDataFrame([("f", k, x) for k, x in lines], "file string, line_no long, line string")
+    assert sorted((r.line_no, r.kind) for r in runs.rendered(frame, level).collect()) == _shown(lines, level)
+
+
+def test_a_live_view_goes_on_after_a_restart(spark, tmp_path):
+    from cladeline.streaming.streams import render_available
+
+    lines = _a_log()
+    arriving, shown, state = (f"file://{tmp_path}/{x}" for x in ("lines", "shown", "state"))
+    for k in range(0, len(lines), 40):
+        spark.createDataFrame([("f", n, x) for n, x in lines[k : k + 40]], "file string, line_no long, line string").coalesce(1).write.mode("append").parquet(arriving)
+        if k % 80:
+            render_available(spark, arriving, shown, state)
+    render_available(spark, arriving, shown, state)
+    assert sorted((r.line_no, r.kind) for r in spark.read.parquet(shown).collect()) == _shown(lines, "compact")
