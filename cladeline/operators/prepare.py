@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import io
 import re
 import tarfile
-import zipfile
 
 import numpy as np
 import pandas as pd
@@ -16,42 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.randomness import Stream
-from ..sources.text import SEQUENCES, fasta_records, parse_newick, write_newick
-
-#: A member of an archive may be so large.  Members are read as streams, so this bounds a task's time and not its memory.
-MOST_BYTES = 16 << 30
-FASTA_NAME = re.compile(r"\.(fa|fas|fasta|fna)$", re.I)
-
-
-@contextlib.contextmanager
-def archive_fasta(content: bytes | io.IOBase, most: int = MOST_BYTES):
-    """The one FASTA member of a zip or a tar archive, plain or compressed, as a stream of bytes."""
-    stream = io.BytesIO(content) if isinstance(content, bytes) else content
-    if zipfile.is_zipfile(stream):
-        with zipfile.ZipFile(stream) as z:
-            found = [i for i in z.infolist() if FASTA_NAME.search(i.filename)]
-            with z.open(_one(found, [i.file_size for i in found], most)) as f:
-                yield f
-        return
-    stream.seek(0)
-    with tarfile.open(fileobj=stream) as t:
-        found = [m for m in t.getmembers() if m.isfile() and FASTA_NAME.search(m.name)]
-        with t.extractfile(_one(found, [m.size for m in found], most)) as f:
-            yield f
-
-
-def _one(found: list, sizes: list[int], most: int):
-    if len(found) != 1:
-        raise ValueError(f"an archive has one FASTA member, not {len(found)}")
-    if sizes[0] > most:
-        raise ValueError(f"a member has at most {most} bytes")
-    return found[0]
-
-
-def tar_of(members: dict[str, bytes]) -> bytes:
-    """A compressed tar archive."""
+from ..sources import ranges
+from ..sources.store import Store
+from ..sources.text import parse_newick, write_newick
+
+def tar_of(members: dict[str, bytes], mode: str = "w:gz") -> bytes:
+    """A tar archive, compressed unless mode is ``w``."""
     out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w:gz") as t:
+    with tarfile.open(fileobj=out, mode=mode) as t:
         for name, data in members.items():
             info = tarfile.TarInfo(name)
             info.size = len(data)
@@ -59,28 +29,35 @@ def tar_of(members: dict[str, bytes]) -> bytes:
     return out.getvalue()
 
 
-def archived(archives: DataFrame) -> DataFrame:
-    """archives (path, content) -> SEQUENCES rows, record by record: a task holds an archive and one record of it unpacked."""
+def one_fasta(members: DataFrame) -> DataFrame:
+    """The one FASTA member of each archive; none, or several, are errors."""
+    found = members.withColumn("fasta", F.col("member").rlike(r"(?i)\.(fa|fas|fasta|fna)$"))
+    counts = found.groupBy("file").agg(F.count_if("fasta").alias("n"))
+    wrong = F.raise_error(F.concat(F.lit("an archive has one FASTA member, not "), F.col("n").cast("string"), F.lit(": "), F.col("file")))
+    right = counts.select(F.when(F.col("n") == 1, F.col("file")).otherwise(wrong).alias("file"))
+    return found.where("fasta").drop("fasta").join(right, "file")
 
-    def run(batches):
-        for pdf in batches:
-            for where, content in zip(pdf["path"], pdf["content"], strict=True):
-                with archive_fasta(bytes(content)) as f:
-                    held: list[tuple] = []
-                    for k, (name, sequence) in enumerate(fasta_records(f)):
-                        held.append((where, k, name, sequence))
-                        if sum(len(r[3]) for r in held) > 4_000_000:
-                            yield pd.DataFrame(held, columns=["alignment_id", "record_idx", "name", "sequence"])
-                            held = []
-                    if held:
-                        yield pd.DataFrame(held, columns=["alignment_id", "record_idx", "name", "sequence"])
-
-    return archives.select("path", "content").mapInPandas(run, SEQUENCES)
-
-
-def archived_sequences(spark: SparkSession, path: str) -> DataFrame:
-    """SEQUENCES rows of the archives under a path that Spark reads, each archive (2 GiB at most, as Spark's binary cells) one task's work."""
-    return archived(spark.read.format("binaryFile").load(path))
+
+def archived_sequences(spark: SparkSession, path: str | list[str], store: Store, step: int = ranges.STEP) -> DataFrame:
+    """file, member, offset, name, sequence of the one FASTA member of each zip or tar archive under a path that Spark reads.
+
+    Archives and members of any size: the files are read by ranges, directories and headers tell where members lie, and records are put together
+    from the pieces that they lie in.  A deflated member is unpacked by one task, as a stream; a tar.gz by its reader.
+    A member without records, sequences of different lengths or of none, and characters that are no codes are errors.
+    """
+    held = store.put(ranges.byte_ranges(spark, path, step), "ranges")
+    members = store.put(one_fasta(ranges.members(held, step)), "members")
+    records = store.put(ranges.fasta_members(store.put(ranges.unpacked(held, members, step), "contents")), "records")
+    return aligned_records(records, members.select("file"))
+
+
+def aligned_records(records: DataFrame, files: DataFrame) -> DataFrame:
+    """records (file, ..., sequence) of the files, if each has some, all of one length above 0 and of known codes; else an error."""
+    size = F.length("sequence")
+    sizes = records.groupBy("file").agg(F.min(size).alias("least"), F.max(size).alias("most"), F.bool_and(F.col("sequence").rlike("^[ACMGRSVTWYHKDBUNX?.-]*$")).alias("known"))
+    wrong = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.col("file")))
+    right = files.join(sizes, "file", "left").select(F.when(F.col("least").isNull(), wrong("no sequences")).when(F.col("least") == 0, wrong("a sequence without characters")).when(F.col("least") < F.col("most"), wrong("sequences of different lengths")).when(~F.col("known"), wrong("a character that is no code")).otherwise(F.col("file")).alias("file"))
+    return right.join(records, "file", "left")  # from this side, so that faults count without any record too
 
 
 def pattern_weights(spark: SparkSession, path: str, expected: int) -> DataFrame:

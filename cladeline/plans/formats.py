@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import randomness
 from ..operators import corpus, encode, prepare
+from ..sources import ranges
 from ..sources import text as sources
 from ..streaming.streams import folder
 from .catalog import _sequences, _small, query
-from .derive import observations, read
+from .derive import kept, observations, read
 
 # --- Newick
 
@@ -131,9 +132,18 @@ def phylip_interleaved(spark, d):
     return sources.phylip_sequences(rows.select("path", F.concat("head", block(1, 6, True), F.lit("\n"), block(7, 4, False), F.lit("\n"), block(11, 2, True)).alias("text")))
 
 
+@query(f"SELECT 's' || s_suppkey AS name, sequence FROM ({_SEQ})")
+def fasta_ranges(spark, d):
+    """FASTA files read by byte ranges that end anywhere, records put together from them."""
+    path = folder(spark, "fasta")
+    record = F.concat(F.lit(">s"), F.col("s_suppkey").cast("string"), F.lit("\n"), F.col("sequence").substr(1, 5), F.lit("\n"), F.col("sequence").substr(6, 100))
+    _records(spark, d, record).repartition(3, "path").select(F.array_join("records", "\n").alias("value")).write.text(path)
+    return ranges.fasta_files(spark, path, kept(spark, "fasta"), 100).select("name", "sequence")
+
+
 @query("SELECT CAST(s_nationkey AS VARCHAR) AS path, count(*) AS sequences FROM supplier GROUP BY 1 UNION ALL SELECT CAST(s_nationkey AS VARCHAR) || 'x', count(*) FROM supplier GROUP BY s_nationkey")
 def archive_members(spark, d):
-    """Zip and compressed tar archives, each of a FASTA file and another, read member by member."""
+    """Zip and compressed tar archives, each of a FASTA file and another, written as files and read by byte ranges and members."""
     record = F.concat(F.lit(">s"), F.col("s_suppkey").cast("string"), F.lit("\n"), "sequence", F.lit("\n"))
     texts = _records(spark, d, record).select("path", F.array_join("records", "").alias("text"))
 
@@ -145,11 +155,17 @@ def archive_members(spark, d):
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr("notes.txt", "no sequences")
                     z.writestr("data/all.fasta", body)
-                rows += [(path, out.getvalue()), (path + "x", prepare.tar_of({"notes.txt": b"none", "all.fa": body.encode()}))]
-            yield pd.DataFrame(rows, columns=["path", "content"])
-
-    archives = texts.mapInPandas(pack, "path string, content binary")
-    return prepare.archived(archives).groupBy(F.col("alignment_id").alias("path")).agg(F.count("*").alias("sequences"))
+                    z.comment = b"\n"  # the line feed that the text writer adds
+                rows += [(path, out.getvalue()[:-1], None), (path + "x", None, prepare.tar_of({"notes.txt": b"none", "all.fa": body.encode()}, "w"))]
+            yield pd.DataFrame(rows, columns=["path", "zip", "tar"])
+
+    archives = texts.mapInPandas(pack, "path string, zip binary, tar binary")
+    where = folder(spark, "archives")
+    for kind, packed in (("zip", "none"), ("tar", "gzip")):
+        files = archives.where(F.col(kind).isNotNull()).select("path", F.col(kind).cast("string").alias("value"))
+        files.repartition("path").write.partitionBy("path").option("compression", packed).text(f"{where}/{kind}")
+    found = prepare.archived_sequences(spark, [f"{where}/zip", f"{where}/tar"], kept(spark, "archives"), 4_096)
+    return found.groupBy(F.regexp_extract("file", "path=([^/]+)", 1).alias("path")).agg(F.count("*").alias("sequences"))
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS pattern, CAST(s_suppkey + 1 AS BIGINT) AS weight FROM supplier")

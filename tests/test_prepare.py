@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from cladeline.sources.text import fasta_records
+from cladeline.sources.store import Store
 from cladeline.operators import encode, prepare, report, runs
 from cladeline.sources.text import parse_newick
 
@@ -32,16 +32,16 @@ def _tar(members):
 
 @pytest.mark.parametrize("pack", [_zip, _tar])
 def test_archives(spark, tmp_path, pack):
-    (tmp_path / "a.bin").write_bytes(pack([("x/readme.txt", "no"), ("x/a.fasta", ">A\nACGT\n>B\nAC-T\n")]))
-    rows = prepare.archived_sequences(spark, str(tmp_path)).orderBy("record_idx").collect()
-    assert [(r.name, r.sequence) for r in rows] == [("A", "ACGT"), ("B", "AC-T")]
-    with pytest.raises(ValueError), prepare.archive_fasta(pack([("a.fa", ">A\nA\n"), ("b.fa", ">A\nA\n")])):
-        pass
-    with pytest.raises(ValueError), prepare.archive_fasta(pack([("a.fa", ">A\nA\n")]), most=2):
-        pass
-    for broken in ("AC\n>A\nAC\n", ">A\nAC\n>B\nA\n", ">\nAC\n", ">A\nA!\n", ">A\n", ""):
-        with pytest.raises(ValueError), prepare.archive_fasta(pack([("a.fa", broken)])) as f:
-            list(fasta_records(f))
+    read = lambda: prepare.archived_sequences(spark, f"file://{tmp_path}/{name}", store).orderBy("offset").collect()
+    name = "a.tar.gz" if pack is _tar else "a.bin"
+    with Store(spark, "t") as store:
+        (tmp_path / name).write_bytes(pack([("x/readme.txt", "no"), ("x/a.fasta", ">A\nACGT\n>B\nAC-T\n")]))
+        assert [(r.name, r.sequence) for r in read()] == [("A", "ACGT"), ("B", "AC-T")]
+        for k, broken in enumerate(("AC\n>A\nAC\n", ">A\nAC\n>B\nA\n", ">\nAC\n", ">A\nA!\n", ">A\n", "")):
+            name = f"{k}.tar.gz" if pack is _tar else f"{k}.bin"
+            (tmp_path / name).write_bytes(pack([("a.fa", broken)]))
+            with pytest.raises(PySparkException):
+                read()
 
 
 def test_weights(spark, tmp_path):
