@@ -65,11 +65,15 @@ def _split(kind: str, leaves: int, seed: int) -> np.ndarray:
     return np.array(parents, np.int64)
 
 
-def default_lengths(nodes: int, seed: int) -> np.ndarray:
+def numbered_lengths(edges: np.ndarray, seed: int) -> np.ndarray:
     """0.02 to 0.2 for each edge, from its number."""
     from .randomness import scramble
 
-    return 0.02 + 0.18 * unit(scramble((np.uint64(seed) + np.arange(nodes, dtype=np.uint64)) + np.uint64(GAMMA)))
+    return 0.02 + 0.18 * unit(scramble((np.uint64(seed) + edges.astype(np.uint64)) + np.uint64(GAMMA)))
+
+
+def default_lengths(nodes: int, seed: int) -> np.ndarray:
+    return numbered_lengths(np.arange(nodes), seed)
 
 
 def simulate_jukes_cantor(tree: Tree, sites: int, seed: int, rate: float = 1.0) -> np.ndarray:

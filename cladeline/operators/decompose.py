@@ -134,3 +134,10 @@ def root_distances(nodes: DataFrame, store: Store) -> DataFrame:
         store.drop(state)
         state, rounds = after, rounds + 1
     return state.drop("up")
+
+
+def tree_shape(nodes: DataFrame, store: Store) -> DataFrame:
+    """leaves, height (edges to the deepest) and sackin (the sum of the leaves' depths)."""
+    inner = nodes.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("node_id")).distinct()
+    depths = root_distances(nodes, store).join(inner, "node_id", "left_anti")
+    return depths.agg(F.count("*").alias("leaves"), F.max("depth").alias("height"), F.sum("depth").alias("sackin"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import io
-import re
 import tarfile
 
 import numpy as np

@@ -34,7 +34,7 @@ def query(text: str | None = None):
 
 
 def _whole() -> None:
-    from . import deep, formats, logs, studies  # noqa: F401  each adds its queries
+    from . import deep, formats, logs, studies, tables  # noqa: F401  each adds its queries
 
 
 def queries() -> dict:
@@ -127,47 +127,6 @@ def relational_loglik(spark, d):
 # --- models
 
 
-@query("SELECT k AS row_no, round(0.25 - 0.25 * exp(-4 * 1.7 * t / 3), 9) AS differs, round(0.25 + 0.75 * exp(-4 * 1.7 * t / 3), 9) AS same FROM (VALUES (0, 0.0), (1, 1e-12), (2, 1e-5), (3, 0.23), (4, 10.0)) v(k, t)")
-def jc69_transition(spark, d):
-    p = models.transitions(jukes_cantor(1.7), np.array([0.0, 1e-12, 1e-5, 0.23, 10.0]))
-    return _small(spark, [(k, float(x[0, 1]), float(x[0, 0])) for k, x in enumerate(p)], "row_no int, differs double, same double").select("row_no", F.round("differs", 9).alias("differs"), F.round("same", 9).alias("same"))
-
-
-def _spectral_sql(model, t: float) -> str:
-    form = models.spectral_form(model)
-    rows = ", ".join(f"({a}, {b}, {float(form.lam[k])!r}, {float(form.coef[k, a, b])!r})" for k in range(4) for a in range(4) for b in range(4))
-    return f"SELECT a AS parent_state, b AS child_state, round(sum(f * exp(lam * {t})), 9) AS p FROM (VALUES {rows}) v(a, b, lam, f) GROUP BY 1, 2"
-
-
-def _matrix(spark, m: np.ndarray) -> DataFrame:
-    return _small(spark, [(a, b, float(m[a, b])) for a in range(4) for b in range(4)], "parent_state int, child_state int, p double").withColumn("p", F.round("p", 9))
-
-
-@query(_spectral_sql(HKY, 0.37))
-def hky_transition(spark, d):
-    return _matrix(spark, models.transitions(HKY, np.array([0.37]))[0])
-
-
-@query(_spectral_sql(GTR, 0.2))
-def gtr_transition(spark, d):
-    return _matrix(spark, models.transitions(GTR, np.array([0.2]))[0])
-
-
-@query("""WITH pi(s, x) AS (VALUES (0, 0.31), (1, 0.19), (2, 0.27), (3, 0.23)),
-e(i, j, x) AS (VALUES (0, 1, 1.2), (0, 2, 3.1), (0, 3, 0.7), (1, 2, 1.8), (1, 3, 4.6), (2, 3, 0.9)),
-off AS (SELECT i AS a, j AS b, e.x * pi.x AS q FROM e JOIN pi ON s = j UNION ALL SELECT j, i, e.x * pi.x FROM e JOIN pi ON s = i),
-flow AS (SELECT sum(CAST(pi.x AS DOUBLE) * q) AS f FROM off JOIN pi ON s = a)
-SELECT a AS parent_state, b AS child_state, round(CAST(q AS DOUBLE) / f, 9) AS p FROM off, flow UNION ALL SELECT a, a, round(-sum(CAST(q AS DOUBLE)) / max(f), 9) FROM off, flow GROUP BY a""")
-def gtr_rate_matrix(spark, d):
-    return _matrix(spark, models.rate_matrix(GTR))
-
-
-@query("SELECT category, CAST(rate AS DOUBLE) AS rate, CAST(weight AS DOUBLE) AS weight FROM (VALUES (0, 0.0741883, 0.25), (1, 0.3635302, 0.25), (2, 0.9248684, 0.25), (3, 2.6374131, 0.25)) v(category, rate, weight)")
-def discrete_gamma_rates(spark, d):
-    rows = [(c, GAMMA4.rate(c), GAMMA4.weight(c)) for c in range(GAMMA4.count)]
-    return _small(spark, rows, "category int, rate double, weight double").withColumn("rate", F.round("rate", 7))
-
-
 # --- trees and observations
 
 _TREE_SQL = """SELECT 0 AS node_id, CAST(NULL AS BIGINT) AS parent_id, 0.0::DOUBLE AS branch_length
@@ -185,8 +144,10 @@ def tree_edges(spark, d):
 SELECT count(*) AS leaves, CAST(max(depth) AS BIGINT) AS height, CAST(sum(depth) AS BIGINT) AS sackin FROM
 (SELECT CASE WHEN node_id >= 31 THEN 3 WHEN node_id >= 6 THEN 2 ELSE 1 END AS depth FROM leaf)""")
 def tree_shape(spark, d):
-    shape = derive.tree(spark, d)[0].shape()
-    return _small(spark, [(shape["leaves"], shape["height"], shape["sackin"])], "leaves long, height long, sackin long")
+    """Leaves and their depths as rows, by pointer doubling."""
+    from ..operators.decompose import tree_shape as shape
+
+    return shape(derive.tree_nodes(spark, d), derive.kept(spark, "shape"))
 
 
 @query("""SELECT CAST(31 + s_suppkey AS BIGINT) AS node_id, round(0.05::DOUBLE + 0.01::DOUBLE * r_regionkey + 0.02::DOUBLE + 0.01::DOUBLE * (n_nationkey % 7) + 0.01::DOUBLE + 0.0001::DOUBLE * (s_suppkey % 1000), 9) AS distance
@@ -201,9 +162,9 @@ def root_to_tip(spark, d):
 
 @query("SELECT CAST(count_if(l < 0.03) AS BIGINT) AS raised, round(sum(greatest(l, 0.03::DOUBLE)), 6) AS total FROM (SELECT 0.01::DOUBLE + 0.0001::DOUBLE * (s_suppkey % 1000) AS l FROM supplier)")
 def floor_lengths(spark, d):
-    tree, ids = derive.tree(spark, d)
-    lengths, raised = trees.floor_lengths(tree.lengths[ids >= 31], 0.03)
-    return _small(spark, [(raised, float(lengths.sum()))], "raised long, total double").withColumn("total", F.round("total", 6))
+    least, length = F.lit(0.03), F.col("branch_length")
+    edges = derive.tree_nodes(spark, d).where("node_id >= 31")
+    return edges.agg(F.count_if(length < least).alias("raised"), F.round(F.sum(F.greatest(length, least)), 6).alias("total"))
 
 
 _IUPAC_SQL = "CASE WHEN strpos('ACMGRSVTWYHKDB', upper(ch)) > 0 THEN strpos('ACMGRSVTWYHKDB', upper(ch)) WHEN upper(ch) = 'U' THEN 8 WHEN strpos('NX?-.', upper(ch)) > 0 THEN 15 END"
@@ -457,18 +418,6 @@ def resume_skip(spark, d):
     return report.to_resume(planned, done, ["problem", "batch"])
 
 
-@query("SELECT CAST(i AS BIGINT) AS record, CAST(i // 3 AS BIGINT) AS case_no, CAST(i % 3 AS BIGINT) AS order_no, ['cpu', 'gpu', 'base'][CAST((i // 3 + i % 3) % 3 + 1 AS INTEGER)] AS method FROM range(36) r(i)")
-def cyclic_schedule(spark, d):
-    return generate.cyclic_schedule(spark, 12, ["cpu", "gpu", "base"])
-
-
-@query("SELECT CAST(i AS BIGINT) AS record FROM range(36) r(i) WHERE i % 7 = 5")
-def schedule_faults(spark, d):
-    methods = ["cpu", "gpu", "base"]
-    rows = generate.cyclic_schedule(spark, 12, methods)
-    return report.schedule_faults(rows.withColumn("method", F.when(F.col("record") % 7 == 5, F.concat("method", F.lit("?"))).otherwise(F.col("method"))), methods).select("record")
-
-
 _BLOCKS = "SELECT user_id, event_id, ts, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS session FROM events"
 
 
@@ -507,17 +456,6 @@ def timing_repeats(spark, d):
 # --- generators and streams
 
 
-@query()
-def synthetic_topologies(spark, d):
-    cases = _small(spark, [(k, n, 7) for k in generate.TOPOLOGIES for n in (64, 256)], "kind string, leaves long, seed long")
-    return generate.topologies(cases)
-
-
-@query()
-def unique_patterns(spark, d):
-    return generate.unique_patterns(spark, 5_000, 16, 20260813)
-
-
 @query(f"SELECT CAST(m1 AS INTEGER) AS m1, CAST(m2 AS INTEGER) AS m2, CAST(m3 AS INTEGER) AS m3, CAST(m4 AS INTEGER) AS m4, weight FROM ({_PATTERN_SQL})")
 def stream_patterns(spark, d):
     from ..streaming.streams import running_patterns

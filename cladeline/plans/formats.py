@@ -14,7 +14,7 @@ from ..operators import corpus, encode, prepare
 from ..sources import ranges
 from ..sources import text as sources
 from ..streaming.streams import folder
-from .catalog import _sequences, _small, query
+from .catalog import _sequences, query
 from .derive import kept, observations, read
 
 # --- Newick
@@ -45,12 +45,6 @@ def newick_write(spark, d):
     return _trees(spark, d).mapInPandas(run, "tree_id string, newick string")
 
 
-@query("SELECT text, CAST(p AS INTEGER) AS \"at\" FROM (VALUES ('(a,b)', 5), ('(a,);', 3), ('(a:-1,b);', 3), ('(a,b)x;y', 7), ('(''a,b);', 1), ('(a[,b);', 2), ('a,b;', 1)) v(text, p)")
-def newick_faults(spark, d):
-    texts = _small(spark, [(t,) for t in ("(a,b)", "(a,);", "(a:-1,b);", "(a,b)x;y", "('a,b);", "(a[,b);", "a,b;")], "text string")
-    return sources.faults(texts, sources.parse_newick)
-
-
 @query(f"SELECT CAST(s_nationkey AS VARCHAR) AS tree_id, count(*) AS leaves, round(max({_LEN}), 6) AS height, round(sum({_LEN}), 6) AS total FROM supplier GROUP BY 1")
 def newick_source(spark, d):
     """Trees written as files and read through the data source."""

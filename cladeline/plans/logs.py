@@ -215,12 +215,6 @@ def protocol_faults(spark, d):
     return _blocks(spark, d)[1]
 
 
-@query("SELECT 'abc' AS identity")
-def run_identity(spark, d):
-    lines = _small(spark, [(f, k, x) for f in "ab" for k, x in enumerate(("# study=s", "# run_identity=abc", "cuda,1"))], "file string, line_no long, line string")
-    return _small(spark, [(runs.run_identity(lines),)], "identity string")
-
-
 # --- completeness, pairs, order
 
 

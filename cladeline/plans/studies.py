@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import generate, models, randomness
-from ..functions.models import NucleotideModel, RateMixture, hky, jukes_cantor
-from ..functions.trees import Tree
+from ..functions import models, randomness
+from ..functions.models import jukes_cantor
 from ..operators import report, runs
 from ..operators.infer import Resident
 from ..streaming.streams import folder
 from . import derive, sql
-from .catalog import _BEST, GAMMA4, GTR, ONE, _inference, _matrix, _small, query
+from .catalog import _BEST, GAMMA4, GTR, ONE, _inference, _small, query
 from .derive import read
 
 # --- models
@@ -27,12 +23,6 @@ def jc69_closed_form(spark, d):
     return read(spark, d, "nation").select("n_nationkey", F.round(differs, 12).alias("differs"), F.round(same, 12).alias("same"))
 
 
-@query("SELECT category, round(1.3 * CAST(rate AS DOUBLE), 5) AS rate, 0.25::DOUBLE AS weight FROM (VALUES (0, 0.0741883), (1, 0.3635302), (2, 0.9248684), (3, 2.6374131)) v(category, rate)")
-def selected_categories(spark, d):
-    rows = [(c, models.select_category(GTR, GAMMA4, c).rate, GAMMA4.weight(c)) for c in range(GAMMA4.count)]
-    return _small(spark, rows, "category int, rate double, weight double").withColumn("rate", F.round("rate", 5))
-
-
 @query(f"SELECT site, round(max(lc), 5) AS best FROM ({sql.log_likelihood(GTR, GAMMA4).replace('SELECT CAST(site AS BIGINT) AS site, round(ll, 6) AS log_likelihood FROM ll', 'SELECT CAST(site AS BIGINT) AS site, lc - ln(0.25) AS lc FROM bycat')}) GROUP BY 1")
 def likelihood_by_category(spark, d):
     """Each category alone, as a model of one rate: a site's likelihood in its best one."""
@@ -43,58 +33,6 @@ def likelihood_by_category(spark, d):
     return out.groupBy("site").agg(F.round(F.max("log_likelihood"), 5).alias("best"))
 
 
-def _refused(make) -> str | None:
-    try:
-        make()
-    except (ValueError, IndexError) as e:
-        return str(e)
-    return None
-
-
-_BAD_MODELS = [
-    ("frequency 0", lambda: NucleotideModel((0.0, 0.4, 0.3, 0.3), (1.0,) * 6).validate(), "stationary frequencies must be positive and sum to 1"),
-    ("sum off by 2e-6", lambda: NucleotideModel((0.25, 0.25, 0.25, 0.250002), (1.0,) * 6).validate(), "stationary frequencies must be positive and sum to 1"),
-    ("root below 0", lambda: NucleotideModel((0.25,) * 4, (1.0,) * 6, 1.0, (-0.1, 0.5, 0.3, 0.3)).validate(), "root frequencies must not be negative and must sum to 1"),
-    ("exchangeability", lambda: NucleotideModel((0.25,) * 4, (1.0, 1.0, -1.0, 1.0, 1.0, 1.0)).validate(), "exchangeabilities must be finite and not negative"),
-    ("five of six", lambda: NucleotideModel((0.25,) * 4, (1.0,) * 5).validate(), "a model has 4 frequencies and 6 exchangeabilities"),
-    ("rate", lambda: jukes_cantor(math.inf), "the rate must be finite and not negative"),
-    ("kappa", lambda: hky((0.25,) * 4, -1.0), "kappa must be finite and not negative"),
-    ("no flow", lambda: models.rate_matrix(NucleotideModel((0.25,) * 4, (0.0,) * 6)), "the expected rate must be positive"),
-    ("sizes", lambda: RateMixture((1.0,), ()), "as many weights as rates"),
-    ("weights", lambda: RateMixture((1.0, 1.0), (0.5, 0.4)), "weights must sum to 1"),
-    ("a rate of 0", lambda: RateMixture((0.0, 2.0), (0.5, 0.5)), "rates and weights must be positive and finite"),
-    ("category", lambda: GAMMA4.rate(4), "no category 4"),
-    ("length", lambda: models.transitions(jukes_cantor(), np.array([-1.0])), "branch lengths must be finite and not negative"),
-    ("overflow", lambda: models.transitions(jukes_cantor(1e200), np.array([1e200])), "rate times length overflows"),
-    ("root of 0 is fine", lambda: NucleotideModel((0.25,) * 4, (1.0,) * 6, 1.0, (0.0, 1.0, 0.0, 0.0)).validate(), None),
-]
-
-
-@query("SELECT name, fault FROM (VALUES " + ", ".join(f"('{n}', {'NULL' if f is None else repr(f)})" for n, _, f in _BAD_MODELS) + ") v(name, fault)")
-def model_faults(spark, d):
-    return _small(spark, [(name, _refused(make)) for name, make, _ in _BAD_MODELS], "name string, fault string")
-
-
-@query("SELECT 'none' AS mixture, 0 AS category, CAST(1 AS BIGINT) AS categories, 1.0::DOUBLE AS rate, 1.0::DOUBLE AS weight UNION ALL SELECT 'two', 0, 2, 0.5, 0.25 UNION ALL SELECT 'two', 1, 2, 1.5, 0.75")
-def mixture_accessors(spark, d):
-    rows = [(name, c, m.count, m.rate(c), m.weight(c)) for name, m in (("none", ONE), ("two", RateMixture((0.5, 1.5), (0.25, 0.75)))) for c in range(m.count)]
-    return _small(spark, rows, "mixture string, category int, categories long, rate double, weight double")
-
-
-@query("""WITH pi(s, x) AS (VALUES (0, 0.3), (1, 0.2), (2, 0.2), (3, 0.3)),
-e(m, i, j, x) AS (SELECT 'gtr', * FROM (VALUES (0, 1, 1.2), (0, 2, 3.1), (0, 3, 0.7), (1, 2, 1.8), (1, 3, 4.6), (2, 3, 0.9)) UNION ALL SELECT 'hky', * FROM (VALUES (0, 1, 1.0), (0, 2, 2.5), (0, 3, 1.0), (1, 2, 1.0), (1, 3, 2.5), (2, 3, 1.0))),
-off AS (SELECT m, i AS a, j AS b, CAST(e.x * pi.x AS DOUBLE) AS q FROM e JOIN pi ON s = j UNION ALL SELECT m, j, i, CAST(e.x * pi.x AS DOUBLE) FROM e JOIN pi ON s = i),
-flow AS (SELECT m, sum(CAST(pi.x AS DOUBLE) * q) AS f FROM off JOIN pi ON s = a GROUP BY 1)
-SELECT m AS model, a AS parent_state, b AS child_state, round(q / f, 9) AS p FROM off JOIN flow USING (m) UNION ALL SELECT m, a, a, round(-sum(q) / max(f), 9) FROM off JOIN flow USING (m) GROUP BY 1, 2""")
-def preset_rate_matrices(spark, d):
-    out = None
-    for words in (["--substitution-model=gtr"], ["--substitution-model", "hky", "--hky-kappa", "2.5"]):
-        options = runs.parse_options(words)
-        one = _matrix(spark, models.rate_matrix(options.evolution()[0])).withColumn("model", F.lit(options.model))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query(f"SELECT site, round(exp(log_likelihood) * 1e6, 6) AS likelihood FROM ({sql.log_likelihood(jukes_cantor(), ONE).replace('round(ll, 6)', 'll')})")
 def site_likelihood(spark, d):
     return _inference(spark, d, jukes_cantor()).likelihoods(derive.sites(spark, d)).select("site", F.round(F.col("likelihood") * 1e6, 6).alias("likelihood"))
@@ -137,12 +75,6 @@ def topology_seeds(spark, d):
     return read(spark, d, "nation").select("n_nationkey").mapInPandas(run, "k int, seed string")
 
 
-@query(f"SELECT CAST(k AS INTEGER) AS k, round(0.02 + 0.18 * CAST(h >> 11 AS DOUBLE) / 9007199254740992.0, 12) AS length FROM (SELECT k, {_first_sql('CAST(7 + k AS UBIGINT)')} AS h FROM range(200) r(k))")
-def default_lengths(spark, d):
-    lengths = generate.default_lengths(200, 7)
-    return _small(spark, [(k, float(x)) for k, x in enumerate(lengths)], "k int, length double").withColumn("length", F.round("length", 12))
-
-
 _CLOCK_SQL = """WITH s AS (SELECT s_suppkey, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 n AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey IN (SELECT s_nationkey FROM supplier) THEN 1 ELSE 0 END AS h FROM nation),
 r AS (SELECT r_regionkey, (SELECT coalesce(1 + max(h), 0) FROM n WHERE n_regionkey = r_regionkey) AS h FROM region), t AS (SELECT 1 + max(h) AS h FROM r)"""
@@ -155,88 +87,6 @@ def clock_lengths(spark, d):
     return _small(spark, list(zip(ids.tolist(), tree.clock_like(0.4).tolist(), strict=True)), "node_id long, length double").withColumn("length", F.round("length", 9))
 
 
-@query("SELECT kind, CAST(leaves AS BIGINT) AS leaves, CAST(2 * leaves - 1 AS BIGINT) AS nodes, CAST(leaves - 1 AS BIGINT) AS inner_nodes, CAST(2 AS BIGINT) AS least_children, CAST(2 AS BIGINT) AS most_children, CAST(1 AS BIGINT) AS roots, CASE WHEN kind = 'caterpillar' THEN leaves - 1 WHEN kind = 'balanced' THEN CAST(log2(leaves) AS BIGINT) END AS height FROM (VALUES ('balanced'), ('caterpillar'), ('beta-critical'), ('yule'), ('uniform')) k(kind), (VALUES (64), (256)) l(leaves)")
-def topology_invariants(spark, d):
-    """What holds of every topology: two children a node, one root, and the height where it does not depend on chance."""
-    cases = _small(spark, [(k, n, 7) for k in generate.TOPOLOGIES for n in (64, 256)], "kind string, leaves long, seed long")
-    nodes = generate.topologies(cases)
-    inner = nodes.where("parent_id IS NOT NULL").groupBy("kind", "leaves", "parent_id").count()
-    inner = inner.groupBy("kind", "leaves").agg(F.count("*").alias("inner_nodes"), F.min("count").alias("least_children"), F.max("count").alias("most_children"))
-    whole = nodes.groupBy("kind", "leaves").agg(F.count("*").alias("nodes"), F.count_if(F.col("parent_id").isNull()).alias("roots"))
-
-    def height(key, pdf):
-        kind, leaves = key
-        fixed = kind in ("balanced", "caterpillar")
-        return pd.DataFrame({"kind": [kind], "leaves": [leaves], "height": [int(Tree(pdf.sort_values("node_id")["parent_id"].fillna(-1).to_numpy(), np.zeros(len(pdf))).shape()["height"]) if fixed else None]})
-
-    heights = nodes.groupBy("kind", "leaves").applyInPandas(height, "kind string, leaves long, height long")
-    return whole.join(inner, ["kind", "leaves"]).join(heights, ["kind", "leaves"])
-
-
-_PATTERN_CELL = _first_sql("CAST((xor(20260813::UBIGINT, CAST((site::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT))::UHUGEINT + k::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)")
-
-
-@query(f"""SELECT CAST(site AS BIGINT) AS site, string_agg('0' || [1, 2, 4, 8][CAST(state + 1 AS INTEGER)], '' ORDER BY k) AS masks FROM (
-SELECT site, k, CASE WHEN k < 6 THEN CAST((site >> (2 * k)) & 3 AS BIGINT) ELSE CAST(({_PATTERN_CELL}) & 3::UBIGINT AS BIGINT) END AS state FROM range(1500) s(site), range(10) r(k)) GROUP BY 1""")
-def drawn_patterns(spark, d):
-    return generate.unique_patterns(spark, 1_500, 10, 20260813).select("site", F.hex("masks").alias("masks"))
-
-
-# Fingerprints of simulated alignments.
-_FINGERPRINTS = [("yule", "2641326333024873219"), ("beta-critical", "10536925141760390345"), ("uniform", "10735218043514194703"), ("caterpillar", "5234058107032935918")]
-
-
-@query("SELECT kind, fingerprint FROM (VALUES " + ", ".join(map(str, _FINGERPRINTS)) + ") v(kind, fingerprint)")
-def simulated_fingerprints(spark, d):
-    rows = []
-    for kind, _ in _FINGERPRINTS:
-        parents = generate.topology(kind, 32, 71)
-        bare = Tree(parents, np.zeros(len(parents)))
-        tree = Tree(parents, bare.clock_like(0.1))
-        rows.append((kind, str(randomness.fnv1a(generate.simulate_jukes_cantor(tree, 64, 8128).tobytes()))))
-    return _small(spark, rows, "kind string, fingerprint string")
-
-
-@query("""WITH p(profile, leaves, sites, heights, n) AS (VALUES ('smoke', [128, 512], [256, 1024], [0.001, 0.1], 3), ('paper', [128, 1024, 8192], [256, 2048, 8192], [0.0001, 0.001, 0.01, 0.1], 10), ('stress', [100, 1000, 10000], [1000, 10000, 100000], [0.0001, 0.001, 0.01, 0.1], 3))
-SELECT profile, topology, CAST(l AS INTEGER) AS leaves, CAST(s AS INTEGER) AS sites, CAST(h AS DOUBLE) AS height, CAST(r AS INTEGER) AS replicate FROM (SELECT profile, n, unnest(leaves) AS l, sites, heights FROM p) a, (VALUES ('balanced'), ('caterpillar'), ('yule'), ('beta-critical')) t(topology), unnest(a.sites) us(s), unnest(a.heights) uh(h), range(10) q(r) WHERE r < n""")
-def study_grids(spark, d):
-    out = None
-    for profile in generate.PROFILES:
-        one = generate.study_cases(spark, profile).withColumn("profile", F.lit(profile))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("""SELECT name, CAST(leaves AS BIGINT) AS leaves, CAST(2 * leaves - 1 AS BIGINT) AS nodes, CAST(sites AS BIGINT) AS weight, CAST(floored AS BIGINT) AS floored, distinct_columns FROM (VALUES ('patterns', 12, 300, 0, true), ('floored', 8, 64, 14, true), ('clock', 16, 200, 0, false)) v(name, leaves, sites, floored, distinct_columns)""")
-def made_problems(spark, d):
-    """Problems of options: distinct columns, raised lengths, and a simulated alignment whose weights add up to its sites."""
-    cases = {"patterns": "--leaves 12 --sites 300 --topology yule", "floored": "--leaves=8 --sites=64 --minimum-branch-length=0.5", "clock": "--leaves 16 --sites 200 --topology beta-critical --root-to-tip-distance 0.2"}
-    rows = []
-    for name, line in cases.items():
-        problem = runs.make_problem(spark, runs.parse_options(line.split()))
-        n, kinds, weight = problem.sites.agg(F.count("*"), F.count_distinct("masks"), F.sum("weight")).first()
-        assert n == kinds
-        rows.append((name, int(problem.shape["leaves"]), problem.tree.size, int(weight), problem.floored, n == weight))
-    return _small(spark, rows, "name string, leaves long, nodes long, weight long, floored long, distinct_columns boolean")
-
-
-_LINES = [
-    ("--leaves 8 --sites=16", None), ("--leaves 1", "two leaves at least"), ("--sites 0", "counts must be positive"), ("--benchmark-mode guess", "the mode is one of full-input-update, factor-update, fixed-model"),
-    ("--rate-categories 4", "several categories need a gamma shape, and the other way round"), ("--newick a.nwk", "a tree needs an alignment, and the other way round"), ("--pattern-weights w", "weights need an alignment"),
-    ("--root-to-tip-distance -1", "a height is positive and of synthetic trees"), ("--benchmark-mode fixed-model --site-batch 5", "resident modes take all sites in one batch"), ("--minimum-branch-length -1", "the least length must not be negative"),
-    ("--bogus 1", "unknown option: --bogus"), ("--leaves", "no value: --leaves"), ("--leaves x", "no number: --leaves x"), ("--leaves 4 --leaves 5", "given twice: --leaves"),
-]
-
-
-@query("SELECT line, fault FROM (VALUES " + ", ".join(f"('{a}', {'NULL' if b is None else repr(b)})" for a, b in _LINES) + ") v(line, fault)")
-def command_line_faults(spark, d):
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"line": pdf["line"], "fault": [_refused(lambda x=x: runs.parse_options(x.split())) for x in pdf["line"]]})
-
-    return _small(spark, [(line,) for line, _ in _LINES], "line string").mapInPandas(run, "line string, fault string")
-
-
 # --- runs
 
 

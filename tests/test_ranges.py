@@ -6,7 +6,6 @@ import zipfile
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from cladeline.operators import prepare
 from cladeline.sources import ranges
