@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import kept
 from ..sources.text import MASK_CODES, UNKNOWN
 
 
@@ -85,26 +86,17 @@ def numbered(patterns: DataFrame) -> DataFrame:
 
 
 def ranked(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Adds the row's place in a total order, from 0: by range partitions, and not by a window in one task.
+    """Adds the row's place in a total order, from 0, without a window in one task.
 
-    The rows are dealt by range twice, once to count each range and once to number it; a sample that fell otherwise the
-    second time would move the ranges, so the ranges' bounds are taken once and applied as a condition.
+    Rows are dealt by range and sorted once, and written; a row's place is its number in its file and the rows of the files before.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*order)
-    dealt = rows.repartitionByRange(parts, *order).groupBy(F.spark_partition_id().alias("part")).agg(F.min(key).alias("least"))
-    bounds = sorted((r["least"] for r in dealt.collect()), key=tuple)
-    at = F.lit(0)
-    if bounds:
-        names = F.array(*[F.struct(*[F.lit(b[c]).cast(rows.schema[c].dataType).alias(c) for c in order]) for b in bounds])
-        at = F.size(F.filter(names, lambda b: b <= key)) - 1
-    placed = rows.withColumn("_part", at)
-    sums = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    ahead = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_start")
+    held = kept(spark, "ranked").put(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order), "ranked")
+    placed = held.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    ahead = F.sum("n").over(W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1))  # a row a file, of which there are ``parts``
+    starts = placed.groupBy("_file").agg(F.count("*").alias("n")).select("_file", F.coalesce(ahead, F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_file").withColumn(name, (F.col("_start") + F.col("_row")).cast("long")).drop("_file", "_row", "_start")
 
 
 def column_coverage(observations: DataFrame) -> DataFrame:

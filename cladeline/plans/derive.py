@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.trees import Tree
 from ..operators.encode import to_sites
 from ..operators.infer import collect_tree
-from ..sources.store import Store
+from ..sources.store import kept  # noqa: F401  stores of queries
 
 SITES = 512
 
 
-def kept(spark: SparkSession, name: str) -> Store:
-    """A store for what a query's result reads when it is collected: its tables go when the session's process ends."""
-    store = Store(spark, name)
-    atexit.register(_gone, store)
-    return store
-
-
-def _gone(store: Store) -> None:
-    if store.spark._jsc is not None and not store.spark._jsc.sc().isStopped():
-        store.close()
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

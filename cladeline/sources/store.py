@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +58,15 @@ class Store:
 
     def __exit__(self, *_) -> None:
         self.close()
+
+
+def kept(spark: SparkSession, name: str) -> Store:
+    """A store for what a result reads only when it is collected: its tables go when the session's process ends."""
+    store = Store(spark, name)
+    atexit.register(_gone, store)
+    return store
+
+
+def _gone(store: Store) -> None:
+    if store.spark._jsc is not None and not store.spark._jsc.sc().isStopped():
+        store.close()
