@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

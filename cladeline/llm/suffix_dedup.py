@@ -38,7 +38,7 @@ SPAN = WIDTH - GRAM + 1
 #: Bytes of text handled at once; longer texts are cut with an overlap.
 CHUNK = 1 << 18
 #: Bytes of pieces a task gathers before it sends them, bytes of a shard, and bytes of one suffix array.
-SEND_BYTES, SHARD_BYTES, PART_BYTES = 2 << 20, 2 << 20, 1 << 20
+SEND_BYTES, SHARD_BYTES, PART_BYTES = 1 << 20, 1 << 20, 1 << 19
 #: Rows of a block of documents.
 BLOCK_ROWS = 1_024
 #: Bytes of text to an anchor, and bytes of an anchor's piece, about.
