@@ -11,7 +11,7 @@ document, to the shards that hold the model's terms; a shard sends back one sum
 model or the corpus.  Counts are of all trusted documents; types grow with the corpus and so does the width of
 the hashes that name them.
 
-Words and pairs go out in turns, by the size of the corpus up to WORD_TURNS and PAIR_TURNS; what a turn writes and shuffles is
+Words and pairs go out together in turns, by the size of the corpus up to TURNS; what a turn writes and shuffles is
 freed before the next, so that the disk holds a part of them at a time.
 """
 
@@ -31,8 +31,9 @@ from .common import Scratch, byte_batch, partitions, small, trimmed
 from .shared_keys import planes, steps, unplanes, unsteps
 from .shingles import chunked_words, mixed
 
-WORD_TURNS, PAIR_TURNS = 2, 6
-#: Bytes of text to a turn of pairs, as long as there are fewer.
+#: Readings of the packed texts: more of them need less disk and more time.
+TURNS = 6
+#: Bytes of text to a turn, as long as there are fewer.
 TURN_BYTES = 128 << 20
 #: Words (with repetition) of a shard of pairs, about, and bytes to a word.  Words have half as many shards.
 SHARD_WORDS, WORD_BYTES = 2_000_000, 6
@@ -232,12 +233,14 @@ def _pair_terms(shards: int):
     return run
 
 
-_ASKED = pa.schema([("shard", pa.int32()), ("lane", pa.int32()), ("block", pa.int64()), ("name", pa.binary()), ("rid", pa.binary()), ("n", pa.binary())])
-_ASKED_SQL = "shard int, lane int, block long, name binary, rid binary, n binary"
+#: What is asked for.
+WORDS, PAIRS = 0, 1
+_ASKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("lane", pa.int32()), ("block", pa.int64()), ("name", pa.binary()), ("rid", pa.binary()), ("n", pa.binary())])
+_ASKED_SQL = "kind int, shard int, lane int, block long, name binary, rid binary, n binary"
 
 
-def _ask(shards: int, lanes: int, bits: int, pairs: bool, turn: int, turns: int):
-    """A block's distinct (word, document) of a turn, or (pair, document), and how often each occurs; sorted by name."""
+def _ask(by_word: int, by_pair: int, lanes: int, bits: int, turn: int, turns: int):
+    """A block's distinct (word, document) and (pair, document) of a turn, and how often each occurs; sorted by name."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1).compress
@@ -245,19 +248,19 @@ def _ask(shards: int, lanes: int, bits: int, pairs: bool, turn: int, turns: int)
             for k, (_, _, rids, langs, bodies) in enumerate(unpacked(batch)):
                 block = batch.column("block")[k].as_py()
                 some = [i for i, text in enumerate(bodies) if text]
-                name, _, row = sequences([bodies[i] for i in some], [langs[i] for i in some], bits)
-                if pairs:
-                    name, _, _, row = pair_names(name, row, bits)
-                mine = _shard(name, shards) % turns == turn
-                name, row = name[mine], row[mine]
-                rid = np.array([rids[i] for i in some], np.int32)[row] if some else np.zeros(0, np.int32)
-                order = np.argsort(name, kind="stable")  # documents rise already; where they don't, one is met twice
-                name, rid = name[order], rid[order]
-                new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (rid[1:] != rid[:-1])]) if len(name) else np.zeros(0, np.int64)
-                n = np.diff(np.r_[new, len(name)]).astype(np.int32)
-                name, rid = name[new], rid[new]
-                rows = [(s, block % lanes, block, press(steps(name[at])), press(planes(rid[at])), press(planes(n[at]))) for s, at in _dealt(_shard(name, shards))]
-                yield from _rows(rows, _ASKED).to_batches()
+                words, _, row = sequences([bodies[i] for i in some], [langs[i] for i in some], bits)
+                pairs, _, _, pair_row = pair_names(words, row, bits)
+                numbers = np.array([rids[i] for i in some], np.int32)
+                for kind, shards, name, at_row in ((WORDS, by_word, words, row), (PAIRS, by_pair, pairs, pair_row)):
+                    mine = _shard(name, shards) % turns == turn
+                    name, rid = name[mine], numbers[at_row[mine]] if some else np.zeros(0, np.int32)
+                    order = np.argsort(name, kind="stable")  # documents rise already; where they don't, one is met twice
+                    name, rid = name[order], rid[order]
+                    new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (rid[1:] != rid[:-1])]) if len(name) else np.zeros(0, np.int64)
+                    n = np.diff(np.r_[new, len(name)]).astype(np.int32)
+                    name, rid = name[new], rid[new]
+                    rows = [(kind, s, block % lanes, block, press(steps(name[at])), press(planes(rid[at])), press(planes(n[at]))) for s, at in _dealt(_shard(name, shards))]
+                    yield from _rows(rows, _ASKED).to_batches()
                 trimmed()
 
     return run
@@ -307,6 +310,13 @@ def _pair_sums(asked: pa.Table, terms: pa.Table) -> pa.Table:
     return trimmed(_answers(asked, look_up))
 
 
+def _sums(asked: pa.Table, model: pa.Table) -> pa.Table:
+    if not len(asked):
+        return _rows([], SUMS)
+    words = asked.column("kind")[0].as_py() == WORDS
+    return _word_sums(asked, model.select(["key", "lp", "lg"])) if words else _pair_sums(asked, model.select(["name", "term"]))
+
+
 def word_sums(texts: DataFrame, flags: DataFrame, size: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
     """(sums, langs).
 
@@ -316,10 +326,9 @@ def word_sums(texts: DataFrame, flags: DataFrame, size: int, store: Scratch) ->
     """
     spark = texts.sparkSession
     bits = min(64, SPARE_BITS + max(1, math.ceil(math.log2(size + 2))))
-    pair_turns = int(min(PAIR_TURNS, 1 + size // TURN_BYTES))
-    word_turns = min(WORD_TURNS, pair_turns)
-    shards = pair_turns * -(-max(partitions(spark), size // WORD_BYTES // SHARD_WORDS) // pair_turns)
-    by_word = word_turns * -(-shards // (2 * word_turns))
+    turns = int(min(TURNS, 1 + size // TURN_BYTES))
+    shards = turns * -(-max(partitions(spark), size // WORD_BYTES // SHARD_WORDS) // turns)
+    by_word = turns * -(-shards // (2 * turns))
     lanes = texts.select("block").distinct().count() // LANE_BLOCKS + 1
     counted = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_count(by_word, bits), _TYPES_SQL)
     types = store.put(counted.groupBy("shard").applyInArrow(lambda rows: trimmed(_merge(rows)), _TYPES_SQL), "types")
@@ -341,20 +350,17 @@ def word_sums(texts: DataFrame, flags: DataFrame, size: int, store: Scratch) ->
     its_shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(by_word), 32).cast("int").alias("shard")
     every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
     sums = []
-    for turn in range(word_turns):
-        asked = texts.mapInArrow(_ask(by_word, lanes, bits, False, turn, word_turns), _ASKED_SQL)
-        own = words.select("*", its_shard).where(F.pmod("shard", F.lit(word_turns)) == turn).select("*", every)
-        answer = asked.groupBy("shard", "lane").cogroup(own.groupBy("shard", "lane")).applyInArrow(lambda a, w: _word_sums(a, w), SUMS_SQL)
-        sums.append(store.put(answer, "word_sums"))
-    store.drop(words)
-    for turn in range(pair_turns):
-        dealt = known.mapInArrow(_ratios(by_word, shards, bits, turn, pair_turns), _PAIRS_SQL)
+    for turn in range(turns):
+        dealt = known.mapInArrow(_ratios(by_word, shards, bits, turn, turns), _PAIRS_SQL)
         terms = dealt.groupBy("shard").cogroup(p1.select("key", "lp", its_shard).groupBy("shard")).applyInArrow(_pair_terms(shards), _TERMS_SQL)
         terms = store.put(terms, "terms")
-        asked = texts.mapInArrow(_ask(shards, lanes, bits, True, turn, pair_turns), _ASKED_SQL)
-        answer = asked.groupBy("shard", "lane").cogroup(terms.select("*", every).groupBy("shard", "lane")).applyInArrow(lambda a, t: _pair_sums(a, t), SUMS_SQL)
-        sums.append(store.put(answer, "pair_sums"))
+        own = words.select(F.lit(WORDS).alias("kind"), "*", its_shard).where(F.pmod("shard", F.lit(turns)) == turn)
+        model = own.unionByName(terms.select(F.lit(PAIRS).alias("kind"), "*"), allowMissingColumns=True).select("*", every)
+        asked = texts.mapInArrow(_ask(by_word, shards, lanes, bits, turn, turns), _ASKED_SQL)
+        answer = asked.groupBy("kind", "shard", "lane").cogroup(model.groupBy("kind", "shard", "lane")).applyInArrow(lambda a, m: _sums(a, m), SUMS_SQL)
+        sums.append(store.put(answer, "sums"))
         store.drop(terms)
+    store.drop(words)
     store.drop(types, follow, p1)
     out = sums[0]
     for more in sums[1:]:
