@@ -302,3 +302,45 @@ def test_radix_order_is_stable():
     for top in (10, 1 << 17, 1 << 40):
         keys = rng.integers(0, top, 5_000)
         assert (lexical_search.radix_order(keys) == np.argsort(keys, kind="stable")).all()
+
+
+def test_short_runs_give_what_long_ones_do(monkeypatch):
+    """Constants that only tasks read: few keys held, few entries sorted at once, few counts, few terms to a dense array."""
+    import pyarrow as pa
+
+    rows = [(d, t) for d, t, *_ in documents() if t and len(t) < 5_000] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["doc_id", "text"])
+    raw, offsets = byte_batch(pa.array(["the of ring3 stone4 one two three four five"]))
+    vocabulary = np.unique(np.concatenate([h for _, h, *_ in terms.counted(raw, offsets, terms.NO_LETTER_OR_DIGIT)]))
+    begins, items = np.arange(0, 2 * len(vocabulary) + 1, 2), np.tile([0, 1], len(vocabulary))
+
+    def found():
+        postings = pa.Table.from_batches(list(lexical_search._postings(vocabulary)([batch.slice(0, 20), batch.slice(20)])))
+        kind = postings.column("kind").to_numpy()
+        assert (kind == lexical_search.COUNTS).sum() == 1
+        run = lexical_search._scored(np.array([7, 9]), begins, items, np.ones(len(items), np.int64), np.full(len(vocabulary), 1_000), len(rows), 5_000, 3)
+        return postings.to_pylist(), pa.Table.from_batches(list(run(postings.filter(pa.array(kind == 0)).to_batches()))).to_pylist()
+
+    whole = found()
+    monkeypatch.setattr(lexical_search, "HELD_KEYS", 3)
+    monkeypatch.setattr(lexical_search, "ENTRIES", 5)
+    assert found() == whole and len(whole[1]) == 6
+
+    texts = pa.RecordBatch.from_arrays([pa.array([["en", "de"][k % 2] for k in range(len(rows))]), pa.array([f"s{k % 3}" for k in range(len(rows))]), batch.column("text")], names=["lang", "source", "text"])
+
+    def counts():
+        out = Counter()
+        for part in divergence._counting([texts.slice(0, 15), texts.slice(15)]):
+            for r in part.to_pylist():
+                out[r["lang"], r["source"], r["term"]] += 1_000_000 * r["docs"] + r["count"]
+        return out
+
+    whole = counts()
+    monkeypatch.setattr(divergence, "HELD", 10)
+    assert counts() == whole and len(whole) > 50
+    rng = np.random.default_rng(1)
+    at, term = np.repeat(np.arange(5), 40), np.tile(np.arange(40), 5)
+    p, p0 = rng.integers(1, 10**9, 200), rng.integers(1, 10**6, 5)
+    whole = divergence._dense(at, term, p, p0, np.arange(5), np.arange(5))
+    monkeypatch.setattr(divergence, "DENSE_TERMS", 7)
+    assert (divergence._dense(at, term, p, p0, np.arange(5), np.arange(5)) == whole).all()
