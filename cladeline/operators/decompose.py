@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -53,16 +53,23 @@ def _checked(nodes: DataFrame, store: Store) -> tuple[DataFrame, int, int]:
     return rows, n, root
 
 
+def _state(df: DataFrame, store: Store, name: str) -> tuple[DataFrame, bool]:
+    """The table, and whether some of its nodes still have a pointer (up), as seen while it is written."""
+    seen = Observation()
+    out = store.put(df.observe(seen, F.count_if(F.col("up").isNotNull()).alias("open")), name)
+    return out, bool(seen.get["open"])
+
+
 def _sizes(rows: DataFrame, n: int, store: Store) -> tuple[DataFrame, int]:
     """node_id, size: nodes in the subtree, itself included; and the rounds it took."""
-    state, rounds = store.put(rows.select("node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size")), "sizes"), 0
-    while not state.where("up IS NOT NULL").isEmpty():
+    (state, open_), rounds = _state(rows.select("node_id", F.col("parent_id").alias("up"), F.lit(1).cast("long").alias("size")), store, "sizes"), 0
+    while open_:
         if n >> rounds == 0:
             raise ValueError("not a tree: some nodes never reach the root")
         more = state.where("up IS NOT NULL").groupBy("up").agg(F.sum("size").alias("more")).withColumnRenamed("up", "node_id")
         ahead = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"))
         moved = state.where("up IS NOT NULL").join(ahead, "up").select("node_id", "next", "size").unionByName(state.where("up IS NULL").select("node_id", F.col("up").alias("next"), "size"))
-        after = store.put(moved.join(more, "node_id", "left").select("node_id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "sizes")
+        after, open_ = _state(moved.join(more, "node_id", "left").select("node_id", F.col("next").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), store, "sizes")
         store.drop(state)
         state, rounds = after, rounds + 1
     return state.select("node_id", "size"), rounds
@@ -71,11 +78,11 @@ def _sizes(rows: DataFrame, n: int, store: Store) -> tuple[DataFrame, int]:
 def _places(rows: DataFrame, store: Store) -> tuple[DataFrame, int]:
     """rows (node_id, up: the parent where it continues the parent's path, weight) -> node_id, path, pos, before (weights above it on the path)."""
     zero = F.lit(0).cast("long")
-    state, rounds = store.put(rows.select("node_id", "up", F.col("node_id").alias("path"), zero.alias("pos"), zero.alias("before"), "weight"), "places"), 0
-    while not state.where("up IS NOT NULL").isEmpty():
+    (state, open_), rounds = _state(rows.select("node_id", "up", F.col("node_id").alias("path"), zero.alias("pos"), zero.alias("before"), "weight"), store, "places"), 0
+    while open_:
         ahead = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("path").alias("p"), F.col("pos").alias("q"), (F.col("before") + F.col("weight")).alias("b"))
         moved = state.where("up IS NOT NULL").join(ahead, "up").select("node_id", F.col("next").alias("up"), F.col("p").alias("path"), (F.col("pos") + F.col("q") + 1).alias("pos"), (F.col("before") + F.col("b")).alias("before"), "weight")
-        after = store.put(moved.unionByName(state.where("up IS NULL")), "places")
+        after, open_ = _state(moved.unionByName(state.where("up IS NULL")), store, "places")
         store.drop(state)
         state, rounds = after, rounds + 1
     return state.drop("up"), rounds
@@ -124,13 +131,14 @@ def distances(nodes: DataFrame, lengths: str = "branch_length") -> DataFrame:
 def root_distances(nodes: DataFrame, store: Store) -> DataFrame:
     """node_id, distance, depth: the summed lengths and the number of edges from the root, in as many rounds as the depth has binary digits."""
     rows, n, _ = _checked(nodes, store)
-    state, rounds = store.put(rows.select("node_id", F.col("parent_id").alias("up"), F.col("branch_length").alias("distance"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth")), "far"), 0
-    while not state.where("up IS NOT NULL").isEmpty():
+    first = rows.select("node_id", F.col("parent_id").alias("up"), F.col("branch_length").alias("distance"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    (state, open_), rounds = _state(first, store, "far"), 0
+    while open_:
         if n >> rounds == 0:
             raise ValueError("not a tree: some nodes never reach the root")
         ahead = state.select(F.col("node_id").alias("up"), F.col("up").alias("next"), F.col("distance").alias("more"), F.col("depth").alias("deeper"))
         moved = state.where("up IS NOT NULL").join(ahead, "up").select("node_id", F.col("next").alias("up"), (F.col("distance") + F.col("more")).alias("distance"), (F.col("depth") + F.col("deeper")).alias("depth"))
-        after = store.put(moved.unionByName(state.where("up IS NULL")), "far")
+        after, open_ = _state(moved.unionByName(state.where("up IS NULL")), store, "far")
         store.drop(state)
         state, rounds = after, rounds + 1
     return state.drop("up")

@@ -78,7 +78,7 @@ def test_what_is_no_tree(spark):
             heavy_paths(nodes, store)
 
 
-@pytest.mark.parametrize(("name", "stretch", "mixture"), [("chain", 4, RateMixture()), ("chain", 1_024, discrete_gamma(0.7, 2)), ("legs", 3, discrete_gamma(0.5, 3)), ("star", 8, RateMixture()), ("bushy", 2, discrete_gamma(0.7, 2)), ("one", 4, RateMixture())])
+@pytest.mark.parametrize(("name", "stretch", "mixture"), [("chain", 4, discrete_gamma(0.7, 2)), ("legs", 3, discrete_gamma(0.5, 3)), ("star", 8, RateMixture()), ("bushy", 2, discrete_gamma(0.7, 2)), ("one", 4, RateMixture())])
 def test_likelihoods_and_marginals_are_the_kernels(spark, name, stretch, mixture):
     tree, nodes, seen, masks, ids = made(spark, trees()[name])
     problem = kernels.Problem(tree, MODEL, mixture)
