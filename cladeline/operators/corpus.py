@@ -143,6 +143,12 @@ def write_csv(frame: DataFrame, path: str) -> None:
     frame.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_corpus(chosen: DataFrame, order: Sequence[str], excluded: DataFrame, path: str) -> None:
+    """``path``/manifest and ``path``/excluded as CSV: the chosen rows by ``order``, what was left out by rank.  Both have their header, also where there is no row."""
+    for rows, by, name in ((chosen, list(order), "manifest"), (excluded, ["rank"], "excluded")):
+        rows.orderBy(*by).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
 def write_metadata(pairs: dict[str, str]) -> str:
     """key=value lines, keys checked, line ends in values made blanks."""
     import re

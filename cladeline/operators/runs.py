@@ -267,6 +267,15 @@ def distinct_protocols(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*columns).distinct()
 
 
+def one_protocol(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows, if all have one protocol; else the job fails and names two."""
+    fields = F.struct(*columns)
+    ends = rows.agg(F.min(fields).alias("a"), F.max(fields).alias("b"))
+    wrong = F.raise_error(F.concat(F.lit("different protocols: "), F.to_json("a"), F.lit(" and "), F.to_json("b"))).cast("boolean")
+    right = ends.select(F.when(F.col("a").eqNullSafe(F.col("b")), F.lit(True)).otherwise(wrong).alias("one"))
+    return rows.crossJoin(F.broadcast(right)).where("one").drop("one")  # one row
+
+
 def agreement(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     """by, protocols (how many distinct ones a group has), agrees."""
     return rows.groupBy(*by).agg(F.count_distinct(F.struct(*columns)).alias("protocols")).withColumn("agrees", F.col("protocols") == 1)

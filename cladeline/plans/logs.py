@@ -233,6 +233,13 @@ def distinct_protocols(spark, d):
     return runs.distinct_protocols(read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status")), ["flag", "status"])
 
 
+@query("SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 3 GROUP BY 1")
+def one_protocol(spark, d):
+    """Rows of one protocol pass; of several, the job would fail."""
+    rows = read(spark, d, "lineitem").where("l_returnflag = 'A' AND l_linenumber = 3")
+    return runs.one_protocol(rows, ["l_returnflag", "l_linenumber"]).groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n"))
+
+
 @query("""SELECT flag, CAST(n AS BIGINT) AS protocols, n = 1 AS agrees FROM (SELECT l_returnflag AS flag, count(DISTINCT (l_linestatus, l_linenumber % 2)) AS n FROM lineitem GROUP BY 1)""")
 def protocol_agreement(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), (F.col("l_linenumber") % 2).alias("half"))
@@ -303,6 +310,27 @@ def written_metadata(spark, d):
     return lines.where("line <> ''").select((F.col("line_no") - 1).cast("long").alias("line_no"), "line")
 
 
+_RANKED_SQL = "r AS (SELECT doc_id, n_chars, sha256('cladeline-rank' || chr(0) || CAST(doc_id AS VARCHAR)) AS rank FROM documents), fit AS (SELECT *, row_number() OVER (PARTITION BY n_chars >= 1000 ORDER BY rank) AS place FROM r WHERE doc_id % 17 <> 3 AND n_chars >= 100 AND n_chars < 4000)"
+
+
+@query(f"""WITH {_RANKED_SQL} SELECT 'manifest' AS list, CAST(doc_id AS VARCHAR) AS doc_id, CAST(n_chars AS VARCHAR) AS n_chars FROM fit WHERE place <= 5
+UNION ALL SELECT 'excluded', CAST(doc_id AS VARCHAR), CAST(n_chars AS VARCHAR) FROM r WHERE (doc_id % 17 = 3 OR n_chars < 100 OR n_chars >= 4000) AND rank <= (SELECT max(last) FROM (SELECT max(rank) AS last FROM fit WHERE place <= 5 GROUP BY n_chars >= 1000))
+UNION ALL SELECT 'header', 'doc_id', 'n_chars'""")
+def corpus_files(spark, d):
+    """The manifest and the list of what was left out, written and read back; and the header of a list without rows."""
+    from ..functions.randomness import stable_rank
+
+    docs = read(spark, d, "documents").select("doc_id", "n_chars")
+    rank = stable_rank("cladeline-rank", F.col("doc_id").cast("string"))
+    chosen, excluded, _ = corpus.stratified_with_exclusions(docs, F.col("n_chars"), [100, 1000, 4000], rank, 5, F.when(F.col("doc_id") % 17 == 3, "not fit"))
+    path = folder(spark, "corpus")
+    corpus.write_corpus(chosen, ["n_chars", "rank"], excluded, path)
+    corpus.write_corpus(chosen.limit(0), ["n_chars", "rank"], excluded.limit(0), f"{path}-empty")
+    lists = [spark.read.option("header", True).csv(f"{path}/{x}").select(F.lit(x).alias("list"), "doc_id", "n_chars") for x in ("manifest", "excluded")]
+    head = spark.read.csv(f"{path}-empty/manifest").select(F.lit("header").alias("list"), F.col("_c0").alias("doc_id"), F.col("_c1").alias("n_chars"))
+    return lists[0].unionByName(lists[1]).unionByName(head)
+
+
 @query("""WITH r AS (SELECT doc_id, n_chars, sha256('cladeline-rank' || chr(0) || CAST(doc_id AS VARCHAR)) AS rank FROM documents)
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CASE WHEN doc_id % 17 = 3 THEN 'not fit' ELSE 'size=' || n_chars || ' lies outside [100, 4000)' END AS reason FROM r
 WHERE (doc_id % 17 = 3 OR n_chars < 100 OR n_chars >= 4000) AND rank <= (SELECT max(last) FROM (SELECT max(rank) AS last, count(*) AS n FROM (

@@ -266,3 +266,11 @@ def test_a_live_view_goes_on_after_a_restart(spark, tmp_path):
             render_available(spark, arriving, shown, state)
     render_available(spark, arriving, shown, state)
     assert sorted((r.line_no, r.kind) for r in spark.read.parquet(shown).collect()) == _shown(lines, "compact")
+
+
+def test_a_report_rests_on_one_protocol(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None)], "n long, mode string, batch long")
+    assert runs.one_protocol(rows, ["mode", "batch"]).count() == 2
+    assert runs.one_protocol(rows.limit(0), ["mode"]).count() == 0
+    with pytest.raises(PySparkException, match="different protocols"):
+        runs.one_protocol(rows.withColumn("batch", F.col("n")), ["mode", "batch"]).collect()
