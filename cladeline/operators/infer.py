@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.models import NucleotideModel, RateMixture
@@ -80,6 +80,29 @@ class Inference:
         problem = self.problem
         return self._map(sites, [], "site long, log_likelihood double", lambda pdf, m: pd.DataFrame({"site": pdf["site"], "log_likelihood": kernels.log_likelihoods(problem, m)}))
 
+    def timed_log_likelihoods(self, sites: DataFrame) -> DataFrame:
+        """site, log_likelihood, and with the first site of each batch its batches (1) and the seconds of upload (cells to arrays), kernel
+        and download (arrays to rows); nulls with the others.  Sums of these, taken while a total is worked out, are its timings."""
+        problem, ids, rows = self.problem, self.ids, self._rows()
+
+        def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for a in range(0, len(pdf), rows):
+                    clock = [time.perf_counter()]
+                    part = pdf.iloc[a : a + rows]
+                    masks = dense_masks(part, ids)
+                    clock.append(time.perf_counter())
+                    values = kernels.log_likelihoods(problem, masks)
+                    clock.append(time.perf_counter())
+                    out = pd.DataFrame({"site": part["site"].to_numpy(), "log_likelihood": values})
+                    clock.append(time.perf_counter())
+                    for name, x in zip(("batches", "upload_s", "kernel_s", "download_s"), (1.0, *np.diff(clock)), strict=True):
+                        out[name] = np.r_[x, np.full(len(out) - 1, np.nan)]
+                    yield out
+
+        timed = sites.select("site", "nodes", "masks").mapInPandas(kernel, "site long, log_likelihood double, batches double, upload_s double, kernel_s double, download_s double")
+        return timed.select("site", "log_likelihood", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("batches", "upload_s", "kernel_s", "download_s")])
+
     def likelihoods(self, sites: DataFrame) -> DataFrame:
         """site, likelihood, which is 0 where its logarithm is too small."""
         return self.log_likelihoods(sites).select("site", F.exp("log_likelihood").alias("likelihood"))
@@ -166,7 +189,8 @@ class Resident:
     """A problem that is evaluated again and again, and what is worked out anew before each time.
 
     full-input-update: sites and factors; factor-update: factors only, over sites that are kept as a written table;
-    fixed-model: neither.  ``timings`` has, by evaluation, the seconds of preparing, of running, and of both.
+    fixed-model: neither.  ``timings`` has, by evaluation, the seconds of preparing, of running, and of both (wall), and what the tasks
+    observed while the total was worked out: batches, and the seconds of upload, kernel and download, summed over tasks.
     """
 
     def __init__(self, tree: Tree, ids: np.ndarray, sites: DataFrame, folder: str):
@@ -192,9 +216,11 @@ class Resident:
                 raise ValueError(f"{mode} needs a model")
             self.inference = Inference(self.tree, self.ids, model, mixture)
         ready = time.perf_counter()
-        total = self.inference.log_likelihoods(self.kept).agg(F.sum("log_likelihood")).first()[0]
+        seen = Observation()
+        parts = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("upload_s", "kernel_s", "download_s", "batches")]
+        total = self.inference.timed_log_likelihoods(self.kept).observe(seen, *parts).agg(F.sum("log_likelihood")).first()[0]
         ended = time.perf_counter()
-        self.timings.append({"prepare_s": ready - began, "run_s": ended - ready, "wall_s": ended - began})
+        self.timings.append({"prepare_s": ready - began, "run_s": ended - ready, "wall_s": ended - began} | seen.get)
         return total
 
 

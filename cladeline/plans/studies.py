@@ -50,6 +50,18 @@ def resident_modes(spark, d):
     return _small(spark, rows, "mode string, total double").withColumn("total", F.round("total", 3))
 
 
+@query("SELECT mode, true AS has_batches, true AS within_wall FROM (VALUES ('full-input-update'), ('factor-update'), ('fixed-model')) v(mode)")
+def observed_timings(spark, d):
+    """Each evaluation's parts, as its tasks observed them: no more than all cores' time, which is what adds up."""
+    tree, ids = derive.tree(spark, d)
+    problem = Resident(tree, ids, derive.sites(spark, d), folder(spark, "resident"))
+    for mode in runs.MODES:
+        problem.evaluate(mode, None if mode == "fixed-model" else jukes_cantor())
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(mode, t["batches"] >= 1, 0 < t["kernel_s"] <= t["upload_s"] + t["kernel_s"] + t["download_s"] <= cores * t["wall_s"]) for mode, t in zip(runs.MODES, problem.timings, strict=True)]
+    return _small(spark, rows, "mode string, has_batches boolean, within_wall boolean")
+
+
 # --- seeds and generators
 
 _M = "18446744073709551616::UHUGEINT"
