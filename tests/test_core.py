@@ -222,6 +222,19 @@ def test_unique_patterns(spark):
         generate.unique_patterns(spark, 17, 2, 3)
 
 
+@pytest.mark.parametrize("parts", [0, 1, 5, 64, 65, 200])
+def test_more_columns_than_the_leaves_can_spell(spark, tmp_path, parts):
+    import duckdb
+
+    from cladeline.plans import tables
+
+    spark.range(parts).toDF("p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM range({parts}) t(p_partkey)")
+    got = {(r.site, r.masks) for r in tables._drawn(spark, str(tmp_path), 3).collect()}
+    assert got == set(con.sql(tables._patterns_sql(3)).fetchall()) and len(got) == parts
+
+
 def test_floor_lengths():
     got, raised = floor_lengths([0.0, 0.5, 1e-9], 1e-6)
     assert got.tolist() == [1e-6, 0.5, 1e-6] and raised == 2
