@@ -299,3 +299,37 @@ def test_sources_in_spark(spark, tmp_path):
     assert records.rdd.getNumPartitions() > 5
     wrapped = parse.wrap_fasta(spark.createDataFrame([("a", "A" * 160), ("b", "C" * 81)], "name string, sequence string")).collect()
     assert [r.value for r in wrapped] == [">a\n" + "A" * 80 + "\n" + "A" * 80, ">b\n" + "C" * 80 + "\nC"]
+
+
+def test_what_travels_is_the_tree_and_not_its_matrices():
+    import pickle
+
+    n = 20_000
+    tree = Tree(np.r_[-1, np.zeros(n, np.int64)], np.r_[0.0, np.linspace(0.01, 0.2, n)])
+    problem = kernels.Problem(tree, CONFORMANCE, discrete_gamma(0.7, 64))
+    assert len(pickle.dumps(problem)) < 100 * n  # 64 matrices of a node are 8192 bytes
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_blocks_of_edges_give_what_all_at_once_gives(monkeypatch, few):
+    rng = np.random.default_rng(5)
+    parents = np.array([-1] + [int(rng.integers(max(0, k - 9), k)) for k in range(1, 120)])
+    tree = Tree(parents, np.r_[0.0, rng.choice([0.0, 0.1, 0.2], 119) if few else rng.random(119) * 0.2])
+    problem = kernels.Problem(tree, CONFORMANCE, discrete_gamma(0.7, 3))
+    masks = rng.choice([1, 2, 4, 8, 5, 15, 15], (7, 120))
+    masks[:, tree.heights > 0] = 15
+    u, c = rng.random((7, 120)), rng.random(7)
+    nodes = np.array([17, 0, 3, 119, 60])
+    runs = []
+    for held, cells in ((1 << 30, 1 << 40), (0, 40)):
+        monkeypatch.setattr(kernels, "HELD_BYTES", held)
+        monkeypatch.setattr(kernels, "BLOCK_CELLS", cells)
+        whole, part = kernels.marginals(problem, masks), kernels.marginals(problem, masks, nodes)
+        drawn, some = kernels.posterior_sample(problem, masks, u, c), kernels.posterior_sample(problem, masks, u, c, nodes)
+        best = kernels.joint_maximum(problem, masks)
+        assert np.allclose(whole["node"][:, nodes], part["node"], equal_nan=True) and np.allclose(whole["edge"][:, nodes], part["edge"], equal_nan=True)
+        assert (drawn["states"][:, nodes] == some["states"]).all()
+        np.testing.assert_allclose(kernels.assignment_log_weight(problem, best["states"], best["category"]), best["log_weight"])
+        runs.append([whole["node"], whole["edge"], whole["log_likelihood"], drawn["states"], best["states"], best["log_weight"]])
+    for a, b in zip(*runs, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
