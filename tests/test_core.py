@@ -333,3 +333,16 @@ def test_blocks_of_edges_give_what_all_at_once_gives(monkeypatch, few):
         runs.append([whole["node"], whole["edge"], whole["log_likelihood"], drawn["states"], best["states"], best["log_weight"]])
     for a, b in zip(*runs, strict=True):
         np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-12)
+
+
+def test_samples_of_a_wide_tree_hold_no_matrices_of_all_edges():
+    import tracemalloc
+
+    n = 100_000
+    tracemalloc.start()
+    problem = kernels.Problem(Tree(np.r_[-1, np.zeros(n, np.int64)], np.r_[0.0, np.linspace(0.01, 0.2, n)]), CONFORMANCE, discrete_gamma(0.7, 4))
+    masks, u = np.full((1, n + 1), 2), np.full((1, n + 2), 0.5)
+    got = kernels.posterior_sample(problem, masks, u[:, :-1], u[:, -1], np.array([0, 7]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["states"].tolist() == [[1, 1]] and peak < 1000 * n  # the matrices are 512 bytes a node, and were held twice and copied
