@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 from ..functions.models import NucleotideModel, RateMixture, exponentials, rate_matrix
 from ..sources.store import Store
 from .decompose import STRETCH, Paths, distances, heavy_paths
+from .kernels import EMISSION
 
 #: Rows that one call of NumPy gets, about.
 GROUP_ROWS = 50_000
+#: Observations of leaves that a task adds up by place before it sends them.
+TIP_ROWS = 500_000
 _L = ["l0", "l1", "l2", "l3"]
 _A = [f"a{i}{j}" for i in range(4) for j in range(4)]
 _Q, _H = [f"q{i}" for i in range(4)], [f"h{i}" for i in range(4)]
@@ -31,6 +34,9 @@ _doubles = lambda names: ", ".join(f"{c} double" for c in names)
 #: A factor: from x0 to x1 on its path, the matrix a and the logarithm of its scale.
 _FACTOR = f"site long, c int, path long, level int, seg long, x0 double, x1 double, {_doubles(_A)}, scale double"
 _KEY = ["site", "c", "path", "seg"]
+#: What leaves say that hang at one place, added up: kind 0; or one of them alone: kind 1, ref its path.
+_TIP_KEY = ["site", "c", "path", "seg", "pos", "x", "kind", "ref"]
+_TIP = f"site long, c int, path long, seg long, pos long, x double, kind int, ref long, {_doubles(_L)}"
 
 
 class _Transitions:
@@ -141,6 +147,38 @@ def _message(step: Callable, rows: pa.Table) -> pa.Table:
     return pa.table([rows.column("site"), rows.column("c"), rows.column("path"), *[pa.array(x) for x in l.T]], names=["site", "c", "path", *_L])
 
 
+def _said(step: Callable, categories: int, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Observed leaves that hang on paths (mask, length; path, seg, pos and x of the place) -> what they say there, added up."""
+    keys = _long(rows, "site", "path", "seg", "pos", "kind", "ref")
+    order = np.lexsort(keys[::-1])
+    first = np.flatnonzero(np.any([np.r_[True, k[order][1:] != k[order][:-1]] for k in keys], axis=0))
+    lengths, number = np.unique(rows.column("length").to_numpy(), return_inverse=True)
+    which = (number * 16 + _long(rows, "mask")[0])[order]
+    site, path, seg, pos, kind, ref = (k[order[first]] for k in keys)
+    x = rows.column("x").to_numpy()[order[first]]
+    for c in range(categories):
+        with np.errstate(divide="ignore"):
+            table = np.log(np.matmul(EMISSION, step(lengths, np.full(len(lengths), c)).swapaxes(-1, -2))).reshape(-1, 4)  # [length and mask, parent state]
+        total = np.add.reduceat(table.take(which, axis=0), first, axis=0)
+        columns = [site, np.full(len(first), c, np.int32), path, seg, pos, x, kind.astype(np.int32), ref, *np.ascontiguousarray(total.T)]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=[*_TIP_KEY, *_L])
+
+
+def _tips(step: Callable, categories: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= TIP_ROWS:
+                yield from _said(step, categories, pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from _said(step, categories, pa.Table.from_batches(held))
+
+    return run
+
+
 def _scan(step: Callable, rows: pa.Table, stretch: int) -> pa.Table:
     """Factors, each with what comes from above (q at xq) and below (h at xh) its group -> the same for each of them.
 
@@ -219,10 +257,16 @@ class PathPruning:
         self.paths: Paths = heavy_paths(nodes, store, stretch)
         mask = F.when(F.col("mask").between(1, 15), F.col("mask")).otherwise(F.raise_error(F.lit("a mask is 1 to 15")))
         place = self.paths.nodes.select("node_id", "path", "pos", "seg", "level")
-        seen = observations.select(F.col("site").cast("long").alias("site"), F.col("node_id").cast("long").alias("node_id"), mask.alias("mask")).join(place, "node_id", "left")
+        seen = observations.select(F.col("site").cast("long").alias("site"), F.col("node_id").cast("long").alias("node_id"), mask.alias("mask"))
+        seen = seen.groupBy("site", "node_id").agg(F.bit_and("mask").alias("mask")).join(place, "node_id", "left")
         path = F.when(F.col("path").isNull(), F.raise_error(F.lit("an observed node is not in the tree"))).otherwise(F.col("path"))
-        self.seen = store.put(seen.withColumn("path", path), "observations")
-        self.rows = max(1, self.seen.count()) * self.mixture.count
+        # a path of level 0 is one leaf; if it hangs on another, what it says needs no factors
+        self.tips = self.paths.levels[0][0] == 0 and len(self.paths.levels) > 1
+        seen = store.put(seen.withColumn("path", path).withColumn("tip", (F.col("level") == 0) & F.lit(self.tips)), "observations", ["tip"])
+        self.seen, self.seen_tips = seen.where("not tip").drop("tip"), seen.where("tip").drop("tip")
+        self.own_rows = self.seen.count() * self.mixture.count
+        self.rows = max(1, self.own_rows)
+        self.said_tips: list[DataFrame] = []  # by place, with the digests of the paths that the places are on
         self.kept: dict[int, list[DataFrame]] = {level: [] for level, _ in self.paths.levels}  # messages by level, with their digests
         self.known: DataFrame | None = None  # path, digest of all kept messages
         self.totals: DataFrame | None = None
@@ -255,15 +299,28 @@ class PathPruning:
         calls = max(1, (least or self.rows) // GROUP_ROWS)
         return rows.withColumn("call", F.pmod(F.xxhash64(*keys), F.lit(calls))).groupBy("call").applyInArrow(run, schema)
 
-    def _factors(self, level: int, nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-        """The row factors of paths of a level: observations (kind 0, ref the node) and messages (kind 1, ref their path)."""
+    def _hung_tips(self, hung: DataFrame, alone: DataFrame | None = None) -> DataFrame:
+        """What observed leaves say where they hang, added up by place; those in ``alone`` (site, path) one by one.  hung: rows of current."""
+        length = self.placed.where(F.col("level") == 0).select(F.col("node_id").alias("path"), F.col("x").alias("length"))
+        rows = self.seen_tips.select("site", "path", "mask").join(hung.where(F.col("level") == 0).select("path", "t_path", "t_seg", "t_pos", "t_x").join(length, "path"), "path")
+        rows = rows.withColumn("kind", F.lit(0)) if alone is None else rows.join(alone.withColumn("kind", F.lit(1)), ["site", "path"], "left")
+        own = F.col("kind") == 1
+        rows = rows.select("site", F.col("t_path").alias("path"), F.col("t_seg").alias("seg"), F.col("t_pos").alias("pos"), F.col("t_x").alias("x"), F.coalesce("kind", F.lit(0)).alias("kind"), F.when(own, F.col("path")).otherwise(F.lit(0)).cast("long").alias("ref"), "length", "mask")
+        said = rows.mapInArrow(_tips(self.step, self.mixture.count), _TIP).groupBy(*_TIP_KEY).agg(*[F.sum(l).alias(l) for l in _L])
+        return said.join(self.current.select("path", "level", "digest"), "path")
+
+    def _factors(self, level: int, nodes: DataFrame, wanted: DataFrame | None = None, tips: list[DataFrame] | None = None) -> DataFrame:
+        """The row factors of paths of a level: observations (kind 0, ref the node), messages (kind 1, ref their path), and what leaves say."""
         cells = lambda s: F.when(F.col("mask").bitwiseAND(F.lit(1 << s)) != 0, 0.0).otherwise(float("-inf")).alias(f"l{s}")
         x = nodes.where(F.col("level") == level).select("node_id", "x", F.col("path").alias("p"))
-        seen = self.seen.where(F.col("level") == level).withColumn("wanted", F.lit(False))
+        seen = (self.seen_tips if self.tips and level == 0 else self.seen).where(F.col("level") == level).withColumn("wanted", F.lit(False))
         if wanted is not None:
             seen = seen.unionByName(wanted.where(F.col("level") == level))
         seen = seen.join(x.select("node_id", "x"), "node_id").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(self.mixture.count - 1))))
         seen = seen.select("site", "c", "path", "level", "seg", "pos", "x", *[cells(s) for s in range(4)], F.lit(0).alias("kind"), F.col("node_id").alias("ref"), "wanted")
+        for table in self.said_tips if tips is None else tips:
+            table = table.where(F.col("level") == level).join(self.current.select("path", "digest"), ["path", "digest"])
+            seen = seen.unionByName(table.select("site", "c", "path", "level", "seg", "pos", "x", *_L, "kind", "ref", F.lit(False).alias("wanted")))
         lower = [m for below, tables in self.kept.items() if below < level for m in tables]
         if not lower:
             return seen
@@ -306,7 +363,11 @@ class PathPruning:
         todo = self.store.put(todo, "todo")
         self.recomputed = {"paths": 0, "nodes": 0} | {k: v or 0 for k, v in todo.agg(F.count("*").alias("paths"), F.sum("nodes").alias("nodes")).first().asDict().items()}
         step = self.step
-        for level, last in self.paths.levels:
+        if self.tips:
+            hung = self.current if self.known is None else self.current.join(todo.select(F.col("path").alias("t_path")), "t_path", "left_semi")
+            self.said_tips.append(self.store.put(self._hung_tips(hung), "tips"))
+            self.rows = max(self.rows, self.own_rows + self.said_tips[-1].count())
+        for level, last in self.paths.levels[1:] if self.tips else self.paths.levels:
             rows = self._factors(level, placed)
             if self.known is not None:
                 rows = rows.join(todo.where(F.col("level") == level).select("path"), "path", "left_semi")
@@ -373,8 +434,14 @@ class PathPruning:
         blank = store.put(blank.select("site", "node_id", "mask", "path", "pos", "seg", "level", "wanted"), "blank")
         need = self._needed(asked)
         root, found, down = self.model.root, [], None
+        where = {r["level"] for r in need.select("level").distinct().collect()}
+        tips = None
+        if self.tips and 0 in where:
+            tips = [store.put(self._hung_tips(self.current, need.where("level = 0").select("site", "path")), "tips")]
         for level, last in reversed(self.paths.levels):
-            rows = self._factors(level, self.placed, blank)
+            if level not in where and found:
+                continue
+            rows = self._factors(level, self.placed, blank, tips)
             rows = rows.unionByName(self._silent(level, need, rows)).join(need.where(F.col("level") == level).select("site", "path"), ["site", "path"], "left_semi")
             rows = rows.withColumn("kind", F.when(F.col("wanted"), -1).otherwise(F.col("kind")))
             rows = store.put(rows, "down-rows")

@@ -8,6 +8,7 @@ from cladeline.functions.models import RateMixture, discrete_gamma, hky, jukes_c
 from cladeline.functions.trees import Tree
 from cladeline.operators import kernels
 from cladeline.operators.decompose import distances, heavy_paths
+from cladeline.operators.infer import collect_tree
 from cladeline.operators.path_pruning import PathPruning
 from cladeline.sources.store import Store
 
@@ -164,3 +165,24 @@ def test_categories_one_at_a_time_are_all_at_once():
         assert np.allclose(got["node"], want["node"], atol=1e-9, equal_nan=True)
         assert np.allclose(got["edge"][:, 1:], want["edge"][:, 1:], atol=1e-9, equal_nan=True)
     assert peaks[32] < 2 * peaks[1]
+
+
+def test_leaves_of_one_place_are_added_up_before_they_are_sent(spark):
+    n, sites = 400, 3
+    nodes = spark.createDataFrame([(0, None, 0.0), (1, 0, 0.2), (2, 0, 0.3), *((3 + k, 1 + k % 2, 0.01 * (1 + k % 7)) for k in range(n))], "node_id long, parent_id long, branch_length double")
+    tree, ids = collect_tree(nodes)
+    masks = np.random.default_rng(4).choice([1, 2, 4, 8, 5, 15], (sites, n + 3))
+    masks[:, :3] = 15
+    seen = spark.createDataFrame([(s, int(ids[v]), int(masks[s, v])) for s in range(sites) for v in range(3, n + 3)], "site long, node_id long, mask int")
+    mixture = discrete_gamma(0.7, 2)
+    want = kernels.marginals(kernels.Problem(tree, MODEL, mixture), masks)
+    with Store(spark, "t") as store:
+        paths = PathPruning(nodes, seen, MODEL, mixture, store)
+        got = {r.site: r.log_likelihood for r in paths.evaluate().collect()}
+        assert np.allclose([got[s] for s in range(sites)], want["log_likelihood"], atol=1e-9)
+        assert sum(t.count() for t in paths.said_tips) <= 2 * 2 * sites
+        assert sum(m.count() for level in paths.kept.values() for m in level) <= 2 * 2 * sites  # no message of a leaf is kept
+        for some in ([0, 1, 2], [0, 2, 5, 9]):
+            asked = [(s, v) for s in range(sites) for v in some]
+            rows = paths.node_marginals(spark.createDataFrame(asked, "site long, node_id long")).collect()
+            assert len(rows) == 4 * len(asked) and max(abs(r.p - want["node"][r.site, r.node_id, r.state]) for r in rows) < 1e-9
