@@ -18,7 +18,6 @@ of what it was trained on.)  A language without held-out documents has no limits
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -30,8 +29,9 @@ from pyspark.sql import Window as W
 
 from . import word_model
 from .blocks import located, runs, stored, unpacked
-from .common import WORD_PATTERN, Scratch, partitions, small, table, trimmed
+from .common import Scratch, byte_batch, partitions, small, table, trimmed
 from .shared_keys import planes, unplanes
+from .shingles import word_counts
 
 ORDER = 4
 #: Code points up to 65,535 are symbols as they are; those above share the 8,448 places of surrogates and private use.
@@ -55,7 +55,9 @@ PRIME = 1_000_003
 
 def symbols(text: str) -> np.ndarray:
     s = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.where(s < 0x10000, s, 0xD800 + s % 0x2100)
+    far = np.flatnonzero(s >= SYMBOLS)
+    s[far] = 0xD800 + s[far] % 0x2100
+    return s
 
 
 def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +66,15 @@ def gram_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = symbols(pad + pad.join(texts)) if texts else np.zeros(0, np.int64)
     lengths = np.array([len(t) for t in texts], np.int64)
     m = max(0, len(joined) - ORDER + 1)
-    keys = np.zeros(m, np.int64)
-    for j in range(ORDER):
-        keys = (keys << BITS) | joined[j : j + m]
+    keys = joined[:m].copy()
+    for j in range(1, ORDER):
+        keys <<= BITS
+        keys |= joined[j : j + m]
     begins = np.r_[0, np.cumsum(lengths)]
-    keep = np.repeat(np.arange(len(texts)) * (ORDER - 1), lengths) + np.arange(begins[-1])
-    return keys[keep], begins
+    own = np.ones(m, bool)  # all but those that end in a pad
+    for j in range(ORDER - 1):
+        own[begins[1:-1] + np.arange(len(texts) - 1) * (ORDER - 1) + j] = False
+    return keys[own], begins
 
 
 def _pieces(texts: list[str]):
@@ -193,7 +198,7 @@ def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
         cell = lambda c, row=row: answers.column(c)[row]
         if cell("rid").is_valid:
             rid = unplanes(press(cell("rid").as_buffer()), np.int32)  # each once in a cell
-            words[rid] += np.stack([unplanes(press(cell(c).as_buffer()), np.float32) for c in ("lp", "unknown", "rest")], axis=1)
+            words[rid] += np.stack([unplanes(press(cell(c).as_buffer()), np.float64) for c in ("lp", "unknown", "rest")], axis=1)
         else:
             model[cell("lang").as_py()].append((unplanes(cell("keys").as_buffer(), np.int64), np.frombuffer(cell("logp").as_buffer(), np.float32)))
     ready = {}
@@ -215,12 +220,12 @@ def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
             for a, b in _pieces(own):
                 keys, begins = gram_keys(own[a:b])
                 sums = np.add.reduceat(logp[np.searchsorted(have, keys)].astype(np.float64), begins[:-1])
-                for (doc, fp, rid, t), s in zip(docs[a:b], sums, strict=True):
-                    rows.append((doc, fp, lang, len(t), -float(s), len(_WORD.findall(t)) + 1, *words[rid].tolist()))
+                n_words = word_counts(*byte_batch(pa.array(own[a:b], pa.string())))
+                for (doc, fp, rid, t), s, n in zip(docs[a:b], sums, n_words, strict=True):
+                    rows.append((doc, fp, lang, len(t), -float(s), int(n) + 1, *words[rid].tolist()))
     return pa.Table.from_batches([_batch(rows, _SCORED_TYPES, _SCORED_NAMES)])
 
 
-_WORD = re.compile(WORD_PATTERN)
 _SCORED_SQL = "doc_id long, fp long, lang string, n long, loss double, n_words long, lp double, unknowns double, rest double"
 _SCORED_NAMES = [x.split()[0] for x in _SCORED_SQL.split(", ")]
 _SCORED_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]

@@ -11,8 +11,9 @@ document, to the shards that hold the model's terms; a shard sends back one sum
 model or the corpus.  Counts are of all trusted documents; types grow with the corpus and so does the width of
 the hashes that name them.
 
-Words and pairs go out together in turns, by the size of the corpus up to TURNS; what a turn writes and shuffles is
-freed before the next, so that the disk holds a part of them at a time.
+Blocks ask in turns, by the size of the corpus up to TURNS, so each text is read once for it; a turn's answers are added up by
+document before the next turn, so that the disk holds a part of what is asked and answered at a time.  The model's
+terms are made once, in as many turns, in a table bucketed by shard: each turn of asking reads it where it lies.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import unpacked
+from .blocks import runs, unpacked
 from .common import Scratch, byte_batch, partitions, small, trimmed
 from .shared_keys import planes, steps, unplanes, unsteps
 from .shingles import chunked_words, mixed
 
-#: Readings of the packed texts: more of them need less disk and more time.
+#: Parts of the packed texts that ask one after the other: more of them need less disk and read the model more often.
 TURNS = 6
 #: Bytes of text to a turn, as long as there are fewer.
 TURN_BYTES = 128 << 20
@@ -39,8 +40,8 @@ TURN_BYTES = 128 << 20
 SHARD_WORDS, WORD_BYTES = 2_000_000, 6
 #: Words and pairs are named by hashes of log2(bytes of all texts) and so many bits, 64 at most.
 SPARE_BITS = 20
-#: Blocks of a lane; each lane of a shard meets the shard's terms apart, so that a common word's documents are split.
-LANE_BLOCKS = 65_536
+#: Packed rows of a turn at most, however many turns that takes, so that a common word's documents do not all meet in one task.
+TURN_ROWS = 65_536
 
 _FIRST, _LAST = np.uint64(0x51ED_270B_9E37_0001), np.uint64(0xA076_1D64_78BD_642F)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -198,8 +199,8 @@ def _ratios(by_word: int, by_pair: int, bits: int, turn: int, turns: int):
                 v, w, share, new, left = _shares(row)
                 ratio = (share / np.repeat(left, np.diff(np.r_[new, len(v)]))).astype(np.float32)
                 name = mixed(v * _ODD + w) & _mask(bits)
-                order = np.argsort(w)
-                order = order[_shard(name[order], by_pair) % turns == turn]
+                mine = np.flatnonzero(_shard(name, by_pair) % turns == turn)
+                order = mine[np.argsort(w[mine])]
                 w, name, ratio = w[order], name[order], ratio[order]
                 rows += [(s, press(steps(w[at])), press(planes(name[at])), press(ratio[at].tobytes())) for s, at in _dealt(_shard(w, by_word))]
             yield from _rows(rows, _PAIRS).to_batches()
@@ -233,14 +234,34 @@ def _pair_terms(shards: int):
     return run
 
 
-#: What is asked for.
-WORDS, PAIRS = 0, 1
-_ASKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("lane", pa.int32()), ("block", pa.int64()), ("name", pa.binary()), ("rid", pa.binary()), ("n", pa.binary())])
-_ASKED_SQL = "kind int, shard int, lane int, block long, name binary, rid binary, n binary"
+#: A shard's part of the model, names rising: of words (shards from by_pair on) ln p1 and ln g, of pairs their terms as rest.
+_MODEL = pa.schema([("shard", pa.int32()), ("name", pa.binary()), ("lp", pa.binary()), ("rest", pa.binary())])
+_MODEL_SQL = "shard int, name binary, lp binary, rest binary"
 
 
-def _ask(by_word: int, by_pair: int, lanes: int, bits: int, turn: int, turns: int):
-    """A block's distinct (word, document) and (pair, document) of a turn, and how often each occurs; sorted by name."""
+def _word_model(words: pa.Table) -> pa.Table:
+    press = zstandard.ZstdCompressor(level=1).compress
+    keys = words.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    row = words.column("shard")[0].as_py(), press(steps(keys[order])), *(press(words.column(c).to_numpy()[order].tobytes()) for c in ("lp", "lg"))
+    return trimmed(_rows([row], _MODEL))
+
+
+def _pair_model(terms: pa.Table) -> pa.Table:
+    free, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+    rows = terms.to_pylist()
+    name = np.concatenate([unsteps(free(row["name"])) for row in rows])
+    term = np.concatenate([np.frombuffer(free(row["term"]), np.float32) for row in rows])
+    order = np.argsort(name)
+    return trimmed(_rows([(rows[0]["shard"], press(steps(name[order])), None, press(term[order].tobytes()))], _MODEL))
+
+
+_ASKED = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("name", pa.binary()), ("rid", pa.binary()), ("n", pa.binary())])
+_ASKED_SQL = "shard int, block long, name binary, rid binary, n binary"
+
+
+def _ask(by_word: int, by_pair: int, bits: int):
+    """A packed row's distinct (word, document) and (pair, document), and how often each occurs; sorted by name."""
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1).compress
@@ -248,88 +269,96 @@ def _ask(by_word: int, by_pair: int, lanes: int, bits: int, turn: int, turns: in
             for k, (_, _, rids, langs, bodies) in enumerate(unpacked(batch)):
                 block = batch.column("block")[k].as_py()
                 some = [i for i, text in enumerate(bodies) if text]
+                if not some:
+                    continue
                 words, _, row = sequences([bodies[i] for i in some], [langs[i] for i in some], bits)
                 pairs, _, _, pair_row = pair_names(words, row, bits)
                 numbers = np.array([rids[i] for i in some], np.int32)
-                for kind, shards, name, at_row in ((WORDS, by_word, words, row), (PAIRS, by_pair, pairs, pair_row)):
-                    mine = _shard(name, shards) % turns == turn
-                    name, rid = name[mine], numbers[at_row[mine]] if some else np.zeros(0, np.int32)
+                for first, shards, name, at_row in ((by_pair, by_word, words, row), (0, by_pair, pairs, pair_row)):
                     order = np.argsort(name, kind="stable")  # documents rise already; where they don't, one is met twice
-                    name, rid = name[order], rid[order]
-                    new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (rid[1:] != rid[:-1])]) if len(name) else np.zeros(0, np.int64)
+                    name, rid = name[order], numbers[at_row[order]]
+                    new = np.flatnonzero(np.r_[True, (name[1:] != name[:-1]) | (rid[1:] != rid[:-1])])
                     n = np.diff(np.r_[new, len(name)]).astype(np.int32)
                     name, rid = name[new], rid[new]
-                    rows = [(kind, s, block % lanes, block, press(steps(name[at])), press(planes(rid[at])), press(planes(n[at]))) for s, at in _dealt(_shard(name, shards))]
+                    rows = [(first + s, block, press(steps(name[a:b])), press(planes(rid[a:b])), press(planes(n[a:b]))) for s, a, b in _stretches(_shard(name, shards))]
                     yield from _rows(rows, _ASKED).to_batches()
                 trimmed()
 
     return run
 
 
-SUMS = pa.schema([("block", pa.int64()), ("rid", pa.binary()), ("lp", pa.binary()), ("unknown", pa.binary()), ("rest", pa.binary())])
-SUMS_SQL = "block long, rid binary, lp binary, unknown binary, rest binary"
-
-
-def _answers(asked: pa.Table, look_up) -> pa.Table:
-    """look_up(names) -> the terms and which are known, summed by document."""
-    free, press, rows = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress, []
-    for row in asked.to_pylist():
-        name, rid, n = unsteps(free(row["name"])), unplanes(free(row["rid"]), np.int32), unplanes(free(row["n"]), np.int32)
-        order = np.argsort(rid, kind="stable")
-        new = np.flatnonzero(np.r_[True, np.diff(rid[order]) != 0])
-        sums = [np.add.reduceat((x * n)[order], new) for x in look_up(name)]
-        rows.append((row["block"], press(planes(rid[order][new])), *(press(planes(x.astype(np.float32))) for x in sums)))
-    return _rows(rows, SUMS)
-
+def _stretches(shard: np.ndarray):
+    """(shard, begin, end) of rising shards."""
+    return ((int(shard[a]), a, b) for a, b in runs(shard))
 
-def _word_sums(asked: pa.Table, words: pa.Table) -> pa.Table:
-    keys, lp, lg = words.column("key").to_numpy().view(np.uint64), words.column("lp").to_numpy(), words.column("lg").to_numpy()
-    order = np.argsort(keys)
-    keys, lp, lg = np.r_[keys[order], np.uint64(0)], np.r_[lp[order], 0.0], np.r_[lg[order], 0.0]
 
-    def look_up(name):
-        at = np.searchsorted(keys[:-1], name)
-        known = keys[at] == name
-        return np.where(known, lp[at], 0.0), ~known, np.where(known, lg[at], 0.0)
+SUMS = pa.schema([("block", pa.int64()), ("rid", pa.binary()), ("lp", pa.binary()), ("unknown", pa.binary()), ("rest", pa.binary())])
+SUMS_SQL = "block long, rid binary, lp binary, unknown binary, rest binary"
 
-    return trimmed(_answers(asked, look_up))
 
+def _sums(by_pair: int):
+    """The terms of what a shard is asked, summed by document; what is zero throughout is left out."""
+
+    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
+        if not len(asked):
+            return _rows([], SUMS)
+        free, press, rows = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress, []
+        words = asked.column("shard")[0].as_py() >= by_pair
+        own = model.to_pylist()  # one row, or none
+        keys = np.concatenate([*(unsteps(free(row["name"])) for row in own), np.zeros(1, np.uint64)])
+        kind = np.float64 if words else np.float32
+        lp, rest = (np.concatenate([*(np.frombuffer(free(row[c]), kind) for row in own if row[c]), np.zeros(1)]) for c in ("lp", "rest"))
+        for row in asked.to_pylist():
+            name, rid, n = unsteps(free(row["name"])), unplanes(free(row["rid"]), np.int32), unplanes(free(row["n"]), np.int32)
+            at = np.searchsorted(keys[:-1], name)
+            known = np.flatnonzero(keys[at] == name)
+            at, some, times, size = at[known], rid[known], n[known], int(rid.max()) + 1
+            by_doc = [np.bincount(some, rest[at] * times, size)]
+            if words:
+                by_doc = [np.bincount(some, lp[at] * times, size), np.bincount(rid, n, size) - np.bincount(some, times, size), *by_doc]
+            met = np.flatnonzero(np.any(by_doc, axis=0)).astype(np.int32)
+            cells = [press(planes(x[met].astype(np.float32))) for x in by_doc]
+            rows.append((row["block"], press(planes(met)), *([] if words else [None, None]), *cells))
+        return trimmed(_rows(rows, SUMS))
 
-def _pair_sums(asked: pa.Table, terms: pa.Table) -> pa.Table:
-    free = zstandard.ZstdDecompressor().decompress
-    rows = terms.to_pylist()
-    keys = np.concatenate([np.zeros(0, np.uint64), *(unsteps(free(row["name"])) for row in rows)])
-    term = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(free(row["term"]), np.float32) for row in rows)])
-    order = np.argsort(keys)
-    keys, term = np.r_[keys[order], np.uint64(0)], np.r_[term[order], np.float32(0)].astype(np.float64)
+    return run
 
-    def look_up(name):
-        at = np.searchsorted(keys[:-1], name)
-        return np.zeros(len(name)), np.zeros(len(name)), np.where(keys[at] == name, term[at], 0.0)
 
-    return trimmed(_answers(asked, look_up))
+def _totals(rows: pa.Table) -> pa.Table:
+    """One row of a block's answers, in doubles."""
+    free, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+    total = np.zeros((3, 0))
+    for row in rows.to_pylist():
+        rid = unplanes(free(row["rid"]), np.int32)  # each once in a cell
+        if len(rid) and rid[-1] >= total.shape[1]:
+            total = np.pad(total, ((0, 0), (0, int(rid[-1]) + 1 - total.shape[1])))
+        for k, part in enumerate(("lp", "unknown", "rest")):
+            if row[part] is not None:
+                total[k, rid] += unplanes(free(row[part]), np.float32)
+    rid = np.arange(total.shape[1], dtype=np.int32)
+    return trimmed(_rows([(rows.column("block")[0].as_py(), press(planes(rid)), *(press(planes(x)) for x in total))], SUMS))
 
 
-def _sums(asked: pa.Table, model: pa.Table) -> pa.Table:
-    if not len(asked):
-        return _rows([], SUMS)
-    words = asked.column("kind")[0].as_py() == WORDS
-    return _word_sums(asked, model.select(["key", "lp", "lg"])) if words else _pair_sums(asked, model.select(["name", "term"]))
+def _parts(texts: DataFrame, turns: int) -> list[Column]:
+    """Conditions that deal the packed rows to turns, about evenly and by whole blocks."""
+    cuts = texts.agg(F.percentile_approx("block", [k / turns for k in range(1, turns)], 10_000)).first()[0] if turns > 1 else None
+    edges = sorted(set(cuts or []))
+    after = [F.lit(True), *(F.col("block") > x for x in edges)]
+    return [a & b for a, b in zip(after, [*(F.col("block") <= x for x in edges), F.lit(True)], strict=True)]
 
 
 def word_sums(texts: DataFrame, flags: DataFrame, size: int, store: Scratch) -> tuple[DataFrame, DataFrame]:
     """(sums, langs).
 
     texts: packed blocks of doc_id, fp, rid, lang, text; flags: block, rid of the documents to train on; size: bytes of all
-    texts.  sums: SUMS, several rows a block: for documents of that block, parts of sum ln p1 of known words, of the
-    number of unknown ones, and of the other terms of ln p.  langs: lang, unknown (ln p1 of an unknown word).
+    texts.  sums: SUMS, one row a block: for documents of that block, the sum of ln p1 of known words, the
+    number of unknown ones, and the sum of the other terms of ln p, as doubles.  langs: lang, unknown (ln p1 of an unknown word).
     """
     spark = texts.sparkSession
     bits = min(64, SPARE_BITS + max(1, math.ceil(math.log2(size + 2))))
-    turns = int(min(TURNS, 1 + size // TURN_BYTES))
+    turns = int(max(min(TURNS, 1 + size // TURN_BYTES), 1 + texts.count() // TURN_ROWS))
     shards = turns * -(-max(partitions(spark), size // WORD_BYTES // SHARD_WORDS) // turns)
     by_word = turns * -(-shards // (2 * turns))
-    lanes = texts.select("block").distinct().count() // LANE_BLOCKS + 1
     counted = texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(_count(by_word, bits), _TYPES_SQL)
     types = store.put(counted.groupBy("shard").applyInArrow(lambda rows: trimmed(_merge(rows)), _TYPES_SQL), "types")
     follow = store.put(types.mapInArrow(_followed, "lang string, w long, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")), "follow")
@@ -347,21 +376,22 @@ def word_sums(texts: DataFrame, flags: DataFrame, size: int, store: Scratch) ->
     both = p1.select("key", "lp", F.lit(0.0).alias("lg")).unionByName(left.select("key", F.lit(0.0).alias("lp"), "lg"))
     words = store.put(both.groupBy("key").agg(F.sum("lp").alias("lp"), F.sum("lg").alias("lg")), "words")
     # names rise with shards as unsigned numbers do
-    its_shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(by_word), 32).cast("int").alias("shard")
-    every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
-    sums = []
+    its_shard = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(by_word), 32).cast("int")
+    own = words.select((F.lit(shards) + its_shard).cast("int").alias("shard"), "key", "lp", "lg")
+    buckets = min(100_000, partitions(spark))
+    model = store.put_by(own.groupBy("shard").applyInArrow(lambda rows: _word_model(rows), _MODEL_SQL), "shard", buckets, "model", deal=False)
+    store.drop(follow, words)
     for turn in range(turns):
         dealt = known.mapInArrow(_ratios(by_word, shards, bits, turn, turns), _PAIRS_SQL)
-        terms = dealt.groupBy("shard").cogroup(p1.select("key", "lp", its_shard).groupBy("shard")).applyInArrow(_pair_terms(shards), _TERMS_SQL)
-        terms = store.put(terms, "terms")
-        own = words.select(F.lit(WORDS).alias("kind"), "*", its_shard).where(F.pmod("shard", F.lit(turns)) == turn)
-        model = own.unionByName(terms.select(F.lit(PAIRS).alias("kind"), "*"), allowMissingColumns=True).select("*", every)
-        asked = texts.mapInArrow(_ask(by_word, shards, lanes, bits, turn, turns), _ASKED_SQL)
-        answer = asked.groupBy("kind", "shard", "lane").cogroup(model.groupBy("kind", "shard", "lane")).applyInArrow(lambda a, m: _sums(a, m), SUMS_SQL)
-        sums.append(store.put(answer, "sums"))
-        store.drop(terms)
-    store.drop(words)
-    store.drop(types, follow, p1)
+        terms = dealt.groupBy("shard").cogroup(p1.select("key", "lp", its_shard.alias("shard")).groupBy("shard")).applyInArrow(_pair_terms(shards), _TERMS_SQL)
+        model = store.put_by(terms.groupBy("shard").applyInArrow(lambda rows: _pair_model(rows), _MODEL_SQL), "shard", buckets, "model", deal=False, onto=model)
+    store.drop(types, p1)
+    sums = []
+    for part in _parts(texts, turns):
+        asked = texts.where(part).mapInArrow(_ask(by_word, shards, bits), _ASKED_SQL)
+        answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_sums(shards), SUMS_SQL)
+        sums.append(store.put(answers.groupBy("block").applyInArrow(lambda rows: _totals(rows), SUMS_SQL), "sums"))
+    store.drop(model)
     out = sums[0]
     for more in sums[1:]:
         out = out.unionByName(more)

@@ -112,6 +112,29 @@ def test_losses_are_brute_force(spark, docs, monkeypatch):
             assert x[0] == y[0] and all(abs(a - b) <= 1e-4 * max(1, b) for a, b in zip(x[1:], y[1:], strict=True))
 
 
+def test_each_block_asks_in_one_turn(spark, docs, tmp_path, monkeypatch):
+    """One row of sums a block, in doubles, however many turns there are; so no turn reads what another has read."""
+    word_model, found = quality.word_model, {}
+    flat = quality.located(docs, None, 4, [F.col("doc_id"), F.lit(0).alias("fp"), F.coalesce("lang", F.lit("")).alias("lang"), "text"])
+    for turn_bytes in (1 << 40, 20_000):
+        monkeypatch.setattr(word_model, "TURN_BYTES", turn_bytes)
+        with quality.Scratch(spark, "turns") as store:
+            texts = quality.stored(flat, ["doc_id", "fp", "rid", "lang", "text"], store, 4)
+            flags = store.put(flat.where("doc_id % 2 = 1").select("block", "rid"), "flags")
+            parts = word_model._parts(texts, 5)
+            assert len(parts) > 1 and sum(texts.where(part).count() for part in parts) == texts.count()
+            sums, langs = word_model.word_sums(texts, flags, 400_000, store)
+            free = word_model.zstandard.ZstdDecompressor().decompress
+            got = [(r.block, [word_model.unplanes(free(x), np.float64) for x in (r.lp, r.unknown, r.rest)]) for r in sums.collect()]
+            assert len(got) == len({block for block, _ in got}) == texts.select("block").distinct().count()
+            found[turn_bytes] = dict(got)
+            store.close()
+    one, many = found.values()
+    assert one.keys() == many.keys()
+    for block, parts in one.items():
+        np.testing.assert_allclose(many[block], parts, rtol=1e-5, atol=1e-5)
+
+
 def test_decisions_are_brute_force(spark, tmp_path):
     rng = random.Random(9)
     vocabulary = [f"{rng.choice('abcdefgh')}{k}" for k in range(200)]
