@@ -79,9 +79,10 @@ def anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(raw: np.ndarray, offsets: np.ndarray):
-    """(row, first window, last window, hash) arrays of the runs of windows with one anchor, chunk by chunk.
+    """(row, first window, last window, name) arrays of the runs of windows with one anchor, chunk by chunk.
 
-    Windows are counted from the start of their text.
+    Windows are counted from the start of their text.  An anchor's name is its hash mixed once more: anchors have
+    the least hash of their window, so their hashes lie low, and shards are dealt by leading bits.
     """
     n, a = len(offsets) - 1, 0
     while a < n:
@@ -100,7 +101,7 @@ def pieces(raw: np.ndarray, offsets: np.ndarray):
             if not len(first):
                 continue
             last = np.flatnonzero(whole & np.r_[new[1:] | ~whole[1:], True])
-            yield row[first], start[first] - offsets[row[first]], start[last] - offsets[row[first]], h[anchor[first]]
+            yield row[first], start[first] - offsets[row[first]], start[last] - offsets[row[first]], mixed(h[anchor[first]])
         a = b
 
 

@@ -233,6 +233,16 @@ def test_a_shard_that_removes_nothing():
     assert len(suffix_dedup._settle(sent)) == 0
 
 
+def test_anchors_are_dealt_evenly():
+    """An anchor has the least hash of its window; by that hash, the first of 64 shards would take 13 times the mean."""
+    from cladeline.llm import shared_keys as keys
+
+    raw = np.random.default_rng(8).integers(32, 127, 400_000).astype(np.uint8)
+    names = np.unique(np.concatenate([h for *_, h in suffix_dedup.pieces(raw, np.arange(0, 400_001, 2_000))]))
+    held = np.bincount(keys._shard(names, 64), minlength=64)
+    assert held.sum() > 20_000 and held.max() < 1.3 * held.mean() and held.min() > 0.7 * held.mean()
+
+
 def test_words_by_stretches(monkeypatch):
     from cladeline.llm import shingles
     from cladeline.llm.common import byte_batch
